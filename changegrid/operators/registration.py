@@ -22,7 +22,7 @@ def _two_nearest(metric: str):
         cols = ["pair_id", "kp_id", "t_id", "dist"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=cols)
-        a, b = np.stack(left["vec"]), np.stack(right["vec"])
+        a, b = np.stack(left["vec"]), np.stack(right["t_vec"])
         dist = np.zeros((len(a), len(b)))
         for k in range(a.shape[1]):  # one dimension at a time keeps the exact differences
             if metric == "hamming":
@@ -31,7 +31,7 @@ def _two_nearest(metric: str):
                 dist += (a[:, k, None] - b[None, :, k]) ** 2
         if metric != "hamming":
             dist = np.sqrt(dist)
-        ids = right["kp_id"].to_numpy()
+        ids = right["t_id"].to_numpy()
         best = np.lexsort((np.broadcast_to(ids, dist.shape), dist), axis=1)[:, :2]
         rows = np.repeat(np.arange(len(a)), best.shape[1])
         return pd.DataFrame(
@@ -59,10 +59,11 @@ def knn2(descriptors: DataFrame, metric: str = "l2", chunk: int = CHUNK) -> Data
     ).where("_na is not null and _nb is not null")
     d = salted_join(descriptors, sizes, ["pair_id"], ["kp_id"]).selectExpr("*", "int(pmod(xxhash64(kp_id), if(side = 'A', _na, _nb))) as _own")
     a = d.where("side = 'A'").selectExpr("pair_id", "kp_id", "vec", "_own as _ca", "explode(sequence(0, int(_nb) - 1)) as _cb")
-    b = d.where("side = 'B'").selectExpr("pair_id", "kp_id", "vec", "explode(sequence(0, int(_na) - 1)) as _ca", "_own as _cb")
-    keys = ["pair_id", "_ca", "_cb"]
+    b = d.where("side = 'B'").selectExpr(
+        "pair_id as _bp", "kp_id as t_id", "vec as t_vec", "explode(sequence(0, int(_na) - 1)) as _bca", "_own as _bcb"
+    )
     pair_type = descriptors.schema["pair_id"].dataType.simpleString()
-    local = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(
+    local = a.groupBy("pair_id", "_ca", "_cb").cogroup(b.groupBy("_bp", "_bca", "_bcb")).applyInPandas(
         _two_nearest(metric), f"pair_id {pair_type}, kp_id bigint, t_id bigint, dist double"
     )
     return local.selectExpr(

@@ -93,7 +93,7 @@ conf AS (
 DET = REG4 + CONF + """,
 det AS MATERIALIZED (
   SELECT sha256(concat_ws(':', r.scene_id, r.region_id)) AS detection_id, r.scene_id, r.region_id, r.pixel_count,
-    round(r.pixel_count * 100.0, 6) + 0.0 AS area_m2,
+    r.pixel_count * 100.0::DOUBLE AS area_m2,
     round(m.a * (r.centroid_col + 0.5) + m.c, 6) + 0.0 AS centroid_x, round(m.e * (r.centroid_row + 0.5) + m.f, 6) + 0.0 AS centroid_y,
     m.a * r.col_min + m.c AS bbox_minx, m.e * (r.row_max + 1) + m.f AS bbox_miny,
     m.a * (r.col_max + 1) + m.c AS bbox_maxx, m.e * r.row_min + m.f AS bbox_maxy,
@@ -309,7 +309,7 @@ add("zonal_mean", REG4 + CONF, "SELECT scene_id, region_id, round(mean_confidenc
 
 def knn(src: str) -> str:
     return f"""nn AS (
-  SELECT a.pair_id, a.kp_id, b.kp_id AS t_id, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), z -> (z[1] - z[2]) ** 2))) AS dist
+  SELECT a.pair_id, a.kp_id, b.kp_id AS t_id, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) ** 2))) AS dist
   FROM {src} a JOIN {src} b ON a.pair_id = b.pair_id AND a.side = 'A' AND b.side = 'B'
 ),
 nr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, kp_id ORDER BY dist, t_id) AS rank FROM nn QUALIFY rank <= 2)"""
@@ -318,7 +318,7 @@ nr AS (SELECT *, row_number() OVER (PARTITION BY pair_id, kp_id ORDER BY dist, t
 DESC = """desc_a AS (SELECT CAST(vec_id // 500 AS INT) AS pair_id, 'A' AS side, vec_id AS kp_id, embedding::DOUBLE[] AS vec FROM embeddings),
 descs AS MATERIALIZED (
   SELECT * FROM desc_a
-  UNION ALL SELECT pair_id, 'B', kp_id, list_transform(vec, (x, i) -> x + 0.002::DOUBLE * ((kp_id * 31 + i * 17) % 11 - 5)) FROM desc_a WHERE kp_id % 3 <> 0
+  UNION ALL SELECT pair_id, 'B', kp_id, list_transform(vec, lambda x, i: x + 0.002::DOUBLE * ((kp_id * 31 + i * 17) % 11 - 5)) FROM desc_a WHERE kp_id % 3 <> 0
 )"""
 GOOD = """gm AS (
   SELECT pair_id, kp_id, max(t_id) FILTER (rank = 1) AS t_id, max(dist) FILTER (rank = 1) AS d1, max(dist) FILTER (rank = 2) AS d2 FROM nr GROUP BY ALL
@@ -463,7 +463,7 @@ add("pair_match_status", f"""d0 AS (
   WHERE NOT (side = 'B' AND (kp_id // 25) % 5 = 4 AND kp_id % 25 > 9)
 ),
 noisy AS (
-  SELECT pair_id, side, kp_id, CASE WHEN side = 'B' AND pair_id % 2 = 1 THEN list_transform(vec, (x, i) -> x + 0.2::DOUBLE * ((kp_id * 7 + (i - 1) * 5) % 13 - 6)) ELSE vec END AS vec FROM d0
+  SELECT pair_id, side, kp_id, CASE WHEN side = 'B' AND pair_id % 2 = 1 THEN list_transform(vec, lambda x, i: x + 0.2::DOUBLE * ((kp_id * 7 + (i - 1) * 5) % 13 - 6)) ELSE vec END AS vec FROM d0
 ),
 {knn('noisy')}, {GOOD},
 {knn('d0').replace('nn AS', 'fnn AS').replace('nr AS', 'fnr AS').replace('FROM nn', 'FROM fnn')}, {GOOD.replace('gm AS', 'fgm AS').replace('FROM nr', 'FROM fnr')},
