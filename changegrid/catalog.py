@@ -44,8 +44,12 @@ def _stored(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSessi
     return _TABLES[key]
 
 
+def score_map(spark, sf):
+    return _stored(spark, sf, "scores", lambda s, d: scoring.score_blocks(fx.raster_blocks(s, d), fx.BANDS))
+
+
 def prob(spark, sf):
-    return _stored(spark, sf, "prob", lambda s, d: scoring.change_score(fx.raster_blocks(s, d), **BLOCK))
+    return scoring.score_pixels(score_map(spark, sf), 1, fx.COLS)
 
 
 def mask(spark, sf):
@@ -197,8 +201,8 @@ def rgb_composite(spark, sf):
 
 @query
 def percentile_stretch(spark, sf):
-    out = ras.stretch(fx.raster(spark, sf), ["scene_id", "t", "band"])
-    return out.selectExpr("scene_id", "t", "band", "row", "col", f"{r6('stretched')} as value")
+    out = ras.stretch_blocks(fx.raster_blocks(spark, sf), ["scene_id", "t", "band"])
+    return _round(ras.block_pixels(out, 1, fx.COLS), "value")
 
 
 @query
@@ -383,7 +387,8 @@ def neighbour_edges(spark, sf):
 @query
 def zonal_mean(spark, sf):
     regions = reg.summarize_regions(labelled(spark, sf), MIN_AREA)
-    return _round(reg.region_confidence(regions, prob(spark, sf), fx.scene_meta(spark, sf)), "mean_confidence")
+    out = reg.region_confidence(regions, score_map(spark, sf), fx.scene_meta(spark, sf), 1, fx.COLS)
+    return _round(out, "mean_confidence")
 
 
 @query
@@ -729,16 +734,26 @@ def registration_qc(spark, sf):
     return _round(out, "error_px", "det").withColumn("out_error_px", expr("if(valid, round(out_error_px, 6) + 0D, null)"))
 
 
+def _registrations(spark, sf):
+    """Small rotation and shift; every third scene was rejected and stays as it is."""
+    h = "array(1D, 0.01D, 1.5D, -0.02D, 1D, 0.5D, 0D, 0D, 1D)"
+    return fx.scene_meta(spark, sf).selectExpr("scene_id", f"if(scene_id % 3 = 1, null, {h}) as h")
+
+
 @query
 def warp_bilinear(spark, sf):
-    """Small rotation and shift; every third scene was rejected and stays as it is."""
     r = fx.raster(spark, sf)
-    h = "array(1D, 0.01D, 1.5D, -0.02D, 1D, 0.5D, 0D, 0D, 1D)"
-    regs = fx.scene_meta(spark, sf).selectExpr("scene_id", f"if(scene_id % 3 = 1, null, {h}) as h")
-    out = rgs.warp_bilinear(r.where("t = 'A'"), r.where("t = 'B'"), regs, fx.scene_meta(spark, sf))
+    out = rgs.warp_bilinear(r.where("t = 'A'"), r.where("t = 'B'"), _registrations(spark, sf), fx.scene_meta(spark, sf))
     return _round(out, "value")
 
 
+@query
+def warp_blocks(spark, sf):
+    b = ras.pack_blocks(fx.raster(spark, sf), 16, 16)
+    out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), _registrations(spark, sf), fx.scene_meta(spark, sf), 16, 16)
+    return _round(ras.block_pixels(out, 16, 16), "value")
+
+
 # --- augmentation ---------------------------------------------------------------------------
 
 @query

@@ -57,8 +57,9 @@ def leakage(rows: DataFrame, key: str = "image_id") -> DataFrame:
     """Ids that occur in more than one split, with the splits; empty means no leakage."""
     return (
         rows.groupBy(key)
-        .agg(expr("array_join(sort_array(collect_set(split)), ',') as splits"), expr("count(distinct split) as n_splits"))
-        .where("n_splits > 1")
+        .agg(expr("sort_array(collect_set(split)) as _s"))
+        .where("size(_s) > 1")
+        .selectExpr(key, "array_join(_s, ',') as splits", "bigint(size(_s)) as n_splits")
     )
 
 

@@ -27,13 +27,19 @@ def group_quantiles(
     names: Sequence[str],
     spread: Sequence[str],
     accuracy: int = ACCURACY,
+    packed: bool = False,
 ) -> DataFrame:
-    """One row per group: keys, one exact quantile column per name, and the maximum `vmax`."""
+    """One row per group: keys, one exact quantile column per name, and the maximum `vmax`.
+
+    `packed` says that `value` is an array of values; the bracket is then joined to the packed
+    rows, before they are unpacked.
+    """
     keys = list(keys)
+    flat = df.selectExpr(*keys, f"explode({value}) as {value}") if packed else df
     by = ", ".join(keys)
     margin = 5.0 / accuracy
     edges = [num(x) for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = df.groupBy(*keys).agg(
+    sketch = flat.groupBy(*keys).agg(
         *_exprs(
             f"count({value}) as _n",
             f"min({value}) as _min",
@@ -51,9 +57,11 @@ def group_quantiles(
     sketch = sketch.selectExpr(*keys, "_max", f"array({', '.join(marks)}) as _marks")
 
     slim = df.where(f"{value} is not null").select(*dict.fromkeys([*keys, *spread, value]))
+    joined = salted_join(slim, sketch, keys, spread)
+    if packed:
+        joined = joined.selectExpr(*keys, "_max", "_marks", f"explode({value}) as {value}").where(f"{value} is not null")
     counted = (
-        salted_join(slim, sketch, keys, spread)
-        .selectExpr(*keys, "_max", f"{value} as _v", f"explode(filter(_marks, m -> {value} <= m.hi)) as _m")
+        joined.selectExpr(*keys, "_max", f"{value} as _v", f"explode(filter(_marks, m -> {value} <= m.hi)) as _m")
         .selectExpr(*keys, "_max", "_m.i as _i", "_m.pos as _pos", "if(_v >= _m.lo, _v, null) as _v")
         .groupBy(*keys, "_max", "_i", "_pos", "_v")
         .agg(*_exprs("count(1) as _c"))

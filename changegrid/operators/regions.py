@@ -217,14 +217,6 @@ def extract_regions(mask: DataFrame, max_side: int, min_area_px: int = 50, conne
     return summarize_regions(labelled, min_area_px).orderBy("scene_id", expr("pixel_count").desc(), "region_id")
 
 
-def integral_image(prob: DataFrame, value: str = "p") -> DataFrame:
-    """Inclusive 2-D prefix sums; each window covers one line or one column of a scene."""
-    over = "over (partition by scene_id, {} order by {} rows unbounded preceding)"
-    return prob.selectExpr("scene_id", "row", "col", f"sum({value}) {over.format('row', 'col')} as _r").selectExpr(
-        "scene_id", "row", "col", f"sum(_r) {over.format('col', 'row')} as prefix"
-    )
-
-
 def confidence_windows(regions: DataFrame, meta: DataFrame) -> DataFrame:
     """Pixel window read for a region's confidence, clamped to the image.
 
@@ -244,25 +236,67 @@ def confidence_windows(regions: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def zonal_means(windows: DataFrame, prob: DataFrame, value: str = "p") -> DataFrame:
-    """Mean of `value` inside each window: four prefix-sum lookups per region.
+def _block_sums(block_h: int, block_w: int):
+    """Sums of windows inside one block, by one local prefix table for all of them."""
+
+    def run(windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if windows.empty or blocks.empty:
+            return pd.DataFrame(columns=["scene_id", "region_id", "s"])
+        b = blocks.iloc[0]
+        pre = np.zeros((b["h"] + 1, b["w"] + 1))
+        pre[1:, 1:] = np.asarray(b["data"], float).reshape(b["h"], b["w"]).cumsum(0).cumsum(1)
+        top, left = b["block_row"] * block_h, b["block_col"] * block_w
+        r0 = np.clip(windows["w_row0"] - top, 0, b["h"]).to_numpy()
+        r1 = np.clip(windows["w_row1"] + 1 - top, 0, b["h"]).to_numpy()
+        c0 = np.clip(windows["w_col0"] - left, 0, b["w"]).to_numpy()
+        c1 = np.clip(windows["w_col1"] + 1 - left, 0, b["w"]).to_numpy()
+        s = pre[r1, c1] - pre[r0, c1] - pre[r1, c0] + pre[r0, c0]
+        return pd.DataFrame({"scene_id": windows["scene_id"].to_numpy(), "region_id": windows["region_id"].to_numpy(), "s": s})
+
+    return run
+
+
+def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: int) -> DataFrame:
+    """Mean score inside each window: (scene_id, region_id, window_mean).
 
-    Cost is pixels + regions; overlapping windows are never expanded to their pixels.
+    A window visits only the blocks on its own rim; whole blocks inside it come from a prefix
+    table over block totals, four lookups per window. So neither large nor overlapping windows
+    are expanded to their pixels, and pixels never become rows.
     """
-    corner = "struct({} as row, {} as col, {}D as sign)".format
+    scene = scores.schema["scene_id"].dataType.simpleString()
+    w = windows.where("w_row1 >= w_row0 and w_col1 >= w_col0").selectExpr(
+        "*", f"w_row0 div {block_h} as _r0", f"w_row1 div {block_h} as _r1", f"w_col0 div {block_w} as _c0", f"w_col1 div {block_w} as _c1"
+    )
+    # Rim: first and last block line in full, the first and last block of the lines between.
+    cols = "if(r in (_r0, _r1), sequence(_c0, _c1), array_distinct(array(_c0, _c1)))"
+    rim = w.selectExpr("*", "explode(sequence(_r0, _r1)) as r").selectExpr(
+        "scene_id", "region_id", "w_row0", "w_row1", "w_col0", "w_col1", "int(r) as _br", f"explode({cols}) as _bc"
+    ).withColumn("_bc", expr("int(_bc)"))
+    blocks = scores.selectExpr("scene_id as _bs", "block_row", "block_col", "h", "w", "data")
+    partial = (
+        rim.groupBy("scene_id", "_br", "_bc")
+        .cogroup(blocks.groupBy("_bs", "block_row", "block_col"))
+        .applyInPandas(_block_sums(block_h, block_w), f"scene_id {scene}, region_id bigint, s double")
+    )
+    totals = scores.selectExpr("scene_id", "block_row as row", "block_col as col", "aggregate(data, 0D, (s, x) -> s + x) as v")
+    over = "over (partition by scene_id, {} order by {} rows unbounded preceding)"
+    prefix = totals.selectExpr("scene_id", "row", "col", f"sum(v) {over.format('row', 'col')} as _r").selectExpr(
+        "scene_id", "row", "col", f"sum(_r) {over.format('col', 'row')} as prefix"
+    )
+    corner = "struct(int({}) as row, int({}) as col, {}D as sign)".format
     corners = ", ".join(
-        [corner("w_row1", "w_col1", 1), corner("w_row0 - 1", "w_col1", -1), corner("w_row1", "w_col0 - 1", -1), corner("w_row0 - 1", "w_col0 - 1", 1)]
+        [corner("_r1 - 1", "_c1 - 1", 1), corner("_r0", "_c1 - 1", -1), corner("_r1 - 1", "_c0", -1), corner("_r0", "_c0", 1)]
     )
-    probe = (
-        windows.selectExpr("*", "(w_row1 - w_row0 + 1) * (w_col1 - w_col0 + 1) as _px")
-        .where("w_row1 >= w_row0 and w_col1 >= w_col0")
-        .selectExpr("scene_id", "region_id", "_px", f"explode(filter(array({corners}), k -> k.row >= 0 and k.col >= 0)) as k")
-        .selectExpr("scene_id", "region_id", "_px", "k.row as row", "k.col as col", "k.sign as _sign")
+    inner = (
+        w.where("_r1 - _r0 > 1 and _c1 - _c0 > 1")
+        .selectExpr("scene_id", "region_id", f"explode(array({corners})) as k")
+        .selectExpr("scene_id", "region_id", "k.row as row", "k.col as col", "k.sign as _sign")
+        .join(prefix, ["scene_id", "row", "col"])
+        .selectExpr("scene_id", "region_id", "_sign * prefix as s")
     )
-    return (
-        probe.join(integral_image(prob, value), ["scene_id", "row", "col"])
-        .groupBy("scene_id", "region_id")
-        .agg(expr("sum(_sign * prefix) / max(_px) as window_mean"))
+    sums = partial.unionByName(inner).groupBy("scene_id", "region_id").agg(expr("sum(s) as s"))
+    return w.join(sums, ["scene_id", "region_id"]).selectExpr(
+        "scene_id", "region_id", "s / ((w_row1 - w_row0 + 1) * (w_col1 - w_col0 + 1)) as window_mean"
     )
 
 
@@ -291,11 +325,16 @@ def region_attributes(regions: DataFrame, meta: DataFrame, compat_area: bool = F
     )
 
 
-def region_confidence(regions: DataFrame, prob: DataFrame, meta: DataFrame, value: str = "p") -> DataFrame:
-    """Mean confidence per region: window mean with a geotransform, else the scene mean."""
+def region_confidence(regions: DataFrame, scores: DataFrame, meta: DataFrame, block_h: int, block_w: int) -> DataFrame:
+    """Mean confidence per region: window mean with a geotransform, else the scene mean.
+
+    `scores` is the score map in block layout.
+    """
     geo = meta.where("a is not null and epsg is not null")
-    zonal = zonal_means(confidence_windows(regions, geo), prob, value)
-    scene = prob.groupBy("scene_id").agg(expr(f"avg({value}) as scene_mean"))
+    zonal = zonal_means(confidence_windows(regions, geo), scores, block_h, block_w)
+    scene = scores.groupBy("scene_id").agg(
+        expr("sum(aggregate(data, 0D, (s, x) -> s + x)) / sum(size(data)) as scene_mean")
+    )
     out = regions.select("scene_id", "region_id").join(zonal, ["scene_id", "region_id"], "left")
     return salted_join(out, scene, ["scene_id"], ["region_id"], "left").selectExpr(
         "scene_id", "region_id",

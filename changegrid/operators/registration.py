@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -149,7 +151,7 @@ def _hypotheses(trials: int):
         xb, yb, xa, ya = (pdf[c].to_numpy(float) for c in ("x_b", "y_b", "x_a", "y_a"))
         if len(pdf) < 4:
             return pd.DataFrame({"pair_id": [pair], "hs": [[]]})
-        rng = np.random.default_rng(abs(hash(str(pair))) % 2**32 if not isinstance(pair, (int, np.integer)) else int(pair) % 2**32)
+        rng = np.random.default_rng(zlib.crc32(str(pair).encode()))
         pick = np.argsort(rng.random((trials, len(pdf))), axis=1)[:, :4]
         _, _, vt = np.linalg.svd(_equations(xb[pick], yb[pick], xa[pick], ya[pick]))
         h = vt[:, -1, :]
@@ -266,7 +268,7 @@ def registration_qc(results: DataFrame, max_error: float = 5.0, min_inliers: int
 # --- warping --------------------------------------------------------------------------------
 
 def warp_bilinear(target: DataFrame, source: DataFrame, registrations: DataFrame, meta: DataFrame) -> DataFrame:
-    """Resample `source` (date B) onto the pixel grid of `target` (date A).
+    """Resample `source` (date B) onto the pixel grid of `target` (date A), in long layout.
 
     `registrations` holds (scene_id, h); NULL or absent keeps B as it is. Outside B the edge
     pixel is repeated. Four equi-joined taps per output pixel, keyed by pixel, so one huge
@@ -291,3 +293,64 @@ def warp_bilinear(target: DataFrame, source: DataFrame, registrations: DataFrame
     )
     src = source.selectExpr(*keys, "row as _sr", "col as _sc", "value as _v")
     return probe.join(src, [*keys, "_sr", "_sc"]).groupBy(*keys, "row", "col").agg(expr("sum(_w * _v) as value"))
+
+
+def warp_blocks(
+    targets: DataFrame, source: DataFrame, registrations: DataFrame, meta: DataFrame, block_h: int, block_w: int
+) -> DataFrame:
+    """`warp_bilinear` in block layout, the form for whole archives.
+
+    An output block asks for the source blocks under its footprint (its four mapped corners);
+    it then resamples from that small mosaic. The shuffle moves a few arrays per block instead
+    of four rows per pixel. `targets` lists (scene_id, block_row, block_col, h, w) of date A;
+    `source` holds the blocks of date B with their bands.
+    """
+    identity = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
+    m = meta.select("scene_id", "height", "width").join(registrations.select("scene_id", "h"), "scene_id", "left")
+    m = m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g")
+    keys = ["scene_id", "block_row", "block_col"]
+    t = salted_join(targets.select(*keys, "h", "w"), m, ["scene_id"], ["block_row", "block_col"])
+    top, left = f"block_row * {block_h}", f"block_col * {block_w}"
+    corners = [(f"({left} + {dx})", f"({top} + {dy})") for dx in ("0", "w - 1") for dy in ("0", "h - 1")]
+    mapped = [apply_h("_g", x, y) for x, y in corners]
+    signs = [f"signum(_g[6] * {x} + _g[7] * {y} + _g[8])" for x, y in corners]
+    # A footprint that crosses the horizon of the map is not bounded by its corners.
+    safe = f"abs({' + '.join(signs)}) = 4"
+
+    def span(values: list[str], side: str, block: int) -> str:
+        lo = f"least(greatest(floor(least({', '.join(values)})), 0), {side} - 1)"
+        hi = f"least(greatest(floor(greatest({', '.join(values)})) + 1, 0), {side} - 1)"
+        return f"sequence(int(if({safe}, {lo}, 0) div {block}), int(if({safe}, {hi}, {side} - 1) div {block}))"
+
+    asks = t.selectExpr("*", f"explode({span([v for _, v in mapped], 'height', block_h)}) as _sr").selectExpr(
+        "*", f"explode({span([u for u, _ in mapped], 'width', block_w)}) as _sc"
+    )
+    src = source.selectExpr("scene_id", "block_row as _sr", "block_col as _sc", "band", "h as _sh", "w as _sw", "data as _data")
+    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).groupBy(*keys, "band")
+    types = source.schema["scene_id"].dataType.simpleString()
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        r_lo, c_lo = pdf["_sr"].min() * block_h, pdf["_sc"].min() * block_w
+        r_hi = (pdf["_sr"] * block_h + pdf["_sh"]).max()
+        c_hi = (pdf["_sc"] * block_w + pdf["_sw"]).max()
+        mosaic = np.zeros((r_hi - r_lo, c_hi - c_lo))
+        for p in pdf[["_sr", "_sc", "_sh", "_sw", "_data"]].to_numpy():
+            r, c = p[0] * block_h - r_lo, p[1] * block_w - c_lo
+            mosaic[r : r + p[2], c : c + p[3]] = np.asarray(p[4], float).reshape(p[2], p[3])
+        y, x = np.mgrid[0 : one["h"], 0 : one["w"]]
+        y, x = y.ravel() + one["block_row"] * block_h, x.ravel() + one["block_col"] * block_w
+        sx, sy = _project(np.asarray(one["_g"], float), x, y)
+        sx, sy = np.clip(sx, 0, one["width"] - 1), np.clip(sy, 0, one["height"] - 1)
+        c0, r0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        fx, fy = sx - c0, sy - r0
+        c1, r1 = np.minimum(c0 + 1, one["width"] - 1) - c_lo, np.minimum(r0 + 1, one["height"] - 1) - r_lo
+        c0, r0 = c0 - c_lo, r0 - r_lo
+        out = (mosaic[r0, c0] * (1 - fx) + mosaic[r0, c1] * fx) * (1 - fy) + (mosaic[r1, c0] * (1 - fx) + mosaic[r1, c1] * fx) * fy
+        head = pdf.iloc[:1][[*keys, "band", "h", "w"]].copy()
+        head["data"] = [out]
+        return head
+
+    return supply.applyInPandas(
+        resample, f"scene_id {types}, block_row int, block_col int, band int, h int, w int, data array<double>"
+    )

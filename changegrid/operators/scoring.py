@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import col, expr
 
-from changegrid.operators.raster import block_pixels, stretch
+from changegrid.operators.raster import block_pixels, stretch_blocks
 
 
 def diff_features(raster: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def diff_features(raster: DataFrame) -> DataFrame:
     )
 
 
-def band_difference(blocks: DataFrame, n_bands: int, block_h: int, block_w: int) -> DataFrame:
-    """Mean over bands of |B-A| per pixel, computed on whole blocks -> column `d`.
+def band_difference(blocks: DataFrame, n_bands: int) -> DataFrame:
+    """Mean over bands of |B-A| per pixel, block in, block out.
 
     The shuffle moves one array per (block, date, band) instead of one row per pixel and
     band; a group holds at most 2 * n_bands arrays.
@@ -38,14 +38,21 @@ def band_difference(blocks: DataFrame, n_bands: int, block_h: int, block_w: int)
     for k in range(n_bands):
         d = f"zip_with(m['B{k}'], m['A{k}'], (y, x) -> abs(y - x))"
         total = d if not total else f"zip_with({total}, {d}, (s, y) -> s + y)"
-    score = grouped.selectExpr(*keys, f"transform({total}, s -> double(s) / {n_bands}) as data").where("data is not null")
-    return block_pixels(score, block_h, block_w).withColumnRenamed("value", "d")
+    return grouped.selectExpr(*keys, f"transform({total}, s -> double(s) / {n_bands}) as data").where("data is not null")
+
+
+def score_blocks(blocks: DataFrame, n_bands: int) -> DataFrame:
+    """Default scorer: band difference stretched to [0,1] per scene, as blocks."""
+    return stretch_blocks(band_difference(blocks, n_bands), ["scene_id"])
 
 
 def change_score(blocks: DataFrame, n_bands: int, block_h: int, block_w: int) -> DataFrame:
-    """Default scorer: band difference stretched to [0,1] per scene -> (scene_id, row, col, p)."""
-    d = band_difference(blocks, n_bands, block_h, block_w)
-    return stretch(d, ["scene_id"], "d").selectExpr("scene_id", "row", "col", "stretched as p")
+    """The default score per pixel: (scene_id, row, col, p)."""
+    return score_pixels(score_blocks(blocks, n_bands), block_h, block_w)
+
+
+def score_pixels(scores: DataFrame, block_h: int, block_w: int) -> DataFrame:
+    return block_pixels(scores, block_h, block_w).selectExpr("scene_id", "row", "col", "value as p")
 
 
 def score_tiles(

@@ -496,6 +496,8 @@ cl AS (SELECT *, least(greatest(x, 0), width - 1) AS sx, least(greatest(y, 0), h
 SELECT c.scene_id, c.band, c.row, c.col, {r6('sum((1 - abs(sx - b.col)) * (1 - abs(sy - b.row)) * b.value)')} AS value
 FROM cl c JOIN raster b ON b.t = 'B' AND b.scene_id = c.scene_id AND b.band = c.band AND b.row IN (floor(sy), floor(sy) + 1) AND b.col IN (floor(sx), floor(sx) + 1) GROUP BY ALL""")
 
+SQL["warp_blocks"] = SQL["warp_bilinear"]
+
 # --- augmentation ---------------------------------------------------------------------------
 PX = "px AS (SELECT vec_id AS patch_id, CAST(i // 8 AS INT) AS row, CAST(i % 8 AS INT) AS col, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(0, 64) x(i))"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from changegrid.functions import expr as X
 from changegrid.operators.regions import label_components, region_attributes, region_confidence, summarize_regions
-from changegrid.operators.scoring import change_score
+from changegrid.operators.scoring import score_blocks, score_pixels
 from changegrid.plans.lineage import cut
 
 DETECTION_COLUMNS = (
@@ -21,8 +21,10 @@ DETECTION_ID = "sha2(concat_ws(':', string(scene_id), string(region_id)), 256)"
 
 
 def detections_from_scores(
-    prob: DataFrame,
+    scores: DataFrame,
     meta: DataFrame,
+    block_h: int,
+    block_w: int,
     max_side: int,
     thr: float = 0.5,
     inclusive: bool = False,
@@ -31,11 +33,14 @@ def detections_from_scores(
     block: int = 1024,
     compat_area: bool = False,
 ) -> DataFrame:
-    """Threshold -> regions -> attributes. `prob` is read several times, so it should be stored."""
-    mask = prob.where(X.threshold("p", thr, inclusive)).select("scene_id", "row", "col")
-    regions = summarize_regions(label_components(mask, max_side, connectivity, block), min_area_px)
+    """Threshold -> regions -> attributes over a score map in block layout.
+
+    Only changed pixels ever become rows. `scores` is read twice, so it should be stored.
+    """
+    changed = score_pixels(scores, block_h, block_w).where(X.threshold("p", thr, inclusive)).select("scene_id", "row", "col")
+    regions = summarize_regions(label_components(changed, max_side, connectivity, block), min_area_px)
     attrs = region_attributes(regions, meta, compat_area)
-    conf = region_confidence(regions, prob, meta)
+    conf = region_confidence(regions, scores, meta, block_h, block_w)
     return attrs.join(conf, ["scene_id", "region_id"], "left").selectExpr(
         f"{DETECTION_ID} as detection_id", *DETECTION_COLUMNS[1:]
     )
@@ -52,8 +57,7 @@ def detect_changes(
 ) -> DataFrame:
     """Score -> threshold -> regions -> attributes over every scene pair in `blocks`.
 
-    The raw bands are read once: the score (one value per pixel) is written to the shared
-    folder, and the mask, the confidence windows and the scene means read it from there.
+    The raw bands are read once: the score, one value per pixel, is written to the shared
+    folder and the later steps read it from there.
     """
-    prob = cut(change_score(blocks, n_bands, block_h, block_w))
-    return detections_from_scores(prob, meta, max_side, **options)
+    return detections_from_scores(cut(score_blocks(blocks, n_bands)), meta, block_h, block_w, max_side, **options)
