@@ -44,6 +44,11 @@ def _stored(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSessi
     return _TABLES[key]
 
 
+def scene_meta(spark, sf):
+    """The scene catalogue as a stored table, so joins on it are planned with its true size."""
+    return _stored(spark, sf, "meta", fx.scene_meta)
+
+
 def score_map(spark, sf):
     return _stored(spark, sf, "scores", lambda s, d: scoring.score_blocks(fx.raster_blocks(s, d), fx.BANDS))
 
@@ -66,7 +71,7 @@ def detection_table(spark, sf):
 
 
 def detect(spark, sf):
-    return detect_changes(fx.raster_blocks(spark, sf), fx.scene_meta(spark, sf), max_side=MAX_SIDE, min_area_px=MIN_AREA, **BLOCK)
+    return detect_changes(fx.raster_blocks(spark, sf), scene_meta(spark, sf), max_side=MAX_SIDE, min_area_px=MIN_AREA, **BLOCK)
 
 
 def unit_raster(spark, sf):
@@ -76,7 +81,7 @@ def unit_raster(spark, sf):
 
 def mixed_meta(spark, sf):
     """Scene catalogue with single-band scenes and declared nodata on odd ids."""
-    return fx.scene_meta(spark, sf).withColumns(
+    return scene_meta(spark, sf).withColumns(
         {"band_count": expr("if(scene_id % 2 = 1, 1, 5)"), "nodata": expr("if(scene_id % 2 = 1, 0D, null)")}
     )
 
@@ -101,7 +106,7 @@ DETECTION_DOUBLES = (
 
 @query
 def raster_scan(spark, sf):
-    return rasters.raster_scan(fx.raster_blocks(spark, sf), fx.scene_meta(spark, sf)).selectExpr(
+    return rasters.raster_scan(fx.raster_blocks(spark, sf), scene_meta(spark, sf)).selectExpr(
         "scene_id", "t", "band", "block_row", "width", "height", "epsg", "resolution_m", "has_geo",
         f"{r6('aggregate(data, 0D, (s, x) -> s + x)')} as total",
     )
@@ -146,7 +151,7 @@ def prob_uint8(spark, sf):
 
 @query
 def geojson_features(spark, sf):
-    shapes = polygons.polygonize(labelled(spark, sf), fx.scene_meta(spark, sf), min_area_px=MIN_AREA)
+    shapes = polygons.polygonize(labelled(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA)
     rows = detection_table(spark, sf).join(shapes.select("scene_id", "region_id", "polygons"), ["scene_id", "region_id"])
     return det.geojson_features(rows)
 
@@ -239,20 +244,20 @@ def threshold_mask(spark, sf):
 @query
 def pixel_to_world(spark, sf):
     x, y = X.pixel_to_world("row", "col")
-    return ras.with_geo(prob(spark, sf), fx.scene_meta(spark, sf)).selectExpr("scene_id", "row", "col", f"{r6(x)} as x", f"{r6(y)} as y")
+    return ras.with_geo(prob(spark, sf), scene_meta(spark, sf)).selectExpr("scene_id", "row", "col", f"{r6(x)} as x", f"{r6(y)} as y")
 
 
 @query
 def world_to_pixel(spark, sf):
     x, y = X.pixel_to_world("row", "col")
     r, c = X.world_to_pixel("(x + 13.25D)", "(y + 8.5D)")
-    geo = ras.with_geo(prob(spark, sf), fx.scene_meta(spark, sf)).selectExpr("*", f"{x} as x", f"{y} as y")
+    geo = ras.with_geo(prob(spark, sf), scene_meta(spark, sf)).selectExpr("*", f"{x} as x", f"{y} as y")
     return geo.selectExpr("scene_id", "row", "col", f"{r} as to_row", f"{c} as to_col")
 
 
 @query
 def pixel_area(spark, sf):
-    m = fx.scene_meta(spark, sf).withColumns({"resolution_m": expr("if(scene_id % 2 = 1, 2.5D, null)"), "a": expr("if(scene_id % 3 = 2, 0D, a)")})
+    m = scene_meta(spark, sf).withColumns({"resolution_m": expr("if(scene_id % 2 = 1, 2.5D, null)"), "a": expr("if(scene_id % 3 = 2, 0D, a)")})
     m = ras.classify_crs(m.withColumn("epsg", expr("if(scene_id % 2 = 0, 4326, epsg)")))
     return m.selectExpr("scene_id", f"{X.pixel_area_m2()} as pixel_area", f"{X.pixel_size_m('is_geographic')} as pixel_size")
 
@@ -314,7 +319,7 @@ def bbox_query(spark, sf):
 
 @query
 def bbox_query_exact(spark, sf):
-    shapes = polygons.polygonize(labelled(spark, sf), fx.scene_meta(spark, sf), min_area_px=MIN_AREA)
+    shapes = polygons.polygonize(labelled(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA)
     rows = detection_table(spark, sf).join(shapes.select("scene_id", "region_id", "polygons"), ["scene_id", "region_id"])
     return det.bbox_query(rows, 500063.0, 4599603.0, 510147.0, 4599887.0).select("detection_id")
 
@@ -366,7 +371,7 @@ def incomplete_triplets(spark, sf):
 
 @query
 def tile_pairs(spark, sf):
-    tiles = tiling.split_blocks(fx.raster_blocks(spark, sf), fx.scene_meta(spark, sf), 1, fx.COLS, TILE, OVERLAP)
+    tiles = tiling.split_blocks(fx.raster_blocks(spark, sf), scene_meta(spark, sf), 1, fx.COLS, TILE, OVERLAP)
     total = "aggregate(zip_with(data_a, data_b, (a, b) -> abs(a - b)), 0D, (s, x) -> s + x)"
     return tiling.tile_pairs(tiles).selectExpr("scene_id", "band", "tile_row", "tile_col", f"{r6(total)} as total_diff")
 
@@ -387,7 +392,7 @@ def neighbour_edges(spark, sf):
 @query
 def zonal_mean(spark, sf):
     regions = reg.summarize_regions(labelled(spark, sf), MIN_AREA)
-    out = reg.region_confidence(regions, score_map(spark, sf), fx.scene_meta(spark, sf), 1, fx.COLS)
+    out = reg.region_confidence(regions, score_map(spark, sf), scene_meta(spark, sf), 1, fx.COLS)
     return _round(out, "mean_confidence")
 
 
@@ -493,7 +498,7 @@ def status_counts(spark, sf):
 
 @query
 def crop_patches(spark, sf):
-    return _round(tiling.crop_patches(fx.raster(spark, sf), fx.scene_meta(spark, sf), 7), "value")
+    return _round(tiling.crop_patches(fx.raster(spark, sf), scene_meta(spark, sf), 7), "value")
 
 
 @query
@@ -575,20 +580,20 @@ def route_scenes(spark, sf):
 
 @query
 def pad_reflect(spark, sf):
-    meta = fx.scene_meta(spark, sf)
+    meta = scene_meta(spark, sf)
     sizes = meta.selectExpr("scene_id", "height", "width", f"{X.pad_amount('height', TILE, STRIDE)} as pad_h", f"{X.pad_amount('width', TILE, STRIDE)} as pad_w")
     return _round(tiling.pad_pixels(fx.raster(spark, sf), sizes), "value")
 
 
 @query
 def pad_multiple(spark, sf):
-    sizes = fx.scene_meta(spark, sf).selectExpr("scene_id", "height", "width", f"{X.pad_to_multiple('height')} as pad_h", f"{X.pad_to_multiple('width')} as pad_w")
+    sizes = scene_meta(spark, sf).selectExpr("scene_id", "height", "width", f"{X.pad_to_multiple('height')} as pad_h", f"{X.pad_to_multiple('width')} as pad_w")
     return _round(tiling.pad_pixels(fx.raster(spark, sf), sizes), "value")
 
 
 @query
 def split_tiles(spark, sf):
-    return _round(tiling.split_tiles(fx.raster(spark, sf), fx.scene_meta(spark, sf), TILE, OVERLAP), "value")
+    return _round(tiling.split_tiles(fx.raster(spark, sf), scene_meta(spark, sf), TILE, OVERLAP), "value")
 
 
 def score_raster(spark, sf):
@@ -598,7 +603,7 @@ def score_raster(spark, sf):
 @query
 def stitch_tiles(spark, sf):
     """Block layout throughout: pack, split with halo, blend, unpack."""
-    meta = fx.scene_meta(spark, sf)
+    meta = scene_meta(spark, sf)
     blocks = ras.pack_blocks(score_raster(spark, sf), 32, 32)
     tiles = tiling.split_blocks(blocks, meta, 32, 32, TILE, OVERLAP)
     out = ras.block_pixels(tiling.stitch_blocks(tiles, meta, TILE, OVERLAP), STRIDE, STRIDE)
@@ -607,7 +612,7 @@ def stitch_tiles(spark, sf):
 
 @query
 def stitch_tiles_cli(spark, sf):
-    meta = fx.scene_meta(spark, sf)
+    meta = scene_meta(spark, sf)
     tiles = tiling.split_tiles(score_raster(spark, sf), meta, TILE, OVERLAP, rule="cli")
     return _round(tiling.stitch_tiles(tiles, meta, TILE, OVERLAP, "value", "cli", canvas=prob(spark, sf)), "p")
 
@@ -653,7 +658,7 @@ def _ratio_model():
 
 @query
 def score_tiles(spark, sf):
-    tiles = tiling.split_blocks(fx.raster_blocks(spark, sf), fx.scene_meta(spark, sf), 1, fx.COLS, TILE, OVERLAP)
+    tiles = tiling.split_blocks(fx.raster_blocks(spark, sf), scene_meta(spark, sf), 1, fx.COLS, TILE, OVERLAP)
     scored = scoring.score_tiles(tiling.tile_pairs(tiles), _ratio_model, TILE * TILE)
     return scored.selectExpr("scene_id", "band", "tile_row", "tile_col", "round(aggregate(prob, 0D, (s, x) -> s + double(x)) / size(prob), 3) as mean_prob")
 
@@ -676,7 +681,7 @@ QUERIES["detect_changes"] = _detect_query
 
 @query
 def region_attributes(spark, sf):
-    out = reg.region_attributes(reg.summarize_regions(labelled(spark, sf), MIN_AREA), fx.scene_meta(spark, sf), compat_area=True)
+    out = reg.region_attributes(reg.summarize_regions(labelled(spark, sf), MIN_AREA), scene_meta(spark, sf), compat_area=True)
     cols = [c for c in DETECTION_DOUBLES if c != "mean_confidence"]
     return _round(out, *cols).select("scene_id", "region_id", "pixel_count", *cols, "timestamp_a", "timestamp_b")
 
@@ -698,7 +703,7 @@ def simplify_rings(spark, sf):
 
 @query
 def region_hull(spark, sf):
-    return polygons.region_hull(labelled(spark, sf), fx.scene_meta(spark, sf), MIN_AREA).select("scene_id", "region_id", "pixel_count", "geometry_wkt")
+    return polygons.region_hull(labelled(spark, sf), scene_meta(spark, sf), MIN_AREA).select("scene_id", "region_id", "pixel_count", "geometry_wkt")
 
 
 # --- registration ---------------------------------------------------------------------------
@@ -737,20 +742,20 @@ def registration_qc(spark, sf):
 def _registrations(spark, sf):
     """Small rotation and shift; every third scene was rejected and stays as it is."""
     h = "array(1D, 0.01D, 1.5D, -0.02D, 1D, 0.5D, 0D, 0D, 1D)"
-    return fx.scene_meta(spark, sf).selectExpr("scene_id", f"if(scene_id % 3 = 1, null, {h}) as h")
+    return scene_meta(spark, sf).selectExpr("scene_id", f"if(scene_id % 3 = 1, null, {h}) as h")
 
 
 @query
 def warp_bilinear(spark, sf):
     r = fx.raster(spark, sf)
-    out = rgs.warp_bilinear(r.where("t = 'A'"), r.where("t = 'B'"), _registrations(spark, sf), fx.scene_meta(spark, sf))
+    out = rgs.warp_bilinear(r.where("t = 'A'"), r.where("t = 'B'"), _registrations(spark, sf), scene_meta(spark, sf))
     return _round(out, "value")
 
 
 @query
 def warp_blocks(spark, sf):
     b = ras.pack_blocks(fx.raster(spark, sf), 16, 16)
-    out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), _registrations(spark, sf), fx.scene_meta(spark, sf), 16, 16)
+    out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), _registrations(spark, sf), scene_meta(spark, sf), 16, 16)
     return _round(ras.block_pixels(out, 16, 16), "value")
 
 

@@ -5,6 +5,11 @@ a scene with a third of all pixels would blow up. Here a mergeable sketch first
 each wanted rank; a second pass counts what lies below the bracket (map-side combined to one
 row per partition) and keeps only the distinct values inside it; ranks are then resolved
 exactly on that sliver. The result equals linear-interpolated `percentile`.
+
+The sketch and the result hold one row per group. Both are written to the shared folder, so
+the optimiser knows their true size when they are joined back to the big table: it broadcasts
+them while they are small and falls back to the salted shuffle join when they are not. The
+input is read twice and should be a stored table or a plain scan.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from changegrid.functions.expr import num
 from changegrid.plans.joins import salted_join
+from changegrid.plans.lineage import cut
 
 ACCURACY = 20_000
 
@@ -54,7 +60,7 @@ def group_quantiles(
         lo = f"if({small} or {p - margin} <= 0, _min, _e[{2 * i}])"
         hi = f"if({small} or {p + margin} >= 1, _max, _e[{2 * i + 1}])"
         marks.append(f"struct({i} as i, {num(p)} * (_n - 1) as pos, {lo} as lo, {hi} as hi)")
-    sketch = sketch.selectExpr(*keys, "_max", f"array({', '.join(marks)}) as _marks")
+    sketch = cut(sketch.selectExpr(*keys, "_max", f"array({', '.join(marks)}) as _marks"))
 
     slim = df.where(f"{value} is not null").select(*dict.fromkeys([*keys, *spread, value]))
     joined = salted_join(slim, sketch, keys, spread)
@@ -82,8 +88,10 @@ def group_quantiles(
         " double(raise_error('quantile bracket missed its rank; raise accuracy')),"
         " _lo + (_hi - _lo) * (_pos - floor(_pos)))"
     )
-    return picked.selectExpr(*keys, "_max", "_i", f"{q} as _q").groupBy(*keys).agg(
-        *_exprs(*[f"max(if(_i = {i}, _q, null)) as {n}" for i, n in enumerate(names)], "max(_max) as vmax")
+    return cut(
+        picked.selectExpr(*keys, "_max", "_i", f"{q} as _q")
+        .groupBy(*keys)
+        .agg(*_exprs(*[f"max(if(_i = {i}, _q, null)) as {n}" for i, n in enumerate(names)], "max(_max) as vmax"))
     )
 
 

@@ -236,49 +236,65 @@ def confidence_windows(regions: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def _block_sums(block_h: int, block_w: int):
-    """Sums of windows inside one block, by one local prefix table for all of them."""
+# Side of the areas whose pixels one zonal task holds; small stored blocks are put together.
+ZONE_SIDE = 1024
+
+
+def _zone_sums(block_h: int, block_w: int, zone_h: int, zone_w: int):
+    """Sums of windows inside one zone, by one local prefix table for all of them."""
 
     def run(windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         if windows.empty or blocks.empty:
             return pd.DataFrame(columns=["scene_id", "region_id", "s"])
-        b = blocks.iloc[0]
-        pre = np.zeros((b["h"] + 1, b["w"] + 1))
-        pre[1:, 1:] = np.asarray(b["data"], float).reshape(b["h"], b["w"]).cumsum(0).cumsum(1)
-        top, left = b["block_row"] * block_h, b["block_col"] * block_w
-        r0 = np.clip(windows["w_row0"] - top, 0, b["h"]).to_numpy()
-        r1 = np.clip(windows["w_row1"] + 1 - top, 0, b["h"]).to_numpy()
-        c0 = np.clip(windows["w_col0"] - left, 0, b["w"]).to_numpy()
-        c1 = np.clip(windows["w_col1"] + 1 - left, 0, b["w"]).to_numpy()
+        top, left = int(windows["_zr"].iloc[0]) * zone_h, int(windows["_zc"].iloc[0]) * zone_w
+        rows, cols = blocks["block_row"] * block_h - top, blocks["block_col"] * block_w - left
+        n_rows, n_cols = int((rows + blocks["h"]).max()), int((cols + blocks["w"]).max())
+        pre = np.zeros((n_rows + 1, n_cols + 1))
+        for r, c, h, w, data in zip(rows, cols, blocks["h"], blocks["w"], blocks["data"]):
+            pre[r + 1 : r + h + 1, c + 1 : c + w + 1] = np.reshape(data, (h, w))
+        pre = pre.cumsum(0).cumsum(1)
+        r0 = np.clip(windows["w_row0"] - top, 0, n_rows).to_numpy()
+        r1 = np.clip(windows["w_row1"] + 1 - top, 0, n_rows).to_numpy()
+        c0 = np.clip(windows["w_col0"] - left, 0, n_cols).to_numpy()
+        c1 = np.clip(windows["w_col1"] + 1 - left, 0, n_cols).to_numpy()
         s = pre[r1, c1] - pre[r0, c1] - pre[r1, c0] + pre[r0, c0]
         return pd.DataFrame({"scene_id": windows["scene_id"].to_numpy(), "region_id": windows["region_id"].to_numpy(), "s": s})
 
     return run
 
 
-def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: int) -> DataFrame:
+def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: int, max_side: int | None = None) -> DataFrame:
     """Mean score inside each window: (scene_id, region_id, window_mean).
 
-    A window visits only the blocks on its own rim; whole blocks inside it come from a prefix
-    table over block totals, four lookups per window. So neither large nor overlapping windows
-    are expanded to their pixels, and pixels never become rows.
+    A window visits only the zones on its own rim; whole zones inside it come from a prefix
+    table over zone totals, four lookups per window. So neither large nor overlapping windows
+    are expanded to their pixels, and pixels never become rows. `max_side` bounds the scene
+    sides; when no scene is three zones wide the inner part is left out of the plan.
     """
+    per_row, per_col = max(1, ZONE_SIDE // block_h), max(1, ZONE_SIDE // block_w)
+    zone_h, zone_w = per_row * block_h, per_col * block_w
     scene = scores.schema["scene_id"].dataType.simpleString()
     w = windows.where("w_row1 >= w_row0 and w_col1 >= w_col0").selectExpr(
-        "*", f"w_row0 div {block_h} as _r0", f"w_row1 div {block_h} as _r1", f"w_col0 div {block_w} as _c0", f"w_col1 div {block_w} as _c1"
+        "*", f"w_row0 div {zone_h} as _r0", f"w_row1 div {zone_h} as _r1", f"w_col0 div {zone_w} as _c0", f"w_col1 div {zone_w} as _c1"
     )
-    # Rim: first and last block line in full, the first and last block of the lines between.
+    # Rim: first and last zone line in full, the first and last zone of the lines between.
     cols = "if(r in (_r0, _r1), sequence(_c0, _c1), array_distinct(array(_c0, _c1)))"
     rim = w.selectExpr("*", "explode(sequence(_r0, _r1)) as r").selectExpr(
-        "scene_id", "region_id", "w_row0", "w_row1", "w_col0", "w_col1", "int(r) as _br", f"explode({cols}) as _bc"
-    ).withColumn("_bc", expr("int(_bc)"))
-    blocks = scores.selectExpr("scene_id as _bs", "block_row", "block_col", "h", "w", "data")
+        "scene_id", "region_id", "w_row0", "w_row1", "w_col0", "w_col1", "r as _zr", f"explode({cols}) as _zc"
+    )
+    zones = scores.selectExpr(
+        "scene_id as _bs", f"bigint(block_row div {per_row}) as _br", f"bigint(block_col div {per_col}) as _bc", "block_row", "block_col", "h", "w", "data"
+    )
     partial = (
-        rim.groupBy("scene_id", "_br", "_bc")
-        .cogroup(blocks.groupBy("_bs", "block_row", "block_col"))
-        .applyInPandas(_block_sums(block_h, block_w), f"scene_id {scene}, region_id bigint, s double")
+        rim.groupBy("scene_id", "_zr", "_zc")
+        .cogroup(zones.groupBy("_bs", "_br", "_bc"))
+        .applyInPandas(_zone_sums(block_h, block_w, zone_h, zone_w), f"scene_id {scene}, region_id bigint, s double")
+    )
+    if max_side is not None and max_side <= 2 * min(zone_h, zone_w):
+        return _window_means(w, partial)
+    totals = zones.groupBy("_bs", "_br", "_bc").agg(expr("sum(aggregate(data, 0D, (s, x) -> s + x)) as v")).selectExpr(
+        "_bs as scene_id", "int(_br) as row", "int(_bc) as col", "v"
     )
-    totals = scores.selectExpr("scene_id", "block_row as row", "block_col as col", "aggregate(data, 0D, (s, x) -> s + x) as v")
     over = "over (partition by scene_id, {} order by {} rows unbounded preceding)"
     prefix = totals.selectExpr("scene_id", "row", "col", f"sum(v) {over.format('row', 'col')} as _r").selectExpr(
         "scene_id", "row", "col", f"sum(_r) {over.format('col', 'row')} as prefix"
@@ -294,7 +310,11 @@ def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: in
         .join(prefix, ["scene_id", "row", "col"])
         .selectExpr("scene_id", "region_id", "_sign * prefix as s")
     )
-    sums = partial.unionByName(inner).groupBy("scene_id", "region_id").agg(expr("sum(s) as s"))
+    return _window_means(w, partial.unionByName(inner))
+
+
+def _window_means(w: DataFrame, parts: DataFrame) -> DataFrame:
+    sums = parts.groupBy("scene_id", "region_id").agg(expr("sum(s) as s"))
     return w.join(sums, ["scene_id", "region_id"]).selectExpr(
         "scene_id", "region_id", "s / ((w_row1 - w_row0 + 1) * (w_col1 - w_col0 + 1)) as window_mean"
     )
@@ -325,13 +345,15 @@ def region_attributes(regions: DataFrame, meta: DataFrame, compat_area: bool = F
     )
 
 
-def region_confidence(regions: DataFrame, scores: DataFrame, meta: DataFrame, block_h: int, block_w: int) -> DataFrame:
+def region_confidence(
+    regions: DataFrame, scores: DataFrame, meta: DataFrame, block_h: int, block_w: int, max_side: int | None = None
+) -> DataFrame:
     """Mean confidence per region: window mean with a geotransform, else the scene mean.
 
     `scores` is the score map in block layout.
     """
     geo = meta.where("a is not null and epsg is not null")
-    zonal = zonal_means(confidence_windows(regions, geo), scores, block_h, block_w)
+    zonal = zonal_means(confidence_windows(regions, geo), scores, block_h, block_w, max_side)
     scene = scores.groupBy("scene_id").agg(
         expr("sum(aggregate(data, 0D, (s, x) -> s + x)) / sum(size(data)) as scene_mean")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import col, expr
 
 from changegrid.operators.raster import block_pixels, stretch_blocks
+from changegrid.plans.lineage import cut
 
 
 def diff_features(raster: DataFrame) -> DataFrame:
@@ -42,8 +43,12 @@ def band_difference(blocks: DataFrame, n_bands: int) -> DataFrame:
 
 
 def score_blocks(blocks: DataFrame, n_bands: int) -> DataFrame:
-    """Default scorer: band difference stretched to [0,1] per scene, as blocks."""
-    return stretch_blocks(band_difference(blocks, n_bands), ["scene_id"])
+    """Default scorer: band difference stretched to [0,1] per scene, as blocks.
+
+    The raw bands are read once. Their difference, one value per pixel, is stored; the
+    percentile passes and every later reader of the score start from there.
+    """
+    return stretch_blocks(cut(band_difference(blocks, n_bands)), ["scene_id"])
 
 
 def change_score(blocks: DataFrame, n_bands: int, block_h: int, block_w: int) -> DataFrame:

@@ -35,12 +35,13 @@ def detections_from_scores(
 ) -> DataFrame:
     """Threshold -> regions -> attributes over a score map in block layout.
 
-    Only changed pixels ever become rows. `scores` is read twice, so it should be stored.
+    Only changed pixels ever become rows, and the region table, which three steps read, is
+    stored before it is used.
     """
     changed = score_pixels(scores, block_h, block_w).where(X.threshold("p", thr, inclusive)).select("scene_id", "row", "col")
-    regions = summarize_regions(label_components(changed, max_side, connectivity, block), min_area_px)
+    regions = cut(summarize_regions(label_components(changed, max_side, connectivity, block), min_area_px))
     attrs = region_attributes(regions, meta, compat_area)
-    conf = region_confidence(regions, scores, meta, block_h, block_w)
+    conf = region_confidence(regions, scores, meta, block_h, block_w, max_side)
     return attrs.join(conf, ["scene_id", "region_id"], "left").selectExpr(
         f"{DETECTION_ID} as detection_id", *DETECTION_COLUMNS[1:]
     )
@@ -55,9 +56,5 @@ def detect_changes(
     max_side: int,
     **options,
 ) -> DataFrame:
-    """Score -> threshold -> regions -> attributes over every scene pair in `blocks`.
-
-    The raw bands are read once: the score, one value per pixel, is written to the shared
-    folder and the later steps read it from there.
-    """
-    return detections_from_scores(cut(score_blocks(blocks, n_bands)), meta, block_h, block_w, max_side, **options)
+    """Score -> threshold -> regions -> attributes over every scene pair in `blocks`."""
+    return detections_from_scores(score_blocks(blocks, n_bands), meta, block_h, block_w, max_side, **options)
