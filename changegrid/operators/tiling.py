@@ -252,7 +252,7 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
         .where("h > 0 and w > 0")
         .selectExpr(
             "scene_id", "block_row", "block_col", "h", "w",
-            f"flatten(transform(sequence(0, h - 1), r -> slice(data, r * {stride} + 1, w))) as data",
+            f"flatten(transform(sequence(0, greatest(h, 1) - 1), r -> slice(data, r * {stride} + 1, greatest(w, 0)))) as data",
         )
     )
 
