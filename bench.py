@@ -39,6 +39,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
         return out
 
+    timed("build_raster", lambda: catalog.raster_blocks(spark, sf))
     timed("build_scores", lambda: catalog.score_map(spark, sf))
     timed("build_labels", lambda: catalog.labelled(spark, sf))
     timed("build_detections", lambda: catalog.detection_table(spark, sf))

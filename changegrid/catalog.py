@@ -23,7 +23,7 @@ from changegrid.sources import rasters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Scene and tile sizes of the derived rasters.
-BLOCK = dict(n_bands=fx.BANDS, block_h=1, block_w=fx.COLS)
+BLOCK = dict(n_bands=fx.BANDS, block_h=fx.BLOCK_H, block_w=fx.COLS)
 MAX_SIDE = fx.ROWS
 TILE, OVERLAP = 16, 4
 STRIDE = TILE - OVERLAP
@@ -49,12 +49,21 @@ def scene_meta(spark, sf):
     return _stored(spark, sf, "meta", fx.scene_meta)
 
 
+def raster_blocks(spark, sf):
+    """The image archive: the derived raster as a stored block table."""
+    return _stored(spark, sf, "raster", fx.raster_blocks)
+
+
+def raster(spark, sf):
+    return ras.block_pixels(raster_blocks(spark, sf), fx.BLOCK_H, fx.COLS)
+
+
 def score_map(spark, sf):
-    return _stored(spark, sf, "scores", lambda s, d: scoring.score_blocks(fx.raster_blocks(s, d), fx.BANDS))
+    return _stored(spark, sf, "scores", lambda s, d: scoring.score_blocks(raster_blocks(s, d), fx.BANDS))
 
 
 def prob(spark, sf):
-    return scoring.score_pixels(score_map(spark, sf), 1, fx.COLS)
+    return scoring.score_pixels(score_map(spark, sf), fx.BLOCK_H, fx.COLS)
 
 
 def mask(spark, sf):
@@ -76,7 +85,7 @@ def detect(spark, sf):
 
 def unit_raster(spark, sf):
     """Raster values brought near [0,1]."""
-    return fx.raster(spark, sf).withColumn("value", expr("value / 500D"))
+    return raster(spark, sf).withColumn("value", expr("value / 500D"))
 
 
 def mixed_meta(spark, sf):
@@ -106,7 +115,7 @@ DETECTION_DOUBLES = (
 
 @query
 def raster_scan(spark, sf):
-    return rasters.raster_scan(fx.raster_blocks(spark, sf), scene_meta(spark, sf)).selectExpr(
+    return rasters.raster_scan(raster_blocks(spark, sf), scene_meta(spark, sf)).selectExpr(
         "scene_id", "t", "band", "block_row", "width", "height", "epsg", "resolution_m", "has_geo",
         f"{r6('aggregate(data, 0D, (s, x) -> s + x)')} as total",
     )
@@ -114,7 +123,7 @@ def raster_scan(spark, sf):
 
 @query
 def rgb_bands(spark, sf):
-    return _round(ras.rgb_bands(fx.raster(spark, sf), mixed_meta(spark, sf)), "value")
+    return _round(ras.rgb_bands(raster(spark, sf), mixed_meta(spark, sf)), "value")
 
 
 @query
@@ -206,13 +215,13 @@ def rgb_composite(spark, sf):
 
 @query
 def percentile_stretch(spark, sf):
-    out = ras.stretch_blocks(fx.raster_blocks(spark, sf), ["scene_id", "t", "band"])
-    return _round(ras.block_pixels(out, 1, fx.COLS), "value")
+    out = ras.stretch_blocks(raster_blocks(spark, sf), ["scene_id", "t", "band"])
+    return _round(ras.block_pixels(out, fx.BLOCK_H, fx.COLS), "value")
 
 
 @query
 def percentile_stretch_255(spark, sf):
-    out = ras.stretch(fx.raster(spark, sf), ["scene_id", "t", "band"], scale=255.0, floor_max=1.0)
+    out = ras.stretch(raster(spark, sf), ["scene_id", "t", "band"], scale=255.0, floor_max=1.0)
     return out.selectExpr("scene_id", "t", "band", "row", "col", "int(floor(stretched)) as byte")
 
 
@@ -231,7 +240,7 @@ def denormalize_bands(spark, sf):
 
 @query
 def label_binarize(spark, sf):
-    return fx.raster(spark, sf).selectExpr(
+    return raster(spark, sf).selectExpr(
         "scene_id", "t", "band", "row", "col", f"{X.binarize_label('value')} as label", f"{X.binarize_label('value', on=255)} as byte"
     )
 
@@ -270,7 +279,7 @@ def crs_classify(spark, sf):
 
 @query
 def rgb_to_gray(spark, sf):
-    return _round(ras.to_gray(fx.raster(spark, sf)), "gray")
+    return _round(ras.to_gray(raster(spark, sf)), "gray")
 
 
 @query
@@ -295,7 +304,7 @@ def detection_result(spark, sf):
 
 @query
 def diff_concat(spark, sf):
-    return _round(scoring.diff_features(fx.raster(spark, sf)), "value_a", "value_b", "diff")
+    return _round(scoring.diff_features(raster(spark, sf)), "value_a", "value_b", "diff")
 
 
 # --- filters --------------------------------------------------------------------------------
@@ -326,7 +335,7 @@ def bbox_query_exact(spark, sf):
 
 @query
 def valid_pixels(spark, sf):
-    return _round(ras.valid_pixels(fx.raster(spark, sf), mixed_meta(spark, sf)), "value")
+    return _round(ras.valid_pixels(raster(spark, sf), mixed_meta(spark, sf)), "value")
 
 
 @query
@@ -371,7 +380,7 @@ def incomplete_triplets(spark, sf):
 
 @query
 def tile_pairs(spark, sf):
-    tiles = tiling.split_blocks(fx.raster_blocks(spark, sf), scene_meta(spark, sf), 1, fx.COLS, TILE, OVERLAP)
+    tiles = tiling.split_blocks(raster_blocks(spark, sf), scene_meta(spark, sf), fx.BLOCK_H, fx.COLS, TILE, OVERLAP)
     total = "aggregate(zip_with(data_a, data_b, (a, b) -> abs(a - b)), 0D, (s, x) -> s + x)"
     return tiling.tile_pairs(tiles).selectExpr("scene_id", "band", "tile_row", "tile_col", f"{r6(total)} as total_diff")
 
@@ -392,7 +401,7 @@ def neighbour_edges(spark, sf):
 @query
 def zonal_mean(spark, sf):
     regions = reg.summarize_regions(labelled(spark, sf), MIN_AREA)
-    out = reg.region_confidence(regions, score_map(spark, sf), scene_meta(spark, sf), 1, fx.COLS)
+    out = reg.region_confidence(regions, score_map(spark, sf), scene_meta(spark, sf), fx.BLOCK_H, fx.COLS)
     return _round(out, "mean_confidence")
 
 
@@ -498,7 +507,7 @@ def status_counts(spark, sf):
 
 @query
 def crop_patches(spark, sf):
-    return _round(tiling.crop_patches(fx.raster(spark, sf), scene_meta(spark, sf), 7), "value")
+    return _round(tiling.crop_patches(raster(spark, sf), scene_meta(spark, sf), 7), "value")
 
 
 @query
@@ -582,18 +591,18 @@ def route_scenes(spark, sf):
 def pad_reflect(spark, sf):
     meta = scene_meta(spark, sf)
     sizes = meta.selectExpr("scene_id", "height", "width", f"{X.pad_amount('height', TILE, STRIDE)} as pad_h", f"{X.pad_amount('width', TILE, STRIDE)} as pad_w")
-    return _round(tiling.pad_pixels(fx.raster(spark, sf), sizes), "value")
+    return _round(tiling.pad_pixels(raster(spark, sf), sizes), "value")
 
 
 @query
 def pad_multiple(spark, sf):
     sizes = scene_meta(spark, sf).selectExpr("scene_id", "height", "width", f"{X.pad_to_multiple('height')} as pad_h", f"{X.pad_to_multiple('width')} as pad_w")
-    return _round(tiling.pad_pixels(fx.raster(spark, sf), sizes), "value")
+    return _round(tiling.pad_pixels(raster(spark, sf), sizes), "value")
 
 
 @query
 def split_tiles(spark, sf):
-    return _round(tiling.split_tiles(fx.raster(spark, sf), scene_meta(spark, sf), TILE, OVERLAP), "value")
+    return _round(tiling.split_tiles(raster(spark, sf), scene_meta(spark, sf), TILE, OVERLAP), "value")
 
 
 def score_raster(spark, sf):
@@ -627,12 +636,12 @@ def resize_bilinear(spark, sf):
 
 @query
 def explode_pixels(spark, sf):
-    return _round(ras.block_pixels(fx.raster_blocks(spark, sf), 1, fx.COLS), "value")
+    return _round(ras.block_pixels(raster_blocks(spark, sf), fx.BLOCK_H, fx.COLS), "value")
 
 
 @query
 def pack_blocks(spark, sf):
-    out = ras.pack_blocks(fx.raster(spark, sf), 16, 16)
+    out = ras.pack_blocks(raster(spark, sf), 16, 16)
     return out.selectExpr(
         "scene_id", "t", "band", "block_row", "block_col", "h", "w", "size(data) as n",
         f"{r6('aggregate(transform(data, (x, i) -> x * (i + 1)), 0D, (s, x) -> s + x)')} as checksum",
@@ -643,7 +652,7 @@ def pack_blocks(spark, sf):
 
 @query
 def change_score(spark, sf):
-    return _round(scoring.change_score(fx.raster_blocks(spark, sf), **BLOCK), "p")
+    return _round(scoring.change_score(raster_blocks(spark, sf), **BLOCK), "p")
 
 
 def _ratio_model():
@@ -658,14 +667,14 @@ def _ratio_model():
 
 @query
 def score_tiles(spark, sf):
-    tiles = tiling.split_blocks(fx.raster_blocks(spark, sf), scene_meta(spark, sf), 1, fx.COLS, TILE, OVERLAP)
+    tiles = tiling.split_blocks(raster_blocks(spark, sf), scene_meta(spark, sf), fx.BLOCK_H, fx.COLS, TILE, OVERLAP)
     scored = scoring.score_tiles(tiling.tile_pairs(tiles), _ratio_model, TILE * TILE)
     return scored.selectExpr("scene_id", "band", "tile_row", "tile_col", "round(aggregate(prob, 0D, (s, x) -> s + double(x)) / size(prob), 3) as mean_prob")
 
 
 @query
 def learned_scorer(spark, sf):
-    features = scoring.diff_features(fx.raster(spark, sf)).selectExpr("*", "int(diff > 60) as label")
+    features = scoring.diff_features(raster(spark, sf)).selectExpr("*", "int(diff > 60) as label")
     model = scoring.learned_scorer(features)
     return model.transform(features).selectExpr("scene_id", "band", "row", "col", "label", "int(prediction) as predicted")
 
@@ -747,14 +756,14 @@ def _registrations(spark, sf):
 
 @query
 def warp_bilinear(spark, sf):
-    r = fx.raster(spark, sf)
+    r = raster(spark, sf)
     out = rgs.warp_bilinear(r.where("t = 'A'"), r.where("t = 'B'"), _registrations(spark, sf), scene_meta(spark, sf))
     return _round(out, "value")
 
 
 @query
 def warp_blocks(spark, sf):
-    b = ras.pack_blocks(fx.raster(spark, sf), 16, 16)
+    b = ras.pack_blocks(raster(spark, sf), 16, 16)
     out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), _registrations(spark, sf), scene_meta(spark, sf), 16, 16)
     return _round(ras.block_pixels(out, 16, 16), "value")
 

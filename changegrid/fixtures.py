@@ -12,6 +12,7 @@ from pyspark.sql.functions import expr
 
 ROWS, COLS, BANDS = 50, 24, 5
 CELLS = 2 * BANDS * COLS
+BLOCK_H = 25
 
 # Event types in band order, and the first day of date B.
 BAND_EVENTS = "'click', 'error', 'purchase', 'signup', 'view'"
@@ -69,16 +70,21 @@ def raster(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def raster_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """D1 as `raster_block` rows of one line each: h=1, w=COLS."""
-    return raster_rows(spark, sf).selectExpr("scene_id", "row", "data", f"explode(sequence(0, {2 * BANDS - 1})) as part").selectExpr(
+    """D1 as `raster_block` rows of up to BLOCK_H lines: (scene_id, t, band, block_row, block_col, h, w, data)."""
+    packed = (
+        raster_rows(spark, sf)
+        .groupBy("scene_id", expr(f"row div {BLOCK_H} as b"))
+        .agg(expr("array_sort(collect_list(struct(row, data))) as lines"))
+    )
+    return packed.selectExpr("scene_id", "b", "lines", f"explode(sequence(0, {2 * BANDS - 1})) as part").selectExpr(
         "scene_id",
         f"if(part < {BANDS}, 'A', 'B') as t",
         f"int(part % {BANDS}) as band",
-        "row as block_row",
+        "int(b) as block_row",
         "0 as block_col",
-        "1 as h",
+        "size(lines) as h",
         f"{COLS} as w",
-        f"slice(data, part * {COLS} + 1, {COLS}) as data",
+        f"flatten(transform(lines, l -> slice(l.data, part * {COLS} + 1, {COLS}))) as data",
     )
 
 

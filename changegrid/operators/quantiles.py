@@ -43,8 +43,10 @@ def group_quantiles(
     keys = list(keys)
     flat = df.selectExpr(*keys, f"explode({value}) as {value}") if packed else df
     by = ", ".join(keys)
-    margin = 5.0 / accuracy
-    edges = [num(x) for p in probs for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    # Two brackets per rank, (margin, smallest group it is safe for): a margin must cover the
+    # sketch error and a few ranks. Groups too small for both keep all their values.
+    tiers = ((5.0 / accuracy, int(0.6 * accuracy)), (0.01, 300)) if accuracy >= 1000 else ((0.01, 300),)
+    edges = [num(x) for p in probs for m, _ in tiers for x in (max(0.0, p - m), min(1.0, p + m))]
     sketch = flat.groupBy(*keys).agg(
         *_exprs(
             f"count({value}) as _n",
@@ -53,13 +55,15 @@ def group_quantiles(
             f"percentile_approx({value}, array({', '.join(edges)}), {accuracy}) as _e",
         )
     )
-    # The sketch is used only where its error has room; small groups keep every value.
     marks = []
     for i, p in enumerate(probs):
-        small = f"_n <= {4 * accuracy}"
-        lo = f"if({small} or {p - margin} <= 0, _min, _e[{2 * i}])"
-        hi = f"if({small} or {p + margin} >= 1, _max, _e[{2 * i + 1}])"
-        marks.append(f"struct({i} as i, {num(p)} * (_n - 1) as pos, {lo} as lo, {hi} as hi)")
+        lo, hi = [], []
+        for k, (m, least) in enumerate(tiers):
+            at = 2 * (i * len(tiers) + k)
+            lo.append(f"when _n >= {least} then {'_min' if p - m <= 0 else f'_e[{at}]'}")
+            hi.append(f"when _n >= {least} then {'_max' if p + m >= 1 else f'_e[{at + 1}]'}")
+        bracket = f"case {' '.join(lo)} else _min end as lo, case {' '.join(hi)} else _max end as hi"
+        marks.append(f"struct({i} as i, {num(p)} * (_n - 1) as pos, {bracket})")
     sketch = cut(sketch.selectExpr(*keys, "_max", f"array({', '.join(marks)}) as _marks"))
 
     slim = df.where(f"{value} is not null").select(*dict.fromkeys([*keys, *spread, value]))
@@ -67,7 +71,8 @@ def group_quantiles(
     if packed:
         joined = joined.selectExpr(*keys, "_max", "_marks", f"explode({value}) as {value}").where(f"{value} is not null")
     counted = (
-        joined.selectExpr(*keys, "_max", f"{value} as _v", f"explode(filter(_marks, m -> {value} <= m.hi)) as _m")
+        joined.selectExpr(*keys, "_max", f"{value} as _v", "explode(_marks) as _m")
+        .where("_v <= _m.hi")
         .selectExpr(*keys, "_max", "_m.i as _i", "_m.pos as _pos", "if(_v >= _m.lo, _v, null) as _v")
         .groupBy(*keys, "_max", "_i", "_pos", "_v")
         .agg(*_exprs("count(1) as _c"))

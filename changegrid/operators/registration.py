@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import expr
 
@@ -153,10 +154,13 @@ def _hypotheses(trials: int):
             return pd.DataFrame({"pair_id": [pair], "hs": [[]]})
         rng = np.random.default_rng(zlib.crc32(str(pair).encode()))
         pick = np.argsort(rng.random((trials, len(pdf))), axis=1)[:, :4]
-        _, _, vt = np.linalg.svd(_equations(xb[pick], yb[pick], xa[pick], ya[pick]))
-        h = vt[:, -1, :]
-        h = h[np.abs(h[:, 8]) > 1e-12]
-        h = h / h[:, 8:9]
+        a = _equations(xb[pick], yb[pick], xa[pick], ya[pick])
+        left, right = a[..., :8], -a[..., 8]
+        size = np.maximum(np.abs(left).max(1, keepdims=True), 1e-12)
+        left = left / size
+        sound = np.abs(np.linalg.det(left)) > 1e-12  # collinear samples say nothing
+        h = np.linalg.solve(left[sound], right[sound][..., None])[..., 0] / size[sound][:, 0]
+        h = np.concatenate([h, np.ones((len(h), 1))], 1)
         h = h[np.isfinite(h).all(1)]
         return pd.DataFrame({"pair_id": [pair], "hs": [h.ravel().tolist()]})
 
@@ -182,17 +186,24 @@ def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = 300
     chunked = salted_join(matches.select(*cols), sizes.drop("n_matches"), ["pair_id"], ["match_id"]).selectExpr(
         *cols, "int(pmod(xxhash64(match_id), _n)) as _c"
     )
-    spread = hyps.join(sizes, "pair_id").selectExpr("pair_id", "hs", "explode(sequence(0, _n - 1)) as _c")
-
-    def votes(ms: pd.DataFrame, hs: pd.DataFrame) -> pd.DataFrame:
-        if ms.empty or hs.empty or len(hs["hs"].iloc[0]) == 0:
-            return pd.DataFrame(columns=["pair_id", "k", "h", "n"])
-        h = np.asarray(hs["hs"].iloc[0]).reshape(-1, 9)
-        px, py = _project(h, ms["x_b"].to_numpy(), ms["y_b"].to_numpy())
-        ok = np.hypot(px - ms["x_a"].to_numpy(), py - ms["y_a"].to_numpy()) < threshold
-        return pd.DataFrame({"pair_id": hs["pair_id"].iloc[0], "k": np.arange(len(h)), "h": list(h), "n": ok.sum(1)})
+    spread = hyps.join(sizes, "pair_id").selectExpr("pair_id as _bp", "hs", "explode(sequence(0, _n - 1)) as _bc")
+    key = pa.int32() if pair_type == "int" else pa.int64() if pair_type == "bigint" else pa.string()
+    vote_schema = pa.schema([("pair_id", key), ("k", pa.int32()), ("h", pa.list_(pa.float64())), ("n", pa.int64())])
+    sum_schema = pa.schema([("pair_id", key), ("s", pa.list_(pa.float64())), ("n", pa.int64())])
+
+    def votes(ms: pa.Table, hs: pa.Table) -> pa.Table:
+        h = np.empty((0, 9))
+        if ms.num_rows and hs.num_rows:
+            h = hs.column("hs").combine_chunks().flatten().to_numpy().reshape(-1, 9)
+        if not len(h):
+            return vote_schema.empty_table()
+        xb, yb, xa, ya = (ms.column(c).to_numpy() for c in cols[2:])
+        px, py = _project(h, xb, yb)
+        n = (np.hypot(px - xa, py - ya) < threshold).sum(1)
+        pairs = pa.concat_arrays([hs.column("_bp").combine_chunks()[:1]] * len(h))
+        return pa.Table.from_arrays([pairs, pa.array(np.arange(len(h)), pa.int32()), pa.array(list(h), pa.list_(pa.float64())), pa.array(n, pa.int64())], schema=vote_schema)
 
-    voted = chunked.groupBy("pair_id", "_c").cogroup(spread.groupBy("pair_id", "_c")).applyInPandas(
+    voted = chunked.groupBy("pair_id", "_c").cogroup(spread.groupBy("_bp", "_bc")).applyInArrow(
         votes, f"pair_id {pair_type}, k int, h array<double>, n bigint"
     )
     best = (
@@ -200,19 +211,21 @@ def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = 300
         .groupBy("pair_id").agg(expr("max_by(h, struct(n, -k)) as _h0"))
     )
 
-    def normal(ms: pd.DataFrame, hs: pd.DataFrame) -> pd.DataFrame:
-        if ms.empty or hs.empty:
-            return pd.DataFrame(columns=["pair_id", "s", "n"])
-        h = np.asarray(hs["_h0"].iloc[0])
-        xb, yb, xa, ya = (ms[c].to_numpy(float) for c in ("x_b", "y_b", "x_a", "y_a"))
+    def normal(ms: pa.Table, hs: pa.Table) -> pa.Table:
+        if not (ms.num_rows and hs.num_rows):
+            return sum_schema.empty_table()
+        h = hs.column("_h0").combine_chunks().flatten().to_numpy()[:9]
+        xb, yb, xa, ya = (ms.column(c).to_numpy() for c in cols[2:])
         px, py = _project(h, xb, yb)
         ok = np.hypot(px - xa, py - ya) < threshold
         # Coordinates are scaled by a fixed factor to keep the sums well conditioned.
         a = _equations(xb[ok] / _SCALE, yb[ok] / _SCALE, xa[ok] / _SCALE, ya[ok] / _SCALE)
-        return pd.DataFrame({"pair_id": [hs["pair_id"].iloc[0]], "s": [(a.T @ a).ravel()], "n": [int(ok.sum())]})
+        return pa.Table.from_arrays(
+            [hs.column("_bp").combine_chunks()[:1], pa.array([(a.T @ a).ravel()], pa.list_(pa.float64())), pa.array([int(ok.sum())], pa.int64())], schema=sum_schema
+        )
 
-    winners = best.join(sizes, "pair_id").selectExpr("pair_id", "_h0", "explode(sequence(0, _n - 1)) as _c")
-    sums = chunked.groupBy("pair_id", "_c").cogroup(winners.groupBy("pair_id", "_c")).applyInPandas(
+    winners = best.join(sizes, "pair_id").selectExpr("pair_id as _bp", "_h0", "explode(sequence(0, _n - 1)) as _bc")
+    sums = chunked.groupBy("pair_id", "_c").cogroup(winners.groupBy("_bp", "_bc")).applyInArrow(
         normal, f"pair_id {pair_type}, s array<double>, n bigint"
     )
     cells = ", ".join(f"sum(s[{i}])" for i in range(81))
@@ -326,7 +339,7 @@ def warp_blocks(
         "*", f"explode({span([u for u, _ in mapped], 'width', block_w)}) as _sc"
     )
     src = source.selectExpr("scene_id", "block_row as _sr", "block_col as _sc", "band", "h as _sh", "w as _sw", "data as _data")
-    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).groupBy(*keys, "band")
+    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).groupBy(*keys)
     types = source.schema["scene_id"].dataType.simpleString()
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -334,10 +347,11 @@ def warp_blocks(
         r_lo, c_lo = pdf["_sr"].min() * block_h, pdf["_sc"].min() * block_w
         r_hi = (pdf["_sr"] * block_h + pdf["_sh"]).max()
         c_hi = (pdf["_sc"] * block_w + pdf["_sw"]).max()
-        mosaic = np.zeros((r_hi - r_lo, c_hi - c_lo))
-        for p in pdf[["_sr", "_sc", "_sh", "_sw", "_data"]].to_numpy():
-            r, c = p[0] * block_h - r_lo, p[1] * block_w - c_lo
-            mosaic[r : r + p[2], c : c + p[3]] = np.asarray(p[4], float).reshape(p[2], p[3])
+        bands = sorted(pdf["band"].unique())
+        mosaic = np.zeros((len(bands), r_hi - r_lo, c_hi - c_lo))
+        for band, sr, sc, h, w, data in zip(pdf["band"], pdf["_sr"], pdf["_sc"], pdf["_sh"], pdf["_sw"], pdf["_data"]):
+            r, c = sr * block_h - r_lo, sc * block_w - c_lo
+            mosaic[bands.index(band), r : r + h, c : c + w] = np.reshape(data, (h, w))
         y, x = np.mgrid[0 : one["h"], 0 : one["w"]]
         y, x = y.ravel() + one["block_row"] * block_h, x.ravel() + one["block_col"] * block_w
         sx, sy = _project(np.asarray(one["_g"], float), x, y)
@@ -346,10 +360,11 @@ def warp_blocks(
         fx, fy = sx - c0, sy - r0
         c1, r1 = np.minimum(c0 + 1, one["width"] - 1) - c_lo, np.minimum(r0 + 1, one["height"] - 1) - r_lo
         c0, r0 = c0 - c_lo, r0 - r_lo
-        out = (mosaic[r0, c0] * (1 - fx) + mosaic[r0, c1] * fx) * (1 - fy) + (mosaic[r1, c0] * (1 - fx) + mosaic[r1, c1] * fx) * fy
-        head = pdf.iloc[:1][[*keys, "band", "h", "w"]].copy()
-        head["data"] = [out]
-        return head
+        upper = mosaic[:, r0, c0] * (1 - fx) + mosaic[:, r0, c1] * fx
+        lower = mosaic[:, r1, c0] * (1 - fx) + mosaic[:, r1, c1] * fx
+        return pd.DataFrame(
+            {**{k: one[k] for k in keys}, "band": bands, "h": one["h"], "w": one["w"], "data": list(upper * (1 - fy) + lower * fy)}
+        )
 
     return supply.applyInPandas(
         resample, f"scene_id {types}, block_row int, block_col int, band int, h int, w int, data array<double>"

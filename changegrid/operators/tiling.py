@@ -187,22 +187,32 @@ def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int,
                 across = _axis_pieces(b.block_col * block_w, b.w, b.width, b.padded_w, tile, stride)
                 for tr, ii, si in down:
                     for tc, jj, sj in across:
-                        rows.append((b.scene_id, b.t, b.band, tr, tc, ii.tolist(), jj.tolist(), img[np.ix_(si, sj)].ravel().tolist()))
+                        rows.append((b.scene_id, b.t, b.band, tr, tc, ii, jj, img[np.ix_(si, sj)].ravel()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros((tile, tile))
-        for p in pdf.itertuples(index=False):
-            out[np.ix_(p.ii, p.jj)] = np.asarray(p.data).reshape(len(p.ii), len(p.jj))
-        head = pdf.iloc[:1][["scene_id", "t", "band", "tile_row", "tile_col"]].copy()
-        head["data"] = [out.ravel().tolist()]
-        return head
+        """All dates and bands of one tile; a few pieces each."""
+        tiles: dict[tuple, np.ndarray] = {}
+        for t, band, ii, jj, data in zip(pdf["t"], pdf["band"], pdf["ii"], pdf["jj"], pdf["data"]):
+            out = tiles.setdefault((t, band), np.zeros((tile, tile)))
+            out[np.ix_(ii, jj)] = np.reshape(data, (len(ii), len(jj)))
+        one = pdf.iloc[0]
+        return pd.DataFrame(
+            {
+                "scene_id": one["scene_id"],
+                "t": [k[0] for k in tiles],
+                "band": [k[1] for k in tiles],
+                "tile_row": one["tile_row"],
+                "tile_col": one["tile_col"],
+                "data": [v.ravel() for v in tiles.values()],
+            }
+        )
 
     j = salted_join(blocks, sizes, ["scene_id"], ["t", "band", "block_row", "block_col"]).selectExpr(
         "scene_id", "t", "band", "block_row", "block_col", "h", "w", "data", "height", "width", "_th as padded_h", "_tw as padded_w"
     )
     pieces = j.mapInPandas(cut_pieces, PIECE_SCHEMA)
-    return pieces.groupBy("scene_id", "t", "band", "tile_row", "tile_col").applyInPandas(
+    return pieces.groupBy("scene_id", "tile_row", "tile_col").applyInPandas(
         assemble, "scene_id int, t string, band int, tile_row int, tile_col int, data array<double>"
     )
 
@@ -226,7 +236,7 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
                 for dr, (r0, r1) in spans.items():
                     for dc, (c0, c1) in spans.items():
                         if r1 > r0 and c1 > c0:
-                            rows.append((b.scene_id, b.tile_row + dr, b.tile_col + dc, dr, dc, img[r0:r1, c0:c1].ravel().tolist()))
+                            rows.append((b.scene_id, b.tile_row + dr, b.tile_col + dc, dr, dc, img[r0:r1, c0:c1].ravel()))
             yield pd.DataFrame(rows, columns=["scene_id", "block_row", "block_col", "down", "across", "data"])
 
     def blend(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +248,7 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
             weight[: r1 - r0, : c1 - c0] += k
         out = np.clip(total / np.where(weight > 1e-9, weight, 1.0), 0.0, 1.0)
         head = pdf.iloc[:1][["scene_id", "block_row", "block_col"]].copy()
-        head["data"] = [out.ravel().tolist()]
+        head["data"] = [out.ravel()]
         return head
 
     pieces = tiles.selectExpr("scene_id", "tile_row", "tile_col", f"{data} as data").mapInPandas(cut_pieces, schema)

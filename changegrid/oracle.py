@@ -114,7 +114,7 @@ DET_COLS = "detection_id, scene_id, region_id, pixel_count, area_m2, centroid_x,
 
 # --- sources --------------------------------------------------------------------------------
 add("raster_scan", RASTER, """
-SELECT r.scene_id, r.t, r.band, r.row AS block_row, m.width, m.height, m.epsg, m.a AS resolution_m, TRUE AS has_geo, round(sum(value), 6) + 0.0 AS total
+SELECT r.scene_id, r.t, r.band, r.row // 25 AS block_row, m.width, m.height, m.epsg, m.a AS resolution_m, TRUE AS has_geo, round(sum(value), 6) + 0.0 AS total
 FROM raster r JOIN meta m USING (scene_id) GROUP BY ALL""")
 MIXED = """, mixed AS (SELECT scene_id, CASE WHEN scene_id % 2 = 1 THEN 1 ELSE 5 END AS band_count, CASE WHEN scene_id % 2 = 1 THEN 0.0 END AS nodata FROM meta)"""
 add("rgb_bands", RASTER + MIXED, """

@@ -140,7 +140,7 @@ def _detector(spark, sf):
 
     def detect(batch):
         wanted = batch.select("scene_id").distinct()
-        return detect_changes(blocks.join(wanted, "scene_id"), meta, 5, 1, 24, max_side=50, min_area_px=4)
+        return detect_changes(blocks.join(wanted, "scene_id"), meta, 5, fx.BLOCK_H, fx.COLS, max_side=50, min_area_px=4)
 
     return detect
 
