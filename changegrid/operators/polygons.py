@@ -16,6 +16,7 @@ from pyspark.sql.functions import expr, pandas_udf
 from changegrid.functions import geometry as G
 from changegrid.operators.regions import EAST, NORTH, SOUTH, WEST
 from changegrid.plans.joins import salted_join
+from changegrid.plans.lineage import cut
 
 # Unit edges of a pixel, walked with the pixel on the right: direction 0=E, 1=S, 2=W, 3=N.
 _EDGES = ((NORTH, 0, 0, 0), (EAST, 1, 0, 1), (SOUTH, 1, 1, 2), (WEST, 0, 1, 3))
@@ -173,6 +174,7 @@ def outline_rings(labelled: DataFrame, block: int = 1024) -> DataFrame:
         .groupBy("scene_id", "_br", "_bc")
         .applyInPandas(_trace_block(block), schema)
     )
+    paths = cut(paths)  # corner lists: small, and read twice
     joined = paths.where("not closed").groupBy("scene_id", "region_id").applyInPandas(_join_paths, schema)
     rings = paths.where("closed").unionByName(joined)
     return rings.select("scene_id", "region_id", _simple_rings("xs", "ys").alias("_rs")).selectExpr(
@@ -193,7 +195,9 @@ def polygonize(labelled: DataFrame, meta: DataFrame | None = None, block: int =
         expr("array_sort(collect_list(if(_a < 0, struct(_a as a, ring), null))) as _holes"),
     ).where(f"area_px >= {min_area_px}")
     # Exteriors are sorted by area: a hole belongs to the smallest exterior around it.
-    owner = f"array_position(transform(_outer, o -> {G.contains('o.ring', *G.inner_point('h.ring'))}), true)"
+    # With one exterior, as every 4-connected region has, there is nothing to look for.
+    search = f"array_position(transform(_outer, o -> {G.contains('o.ring', *G.inner_point('h.ring'))}), true)"
+    owner = f"if(size(_outer) = 1, 1, {search})"
     shapes = shapes.selectExpr("*", f"transform(_holes, h -> struct({owner} as o, h.ring as ring)) as _h").selectExpr(
         "scene_id", "region_id", "area_px",
         "transform(_outer, (o, i) -> concat(array(o.ring), transform(filter(_h, h -> h.o = i + 1), h -> h.ring))) as polygons",

@@ -529,3 +529,57 @@ add("blur3", PX, blurred((1, 2, 1)))
 add("blur5", PX, blurred((1, 4, 6, 4, 1)))
 add("manifest_dedup", "", """
 SELECT event_id // 4 AS pair_id, CAST(arg_min(user_id // 50, (ts, event_id)) AS INT) AS scene_id, min(ts) AS submitted_at, count(*) AS n_rows FROM events GROUP BY 1""")
+
+
+def draw_of(op: str, *extra: str) -> str:
+    parts = ", ".join(["patch_id", "'1'", f"'{op}'", *extra])
+    return f"(('0x' || substr(sha256(concat_ws(':', {parts})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+PIXEL = ("'A'", "0", "row", "col")
+NOISE = f"sqrt(10 + {draw_of('noise_s', PIXEL[0])} * 40) * sqrt(-2 * ln(1 - {draw_of('noise_u', *PIXEL)})) * cos(2 * pi() * {draw_of('noise_v', *PIXEL)})"
+add("gauss_noise", PX, f"""
+SELECT patch_id, 'A' AS t, 0 AS band, row, col,
+  {r6(f"CASE WHEN {draw_of('noise', PIXEL[0])} < 0.3 THEN least(greatest(abs(value) * 255 + {NOISE}, 0), 255) ELSE abs(value) * 255 END")} AS value FROM px""")
+add("shift_scale_rotate", PX + f""",
+par AS (
+  SELECT DISTINCT patch_id, {draw_of('ssr')} < 0.3 AS on_, radians(({draw_of('ssr_a')} * 2 - 1) * 15) AS th, 1 + ({draw_of('ssr_s')} * 2 - 1) * 0.1 AS sc,
+    ({draw_of('ssr_x')} * 2 - 1) * 0.0625 * 8 AS dx, ({draw_of('ssr_y')} * 2 - 1) * 0.0625 * 8 AS dy FROM px
+),
+warped AS (
+  SELECT patch_id, row, col,
+    CASE WHEN on_ THEN (cos(th) * (col - 3.5 - dx) - sin(th) * (row - 3.5 - dy)) / sc + 3.5 ELSE col END::DOUBLE AS x,
+    CASE WHEN on_ THEN (sin(th) * (col - 3.5 - dx) + cos(th) * (row - 3.5 - dy)) / sc + 3.5 ELSE row END::DOUBLE AS y
+  FROM px JOIN par USING (patch_id)
+)""", f"""
+SELECT a.patch_id, a.row, a.col, {r6('coalesce(sum(greatest(0, 1 - abs(x - s.col)) * greatest(0, 1 - abs(y - s.row)) * s.value), 0)')} AS value
+FROM warped a LEFT JOIN px s ON s.patch_id = a.patch_id AND abs(x - s.col) < 1 AND abs(y - s.row) < 1 GROUP BY a.patch_id, a.row, a.col""")
+
+
+def jittered() -> tuple[str, str]:
+    f = lambda op, r: f"(1 + ({draw_of(op, PIXEL[0])} * 2 - 1) * {r})"
+    clip = lambda x: f"least(greatest({x}, 0), 1)"
+    luma = "(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE)"
+    step = lambda name, src, expr, keep="": f"{name} AS (SELECT patch_id, row, col, on_{keep}, " + ", ".join(
+        f"CASE WHEN on_ THEN {clip(expr.format(c=c))} ELSE {c} END AS {c}" for c in "rgb"
+    ) + f" FROM {src})"
+    ctes = PX + f""",
+c0 AS (
+  SELECT patch_id, row, col, {draw_of('jitter', PIXEL[0])} < 0.5 AS on_, {clip('abs(value)')} AS r, {clip('abs(value) / 2')} AS g, {clip('1 - abs(value)')} AS b FROM px
+),
+{step('c1', 'c0', '{c} * ' + f('jit_b', 0.2))},
+c1m AS (SELECT *, avg({luma}) OVER (PARTITION BY patch_id) AS m FROM c1),
+{step('c2', 'c1m', 'm + ({c} - m) * ' + f('jit_c', 0.2))},
+c2l AS (SELECT *, {luma} AS l FROM c2),
+{step('c3', 'c2l', 'l + ({c} - l) * ' + f('jit_s', 0.2))},
+c4 AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS ch FROM c3),
+c5 AS (
+  SELECT *, CASE WHEN ch = 0 THEN 0 WHEN v = r THEN ((g - b) / ch + 6) % 6 WHEN v = g THEN (b - r) / ch + 2 ELSE (r - g) / ch + 4 END AS h FROM c4
+),
+c6 AS (SELECT *, ((h / 6 + ({draw_of('jit_h', PIXEL[0])} * 2 - 1) * 0.1 + 1) % 1) * 6 AS h2 FROM c5)"""
+    ch = lambda n: f"v - ch * greatest(0, least(({n} + h2) % 6, 4 - ({n} + h2) % 6, 1))"
+    body = "SELECT patch_id, 'A' AS t, row, col, " + ", ".join(f"{r6(f'CASE WHEN on_ THEN {ch(n)} ELSE {c} END')} AS {c}" for c, n in zip("rgb", (5, 3, 1))) + " FROM c6"
+    return ctes, body
+
+
+add("color_jitter", *jittered())
