@@ -35,10 +35,14 @@ DEFAULT_EPSG = 4326
 BUCKETS = 64
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    """All stored detections; an absent or empty store reads as an empty frame with the schema."""
+def read_detections(spark: SparkSession, path: str, merge_schema: bool = True) -> DataFrame:
+    """All stored detections; an absent or empty store reads as an empty frame with the schema.
+
+    `merge_schema` shows columns that only some inserts brought; large stores with one schema
+    switch it off and skip reading every footer.
+    """
     try:
-        df = spark.read.option("mergeSchema", "true").parquet(path)
+        df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return spark.createDataFrame([], SCHEMA)
@@ -67,8 +71,9 @@ def merge(existing: DataFrame, rows: DataFrame, dedup: bool = False) -> DataFram
 def insert(rows: DataFrame, path: str, dedup: bool = False, default_epsg: int = DEFAULT_EPSG) -> None:
     """Append to the table. Old files are not rewritten; extra columns join the schema on read.
 
-    Rows are laid out by scene bucket and sorted by box, so id and box filters skip files and
-    row groups. The bucket hashes scene and region, so one busy scene fills many files.
+    Rows are laid out by bucket and sorted by box, so box filters skip row groups; ids carry
+    Bloom filters, so id lookups do too. The bucket hashes scene and kilometre cell, so one busy
+    scene fills many files, and the rebalance lets adaptive execution size them.
     """
     rows = complete(rows, default_epsg)
     if dedup:
@@ -76,8 +81,13 @@ def insert(rows: DataFrame, path: str, dedup: bool = False, default_epsg: int =
         rows = rows.join(stored, "detection_id", "left_anti").dropDuplicates(["detection_id"])
     (
         rows.withColumn("bucket", expr(f"int(pmod(xxhash64(scene_id, floor(bbox_minx / 1000), floor(bbox_miny / 1000)), {BUCKETS}))"))
+        .hint("rebalance", "bucket")
         .sortWithinPartitions("bucket", "bbox_minx", "bbox_miny")
-        .write.mode("append").partitionBy("bucket").parquet(path)
+        .write.mode("append")
+        .option("parquet.bloom.filter.enabled#detection_id", "true")
+        .option("parquet.bloom.filter.expected.ndv#detection_id", "1000000")
+        .partitionBy("bucket")
+        .parquet(path)
     )
 
 

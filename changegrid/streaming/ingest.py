@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import expr, lit
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from changegrid.operators.detections import stats
 from changegrid.sources.detections import complete
@@ -54,7 +55,11 @@ def run_detection(
     def process(batch: DataFrame, batch_id: int) -> None:
         part = f"batch_id={batch_id}"
         try:
-            complete(detect(batch)).write.mode("overwrite").parquet(f"{out}/detections/{part}")
+            rows = complete(detect(batch))
+            if batch_id > 0:  # a scene that comes again adds only what is new
+                earlier = _earlier_ids(batch.sparkSession, out, batch_id)
+                rows = rows if earlier is None else rows.join(earlier, "detection_id", "left_anti")
+            rows.write.mode("overwrite").parquet(f"{out}/detections/{part}")
             status, message = "complete", ""
         except Exception as e:  # the job log carries the reason, as a status query expects
             status, message = "failed", str(e)[:2000]
@@ -70,6 +75,16 @@ def run_detection(
     )
 
 
+def _earlier_ids(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
+    """Ids written by earlier batches; the batch's own folder is left out, so replays repeat."""
+    try:
+        return spark.read.parquet(f"{out}/detections").where(f"batch_id < {batch_id}").select("detection_id")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/log")
 

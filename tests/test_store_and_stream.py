@@ -154,7 +154,9 @@ def test_one_or_many_batches_give_the_same_detections(spark, sf, tmp_path):
         stream = ingest.read_manifest(spark, str(tmp_path / "in"), max_files=files)
         q = ingest.run_detection(stream, _detector(spark, sf), out, out + "-ckpt")
         q.awaitTermination()
-        got[files] = {r.detection_id for r in ingest.read_stream_detections(spark, out).select("detection_id").distinct().collect()}
+        ids = [r.detection_id for r in ingest.read_stream_detections(spark, out).select("detection_id").collect()]
+        assert len(ids) == len(set(ids))
+        got[files] = set(ids)
         assert det.status_counts(ingest.read_log(spark, out)).first().status == "complete"
     assert got[None] == got[1] and got[1]
 
