@@ -160,9 +160,19 @@ def prob_uint8(spark, sf):
 
 @query
 def geojson_features(spark, sf):
+    """Features as GeoJSON text, with a few fields read back from the text."""
     shapes = polygons.polygonize(labelled(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA)
     rows = detection_table(spark, sf).join(shapes.select("scene_id", "region_id", "polygons"), ["scene_id", "region_id"])
-    return det.geojson_features(rows)
+    ring = "from_json(get_json_object(feature, '$.geometry.coordinates'), 'array<array<array<double>>>')[0]"
+    return det.geojson_features(rows).selectExpr("detection_id", "feature", f"{ring} as ring").selectExpr(
+        "detection_id",
+        "get_json_object(feature, '$.type') as type",
+        "get_json_object(feature, '$.geometry.type') as geometry_type",
+        "double(get_json_object(feature, '$.properties.area_m2')) as area_m2",
+        "array_min(transform(ring, q -> q[0])) as minx",
+        "array_max(transform(ring, q -> q[1])) as maxy",
+        "ring[0] = ring[size(ring) - 1] as closed",
+    )
 
 
 @query
@@ -299,7 +309,16 @@ def confidence_band(spark, sf):
 
 @query
 def detection_result(spark, sf):
-    return det.result_json(detection_table(spark, sf))
+    """Nested result documents, with fields read back from the JSON text."""
+    return det.result_json(detection_table(spark, sf)).selectExpr(
+        "detection_id",
+        "double(get_json_object(document, '$.area_m2')) as area_m2",
+        f"{r6("double(get_json_object(document, '$.bbox.minx'))")} as minx",
+        f"{r6("double(get_json_object(document, '$.bbox.maxy'))")} as maxy",
+        f"{r6("double(get_json_object(document, '$.mean_confidence'))")} as mean_confidence",
+        "get_json_object(document, '$.timestamp_a') as timestamp_a",
+        "get_json_object(document, '$.created_at') as created_at",
+    )
 
 
 @query

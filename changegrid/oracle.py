@@ -237,6 +237,11 @@ SELECT detection_id, {COLOUR.format('k')} AS colour FROM (
 add("diff_concat", PROB, """
 SELECT scene_id, band, row, col, round(value_a, 6) + 0.0 AS value_a, round(value_b, 6) + 0.0 AS value_b, round(abs(value_a - value_b), 6) + 0.0 AS diff FROM ab""")
 
+add("geojson_features", DET, """
+SELECT detection_id, 'Feature' AS type, 'Polygon' AS geometry_type, area_m2, bbox_minx AS minx, bbox_maxy AS maxy, TRUE AS closed FROM det""")
+add("detection_result", DET, """
+SELECT detection_id, area_m2, bbox_minx AS minx, bbox_maxy AS maxy, mean_confidence, timestamp_a, '' AS created_at FROM det""")
+
 # --- filters --------------------------------------------------------------------------------
 add("area_filter", DET, f"SELECT {DET_COLS} FROM det WHERE area_m2 >= 700")
 add("detection_by_id", DET, f"SELECT {DET_COLS} FROM det WHERE detection_id = (SELECT min(detection_id) FROM det)")

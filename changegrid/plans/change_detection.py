@@ -31,6 +31,7 @@ def detections_from_scores(
     min_area_px: int = 25,
     connectivity: int = 4,
     block: int = 1024,
+    fan: int = 8,
     compat_area: bool = False,
 ) -> DataFrame:
     """Threshold -> regions -> attributes over a score map in block layout.
@@ -39,7 +40,7 @@ def detections_from_scores(
     stored before it is used.
     """
     changed = score_pixels(scores, block_h, block_w).where(X.threshold("p", thr, inclusive)).select("scene_id", "row", "col")
-    regions = cut(summarize_regions(label_components(changed, max_side, connectivity, block), min_area_px))
+    regions = cut(summarize_regions(label_components(changed, max_side, connectivity, block, fan), min_area_px))
     attrs = region_attributes(regions, meta, compat_area)
     conf = region_confidence(regions, scores, meta, block_h, block_w, max_side)
     return attrs.join(conf, ["scene_id", "region_id"], "left").selectExpr(

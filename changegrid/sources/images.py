@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import expr
 
@@ -32,6 +34,17 @@ def route_files(listing: DataFrame) -> DataFrame:
     )
 
 
+def _unpack_images(batches):
+    """Decoded bytes to one float array per band; a few images per Arrow batch."""
+    for pdf in batches:
+        rows = []
+        for path, h, w, n, data in zip(pdf["path"], pdf["h"], pdf["w"], pdf["n"], pdf["data"]):
+            px = np.frombuffer(data, np.uint8).reshape(h, w, n) / 255.0
+            for band in range(3):
+                rows.append((path, band, h, w, px[:, :, 2 - band if n >= 3 else 0].ravel()))
+        yield pd.DataFrame(rows, columns=["path", "band", "h", "w", "data"])
+
+
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """Plain images as blocks: (path, image_id, band, h, w, data in [0,1]), bands R, G, B.
 
@@ -40,14 +53,10 @@ def read_images(spark: SparkSession, root: str) -> DataFrame:
     """
     img = (
         spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
-        .selectExpr("image.origin as path", "image.height as h", "image.width as w", "image.nChannels as n", "image.data as bytes")
-        .selectExpr("path", "h", "w", "n", "hex(bytes) as hx")
-    )
-    at = "case when n >= 3 then 2 - band else 0 end"
-    value = f"conv(substring(hx, 2 * (i * n + {at}) + 1, 2), 16, 10) / 255D"
-    return img.selectExpr("*", "explode(sequence(0, 2)) as band").selectExpr(
-        "path", f"{STEM} as image_id", "band", "h", "w", f"transform(sequence(0, h * w - 1), i -> {value}) as data"
+        .selectExpr("image.origin as path", "image.height as h", "image.width as w", "image.nChannels as n", "image.data as data")
     )
+    bands = img.mapInPandas(_unpack_images, "path string, band int, h int, w int, data array<double>")
+    return bands.selectExpr("path", f"{STEM} as image_id", "band", "h", "w", "data")
 
 
 def image_ids(listing: DataFrame, side: str = "A") -> DataFrame:
