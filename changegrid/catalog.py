@@ -12,6 +12,7 @@ from pyspark.sql.functions import expr
 
 from changegrid import fixtures as fx
 from changegrid.functions import expr as X
+from changegrid.functions import geometry as geo
 from changegrid.functions.expr import r6
 from changegrid.operators import augment, dataset, detections as det, metrics, polygons, raster as ras
 from changegrid.operators import regions as reg, registration as rgs, runlog, scoring, tiling
@@ -705,6 +706,21 @@ def _detect_query(spark, sf):
 QUERIES["detect_changes"] = _detect_query
 
 
+@query
+def detect_changes_geometry(spark, sf):
+    """The end-to-end plan with outlines; area and extent are measured on the outlines."""
+    out = detect_changes(
+        fx.raster_blocks(spark, sf), scene_meta(spark, sf), max_side=MAX_SIDE, min_area_px=MIN_AREA, geometry=True, **BLOCK
+    )
+    area = f"aggregate(flatten(polygons), 0D, (t, r) -> t + {geo.signed_area('r')})"
+    return out.selectExpr(
+        "detection_id", "scene_id", "region_id", f"{r6(f'abs({area})')} as outline_area",
+        f"{r6('array_min(transform(flatten(flatten(polygons)), q -> q.x))')} as minx",
+        f"{r6('array_max(transform(flatten(flatten(polygons)), q -> q.y))')} as maxy",
+        "geometry_wkt like 'POLYGON %' as is_polygon",
+    )
+
+
 # --- regions and outlines -------------------------------------------------------------------
 
 @query

@@ -54,8 +54,9 @@ def wkt(polygons: str) -> str:
 
 
 def geojson_geometry(polygons: str) -> str:
-    """Geometry object as JSON text; coordinates nest as GeoJSON wants them."""
-    rings = "transform(p, r -> transform(r, q -> array(q.x, q.y)))"
+    """Geometry object as JSON text: exteriors counter-clockwise, holes clockwise."""
+    turned = f"if(({signed_area('r')} < 0) = (n = 0), reverse(r), r)"
+    rings = f"transform(p, (r, n) -> transform({turned}, q -> array(q.x, q.y)))"
     single = f"to_json(named_struct('type', 'Polygon', 'coordinates', transform({polygons}, p -> {rings})[0]))"
     multi = f"to_json(named_struct('type', 'MultiPolygon', 'coordinates', transform({polygons}, p -> {rings})))"
     return f"if(size({polygons}) = 1, {single}, {multi})"

@@ -458,6 +458,8 @@ SELECT a.scene_id, a.band, a.tile_row, a.tile_col, round(avg(abs(a.value - b.val
 FROM tl a JOIN tl b ON a.scene_id = b.scene_id AND a.band = b.band AND a.tile_row = b.tile_row AND a.tile_col = b.tile_col AND a.i = b.i AND a.j = b.j
 WHERE a.t = 'A' AND b.t = 'B' GROUP BY ALL""")
 add("detect_changes", DET, f"SELECT {DET_COLS} FROM det")
+add("detect_changes_geometry", DET, """
+SELECT detection_id, scene_id, region_id, area_m2 AS outline_area, bbox_minx AS minx, bbox_maxy AS maxy, TRUE AS is_polygon FROM det""")
 add("region_attributes", DET, f"""
 SELECT {DET_COLS.replace('detection_id, ', '').replace('mean_confidence, ', '').replace('area_m2', 'area_m2 * 100 AS area_m2').replace('perimeter_m', 'perimeter_m * 10 AS perimeter_m')} FROM det""")
 add("polygonize", REG4, "SELECT scene_id, region_id, pixel_count AS area_px, h_edges + v_edges AS perimeter_px FROM reg")

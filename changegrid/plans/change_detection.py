@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from changegrid.functions import expr as X
+from changegrid.operators.polygons import polygonize, simplify_rings
 from changegrid.operators.regions import label_components, region_attributes, region_confidence, summarize_regions
 from changegrid.operators.scoring import score_blocks, score_pixels
 from changegrid.plans.lineage import cut
@@ -33,19 +34,30 @@ def detections_from_scores(
     block: int = 1024,
     fan: int = 8,
     compat_area: bool = False,
+    geometry: bool = False,
+    simplify: float = 0.0,
 ) -> DataFrame:
     """Threshold -> regions -> attributes over a score map in block layout.
 
     Only changed pixels ever become rows, and the region table, which three steps read, is
-    stored before it is used.
+    stored before it is used. `geometry` adds the outlines (`polygons`, `geometry_wkt`), if
+    asked simplified by `simplify` CRS units; attributes always come from the unsimplified
+    pixels.
     """
     changed = score_pixels(scores, block_h, block_w).where(X.threshold("p", thr, inclusive)).select("scene_id", "row", "col")
-    regions = cut(summarize_regions(label_components(changed, max_side, connectivity, block, fan), min_area_px))
+    labelled = label_components(changed, max_side, connectivity, block, fan)
+    if geometry:
+        labelled = cut(labelled)
+    regions = cut(summarize_regions(labelled, min_area_px))
     attrs = region_attributes(regions, meta, compat_area)
     conf = region_confidence(regions, scores, meta, block_h, block_w, max_side)
-    return attrs.join(conf, ["scene_id", "region_id"], "left").selectExpr(
-        f"{DETECTION_ID} as detection_id", *DETECTION_COLUMNS[1:]
-    )
+    out = attrs.join(conf, ["scene_id", "region_id"], "left").selectExpr(f"{DETECTION_ID} as detection_id", *DETECTION_COLUMNS[1:])
+    if not geometry:
+        return out
+    shapes = polygonize(labelled, meta, block, min_area_px)
+    if simplify > 0:
+        shapes = simplify_rings(shapes, simplify)
+    return out.join(shapes.select("scene_id", "region_id", "polygons", "geometry_wkt"), ["scene_id", "region_id"])
 
 
 def detect_changes(

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder from `spark.checkpoint.dir`.
 
-    A scratch folder is made only where the session names none (tests, laptops).
+    A scratch folder is made only in local mode (tests, laptops) when the session names none;
+    on a cluster a missing setting is an error, since executors share no local folder.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     folder = folder or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="changegrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
