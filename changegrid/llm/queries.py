@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import packing, piece_counts, repair
+from changegrid.llm import lattice, packing, piece_counts, repair
 from changegrid.plans.lineage import shared_folder
 
 
@@ -21,6 +21,10 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return repair.read_ids(spark, path).selectExpr("doc_id", "start", "n_tokens", "crc32(ids) as ids_crc32")
 
 
+def op5_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.score_documents(spark, _docs(spark, sf), "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return piece_counts.count_tokens(_docs(spark, sf))
 
@@ -33,6 +37,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
+    "op5_lm_scores": op5_lm_scores,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
