@@ -2,4 +2,36 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
+
+# Water filling as in the operator: sources in order of cap per weight, the first that fits sets the level.
+TARGETS = f"""
+sized AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size, md5('0:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM sources),
+left_over AS (
+    SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0) AS BIGINT) AS rest,
+        CAST(sum(w) OVER () - coalesce(sum(w) OVER earlier, 0) AS BIGINT) AS rest_w,
+        row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS place
+    FROM weighed WINDOW earlier AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT place, rest, rest_w FROM left_over WHERE rest * w <= cap * rest_w ORDER BY place LIMIT 1),
+targets AS (
+    SELECT l.source, l.source_size,
+        CASE WHEN v.place IS NULL OR l.place < v.place THEN CAST(l.cap AS DOUBLE)
+             ELSE CAST(v.rest * l.w AS DOUBLE) / CAST(v.rest_w AS DOUBLE) END AS target
+    FROM left_over l LEFT JOIN level v ON true)
+"""
+
+SQL: dict[str, str] = {
+    "op2_mixing": f"""
+WITH {TARGETS},
+placed AS (
+    SELECT s.*, t.source_size, t.target, CAST(floor(target) AS BIGINT) AS budget,
+        CAST(sum(size) OVER (PARTITION BY s.source ORDER BY k, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+    CASE WHEN source_size = 0 THEN 0
+         ELSE budget // source_size * size + least(size, greatest(0, budget % source_size - before)) END AS taken
+FROM placed
+""",
+}

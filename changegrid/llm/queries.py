@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import lattice, packing, piece_counts, repair
+from changegrid.llm import lattice, mixing, neardup, packing, piece_counts, repair
 from changegrid.plans.lineage import shared_folder
 
 
@@ -15,6 +15,14 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(_docs(spark, sf)).drop("fp")
+
+
+def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     repair.write_ids(_docs(spark, sf), path)
@@ -36,6 +44,8 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
     "op5_lm_scores": op5_lm_scores,
     "op9_token_counts": op9_token_counts,
