@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import lattice, mixing, neardup, packing, piece_counts, repair
+from changegrid.llm import lattice, mixing, neardup, packing, piece_counts, repair, repetition
 from changegrid.plans.lineage import shared_folder
 
 
@@ -29,6 +29,10 @@ def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return repair.read_ids(spark, path).selectExpr("doc_id", "start", "n_tokens", "crc32(ids) as ids_crc32")
 
 
+def op4_repetition_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.repetition_rules(_docs(spark, sf))
+
+
 def op5_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.score_documents(spark, _docs(spark, sf), "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_token_files": op3_token_files,
+    "op4_repetition_rules": op4_repetition_rules,
     "op5_lm_scores": op5_lm_scores,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
