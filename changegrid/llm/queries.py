@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import lattice, mixing, neardup, packing, piece_counts, repair, repetition
+from changegrid.llm import lattice, mixing, neardup, packing, piece_counts, quality, repair, repetition
 from changegrid.plans.lineage import shared_folder
 
 
@@ -37,6 +37,13 @@ def op5_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.score_documents(spark, _docs(spark, sf), "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")
 
 
+HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
+
+
+def op8_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(_docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), HELD_OUT)
+
+
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return piece_counts.count_tokens(_docs(spark, sf))
 
@@ -53,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_repetition_rules": op4_repetition_rules,
     "op5_lm_scores": op5_lm_scores,
+    "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
