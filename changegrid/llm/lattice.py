@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from changegrid.llm import text as T
 from changegrid.llm.encoding import tokenizer_path
-from changegrid.llm.lexicon import block_table, lower_words, sum_values, words_of
+from changegrid.llm.lexicon import block_table, documents_of, lexicon, lower_words, sum_values, values_by_join
 from changegrid.llm.piece_counts import MARK, model
 from changegrid.plans.lineage import cut
 
@@ -152,15 +152,15 @@ def long_word(pieces: Pieces, word: np.ndarray, log_weight: np.ndarray, count: f
     return alpha[n], np.bincount(found[found >= 0], weights=share[found >= 0], minlength=len(log_weight) - 1)
 
 
-def train(lexicon: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
+def train(counted: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
     """Log probabilities of the pieces and, last, of the end piece.
 
-    `lexicon` holds (word, c); c is the word's number of training occurrences, and the row of the
+    `counted` holds (word, c); c is the word's number of training occurrences, and the row of the
     empty word counts the ends. Only expected counts per piece, bounded by the vocabulary, come
     to the driver.
     """
     n_pieces = len(pieces_of(path).pieces)
-    ends = lexicon.where("word = cast('' as binary)").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    ends = counted.where("word = cast('' as binary)").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     weights = np.append(pieces_of(path).start, 0.0)
     for _ in range(rounds):
         log_weight = np.append(weights[:-1], -np.inf)
@@ -178,7 +178,7 @@ def train(lexicon: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
             used = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(uses[used])], ["piece", "uses"])
 
-        seen = lexicon.where("c > 0 and octet_length(word) > 0").select("word", "c").mapInArrow(expect, "piece long, uses double")
+        seen = counted.where("c > 0 and octet_length(word) > 0").select("word", "c").mapInArrow(expect, "piece long, uses double")
         total = np.zeros(n_pieces)
         for row in seen.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # at most one row per piece
             total[row.piece] = row.uses
@@ -187,8 +187,8 @@ def train(lexicon: DataFrame, path: str, rounds: int = EM_ROUNDS) -> np.ndarray:
     return weights
 
 
-def word_scores(lexicon: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
-    """lexicon with `model`: the log10 probability of each word."""
+def word_scores(counted: DataFrame, path: str, weights: np.ndarray) -> DataFrame:
+    """(bucket, word, c, model), model being the log10 probability of each word."""
     log_weight = np.append(weights[:-1], -np.inf)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +200,9 @@ def word_scores(lexicon: DataFrame, path: str, weights: np.ndarray) -> DataFrame
                     result[rows] = [long_word(pieces, w, log_weight)[0] for w in words]
                 else:
                     result[rows] = Lattices(pieces, words).forward(log_weight)[-1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result / np.log(10))], ["word", "c", "model"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result / np.log(10))], ["bucket", "word", "c", "model"])
 
-    return lexicon.where("octet_length(word) > 0").select("word", "c").mapInArrow(score, "word binary, c long, model double")
+    return counted.where("octet_length(word) > 0").select("bucket", "word", "c").mapInArrow(score, "bucket int, word binary, c long, model double")
 
 
 def score_documents(
@@ -218,14 +218,14 @@ def score_documents(
     path = tokenizer_path(vocabulary)
     rows = docs.selectExpr("doc_id", "text", f"coalesce({held_out}, false) as held_out").withColumn("trains", ~F.col("held_out"))
     blocks = block_table(rows, lower_words, ["doc_id", "held_out", "trains"], weigh_by="trains")
-    ends = blocks.where("codes is not null").agg(F.coalesce(F.sum(F.col("trains").cast("long")), F.lit(0)).alias("c"))
-    counted = words_of(blocks).groupBy("word").agg(F.sum("weight").alias("c"))
-    lexicon = cut(counted.unionByName(ends.selectExpr("cast('' as binary) as word", "c")))
-    n, v = lexicon.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_ends = lexicon.where("octet_length(word) = 0").agg(F.sum("c")).first()[0]
-    weights = train(lexicon, path, rounds)
-    values = word_scores(lexicon, path, weights).selectExpr("word", "1 as words", "int(c > 0) as known", f"log10((c + 1) / ({n} + ({v} + 1))) as base", "model")
-    sums = sum_values(blocks, values, ["words", "known", "base", "model"], ["doc_id", "held_out"])
+    ends = documents_of(blocks).agg(F.coalesce(F.sum(F.col("trains").cast("long")), F.lit(0)).alias("c"))
+    counted = cut(lexicon(blocks).unionByName(ends.selectExpr("-1 as bucket", "cast('' as binary) as word", "c")))
+    n, v = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_ends = counted.where("octet_length(word) = 0").agg(F.sum("c")).first()[0]
+    weights = train(counted, path, rounds)
+    names = ["words", "known", "base", "model"]
+    scored = word_scores(counted, path, weights).selectExpr("bucket", "word", "1 as words", "int(c > 0) as known", f"log10((c + 1) / ({n} + ({v} + 1))) as base", "model")
+    sums = sum_values(blocks, values_by_join(blocks, scored, names), names)
     return sums.selectExpr(
         "doc_id", "held_out", "bigint(round(words)) + 1 as n_tokens", f"bigint(round(known)) + {int(n_ends > 0)} as n_known", f"{n}L as train_tokens",
         f"base + log10(({n_ends} + 1) / ({n} + ({v} + 1))) as base_score", f"model + {float(weights[-1] / np.log(10))!r}D as score",

@@ -7,8 +7,6 @@ counts are joined to the pre-token frequencies of each document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,7 +15,7 @@ from pyspark.sql import functions as F
 
 from changegrid.llm import text as T
 from changegrid.llm.encoding import tokenizer_path
-from changegrid.llm.lexicon import block_table, sum_values, words_of
+from changegrid.llm.lexicon import block_table, sum_values, values_by_rule
 
 MARK = "▁"
 
@@ -47,21 +45,13 @@ def model(path: str):
     return _MODELS[path]
 
 
-def count_pieces(words: DataFrame, path: str) -> DataFrame:
-    """(word, pieces) for distinct pre-tokens, each beginning with a space."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        bare = len(m.encode("a ")) - len(m.encode("a"))  # the model drops nothing, so this is a mark alone
-        for batch in batches:
-            words = batch.column("word")
-            # The model puts its own mark in front of a text, in place of the first space.
-            counts = [len(x) for x in m.encode([w[1:].decode() for w in words.to_pylist()], num_threads=1)]
-            alone = pc.equal(words, b" ").to_numpy(zero_copy_only=False)
-            counts = np.where(alone, bare, np.array(counts, np.int64))
-            yield pa.RecordBatch.from_arrays([words, pa.array(counts)], ["word", "pieces"])
-
-    return words.select("word").mapInArrow(run, "word binary, pieces long")
+def count_pieces(words: list[bytes], path: str) -> np.ndarray:
+    """Pieces of distinct pre-tokens, each beginning with a space; an array of one row."""
+    m = model(path)
+    # The model puts its own mark in front of a text, in place of the first space.
+    counts = np.fromiter((len(x) for x in m.encode([w[1:].decode() for w in words], num_threads=1)), np.int64, len(words))
+    bare = len(m.encode("a ")) - len(m.encode("a"))  # a mark alone; the model keeps white space
+    return np.where(np.fromiter((w == b" " for w in words), bool, len(words)), bare, counts)[None, :]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit: int = 4096) -> DataFrame:
@@ -74,7 +64,6 @@ def count_tokens(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", limit
     path = tokenizer_path(vocabulary)
     rows = docs.selectExpr("doc_id", "text", "coalesce(octet_length(text), 0L) as n_bytes")
     blocks = block_table(rows, pretokens, ["doc_id", "n_bytes"])
-    pieces = count_pieces(words_of(blocks).select("word").distinct(), path)
-    totals = sum_values(blocks, pieces, ["pieces"], ["doc_id", "n_bytes"])
+    totals = sum_values(blocks, values_by_rule(blocks, lambda words: count_pieces(words, path)), ["pieces"])
     n = F.round("pieces").cast("long")
     return totals.select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
