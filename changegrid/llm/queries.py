@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import lattice, mixing, neardup, packing, piece_counts, quality, repair, repetition
+from changegrid.llm import lattice, mixing, neardup, packing, pii, piece_counts, quality, repair, repetition
 from changegrid.plans.lineage import shared_folder
 
 
@@ -37,6 +37,10 @@ def op5_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return lattice.score_documents(spark, _docs(spark, sf), "pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2")
 
 
+def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.personal_data(_docs(spark, sf))
+
+
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_repetition_rules": op4_repetition_rules,
     "op5_lm_scores": op5_lm_scores,
+    "op6_personal_data": op6_personal_data,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,

@@ -35,9 +35,9 @@ from changegrid.llm.encoding import encoder, tokenizer_path
 
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 6, 8192, 24
+ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 16384, 24
 _SLOTS_LOG2 = 20
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST, _SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
@@ -54,15 +54,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round:
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((pairs * _SPREAD) >> np.uint64(64 - _SLOTS_LOG2)).astype(np.int32)
+        slot = (seq[:-1] * _FIRST + seq[1:] * _SECOND) >> np.uint32(32 - _SLOTS_LOG2)
         slot[ends[:-1]] = 0  # one slot is given up for pairs that cross documents
         hot = np.bincount(slot, minlength=1 << _SLOTS_LOG2) >= least
         hot[0] = False
         at = np.flatnonzero(hot[slot])
-        own = np.zeros(1 << _SLOTS_LOG2, np.uint64)
-        own[slot[at]] = pairs[at]
-        at = at[own[slot[at]] == pairs[at]]
+        own = np.zeros(1 << _SLOTS_LOG2, np.int64)
+        mine = slot[at]
+        own[mine] = at
+        same = own[mine]
+        at = at[(seq[same] == seq[at]) & (seq[same + 1] == seq[at + 1])]
         count = np.bincount(slot[at], minlength=1 << _SLOTS_LOG2)
         chosen = np.flatnonzero(count >= least)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
@@ -77,7 +78,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round:
         take[:-1] &= here[:-1] <= here[1:]
         where = np.flatnonzero(take)
         base = FIRST_RULE + sum(map(len, rules))
-        made = np.stack([(own[chosen] >> np.uint64(32)).astype(np.uint32), own[chosen].astype(np.uint32)], 1)
+        made = np.stack([seq[own[chosen]], seq[own[chosen] + 1]], 1)
         rules.append(made)
         lengths.append(size_of[made].sum(1))
         size_of = np.concatenate([size_of, lengths[-1]])
