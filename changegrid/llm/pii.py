@@ -40,33 +40,40 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
 
-def _located(text: Column, hits: Column, pieces: Column, kind: str) -> Column:
-    """array<struct(start, end, kind, value)> of a pattern's matches, by code points.
+def _most(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: F.greatest(a, x))
 
-    `pieces` are the texts between the matches. Starts are sums over the lengths before; sums of
-    whole runs are taken first, so that many matches in one text do not cost their square.
+
+def _with_prefixes(values: Column, fold, use) -> Column:
+    """`use(prefix)`, where prefix(i) folds the first i entries of an int array.
+
+    Runs of entries are folded first, so that many entries in one row do not cost their square;
+    one-element arrays bind the intermediate arrays once per row.
     """
-    places = F.sequence(F.lit(0), F.size(hits) - 1)
+    n_runs = lambda v: F.floor((F.size(v) - 1) / _RUN).cast("int")
+    with_runs = F.transform(
+        F.array(values),
+        lambda v: F.struct(v.alias("values"), F.transform(F.sequence(F.lit(0), n_runs(v)), lambda r: fold(F.slice(v, r * _RUN + 1, _RUN))).alias("runs")),
+    )
+
+    def apply(both: Column) -> Column:
+        whole = lambda i: fold(F.slice(both["runs"], F.lit(1), F.floor(i / _RUN).cast("int")))
+        rest = lambda i: F.slice(both["values"], F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN)
+        return use(lambda i: fold(F.concat(F.array(whole(i)), rest(i))))
+
+    return F.flatten(F.transform(with_runs, apply))
+
+
+def _located(hits: Column, pieces: Column, kind: str) -> Column:
+    """array<struct(start, end, kind, value)> of a pattern's matches, by code points; `pieces` are
+    the texts between the matches. `hits` must not be empty."""
     lengths = F.transform(hits, lambda h, i: F.char_length(h) + F.char_length(F.get(pieces, i)))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / _RUN).cast("int")), lambda r: _total(F.slice(lengths, r * _RUN + 1, _RUN)))
-
-    def place(both: Column) -> Column:
-        return F.transform(
-            places,
-            lambda i: F.struct(
-                (
-                    _total(F.slice(both["runs"], F.lit(1), F.floor(i / _RUN).cast("int")))
-                    + _total(F.slice(both["lengths"], F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN))
-                    + F.char_length(F.get(pieces, i))
-                ).alias("start"),
-                F.get(hits, i).alias("value"),
-            ),
-        )
-
-    # A one-element array binds the intermediate sums once per row.
-    bound = F.transform(F.array(F.struct(lengths.alias("lengths"), runs.alias("runs"))), place)
+
+    def place(before) -> Column:
+        return F.transform(hits, lambda h, i: F.struct((before(i) + F.char_length(F.get(pieces, i))).alias("start"), h.alias("value")))
+
     return F.transform(
-        F.flatten(bound),
+        _with_prefixes(lengths, _total, place),
         lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["value"])).alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")),
     )
 
@@ -111,7 +118,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     for kind in KINDS:
         hits = F.col(f"_{kind}")
         rows = rows.withColumn("_pieces", F.when(F.exists(hits, partial(_holds, kind)), F.split("text", PATTERNS[kind], -1)))
-        found = F.filter(_located(F.col("text"), hits, F.col("_pieces"), kind), partial(_holds_value, kind))
+        found = F.filter(_located(hits, F.col("_pieces"), kind), partial(_holds_value, kind))
         rows = rows.withColumn(f"_{kind}", F.when(F.col("_pieces").isNotNull(), found).otherwise(empty))
     spans = F.concat(*(F.col(f"_{k}") for k in KINDS))
     return rows.withColumn("_base", _in_order(spans)).drop("_pieces", *(f"_{k}" for k in KINDS))
@@ -186,7 +193,7 @@ def find_spans(docs: DataFrame, **limits) -> DataFrame:
     hits = F.when(F.col("_flagged").isNotNull(), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
     pieces = F.when(F.col("_flagged").isNotNull(), F.split("text", TERM, -1))
     split = known.withColumn("_hits", hits).withColumn("_pieces", pieces)
-    words = F.filter(_located(F.col("text"), F.col("_hits"), F.col("_pieces"), "term"), lambda w: F.map_contains_key("_flagged", F.lower(w["value"])))
+    words = F.filter(_located(F.col("_hits"), F.col("_pieces"), "term"), lambda w: F.map_contains_key("_flagged", F.lower(w["value"])))
     free = F.filter(words, lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     terms = F.transform(
         free,
@@ -215,7 +222,8 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """
     changed = find_spans(docs, **limits).where("size(_spans) > 0").dropDuplicates(["doc_id", "_tie"])
     # The end of what is covered before each span; spans that begin inside it add nothing of their own.
-    covered = F.transform("_spans", lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("_spans", F.lit(1), i), lambda p: p["end"])), F.lit(0)))
+    ends = F.transform("_spans", lambda s: s["end"])
+    covered = _with_prefixes(ends, _most, lambda before: F.transform("_spans", lambda s, i: before(i)))
     label = lambda s: reduce(lambda e, k: e.when(s["kind"] == k, LABELS[k]), LABELS, F.when(F.lit(False), ""))
     parts = F.transform(
         "_spans",
