@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import lattice, mixing, neardup, packing, pii, piece_counts, quality, repair, repetition
+from changegrid.llm import lattice, mixing, neardup, packing, pii, piece_counts, quality, repair, repetition, topk
 from changegrid.plans.lineage import shared_folder
 
 
@@ -41,6 +41,10 @@ def op6_personal_data(spark: SparkSession, sf: str) -> DataFrame:
     return pii.personal_data(_docs(spark, sf))
 
 
+def op7_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id % 50 = 0")
+
+
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repetition_rules": op4_repetition_rules,
     "op5_lm_scores": op5_lm_scores,
     "op6_personal_data": op6_personal_data,
+    "op7_top_k": op7_top_k,
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
