@@ -1,6 +1,66 @@
-"""Corpus pipeline; the stages follow as their operators are written."""
+"""Corpus pipeline: quality, near duplicates, personal data, mixing, packing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and reread as
+the next stage's documents. All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from changegrid.llm import mixing, neardup, packing, pii, quality
+from changegrid.llm.queries import HELD_OUT
+from changegrid.plans.lineage import shared_folder
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; those it was not trained on included."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    carry = tuple(c for c in docs.columns if c != "doc_id")
+    return quality.score_quality(docs, labels, HELD_OUT, carry=carry).where("predicted = 1").select(*docs.columns)
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest doc_id."""
+    return neardup.keep_one(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by labels and disclosing terms generalised or removed."""
+    return pii.sanitise(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: a row per epoch that takes a document, the last of a source cut at its budget."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token windows with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("neardup", neardup_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+# XXH64, a trained classifier and the tokenizer are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole `documents` table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
