@@ -16,7 +16,7 @@ from changegrid.functions import geometry as geo
 from changegrid.functions.expr import r6
 from changegrid.operators import augment, dataset, detections as det, metrics, polygons, raster as ras
 from changegrid.operators import regions as reg, registration as rgs, runlog, scoring, tiling
-from changegrid.plans.change_detection import detect_changes
+from changegrid.plans.change_detection import DETECTION_ID, detect_changes
 from changegrid.plans.lineage import cut
 from changegrid.sources import images
 from changegrid.sources import detections as store
@@ -25,7 +25,6 @@ from changegrid.sources import rasters
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Scene and tile sizes of the derived rasters.
 BLOCK = dict(n_bands=fx.BANDS, block_h=fx.BLOCK_H, block_w=fx.COLS)
-MAX_SIDE = fx.ROWS
 TILE, OVERLAP = 16, 4
 STRIDE = TILE - OVERLAP
 MIN_AREA = 4
@@ -73,7 +72,7 @@ def mask(spark, sf):
 
 def labelled(spark, sf, connectivity=4):
     name = f"labelled{connectivity}"
-    return _stored(spark, sf, name, lambda s, d: reg.label_components(mask(s, d), MAX_SIDE, connectivity))
+    return _stored(spark, sf, name, lambda s, d: reg.label_components(mask(s, d), connectivity))
 
 
 def detection_table(spark, sf):
@@ -81,7 +80,7 @@ def detection_table(spark, sf):
 
 
 def detect(spark, sf):
-    return detect_changes(fx.raster_blocks(spark, sf), scene_meta(spark, sf), max_side=MAX_SIDE, min_area_px=MIN_AREA, **BLOCK)
+    return detect_changes(fx.raster_blocks(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA, **BLOCK)
 
 
 def unit_raster(spark, sf):
@@ -181,10 +180,18 @@ def detections_insert(spark, sf):
     """Old rows lack the perimeter, new rows carry a note; ids already stored are skipped."""
     d = _round(detection_table(spark, sf), *DETECTION_DOUBLES)
     old = store.complete(d.where("region_id % 2 = 0").drop("perimeter_m"), 32633)
-    new = store.complete(d.where("region_id % 3 <> 0").selectExpr("*", "'rerun' as note"), 32633)
+    new = store.complete(d.selectExpr("*", "'rerun' as note"), 32633)
     return store.merge(old, new, dedup=True).drop("created_at")
 
 
+@query
+def detections_two_dates(spark, sf):
+    """A later date pair of the same scenes adds its detections beside the earlier ones."""
+    first = store.complete(_round(detection_table(spark, sf), *DETECTION_DOUBLES), 32633)
+    later = first.withColumn("timestamp_b", expr("'2024-02-01'")).withColumn("detection_id", expr(DETECTION_ID))
+    return store.merge(first, later, dedup=True).drop("created_at")
+
+
 @query
 def detections_all(spark, sf):
     return _round(detection_table(spark, sf), *DETECTION_DOUBLES)
@@ -200,7 +207,7 @@ def scene_summary(spark, sf):
 @query
 def evaluation_rows(spark, sf):
     m = metrics.cd_metrics(fx.predictions(spark, sf))
-    n = fx.table(spark, sf, "labels").count()
+    n = fx.table(spark, sf, "labels").agg(expr("count(1) as n_samples"))
     rows = metrics.evaluation_rows(m, "checkpoints/best.pt", "test", 0.5, n, "resnet18")
     return _round(rows, "f1", "iou", "precision", "recall", "accuracy", "kappa")
 
@@ -337,8 +344,7 @@ def area_filter(spark, sf):
 @query
 def detection_by_id(spark, sf):
     d = detection_table(spark, sf)
-    wanted = d.agg(expr("min(detection_id) as id")).first()["id"] or ""
-    return _round(det.by_id(d, wanted), *DETECTION_DOUBLES)
+    return _round(det.by_ids(d, d.agg(expr("min(detection_id) as detection_id"))), *DETECTION_DOUBLES)
 
 
 @query
@@ -348,9 +354,13 @@ def bbox_query(spark, sf):
 
 @query
 def bbox_query_exact(spark, sf):
-    shapes = polygons.polygonize(labelled(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA)
-    rows = detection_table(spark, sf).join(shapes.select("scene_id", "region_id", "polygons"), ["scene_id", "region_id"])
-    return det.bbox_query(rows, 500063.0, 4599603.0, 510147.0, 4599887.0).select("detection_id")
+    """Only regions whose envelope meets the box are outlined."""
+    box = (500063.0, 4599603.0, 510147.0, 4599887.0)
+    near = det.bbox_query(detection_table(spark, sf), *box)
+    pixels = labelled(spark, sf).join(near.select("scene_id", "region_id"), ["scene_id", "region_id"], "left_semi")
+    shapes = polygons.polygonize(pixels, scene_meta(spark, sf), min_area_px=MIN_AREA)
+    rows = near.join(shapes.select("scene_id", "region_id", "polygons"), ["scene_id", "region_id"])
+    return det.bbox_query(rows, *box).select("detection_id")
 
 
 @query
@@ -437,10 +447,10 @@ def ratio_matches(spark, sf):
 
 @query
 def aoi_join(spark, sf):
-    """Areas of interest around the suppliers; every seventh one covers everything."""
+    """Areas of interest around the suppliers; every seventh one covers a few scenes."""
     aois = fx.table(spark, sf, "supplier").selectExpr(
         "s_suppkey as aoi_id", "500000D + (s_suppkey * 37) % 40000 as x", "4599500D + (s_suppkey * 13) % 500 as y",
-        "if(s_suppkey % 7 = 0, 2000000D, 40D + (s_suppkey % 11) * 90D) as r",
+        "if(s_suppkey % 7 = 0, 15000D, 40D + (s_suppkey % 11) * 90D) as r",
     ).selectExpr("aoi_id", "x - r as minx", "y - r as miny", "x + r as maxx", "y + r as maxy")
     return det.aoi_join(detection_table(spark, sf), aois)
 
@@ -557,7 +567,7 @@ def early_stop(spark, sf):
 
 @query
 def regions(spark, sf):
-    out = reg.extract_regions(mask(spark, sf), MAX_SIDE, MIN_AREA, 8)
+    out = reg.extract_regions(mask(spark, sf), MIN_AREA, 8)
     return _round(out, "centroid_row", "centroid_col").drop("h_edges", "v_edges")
 
 
@@ -631,10 +641,10 @@ def score_raster(spark, sf):
 
 @query
 def stitch_tiles(spark, sf):
-    """Block layout throughout: pack, split with halo, blend, unpack."""
+    """Block layout throughout: split the stored score blocks with halo, blend, unpack."""
     meta = scene_meta(spark, sf)
-    blocks = ras.pack_blocks(score_raster(spark, sf), 32, 32)
-    tiles = tiling.split_blocks(blocks, meta, 32, 32, TILE, OVERLAP)
+    blocks = score_map(spark, sf).selectExpr("scene_id", "'A' as t", "0 as band", "block_row", "block_col", "h", "w", "data")
+    tiles = tiling.split_blocks(blocks, meta, fx.BLOCK_H, fx.COLS, TILE, OVERLAP)
     out = ras.block_pixels(tiling.stitch_blocks(tiles, meta, TILE, OVERLAP), STRIDE, STRIDE)
     return out.selectExpr("scene_id", "row", "col", f"{r6('value')} as p")
 
@@ -710,7 +720,7 @@ QUERIES["detect_changes"] = _detect_query
 def detect_changes_geometry(spark, sf):
     """The end-to-end plan with outlines; area and extent are measured on the outlines."""
     out = detect_changes(
-        fx.raster_blocks(spark, sf), scene_meta(spark, sf), max_side=MAX_SIDE, min_area_px=MIN_AREA, geometry=True, **BLOCK
+        fx.raster_blocks(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA, geometry=True, **BLOCK
     )
     area = f"aggregate(flatten(polygons), 0D, (t, r) -> t + {geo.signed_area('r')})"
     return out.selectExpr(
@@ -798,9 +808,9 @@ def warp_bilinear(spark, sf):
 
 @query
 def warp_blocks(spark, sf):
-    b = ras.pack_blocks(raster(spark, sf), 16, 16)
-    out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), _registrations(spark, sf), scene_meta(spark, sf), 16, 16)
-    return _round(ras.block_pixels(out, 16, 16), "value")
+    b, size = raster_blocks(spark, sf), (fx.BLOCK_H, fx.COLS)
+    out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), _registrations(spark, sf), scene_meta(spark, sf), *size)
+    return _round(ras.block_pixels(out, *size), "value")
 
 
 # --- augmentation ---------------------------------------------------------------------------

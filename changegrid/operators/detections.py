@@ -8,7 +8,6 @@ from pyspark.sql.functions import col, expr, lit
 from changegrid.functions import expr as X
 from changegrid.functions import geometry as G
 from changegrid.functions.expr import num
-from changegrid.plans.joins import salted_join
 
 BOX = ("bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy")
 
@@ -18,6 +17,11 @@ def by_id(detections: DataFrame, detection_id: str) -> DataFrame:
     return detections.where(col("detection_id") == lit(detection_id))
 
 
+def by_ids(detections: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Detections whose id is in the one-column table `wanted`."""
+    return detections.join(wanted.select("detection_id"), "detection_id", "left_semi")
+
+
 def area_filter(detections: DataFrame, min_area: float) -> DataFrame:
     return detections.where(f"coalesce(area_m2, 0) >= {num(min_area)}")
 
@@ -47,30 +51,36 @@ LEVELS, STEP = 12, 4.0
 def aoi_join(detections: DataFrame, aois: DataFrame, cell: float = 1000.0) -> DataFrame:
     """Detections x areas of interest whose boxes touch: (aoi_id, detection_id).
 
-    Every box has a native level at which it covers at most four cells, and is listed at that
-    level and the coarser ones. Two boxes meet at the coarser of their native levels, so a
-    world-sized area costs as little as a small one. A pair is reported only in the cell of
-    the lower-left corner of its overlap, which makes a distinct unnecessary. Cells are salted
-    because one of them may hold a large share of the detections.
+    Every box has a native level at which it covers at most four cells. Two boxes meet at the
+    coarser of their native levels, so of each pair one box is looked up by its native cells and
+    the other is listed at that coarser level: one equi join for detections that are at least as
+    coarse as the area, one for areas that are coarser. No cell meets all boxes with all boxes. A
+    pair is reported only in the cell of the lower-left corner of its overlap, which makes a
+    distinct unnecessary.
     """
 
-    def cells(minx: str, miny: str, maxx: str, maxy: str) -> str:
+    def cells(minx: str, miny: str, maxx: str, maxy: str, own: bool, coarser: bool) -> str:
         size = f"greatest({maxx} - {minx}, {maxy} - {miny})"
         native = f"least({LEVELS - 1}, int(ceil(greatest(0D, log({num(STEP)}, greatest({size} / {num(cell)}, 1D))) - 1e-9D)))"
         side = f"({num(cell)} * pow({num(STEP)}, l))"
         span = lambda lo, hi: f"sequence(bigint(floor({lo} / {side})), bigint(floor({hi} / {side})))"
-        grid = f"flatten(transform({span(minx, maxx)}, gx -> transform({span(miny, maxy)}, gy -> struct(l, gx, gy, l = {native} as own))))"
-        return f"explode(flatten(transform(sequence({native}, {LEVELS - 1}), l -> {grid})))"
-
-    d = detections.selectExpr("detection_id", *[f"{c} as d{i}" for i, c in enumerate(BOX)]).selectExpr("*", f"{cells('d0', 'd1', 'd2', 'd3')} as k")
-    a = aois.selectExpr("aoi_id", "minx as a0", "miny as a1", "maxx as a2", "maxy as a3").selectExpr("*", f"{cells('a0', 'a1', 'a2', 'a3')} as k")
-    d = d.selectExpr("detection_id", "d0", "d1", "d2", "d3", "k.l as _l", "k.gx as _x", "k.gy as _y", "k.own as _do")
-    a = a.selectExpr("aoi_id", "a0", "a1", "a2", "a3", "k.l as _l", "k.gx as _x", "k.gy as _y", "k.own as _ao")
+        grid = f"flatten(transform({span(minx, maxx)}, gx -> transform({span(miny, maxy)}, gy -> struct(l, gx, gy))))"
+        last = LEVELS - 1 if coarser else native
+        levels = f"filter(sequence({native}, {last}), l -> {'true' if own else f'l > {native}'})"
+        return f"explode(flatten(transform({levels}, l -> {grid})))"
+
+    boxes = (
+        detections.selectExpr("detection_id", *[f"{c} as d{i}" for i, c in enumerate(BOX)]),
+        aois.selectExpr("aoi_id", "minx as a0", "miny as a1", "maxx as a2", "maxy as a3"),
+    )
+    listed = lambda k, own, coarser: boxes[k].selectExpr("*", f"{cells(*(f'{chr(100 - 3 * k)}{i}' for i in range(4)), own, coarser)} as k").selectExpr(
+        *boxes[k].columns, "k.l as _l", "k.gx as _x", "k.gy as _y"
+    )
+    cell_key = ["_l", "_x", "_y"]
+    met = listed(0, True, False).join(listed(1, True, True), cell_key).unionByName(listed(1, True, False).join(listed(0, False, True), cell_key))
     side = f"({num(cell)} * pow({num(STEP)}, _l))"
     return (
-        salted_join(d, a, ["_l", "_x", "_y"], ["detection_id"])
-        .where("_do or _ao")
-        .where(_overlaps(("d0", "d1", "d2", "d3"), ("a0", "a1", "a2", "a3")))
+        met.where(_overlaps(("d0", "d1", "d2", "d3"), ("a0", "a1", "a2", "a3")))
         .where(f"_x = bigint(floor(greatest(d0, a0) / {side})) and _y = bigint(floor(greatest(d1, a1) / {side}))")
         .select("aoi_id", "detection_id")
     )
@@ -130,14 +140,14 @@ def geojson_features(detections: DataFrame) -> DataFrame:
     props = ", ".join(c for c in detections.columns if c not in ("polygons", "geometry_wkt"))
     geometry = G.geojson_geometry("polygons")
     return detections.where("polygons is not null").selectExpr(
-        "detection_id", f"concat('{{\"type\":\"Feature\",\"geometry\":', {geometry}, ',\"properties\":', to_json(struct({props})), '}}') as feature"
+        "detection_id", f"concat('{{\"type\":\"Feature\",\"geometry\":', {geometry}, ',\"properties\":', to_json(struct({props}), map('ignoreNullFields', 'false')), '}}') as feature"
     )
 
 
 def wrap_features(records: DataFrame) -> DataFrame:
     """Bare records with JSON geometry text become features; records without geometry drop out."""
     return records.where("geometry is not null and get_json_object(geometry, '$.type') is not null").selectExpr(
-        "concat('{\"type\":\"Feature\",\"geometry\":', geometry, ',\"properties\":', to_json(struct(*)), '}') as feature"
+        "concat('{\"type\":\"Feature\",\"geometry\":', geometry, ',\"properties\":', to_json(struct(*), map('ignoreNullFields', 'false')), '}') as feature"
     )
 
 

@@ -64,12 +64,12 @@ def target_verdict(metrics: DataFrame, f1: float = TARGET_F1, iou: float = TARGE
     return metrics.selectExpr("f1", "iou", f"f1 >= {num(f1)} as f1_met", f"iou >= {num(iou)} as iou_met").selectExpr("*", "f1_met and iou_met as success")
 
 
-def evaluation_rows(metrics: DataFrame, checkpoint: str, split: str, threshold: float, n_samples: int, encoder: str) -> DataFrame:
-    """Metrics with their run settings, ready for a JSON sink."""
-    return metrics.selectExpr(
+def evaluation_rows(metrics: DataFrame, checkpoint: str, split: str, threshold: float, n_samples: DataFrame, encoder: str) -> DataFrame:
+    """Metrics with their run settings, ready for a JSON sink; `n_samples` is a one-row table of that column."""
+    return metrics.selectExpr("*", "1 as _one").join(n_samples.selectExpr("n_samples", "1 as _one"), "_one").selectExpr(
         "f1", "iou", "precision", "recall", "accuracy", "kappa",
         f"'{checkpoint}' as checkpoint", f"'{split}' as split", f"{num(threshold)} as threshold",
-        f"bigint({n_samples}) as n_samples", f"'{encoder}' as encoder",
+        "bigint(n_samples) as n_samples", f"'{encoder}' as encoder",
     )
 
 

@@ -134,7 +134,6 @@ def _merger(steps, span: int):
 
 def label_components(
     mask: DataFrame,
-    max_side: int,
     connectivity: int = 8,
     block: int = 1024,
     fan: int = 8,
@@ -142,21 +141,21 @@ def label_components(
 ) -> DataFrame:
     """Region id per changed pixel: (scene_id, row, col, carry..., region_id, sides).
 
-    `mask` holds the changed pixels only. `max_side` bounds the longest scene side (from the
-    scene catalogue); it sets how many merge steps the plan has. `sides` has one bit per side
-    that faces an unchanged pixel, so outlines and perimeters need no further join.
+    `mask` holds the changed pixels only; its farthest pixel sets how many merge steps there are.
+    `sides` has one bit per side that faces an unchanged pixel, so outlines and perimeters need
+    no further join.
     """
     steps = forward_offsets(connectivity)
     carry = list(carry)
     last = block - 1
-    spots = ["struct(true as own, _br as r, _bc as c)"]
-    if max_side > block:  # border pixels are copied to the block they touch
-        spots += [
-            f"if(row % {block} = 0 and _br > 0, struct(false as own, _br - 1 as r, _bc as c), null)",
-            f"if(row % {block} = {last}, struct(false as own, _br + 1 as r, _bc as c), null)",
-            f"if(col % {block} = 0 and _bc > 0, struct(false as own, _br as r, _bc - 1 as c), null)",
-            f"if(col % {block} = {last}, struct(false as own, _br as r, _bc + 1 as c), null)",
-        ]
+    # Border pixels are copied to the block they touch.
+    spots = [
+        "struct(true as own, _br as r, _bc as c)",
+        f"if(row % {block} = 0 and _br > 0, struct(false as own, _br - 1 as r, _bc as c), null)",
+        f"if(row % {block} = {last}, struct(false as own, _br + 1 as r, _bc as c), null)",
+        f"if(col % {block} = 0 and _bc > 0, struct(false as own, _br as r, _bc - 1 as c), null)",
+        f"if(col % {block} = {last}, struct(false as own, _br as r, _bc + 1 as c), null)",
+    ]
     placed = (
         mask.selectExpr("scene_id", "row", "col", *carry, f"int(row div {block}) as _br", f"int(col div {block}) as _bc")
         .selectExpr("scene_id", "row", "col", *carry, f"explode(filter(array({', '.join(spots)}), s -> s is not null)) as _s")
@@ -166,17 +165,17 @@ def label_components(
     long, int_ = T.LongType(), T.IntegerType()
     schema = T.StructType([*kept, T.StructField("label", long), T.StructField("sides", int_)])
     local = placed.groupBy("scene_id", "_br", "_bc").applyInPandas(_labeller(steps, carry), schema)
-    if max_side <= block:
-        return local.withColumnRenamed("label", "region_id")
-
     local = cut(local)
+    side = 1 + (local.agg(expr("max(greatest(row, col))")).first()[0] or 0)
+    if side <= block:
+        return local.withColumnRenamed("label", "region_id")
     rim = local.where(f"row % {block} in (0, {last}) or col % {block} in (0, {last})").select("scene_id", "row", "col", "label")
     merge_schema = T.StructType(
         [kept[0], T.StructField("row", int_), T.StructField("col", int_), T.StructField("label", long), T.StructField("root", long)]
     )
     moves = []
     span = block
-    while span < max_side:
+    while span < side:
         span *= fan
         step = cut(
             rim.selectExpr("*", f"row div {span} as _br", f"col div {span} as _bc")
@@ -211,9 +210,9 @@ def summarize_regions(labelled: DataFrame, min_area_px: int = 50, prob: str | No
     return labelled.groupBy("scene_id", "region_id").agg(*map(expr, aggs)).where(f"pixel_count >= {int(min_area_px)}")
 
 
-def extract_regions(mask: DataFrame, max_side: int, min_area_px: int = 50, connectivity: int = 8, block: int = 1024) -> DataFrame:
+def extract_regions(mask: DataFrame, min_area_px: int = 50, connectivity: int = 8, block: int = 1024) -> DataFrame:
     """Regions of at least `min_area_px`, largest first within each scene."""
-    labelled = label_components(mask, max_side, connectivity, block)
+    labelled = label_components(mask, connectivity, block)
     return summarize_regions(labelled, min_area_px).orderBy("scene_id", expr("pixel_count").desc(), "region_id")
 
 
@@ -263,15 +262,15 @@ def _zone_sums(block_h: int, block_w: int, zone_h: int, zone_w: int):
     return run
 
 
-def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: int, max_side: int | None = None) -> DataFrame:
+def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: int, zone_side: int = ZONE_SIDE) -> DataFrame:
     """Mean score inside each window: (scene_id, region_id, window_mean).
 
     A window visits only the zones on its own rim; whole zones inside it come from a prefix
     table over zone totals, four lookups per window. So neither large nor overlapping windows
-    are expanded to their pixels, and pixels never become rows. `max_side` bounds the scene
-    sides; when no scene is three zones wide the inner part is left out of the plan.
+    are expanded to their pixels, and pixels never become rows. Zones that no rim touches are not
+    opened.
     """
-    per_row, per_col = max(1, ZONE_SIDE // block_h), max(1, ZONE_SIDE // block_w)
+    per_row, per_col = max(1, zone_side // block_h), max(1, zone_side // block_w)
     zone_h, zone_w = per_row * block_h, per_col * block_w
     scene = scores.schema["scene_id"].dataType.simpleString()
     w = windows.where("w_row1 >= w_row0 and w_col1 >= w_col0").selectExpr(
@@ -285,13 +284,12 @@ def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: in
     zones = scores.selectExpr(
         "scene_id as _bs", f"bigint(block_row div {per_row}) as _br", f"bigint(block_col div {per_col}) as _bc", "block_row", "block_col", "h", "w", "data"
     )
+    touched = rim.selectExpr("scene_id as _bs", "bigint(_zr) as _br", "bigint(_zc) as _bc").distinct()
     partial = (
         rim.groupBy("scene_id", "_zr", "_zc")
-        .cogroup(zones.groupBy("_bs", "_br", "_bc"))
+        .cogroup(zones.join(touched, ["_bs", "_br", "_bc"], "left_semi").groupBy("_bs", "_br", "_bc"))
         .applyInPandas(_zone_sums(block_h, block_w, zone_h, zone_w), f"scene_id {scene}, region_id bigint, s double")
     )
-    if max_side is not None and max_side <= 2 * min(zone_h, zone_w):
-        return _window_means(w, partial)
     totals = zones.groupBy("_bs", "_br", "_bc").agg(expr("sum(aggregate(data, 0D, (s, x) -> s + x)) as v")).selectExpr(
         "_bs as scene_id", "int(_br) as row", "int(_bc) as col", "v"
     )
@@ -346,15 +344,16 @@ def region_attributes(regions: DataFrame, meta: DataFrame, compat_area: bool = F
 
 
 def region_confidence(
-    regions: DataFrame, scores: DataFrame, meta: DataFrame, block_h: int, block_w: int, max_side: int | None = None
+    regions: DataFrame, scores: DataFrame, meta: DataFrame, block_h: int, block_w: int, zone_side: int = ZONE_SIDE
 ) -> DataFrame:
     """Mean confidence per region: window mean with a geotransform, else the scene mean.
 
     `scores` is the score map in block layout.
     """
     geo = meta.where("a is not null and epsg is not null")
-    zonal = zonal_means(confidence_windows(regions, geo), scores, block_h, block_w, max_side)
-    scene = scores.groupBy("scene_id").agg(
+    zonal = zonal_means(confidence_windows(regions, geo), scores, block_h, block_w, zone_side)
+    plain = meta.where("a is null or epsg is null").select("scene_id")
+    scene = scores.join(plain, "scene_id", "left_semi").groupBy("scene_id").agg(
         expr("sum(aggregate(data, 0D, (s, x) -> s + x)) / sum(size(data)) as scene_mean")
     )
     out = regions.select("scene_id", "region_id").join(zonal, ["scene_id", "region_id"], "left")

@@ -92,7 +92,7 @@ conf AS (
 
 DET = REG4 + CONF + """,
 det AS MATERIALIZED (
-  SELECT sha256(concat_ws(':', r.scene_id, r.region_id)) AS detection_id, r.scene_id, r.region_id, r.pixel_count,
+  SELECT sha256(concat_ws(':', r.scene_id, r.region_id, m.t_a, m.t_b)) AS detection_id, r.scene_id, r.region_id, r.pixel_count,
     r.pixel_count * 100.0::DOUBLE AS area_m2,
     round(m.a * (r.centroid_col + 0.5) + m.c, 6) + 0.0 AS centroid_x, round(m.e * (r.centroid_row + 0.5) + m.f, 6) + 0.0 AS centroid_y,
     m.a * r.col_min + m.c AS bbox_minx, m.e * (r.row_max + 1) + m.f AS bbox_miny,
@@ -137,7 +137,10 @@ UNION ALL SELECT scene_id, 1, row, col, round(p, 6) + 0.0 FROM prob""")
 add("prob_uint8", PROB, "SELECT scene_id, row, col, CAST(least(greatest(floor(p * 255), 0), 255) AS INT) AS byte FROM prob")
 add("detections_insert", DET, f"""
 SELECT {DET_COLS.replace('perimeter_m', 'NULL::DOUBLE AS perimeter_m')}, 32633 AS epsg, NULL::VARCHAR AS note FROM det WHERE region_id % 2 = 0
-UNION ALL SELECT {DET_COLS}, 32633, 'rerun' FROM det WHERE region_id % 3 <> 0 AND region_id % 2 <> 0""")
+UNION ALL SELECT {DET_COLS}, 32633, 'rerun' FROM det WHERE region_id % 2 <> 0""")
+add("detections_two_dates", DET, f"""
+SELECT {DET_COLS}, 32633 AS epsg FROM det
+UNION ALL SELECT {DET_COLS.replace('detection_id', "sha256(concat_ws(':', scene_id, region_id, timestamp_a, '2024-02-01')) AS detection_id").replace('timestamp_b', "'2024-02-01' AS timestamp_b")}, 32633 FROM det""")
 add("detections_all", DET, f"SELECT {DET_COLS} FROM det")
 
 MATCHES = """
@@ -188,7 +191,7 @@ SELECT {SIX_R}, 'checkpoints/best.pt' AS checkpoint, 'test' AS split, 0.5::DOUBL
 RUNS = """runs AS (
   SELECT run_id, CAST(epoch AS INT) AS epoch, val_f1, round(1 - val_f1, 6) + 0.0 AS val_loss FROM (
     SELECT l_suppkey AS run_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey) AS epoch,
-      round(l_discount * 5 + l_tax, 6) + 0.0 AS val_f1 FROM lineitem) WHERE epoch <= 50
+      round(l_discount * 5 + l_tax, 6) + 0.0 AS val_f1 FROM lineitem)
 )"""
 add("history_explode", RUNS, "SELECT run_id, epoch, val_f1, val_loss FROM runs")
 
@@ -333,7 +336,7 @@ add("knn2", DESC + "," + knn("descs"), f"SELECT pair_id, kp_id, t_id, {r6('dist'
 add("ratio_matches", DESC + "," + knn("descs") + "," + GOOD, f"SELECT pair_id, kp_id, t_id, {r6('d1')} AS d1, {r6('d2')} AS d2 FROM gm")
 add("aoi_join", DET + """, aoi AS (
   SELECT s_suppkey AS aoi_id, 500000.0 + (s_suppkey * 37) % 40000 AS x, 4599500.0 + (s_suppkey * 13) % 500 AS y,
-    CASE WHEN s_suppkey % 7 = 0 THEN 2000000.0 ELSE 40.0 + (s_suppkey % 11) * 90 END AS r FROM supplier
+    CASE WHEN s_suppkey % 7 = 0 THEN 15000.0 ELSE 40.0 + (s_suppkey % 11) * 90 END AS r FROM supplier
 )""", """
 SELECT aoi_id, detection_id FROM det, aoi WHERE bbox_minx <= x + r AND bbox_maxx >= x - r AND bbox_miny <= y + r AND bbox_maxy >= y - r""")
 

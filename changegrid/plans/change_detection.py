@@ -17,8 +17,8 @@ DETECTION_COLUMNS = (
 )
 
 
-# Same region, same id: replayed work can be recognised.
-DETECTION_ID = "sha2(concat_ws(':', string(scene_id), string(region_id)), 256)"
+# Same region of the same date pair, same id: replayed work can be recognised, a later pair is new.
+DETECTION_ID = "sha2(concat_ws(':', string(scene_id), string(region_id), timestamp_a, timestamp_b), 256)"
 
 
 def detections_from_scores(
@@ -26,7 +26,6 @@ def detections_from_scores(
     meta: DataFrame,
     block_h: int,
     block_w: int,
-    max_side: int,
     thr: float = 0.5,
     inclusive: bool = False,
     min_area_px: int = 25,
@@ -45,12 +44,12 @@ def detections_from_scores(
     pixels.
     """
     changed = score_pixels(scores, block_h, block_w).where(X.threshold("p", thr, inclusive)).select("scene_id", "row", "col")
-    labelled = label_components(changed, max_side, connectivity, block, fan)
+    labelled = label_components(changed, connectivity, block, fan)
     if geometry:
         labelled = cut(labelled)
     regions = cut(summarize_regions(labelled, min_area_px))
     attrs = region_attributes(regions, meta, compat_area)
-    conf = region_confidence(regions, scores, meta, block_h, block_w, max_side)
+    conf = region_confidence(regions, scores, meta, block_h, block_w)
     out = attrs.join(conf, ["scene_id", "region_id"], "left").selectExpr(f"{DETECTION_ID} as detection_id", *DETECTION_COLUMNS[1:])
     if not geometry:
         return out
@@ -66,8 +65,7 @@ def detect_changes(
     n_bands: int,
     block_h: int,
     block_w: int,
-    max_side: int,
     **options,
 ) -> DataFrame:
     """Score -> threshold -> regions -> attributes over every scene pair in `blocks`."""
-    return detections_from_scores(score_blocks(blocks, n_bands), meta, block_h, block_w, max_side, **options)
+    return detections_from_scores(score_blocks(blocks, n_bands), meta, block_h, block_w, **options)

@@ -96,17 +96,5 @@ def write_geojson(detections: DataFrame, path: str) -> None:
     geojson_features(detections).select("feature").write.mode("overwrite").text(path)
 
 
-def feature_collection(detections: DataFrame, limit: int = 10_000) -> str:
-    """One FeatureCollection document for a small result, empty collection included.
-
-    A document is a single string, so a result above `limit` rows is refused rather than cut;
-    use `write_geojson` for those.
-    """
-    rows = geojson_features(detections).orderBy("detection_id").select("feature").take(limit + 1)
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} features; write them with write_geojson")
-    return '{"type":"FeatureCollection","features":[' + ",".join(r["feature"] for r in rows) + "]}"
-
-
 def write_summary(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)

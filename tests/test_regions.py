@@ -14,21 +14,21 @@ def three_squares():
 
 
 def test_small_regions_are_dropped_and_order_is_by_size(mask_of, three_squares):
-    got = reg.extract_regions(mask_of(three_squares), 256, 50).toPandas()
+    got = reg.extract_regions(mask_of(three_squares), 50).toPandas()
     assert got.pixel_count.tolist() == [1600, 400]
     assert got.iloc[0][["row_min", "col_min", "row_max", "col_max"]].tolist() == [10, 10, 49, 49]
     assert got.iloc[0].centroid_row == 29.5
-    assert reg.extract_regions(mask_of(three_squares), 256, 1000).count() == 1
+    assert reg.extract_regions(mask_of(three_squares), 1000).count() == 1
 
 
 def test_empty_and_full_masks(mask_of):
-    assert reg.extract_regions(mask_of(np.zeros((64, 64))), 64, 0).count() == 0
-    assert reg.extract_regions(mask_of(np.ones((64, 64))), 64, 0).toPandas().pixel_count.tolist() == [4096]
+    assert reg.extract_regions(mask_of(np.zeros((64, 64))), 0).count() == 0
+    assert reg.extract_regions(mask_of(np.ones((64, 64))), 0).toPandas().pixel_count.tolist() == [4096]
 
 
 def test_unknown_connectivity_is_refused(mask_of):
     with pytest.raises(ValueError):
-        reg.label_components(mask_of(np.ones((2, 2))), 2, connectivity=6)
+        reg.label_components(mask_of(np.ones((2, 2))), connectivity=6)
 
 
 def _flood(img, connectivity):
@@ -56,7 +56,7 @@ def test_labels_do_not_depend_on_block_size(mask_of, connectivity, block, fan):
     img = np.random.default_rng(3).random((37, 41)) < 0.55
     img[0, :] = img[:, 20] = True  # one region crosses every block line
     want = _flood(img, connectivity)
-    got = reg.label_components(mask_of(img), 41, connectivity, block, fan).toPandas()
+    got = reg.label_components(mask_of(img), connectivity, block, fan).toPandas()
     assert {(r, c): k for r, c, k in zip(got.row, got.col, got.region_id)} == want
     padded = np.pad(img, 1)
     for r, c, sides in zip(got.row, got.col, got.sides):
@@ -68,7 +68,7 @@ def test_labels_do_not_depend_on_block_size(mask_of, connectivity, block, fan):
 def test_attributes_in_metres_and_in_pixels(mask_of, meta_of):
     img = np.zeros((40, 40), bool)
     img[5:10, 20:30] = True
-    regions = reg.summarize_regions(reg.label_components(mask_of(img), 40), 1)
+    regions = reg.summarize_regions(reg.label_components(mask_of(img)), 1)
     geo = reg.region_attributes(regions, meta_of([(0, 40, 40, GEO, 32633)])).first()
     assert (geo.area_m2, geo.perimeter_m) == (50 * 100.0, 30 * 10.0)
     assert (geo.bbox_minx, geo.bbox_maxx, geo.bbox_miny, geo.bbox_maxy) == (500200.0, 500300.0, 4599900.0, 4599950.0)
@@ -82,7 +82,7 @@ def test_attributes_in_metres_and_in_pixels(mask_of, meta_of):
 def test_non_square_pixels(mask_of, meta_of):
     img = np.zeros((8, 8), bool)
     img[2:4, 1:4] = True
-    regions = reg.summarize_regions(reg.label_components(mask_of(img), 8), 1)
+    regions = reg.summarize_regions(reg.label_components(mask_of(img)), 1)
     row = reg.region_attributes(regions, meta_of([(0, 8, 8, (2.0, 0.0, 0.0, 0.0, -5.0, 0.0), 32633)])).first()
     assert (row.area_m2, row.perimeter_m) == (6 * 10.0, 6 * 2.0 + 4 * 5.0)
 
@@ -108,7 +108,7 @@ def test_confidence_falls_back_to_the_scene_mean(mask_of, meta_of, pixels):
 
     img = np.full((10, 10), 0.25)
     img[2:4, 2:4] = 1.0
-    regions = reg.summarize_regions(reg.label_components(mask_of(img > 0.5), 10), 1)
+    regions = reg.summarize_regions(reg.label_components(mask_of(img > 0.5)), 1)
     scores = pack_blocks(pixels(img), 5, 5, keys=("scene_id",))
     row = reg.region_confidence(regions, scores, meta_of([(0, 10, 10)]), 5, 5).first()
     assert row.confidence_source == "scene" and row.mean_confidence == pytest.approx(img.mean())
@@ -127,7 +127,7 @@ def test_ring_with_hole(mask_of):
     img = np.zeros((20, 20), bool)
     img[2:10, 3:12] = True
     img[4:6, 5:8] = False
-    (polys,) = _shapes(polygons.polygonize(reg.label_components(mask_of(img), 20, 4), min_area_px=1)).values()
+    (polys,) = _shapes(polygons.polygonize(reg.label_components(mask_of(img), 4), min_area_px=1)).values()
     assert len(polys) == 1 and len(polys[0]) == 2
     assert set(polys[0][0]) == {(3, 2), (12, 2), (12, 10), (3, 10)}
     assert set(polys[0][1]) == {(5, 4), (8, 4), (8, 6), (5, 6)}
@@ -135,16 +135,16 @@ def test_ring_with_hole(mask_of):
 
 def test_corner_touching_parts_become_a_multipolygon(mask_of):
     img = np.eye(4, dtype=bool)
-    eight = polygons.polygonize(reg.label_components(mask_of(img), 4, 8), min_area_px=1).first()
+    eight = polygons.polygonize(reg.label_components(mask_of(img), 8), min_area_px=1).first()
     assert eight.geometry_wkt.startswith("MULTIPOLYGON") and len(eight.polygons) == 4
-    assert polygons.polygonize(reg.label_components(mask_of(img), 4, 4), min_area_px=1).count() == 4
+    assert polygons.polygonize(reg.label_components(mask_of(img), 4), min_area_px=1).count() == 4
 
 
 @pytest.mark.parametrize("connectivity", [4, 8])
 @pytest.mark.parametrize("block", [1024, 7])
 def test_outlines_enclose_exactly_the_region(mask_of, connectivity, block):
     img = np.random.default_rng(11).random((30, 33)) < 0.6
-    lab = reg.label_components(mask_of(img), 33, connectivity, block, 4)
+    lab = reg.label_components(mask_of(img), connectivity, block, 4)
     regions = {r.region_id: r for r in reg.summarize_regions(lab, 1).collect()}
     for region, polys in _shapes(polygons.polygonize(lab, block=block, min_area_px=1)).items():
         area = sum(_area(r) for p in polys for r in p)
@@ -165,14 +165,14 @@ def test_world_units_follow_the_geotransform(mask_of, meta_of):
     img = np.zeros((256, 256), bool)
     img[0:50, 0:50] = True
     t = (100 / 256, 0.0, 100.0, 0.0, -100 / 256, 150.0)
-    row = polygons.polygonize(reg.label_components(mask_of(img), 256), meta_of([(0, 256, 256, t, 4326)])).first()
+    row = polygons.polygonize(reg.label_components(mask_of(img)), meta_of([(0, 256, 256, t, 4326)])).first()
     xs, ys = zip(*[(q.x, q.y) for q in row.polygons[0][0]])
     assert min(xs) == 100.0 and max(ys) == 150.0 and max(xs) == pytest.approx(100 + 50 * 100 / 256)
 
 
 def test_simplify_keeps_rings_valid(mask_of):
     img = np.tril(np.ones((20, 20), bool))
-    shapes = polygons.polygonize(reg.label_components(mask_of(img), 20, 4), min_area_px=1)
+    shapes = polygons.polygonize(reg.label_components(mask_of(img), 4), min_area_px=1)
     before = len(shapes.first().polygons[0][0])
     after = polygons.simplify_rings(shapes, 1.0).first().polygons[0][0]
     assert 4 <= len(after) < before and after[0] == after[-1]
@@ -183,6 +183,6 @@ def test_hull_of_a_region_and_no_hull_of_a_line(mask_of, meta_of):
     img = np.zeros((20, 20), bool)
     img[2:7, 2:9] = True
     img[12, 1:15] = True
-    hull = polygons.region_hull(reg.label_components(mask_of(img), 20, 4), min_area_px=3).collect()
+    hull = polygons.region_hull(reg.label_components(mask_of(img), 4), min_area_px=3).collect()
     assert len(hull) == 1
     assert {(q.x, q.y) for q in hull[0].ring} == {(2.0, 2.0), (8.0, 2.0), (8.0, 6.0), (2.0, 6.0)}

@@ -69,10 +69,11 @@ def test_aoi_join_equals_brute_force(spark):
 
 
 def test_geojson_documents(spark, tmp_path, one):
-    assert json.loads(store.feature_collection(one.selectExpr("*", "'a' as detection_id", "cast(null as array<array<array<struct<x:double,y:double>>>>) as polygons")))["features"] == []
+    bare_row = one.selectExpr("*", "'a' as detection_id", "cast(null as array<array<array<struct<x:double,y:double>>>>) as polygons")
+    assert det.geojson_features(bare_row).count() == 0
     ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 1D, 'y', 0D), named_struct('x', 1D, 'y', 1D), named_struct('x', 0D, 'y', 0D))"
     rows = one.selectExpr("*", "'a' as detection_id", f"array(array({ring})) as polygons")
-    doc = json.loads(store.feature_collection(rows))["features"][0]
+    doc = json.loads(det.geojson_features(rows).first().feature)
     assert doc["geometry"]["type"] == "Polygon" and doc["geometry"]["coordinates"][0][2] == [1.0, 1.0] and doc["properties"]["area_m2"] == 1600.0
     store.write_geojson(rows, str(tmp_path / "g"))
     assert json.loads(spark.read.text(str(tmp_path / "g")).first().value)["properties"]["detection_id"] == "a"
@@ -140,7 +141,7 @@ def _detector(spark, sf):
 
     def detect(batch):
         wanted = batch.select("scene_id").distinct()
-        return detect_changes(blocks.join(wanted, "scene_id"), meta, 5, fx.BLOCK_H, fx.COLS, max_side=50, min_area_px=4)
+        return detect_changes(blocks.join(wanted, "scene_id"), meta, 5, fx.BLOCK_H, fx.COLS, min_area_px=4)
 
     return detect
 
