@@ -776,6 +776,13 @@ def fit_homography(spark, sf):
     return out.selectExpr("pair_id", *[f"round(h[{i}], 3) + 0D as h{i}" for i in range(9)], "n_matches", "n_inliers")
 
 
+@query
+def fit_homography_noisy(spark, sf):
+    """Seven matches in ten are wrong; only a search over all of them finds the rest."""
+    out = rgs.fit_homography(fx.noisy_matches(spark, sf))
+    return out.selectExpr("pair_id", *[f"round(h[{i}], 3) + 0D as h{i}" for i in range(9)], "n_matches", "n_inliers")
+
+
 @query
 def reprojection_error(spark, sf):
     return _round(rgs.reprojection_error(fx.matches(spark, sf), fx.known_homographies(spark, sf)), "error_px")

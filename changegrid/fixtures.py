@@ -153,6 +153,23 @@ def matches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def noisy_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """D6 with seven outliers in ten, each shifted its own way."""
+    shift = lambda base, step, span: f"off * ({base} + o_key * {step} % {span})"
+    return (
+        table(spark, sf, "orders")
+        .selectExpr(
+            "o_orderkey div 100 as pair_id", "o_orderkey as match_id", "o_orderkey as o_key",
+            "double(o_custkey % 97) as x_b", "double(o_orderkey % 89) as y_b", "if(o_orderkey % 10 < 7, 1D, 0D) as off",
+        )
+        .selectExpr(
+            "pair_id", "match_id", "x_b", "y_b",
+            f"{GAIN} * (x_b + y_b * 0.01D) + 10D + {shift(40, 7919, 211)} as x_a",
+            f"{GAIN} * (x_b * -0.02D + y_b) + 5D - {shift(25, 104729, 173)} as y_a",
+        )
+    )
+
+
 def known_homographies(spark: SparkSession, sf: str) -> DataFrame:
     """The matrices behind D6, one per pair, as row-major arrays of nine."""
     pairs = table(spark, sf, "orders").selectExpr("o_orderkey div 100 as pair_id").distinct()

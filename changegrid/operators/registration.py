@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.functions import expr
 
 from changegrid.plans.joins import salted_join
+from changegrid.plans.lineage import cut
 
+# Limits of matching.
 MIN_MATCHES = 10
 MIN_KEYPOINTS = 4
 RATIO = 0.75
@@ -143,50 +143,71 @@ def _project(h, x, y):
         return (h[..., 0, None] * x + h[..., 1, None] * y + h[..., 2, None]) / w, (h[..., 3, None] * x + h[..., 4, None] * y + h[..., 5, None]) / w
 
 
-def _hypotheses(trials: int):
-    """Candidate matrices from minimal samples of a pair's pool, at most `trials` of them."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pair = pdf["pair_id"].iloc[0]
-        pdf = pdf.sort_values("match_id")
-        xb, yb, xa, ya = (pdf[c].to_numpy(float) for c in ("x_b", "y_b", "x_a", "y_a"))
-        if len(pdf) < 4:
-            return pd.DataFrame({"pair_id": [pair], "hs": [[]]})
-        rng = np.random.default_rng(zlib.crc32(str(pair).encode()))
-        pick = np.argsort(rng.random((trials, len(pdf))), axis=1)[:, :4]
-        a = _equations(xb[pick], yb[pick], xa[pick], ya[pick])
+def _minimal_fits(batches):
+    """Candidate matrices from samples of four matches each (columns xb, yb, xa, ya are arrays of four)."""
+    for batch in batches:
+        xb, yb, xa, ya = (batch.column(c).flatten().to_numpy().reshape(-1, 4) for c in ("xb", "yb", "xa", "ya"))
+        a = _equations(xb, yb, xa, ya)
         left, right = a[..., :8], -a[..., 8]
-        size = np.maximum(np.abs(left).max(1, keepdims=True), 1e-12)
+        size = np.maximum(np.abs(left).max(1, keepdims=True), 1e-12) if len(left) else np.ones((0, 1, 8))
         left = left / size
         sound = np.abs(np.linalg.det(left)) > 1e-12  # collinear samples say nothing
         h = np.linalg.solve(left[sound], right[sound][..., None])[..., 0] / size[sound][:, 0]
         h = np.concatenate([h, np.ones((len(h), 1))], 1)
+        rows = np.flatnonzero(sound)[np.isfinite(h).all(1)]
         h = h[np.isfinite(h).all(1)]
-        return pd.DataFrame({"pair_id": [pair], "hs": [h.ravel().tolist()]})
+        picked = batch.select(["pair_id", "_t"]).take(pa.array(rows))
+        yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(list(h), pa.list_(pa.float64()))], ["pair_id", "_t", "h"])
+
+
+# Limits of the search.
+MAX_TRIALS, CONFIDENCE = 2000, 0.995
+FIRST_TRIALS = 64
 
-    return run
 
+def _numbered(matches: DataFrame, cols: list[str]) -> DataFrame:
+    """matches with `_i`, 0 .. n-1 within the pair. Hash bins are counted first, so a pair of any
+    size is numbered in many tasks."""
+    binned = matches.select(*cols).selectExpr("*", "xxhash64(match_id) as _key").selectExpr("*", "int(shiftrightunsigned(_key, 54)) as _bin")
+    counts = binned.groupBy("pair_id", "_bin").agg(expr("count(1) as _n"))
+    before = counts.selectExpr("pair_id", "_bin", "sum(_n) over (partition by pair_id order by _bin) - _n as _before")
+    placed = binned.join(before, ["pair_id", "_bin"])
+    return placed.selectExpr(*cols, "int(_before + row_number() over (partition by pair_id, _bin order by _key, match_id) - 1) as _i")
 
-def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = 300, pool: int = 256, chunk: int = 4096) -> DataFrame:
+
+def _samples(numbered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pair_id, _t, h): matrices for trials _from .. _to - 1 of each pair of `wanted` (pair_id, n, _from, _to).
+
+    A trial draws four numbers over all matches of its pair; draws that repeat a match are void.
+    """
+    pair_type = numbered.schema["pair_id"].dataType.simpleString()
+    draws = wanted.where("n >= 4 and _to > _from").selectExpr("pair_id", "n", "explode(sequence(_from, _to - 1)) as _t").selectExpr(
+        "pair_id", "_t", "explode(transform(sequence(0, 3), k -> struct(k, int(pmod(xxhash64(pair_id, _t, k), n)) as _i))) as d"
+    ).selectExpr("pair_id", "_t", "d.k as _k", "d._i as _i")
+    points = draws.join(numbered, ["pair_id", "_i"]).groupBy("pair_id", "_t").agg(
+        expr("array_sort(collect_list(struct(_k, _i, x_b, y_b, x_a, y_a))) as p")
+    ).where("size(array_distinct(transform(p, q -> q._i))) = 4")
+    four = points.selectExpr("pair_id", "_t", *[f"transform(p, q -> q.{c}) as {c.replace('_', '')}" for c in ("x_b", "y_b", "x_a", "y_a")])
+    return four.mapInArrow(_minimal_fits, f"pair_id {pair_type}, _t int, h array<double>")
+
+
+def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = MAX_TRIALS, chunk: int = 4096) -> DataFrame:
     """Robust B -> A homography per pair: (pair_id, h, n_matches, n_inliers).
 
-    Hypotheses come from a bounded pool per pair; all matches of the pair vote on them in
-    chunks, and the winner is refitted on all its inliers through summed normal equations. So
-    no match is left out of the vote or the fit, and no pair is ever held by one task.
+    Samples are drawn over all matches of a pair. After a first round, a pair goes on until its
+    best inlier share makes a clean sample nearly certain, up to `trials`. All matches vote in
+    chunks, and the winner is refitted on all its inliers through summed normal equations. So no
+    match is left out of the draws, the vote or the fit, and no pair is ever held by one task.
     `h` is NULL for a pair without any hypothesis.
     """
     pair_type = matches.schema["pair_id"].dataType.simpleString()
     cols = ["pair_id", "match_id", "x_b", "y_b", "x_a", "y_a"]
-    pooled = matches.select(*cols).selectExpr(
-        "*", "row_number() over (partition by pair_id order by xxhash64(match_id), match_id) as _r"
-    ).where(f"_r <= {pool}").drop("_r")
-    hyps = pooled.groupBy("pair_id").applyInPandas(_hypotheses(trials), f"pair_id {pair_type}, hs array<double>")
     sizes = matches.groupBy("pair_id").agg(expr("count(1) as n"))
-    sizes = sizes.selectExpr("pair_id", "n as n_matches", f"int(1 + (n - 1) div {chunk}) as _n")
+    sizes = cut(sizes.selectExpr("pair_id", "n as n_matches", f"int(1 + (n - 1) div {chunk}) as _n"))
     chunked = salted_join(matches.select(*cols), sizes.drop("n_matches"), ["pair_id"], ["match_id"]).selectExpr(
         *cols, "int(pmod(xxhash64(match_id), _n)) as _c"
     )
-    spread = hyps.join(sizes, "pair_id").selectExpr("pair_id as _bp", "hs", "explode(sequence(0, _n - 1)) as _bc")
+    numbered = cut(_numbered(matches, cols))
     key = pa.int32() if pair_type == "int" else pa.int64() if pair_type == "bigint" else pa.string()
     vote_schema = pa.schema([("pair_id", key), ("k", pa.int32()), ("h", pa.list_(pa.float64())), ("n", pa.int64())])
     sum_schema = pa.schema([("pair_id", key), ("s", pa.list_(pa.float64())), ("n", pa.int64())])
@@ -203,13 +224,21 @@ def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = 300
         pairs = pa.concat_arrays([hs.column("_bp").combine_chunks()[:1]] * len(h))
         return pa.Table.from_arrays([pairs, pa.array(np.arange(len(h)), pa.int32()), pa.array(list(h), pa.list_(pa.float64())), pa.array(n, pa.int64())], schema=vote_schema)
 
-    voted = chunked.groupBy("pair_id", "_c").cogroup(spread.groupBy("_bp", "_bc")).applyInArrow(
-        votes, f"pair_id {pair_type}, k int, h array<double>, n bigint"
-    )
-    best = (
-        voted.groupBy("pair_id", "k").agg(expr("sum(n) as n"), expr("first(h) as h"))
-        .groupBy("pair_id").agg(expr("max_by(h, struct(n, -k)) as _h0"))
-    )
+    def tally(hyps: DataFrame) -> DataFrame:
+        """Votes of all matches per hypothesis: (pair_id, n, h)."""
+        grouped = hyps.groupBy("pair_id", expr("_t div 512 as _g")).agg(expr("flatten(transform(array_sort(collect_list(struct(_t, h))), x -> x.h)) as hs"))
+        spread = grouped.join(sizes, "pair_id").selectExpr("pair_id as _bp", "_g as _bg", "hs", "explode(sequence(0, _n - 1)) as _bc")
+        met = chunked.join(grouped.select("pair_id", "_g"), "pair_id")
+        voted = met.groupBy("pair_id", "_g", "_c").cogroup(spread.groupBy("_bp", "_bg", "_bc")).applyInArrow(votes, f"pair_id {pair_type}, k int, h array<double>, n bigint")
+        return voted.groupBy("pair_id", "h").agg(expr("sum(n) as n"))
+
+    span = sizes.selectExpr("pair_id", "n_matches as n", "0 as _from", f"{min(trials, FIRST_TRIALS)} as _to")
+    first = cut(tally(_samples(numbered, span)))
+    share = first.groupBy("pair_id").agg(expr("max(n) as _most"))
+    clean = "pow(coalesce(_most, 0) / n_matches, 4)"  # chance of a sample of four inliers
+    needed = f"case when {clean} >= 1 then 0 when {clean} < 1e-6 then {trials} else least({trials}, ceil(ln({1 - CONFIDENCE:.6f}) / ln(1 - {clean}))) end"
+    more = sizes.join(share, "pair_id", "left").selectExpr("pair_id", "n_matches as n", f"{FIRST_TRIALS} as _from", f"int({needed}) as _to")
+    best = cut(first.unionByName(tally(_samples(numbered, more))).groupBy("pair_id").agg(expr("max_by(h, struct(n, h)) as _h0")))
 
     def normal(ms: pa.Table, hs: pa.Table) -> pa.Table:
         if not (ms.num_rows and hs.num_rows):

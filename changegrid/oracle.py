@@ -484,6 +484,9 @@ SELECT pair_id, g AS primary_matches, fg AS fallback_matches,
 add("fit_homography", MATCHES, """
 SELECT pair_id, max(g) AS h0, round(max(g) * 0.01, 3) AS h1, 10.0::DOUBLE AS h2, round(max(g) * -0.02, 3) AS h3, max(g) AS h4, 5.0::DOUBLE AS h5, 0.0::DOUBLE AS h6, 0.0::DOUBLE AS h7, 1.0::DOUBLE AS h8,
   count(*) AS n_matches, count(*) FILTER (off = 0) AS n_inliers FROM matches GROUP BY pair_id""")
+add("fit_homography_noisy", MATCHES, """
+SELECT pair_id, max(g) AS h0, round(max(g) * 0.01, 3) AS h1, 10.0::DOUBLE AS h2, round(max(g) * -0.02, 3) AS h3, max(g) AS h4, 5.0::DOUBLE AS h5, 0.0::DOUBLE AS h6, 0.0::DOUBLE AS h7, 1.0::DOUBLE AS h8,
+  count(*) AS n_matches, count(*) FILTER (match_id % 10 >= 7) AS n_inliers FROM matches GROUP BY pair_id""")
 add("reprojection_error", MATCHES, f"SELECT pair_id, n_inliers, {r6('error_px')} AS error_px FROM rep")
 add("registration_qc", MATCHES + """,
 qc AS (

@@ -62,7 +62,7 @@ def test_homography_is_recovered_despite_outliers_and_chunking(spark, chunk):
         a, b = _points(n, h, rng, outliers=out)
         rows += [(pair, i, *map(float, (*b[i], *a[i]))) for i in range(n)]
     m = spark.createDataFrame(rows, "pair_id int, match_id bigint, x_b double, y_b double, x_a double, y_a double")
-    got = {r.pair_id: r for r in rgs.fit_homography(m, chunk=chunk, pool=64).collect()}
+    got = {r.pair_id: r for r in rgs.fit_homography(m, chunk=chunk).collect()}
     assert np.allclose(np.reshape(got[1].h, (3, 3)), h, atol=1e-6) and (got[1].n_inliers, got[1].n_matches) == (320, 400)
     assert got[2].h is None and got[2].n_inliers == 0
 
