@@ -50,6 +50,10 @@ class PartEncoder:
         self.stops = IS_PUNCTUATION.copy()
         for token in self.tokenizer.get_added_tokens_decoder().values():
             self.stops[[*token.content.encode()]] = False  # special strings stay in one part
+        # Vocabularies that mark word ends: one text of many words tells where each word's ids end.
+        words = self.tokenizer.get_vocab() if drops_space else {}
+        self.ends_word = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -60,27 +64,44 @@ class PartEncoder:
         self.used = 0
 
     def _learn(self, parts: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, sizes = self._encode_parts(parts)
         at = len(self.known)
         while at + len(parts) > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
         while self.used + sizes.sum() > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         self.ids[self.used : self.used + len(flat)] = flat
         self.first[at : at + len(parts)] = self.used + np.cumsum(sizes) - sizes
         self.size[at : at + len(parts)] = sizes
         self.known.update(zip(parts, range(at, at + len(parts))))
         self.used += len(flat)
 
+    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, ids per part) straight from the library."""
+        if self.ends_word.any() and all(map(bytes.isalpha, parts)):
+            texts = [b" ".join(parts[i : i + 500]).decode() for i in range(0, len(parts), 500)]
+            flat = self._ids(texts)[0]
+            ends = np.flatnonzero(self.ends_word[flat]) + 1
+            if len(ends) == len(parts):
+                return flat, np.diff(ends, prepend=0)
+        return self._ids([p.decode() for p in parts])
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
     def _part_numbers(self, parts: list[bytes]) -> np.ndarray:
         """Cache slots of distinct parts; what is new is encoded."""
         if len(self.known) + len(parts) > self.cache_parts and self.known:
             self.clear()
         new = [p for p in parts if p not in self.known]
-        for i in range(0, len(new), 20_000):
-            self._learn(new[i : i + 20_000])
+        plain = [p for p in new if p.isalpha()] if self.drops_space else []
+        if plain:
+            new = [p for p in new if not p.isalpha()]
+        for some in (plain, new):
+            for i in range(0, len(some), 20_000):
+                self._learn(some[i : i + 20_000])
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

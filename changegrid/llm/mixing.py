@@ -49,18 +49,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, carry: tuple[str, ...] = ()
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0, carry: bool = False
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, *carry), one row per input row.
+    """(doc_id, source, size, source_size, target, taken), one row per input row.
 
     `size` is the number of words (null text: 0), `taken` the words the mix takes, repeats
     counted; it is at most max_epochs * size. Within a source, taken sums to the target rounded
     down. Null sources form one source; rows equal in doc_id are ordered by size, then by a hash
     of their text; repeated rows share what they get in any order; empty tables give no rows.
-    Only the columns of docs named in `carry` are kept, so other names cannot clash.
+    `carry` adds the whole input row as a struct `row`; other columns are not kept, so names cannot clash.
     """
     sized = docs.select(
-        "doc_id", "source", *carry,
+        "doc_id", "source", *([F.struct("*").alias("row")] if carry else []),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("_key"),
         F.xxhash64("text").alias("_tie"),
@@ -85,17 +85,18 @@ def mix(
     placed = (sized if carry else thin).withColumn("_range", in_range).withColumn("_inside", inside)
     joined = placed.join(budgets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_start_of")))
     last = "least(size, greatest(0L, _spare - _before - _inside))"
-    return joined.selectExpr("doc_id", "source", "size", "source_size", "target", f"_epochs * size + {last} as taken", *carry)
+    return joined.selectExpr("doc_id", "source", "size", "source_size", "target", f"_epochs * size + {last} as taken", *(["row"] if carry else []))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 0) -> DataFrame:
     """The mix as rows of `docs`: a document comes once per whole epoch it is taken for, and a last
     time with its first words where its source's budget ends inside it. Documents of which no
     word is taken are left out, those without words among them. n_chars, if there, follows the text."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    taken = mix(docs, weights, max_epochs, seed, carry).where("taken > 0")
-    copies = taken.selectExpr("*", "explode(sequence(1L, bigint(ceil(taken / size)))) as _copy")
-    first_words = f"regexp_extract(text, concat('^(?:[{SPACES}]*+[^{SPACES}]++){{', taken % size, '}}+'), 0)"
-    text = F.expr(f"if(_copy * size <= taken, text, {first_words})")
-    cols = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in carry else {})
-    return copies.select(*(cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns))
+    taken = mix(docs, weights, max_epochs, seed, carry=True).where("taken > 0")
+    copies = taken.selectExpr("*", "explode(sequence(1L, bigint(ceil(taken / size)))) as copy")
+    first_words = f"regexp_extract(row.text, concat('^(?:[{SPACES}]*+[^{SPACES}]++){{', taken % size, '}}+'), 0)"
+    cut_text = copies.selectExpr("row", f"if(copy * size <= taken, row.text, {first_words}) as text")
+    cols = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+    return cut_text.select(*(cols.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -186,6 +186,7 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BI
     """
     classes = near_duplicates(docs.select("doc_id", "text"), words, max_bits)
     kept = classes.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    stays = docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    ranked = stays.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))))
-    return ranked.where("_rank = 1").drop("_rank")
+    rows = docs.select(F.struct("*").alias("row"))
+    stays = rows.join(kept.distinct(), F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))
+    return stays.select("row", rank.alias("rank")).where("rank = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

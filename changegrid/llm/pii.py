@@ -160,13 +160,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, least_contexts: int = LE
     together = shown.select("entity", F.explode(_terms(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     together = cut(together.where(f"n_both >= {least_contexts}"))
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    n_texts = found.select("_tie").distinct().agg(F.count("*").alias("n_texts"))
+    n_texts = found.select("_tie").distinct().count()
     wanted = together.select("term").distinct()
     spread = (
         texts.select(F.xxhash64("text").alias("_tie"), F.explode(_terms(F.col("text"))).alias("term"))
         .join(wanted, "term", "left_semi").groupBy("term", "_tie").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_term"))
     )
-    judged = together.join(per_entity, "entity").join(entity_docs, "entity").join(spread, "term").crossJoin(n_texts)  # one row
+    judged = together.join(per_entity, "entity").join(entity_docs, "entity").join(spread, "term").withColumn("n_texts", F.lit(n_texts))
     share = F.log2((F.col("n_both") / F.col("n_contexts")) / (F.col("n_term") / F.col("n_texts"))) / F.greatest(F.log2(F.col("n_texts") / F.col("n_docs")), F.lit(1e-9))
     return judged.withColumn("share", share).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("gone"))
 
@@ -233,9 +233,9 @@ def sanitise(docs: DataFrame, **limits) -> DataFrame:
     )
     tail = F.expr("substring(text, array_max(transform(_spans, s -> s.end)) + 1)")
     new = changed.withColumn("_covered", covered).select(F.col("doc_id").alias("_doc"), F.col("_tie").alias("_h"), F.concat(F.array_join(parts, ""), tail).alias("_new"))
-    rows = docs.withColumn("_tie", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(cut(new), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_h")), "left")
-    cols = {"text": F.coalesce("_new", "text")}
+    rows = docs.select(F.struct("*").alias("row")).withColumn("tie", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    joined = rows.join(cut(new), F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_h")), "left")
+    cols = {"text": F.coalesce("_new", "row.text")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(F.col("_new").isNotNull(), F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*(cols[c].alias(c) if c in cols else F.col(c) for c in docs.columns))
+        cols["n_chars"] = F.when(F.col("_new").isNotNull(), F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.select(*(cols.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -149,26 +149,33 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, sample_rows: int =
     return Model(np.frombuffer(found[0].weights), found[0].bias, prior) if found else None
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, held_out: str, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, held_out, score, predicted, *carry), one row per input row.
-
-    Labels, language, source and doc_id are no inputs of a score. Null texts count as empty and
-    are scored; where nothing can be learned every score is 0.5; null doc_ids are not held out
-    and teach nothing; repeated rows stay; empty tables give no rows. Only the columns in `carry`
-    are kept.
-    """
+def _scored(docs: DataFrame, labels: DataFrame, held_out: str, sample_rows: int) -> DataFrame:
+    """(held_out, score, row): `row` is the whole input row, so no name can clash."""
     model = train(docs, labels, held_out, sample_rows)
-    rows = docs.selectExpr("doc_id", f"coalesce({held_out}, false) as held_out", "text", *(c for c in carry if c != "text"))
-    others = [c for c in carry]
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), rows.schema["held_out"], StructField("score", DoubleType()), *(docs.schema[c] for c in others)])
+    rows = docs.select(F.expr(f"coalesce({held_out}, false)").alias("held_out"), F.struct("*").alias("row"))
+    schema = StructType([rows.schema["held_out"], StructField("score", DoubleType()), rows.schema["row"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in T.slices(batch, step=2 << 20):
-                scores = np.full(piece.num_rows, 0.5) if model is None else model.score(features(*T.utf8(piece.column("text"))))
-                names = ["doc_id", "held_out", *others]
-                columns = [piece.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns[:2], pa.array(scores.astype(float)), *columns[2:]], ["doc_id", "held_out", "score", *others])
+                scores = np.full(piece.num_rows, 0.5) if model is None else model.score(features(*T.utf8(T.text_of(piece))))
+                yield pa.RecordBatch.from_arrays([piece.column("held_out"), pa.array(scores.astype(float)), piece.column("row")], ["held_out", "score", "row"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, held_out: str, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted), one row per input row.
+
+    Labels, language, source and doc_id are no inputs of a score. Null texts count as empty and
+    are scored; where nothing can be learned every score is 0.5; null doc_ids are not held out
+    and teach nothing; repeated rows stay; empty tables give no rows; extra columns are not kept.
+    """
+    scored = _scored(docs.select("doc_id", "text"), labels, held_out, sample_rows)
+    return scored.select("row.doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"))
+
 
-    scored = rows.mapInArrow(run, schema)
-    return scored.select("doc_id", "held_out", "score", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"), *others)
+def accepted(docs: DataFrame, labels: DataFrame, held_out: str, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, with all their columns."""
+    kept = _scored(docs, labels, held_out, sample_rows).where(F.col("score") >= threshold)
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -35,7 +35,7 @@ from changegrid.llm.encoding import encoder, tokenizer_path
 
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 4, 16384, 24
+ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 3, 16384, 24
 _SLOTS_LOG2 = 20
 _FIRST, _SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 

@@ -34,9 +34,14 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return everything[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+def text_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column, or the text field of a column `row` that holds whole rows."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
+def slices(batch: pa.RecordBatch, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds about `step` bytes of text, or one longer document."""
-    _, offsets = utf8(batch.column(column))
+    _, offsets = utf8(text_of(batch))
     first = 0
     while first < batch.num_rows:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + step, "right")) - 1)

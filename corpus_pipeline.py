@@ -17,9 +17,7 @@ from changegrid.plans.lineage import shared_folder
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; those it was not trained on included."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    carry = tuple(c for c in docs.columns if c != "doc_id")
-    return quality.score_quality(docs, labels, HELD_OUT, carry=carry).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), HELD_OUT)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
