@@ -334,6 +334,48 @@ def diff_concat(spark, sf):
     return _round(scoring.diff_features(raster(spark, sf)), "value_a", "value_b", "diff")
 
 
+# --- file listings --------------------------------------------------------------------------
+
+def _listing(spark, sf):
+    """Paths of an image archive with one file per document."""
+    suffix = "array('.tif', '.JP2', '.png', '.jpeg', '.txt', '.img', '.png')[doc_id % 7]"
+    split = "array('train', 'val', 'test')[doc_id % 3]"
+    side = "array('A', 'B', 'label')[n_chars % 3]"
+    return fx.table(spark, sf, "documents").selectExpr("doc_id", f"concat('/data/', source, '/', {split}, '/', {side}, '/', doc_id, if(doc_id % 2 = 0, '_A', '_B'), {suffix}) as path")
+
+
+@query
+def route_files(spark, sf):
+    return images.route_files(_listing(spark, sf))
+
+
+@query
+def image_ids(spark, sf):
+    return images.image_ids(_listing(spark, sf), "B")
+
+
+@query
+def split_layout(spark, sf):
+    return images.split_layout(_listing(spark, sf))
+
+
+@query
+def suffix_pairs(spark, sf):
+    return images.suffix_pairs(_listing(spark, sf))
+
+
+@query
+def wrap_features(spark, sf):
+    """Records with and without geometry; the feature is read back by path."""
+    records = fx.table(spark, sf, "documents").selectExpr(
+        "doc_id", "lang", "if(doc_id % 3 = 0, null, concat('{\"type\":\"Point\",\"coordinates\":[', doc_id % 180, ',', n_chars % 90, ']}')) as geometry"
+    )
+    part = lambda path, name: f"get_json_object(feature, '$.{path}') as {name}"
+    return det.wrap_features(records).selectExpr(
+        part("type", "type"), part("geometry.coordinates", "coordinates"), f"bigint(get_json_object(feature, '$.properties.doc_id')) as doc_id", part("properties.lang", "lang")
+    )
+
+
 # --- filters --------------------------------------------------------------------------------
 
 @query
@@ -435,6 +477,22 @@ def zonal_mean(spark, sf):
     return _round(out, "mean_confidence")
 
 
+@query
+def zonal_mean_blocked(spark, sf):
+    """Zones of eight pixels, so that windows have whole zones inside."""
+    scores = ras.pack_blocks(score_raster(spark, sf), 8, 8)
+    regions = reg.summarize_regions(labelled(spark, sf), MIN_AREA)
+    return _round(reg.region_confidence(regions, scores, scene_meta(spark, sf), 8, 8, zone_side=8), "mean_confidence")
+
+
+@query
+def zonal_mean_plain(spark, sf):
+    """Odd scenes have no geotransform and fall back on their mean."""
+    meta = scene_meta(spark, sf).withColumn("a", expr("if(scene_id % 2 = 1, null, a)"))
+    regions = reg.summarize_regions(labelled(spark, sf), MIN_AREA)
+    return _round(reg.region_confidence(regions, score_map(spark, sf), meta, fx.BLOCK_H, fx.COLS), "mean_confidence")
+
+
 @query
 def knn2(spark, sf):
     return _round(rgs.knn2(fx.descriptors(spark, sf)), "dist")
@@ -571,6 +629,20 @@ def regions(spark, sf):
     return _round(out, "centroid_row", "centroid_col").drop("h_edges", "v_edges")
 
 
+@query
+def regions_blocked(spark, sf):
+    """The same regions put together from blocks of eight pixels, two by two."""
+    labels = reg.label_components(mask(spark, sf), 8, block=8, fan=2)
+    return _round(reg.summarize_regions(labels, MIN_AREA), "centroid_row", "centroid_col").drop("h_edges", "v_edges")
+
+
+@query
+def empty_mask(spark, sf):
+    """No pixel passes: no region."""
+    none = prob(spark, sf).where(X.threshold("p", 2.0)).select("scene_id", "row", "col")
+    return reg.extract_regions(none, MIN_AREA).select("scene_id", "region_id", "pixel_count")
+
+
 @query
 def worst_samples(spark, sf):
     return _round(metrics.worst_samples(metrics.sample_f1(fx.predictions(spark, sf))), "f1")
@@ -704,9 +776,19 @@ def score_tiles(spark, sf):
 
 @query
 def learned_scorer(spark, sf):
-    features = scoring.diff_features(raster(spark, sf)).selectExpr("*", "int(diff > 60) as label")
-    model = scoring.learned_scorer(features)
-    return model.transform(features).selectExpr("scene_id", "band", "row", "col", "label", "int(prediction) as predicted")
+    """Changed pixels of the region table as labels; every fifth scene is held out."""
+    changed = labelled(spark, sf).selectExpr("scene_id", "row", "col", "1 as label")
+    bands = [f"max(if(band = {b}, diff, null)) as diff{b}" for b in range(fx.BANDS)]
+    features = cut(
+        scoring.diff_features(raster(spark, sf)).groupBy("scene_id", "row", "col").agg(*map(expr, bands))
+        .join(changed, ["scene_id", "row", "col"], "left").fillna({"label": 0})
+    )
+    model = scoring.learned_scorer(features.where("scene_id % 5 <> 0"), columns=[f"diff{b}" for b in range(fx.BANDS)])
+    judged = model.transform(features).selectExpr("if(scene_id % 5 = 0, 'held_out', 'train') as split", "label", "int(prediction) as predicted")
+    return judged.groupBy("split").agg(
+        expr("count(1) as n"), expr("sum(label) as changed"), expr("avg(if(label = predicted, 1D, 0D)) > 0.8 as accurate"),
+        expr("coalesce(avg(if(label = 1, double(predicted), null)), 1D) > 0.8 as finds_changes"),
+    )
 
 
 def _detect_query(spark, sf):
@@ -716,6 +798,13 @@ def _detect_query(spark, sf):
 QUERIES["detect_changes"] = _detect_query
 
 
+@query
+def detect_changes_blocked(spark, sf):
+    """The end-to-end plan with regions put together from small blocks."""
+    out = detect_changes(fx.raster_blocks(spark, sf), scene_meta(spark, sf), min_area_px=MIN_AREA, block=8, fan=2, **BLOCK)
+    return _round(out, *DETECTION_DOUBLES)
+
+
 @query
 def detect_changes_geometry(spark, sf):
     """The end-to-end plan with outlines; area and extent are measured on the outlines."""
@@ -749,15 +838,49 @@ def polygonize(spark, sf):
     )
 
 
+@query
+def polygonize_blocked(spark, sf):
+    """Outlines traced in blocks of eight pixels and joined."""
+    labels = reg.label_components(mask(spark, sf), 4, block=8, fan=2)
+    ring = "aggregate(sequence(0, size(r) - 2), 0D, (z, i) -> z + abs(r[i].x - r[i + 1].x) + abs(r[i].y - r[i + 1].y))"
+    return polygons.polygonize(labels, block=8, min_area_px=MIN_AREA).selectExpr(
+        "scene_id", "region_id", "bigint(area_px) as area_px", f"bigint(aggregate(flatten(polygons), 0D, (s, r) -> s + {ring})) as perimeter_px"
+    )
+
+
+@query
+def ring_validity(spark, sf):
+    """Outlines of 8-connected regions: closed, and no corner twice in a ring."""
+    out = polygons.polygonize(labelled(spark, sf, 8), min_area_px=MIN_AREA)
+    simple = "forall(flatten(polygons), r -> size(array_distinct(r)) = size(r) - 1)"
+    closed = "forall(flatten(polygons), r -> r[0] = r[size(r) - 1])"
+    return out.selectExpr("scene_id", "region_id", "bigint(area_px) as area_px", f"{simple} as simple", f"{closed} as closed")
+
+
 @query
 def simplify_rings(spark, sf):
-    out = polygons.simplify_rings(polygons.polygonize(labelled(spark, sf), min_area_px=MIN_AREA), 1.0)
-    return out.selectExpr("scene_id", "region_id", "size(flatten(flatten(polygons))) as n_points", "geometry_wkt")
+    """Simplified rings are closed, keep only corners of the outline, and add none."""
+    shapes = polygons.polygonize(labelled(spark, sf), min_area_px=MIN_AREA)
+    out = polygons.simplify_rings(shapes, 1.0).selectExpr("scene_id", "region_id", "polygons as simpler")
+    closed = "forall(flatten(simpler), r -> r[0] = r[size(r) - 1])"
+    points = "flatten(flatten({}))".format
+    return shapes.join(out, ["scene_id", "region_id"]).selectExpr(
+        "scene_id", "region_id", f"{closed} as closed", f"size(array_except({points('simpler')}, {points('polygons')})) = 0 as subset",
+        f"size({points('simpler')}) <= size({points('polygons')}) as fewer", "size(flatten(simpler)) = size(flatten(polygons)) as same_rings",
+    )
 
 
 @query
 def region_hull(spark, sf):
-    return polygons.region_hull(labelled(spark, sf), scene_meta(spark, sf), MIN_AREA).select("scene_id", "region_id", "pixel_count", "geometry_wkt")
+    """Hulls hold every pixel of their region and have only pixels as corners."""
+    hulls = polygons.region_hull(labelled(spark, sf), min_area_px=MIN_AREA).select("scene_id", "region_id", "pixel_count", "ring")
+    turn = "(ring[i + 1].x - ring[i].x) * (row - ring[i].y) - (ring[i + 1].y - ring[i].y) * (col - ring[i].x)"
+    sides = f"transform(sequence(0, size(ring) - 2), i -> {turn})"
+    pixels = labelled(spark, sf).join(hulls, ["scene_id", "region_id"]).selectExpr("scene_id", "region_id", "pixel_count", "row", "col", "ring", f"{sides} as turns")
+    return pixels.groupBy("scene_id", "region_id", "pixel_count").agg(
+        expr("bool_and(forall(turns, s -> s >= -1e-9)) or bool_and(forall(turns, s -> s <= 1e-9)) as inside"),
+        expr("count_if(exists(ring, q -> q.x = col and q.y = row)) = max(size(array_distinct(ring))) as corners_are_pixels"),
+    )
 
 
 # --- registration ---------------------------------------------------------------------------

@@ -315,6 +315,12 @@ SELECT a.scene_id, a.row, a.col, b.row AS n_row, b.col AS n_col FROM mask a JOIN
 add("zonal_mean", REG4 + CONF, "SELECT scene_id, region_id, round(mean_confidence, 6) + 0.0 AS mean_confidence, 'window' AS confidence_source FROM conf")
 
 
+SQL["zonal_mean_blocked"] = SQL["zonal_mean"]
+add("zonal_mean_plain", REG4 + CONF + ", means AS (SELECT scene_id, avg(p) AS scene_mean FROM prob GROUP BY scene_id)", """
+SELECT scene_id, region_id, round(CASE WHEN scene_id % 2 = 1 THEN scene_mean ELSE mean_confidence END, 6) + 0.0 AS mean_confidence,
+  CASE WHEN scene_id % 2 = 1 THEN 'scene' ELSE 'window' END AS confidence_source FROM conf JOIN means USING (scene_id)""")
+
+
 def knn(src: str) -> str:
     return f"""nn AS (
   SELECT a.pair_id, a.kp_id, b.kp_id AS t_id, sqrt(list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2]) ** 2))) AS dist
@@ -394,6 +400,8 @@ walk AS (
 SELECT run_id, stop AS stop_epoch, round(best, 6) + 0.0 AS accepted_best, waited FROM walk QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY epoch DESC) = 1""")
 add("regions", REG8, f"""
 SELECT scene_id, region_id, row_min, col_min, row_max, col_max, pixel_count, {r6('centroid_row')} AS centroid_row, {r6('centroid_col')} AS centroid_col FROM reg""")
+SQL["regions_blocked"] = SQL["regions"]
+add("empty_mask", REG4, "SELECT scene_id, region_id, pixel_count FROM reg WHERE false")
 add("worst_samples", SAMPLE, f"SELECT sample_id, tp, fp, fn, {r6('f1')} AS f1 FROM (SELECT * FROM sf ORDER BY f1, sample_id LIMIT 10)")
 add("detection_list", DET, f"""
 SELECT substr(detection_id, 1, 8) AS short_id, area_m2, coalesce(mean_confidence, 0) AS confidence, {COLOUR.format('mean_confidence')} AS colour
@@ -466,6 +474,32 @@ SELECT detection_id, scene_id, region_id, area_m2 AS outline_area, bbox_minx AS
 add("region_attributes", DET, f"""
 SELECT {DET_COLS.replace('detection_id, ', '').replace('mean_confidence, ', '').replace('area_m2', 'area_m2 * 100 AS area_m2').replace('perimeter_m', 'perimeter_m * 10 AS perimeter_m')} FROM det""")
 add("polygonize", REG4, "SELECT scene_id, region_id, pixel_count AS area_px, h_edges + v_edges AS perimeter_px FROM reg")
+SQL["polygonize_blocked"], SQL["detect_changes_blocked"] = SQL["polygonize"], SQL["detect_changes"]
+add("ring_validity", REG8, "SELECT scene_id, region_id, pixel_count AS area_px, TRUE AS simple, TRUE AS closed FROM reg")
+add("simplify_rings", REG4, "SELECT scene_id, region_id, TRUE AS closed, TRUE AS subset, TRUE AS fewer, TRUE AS same_rings FROM reg")
+# A hull needs pixels that are not on one line: the determinant of their scatter is not zero.
+add("region_hull", REG4, """
+SELECT scene_id, region_id, CAST(count(*) AS BIGINT) AS pixel_count, TRUE AS inside, TRUE AS corners_are_pixels FROM lab
+GROUP BY scene_id, region_id HAVING count(*) >= 4 AND
+  (count(*) * sum(row * row) - sum(row) * sum(row)) * (count(*) * sum(col * col) - sum(col) * sum(col)) - (count(*) * sum(row * col) - sum(row) * sum(col)) ** 2 <> 0""")
+add("learned_scorer", PROB, """
+SELECT CASE WHEN scene_id % 5 = 0 THEN 'held_out' ELSE 'train' END AS split, count(*) AS n, CAST(sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
+  TRUE AS accurate, TRUE AS finds_changes FROM prob GROUP BY 1""")
+
+# --- file listings --------------------------------------------------------------------------
+LISTING = """listing AS (
+  SELECT doc_id, '/data/' || source || '/' || ['train', 'val', 'test'][doc_id % 3 + 1] || '/' || ['A', 'B', 'label'][n_chars % 3 + 1] || '/' || doc_id
+    || CASE WHEN doc_id % 2 = 0 THEN '_A' ELSE '_B' END || ['.tif', '.JP2', '.png', '.jpeg', '.txt', '.img', '.png'][doc_id % 7 + 1] AS path,
+    lower(['.tif', '.JP2', '.png', '.jpeg', '.txt', '.img', '.png'][doc_id % 7 + 1]) AS suffix, n_chars FROM documents
+)"""
+add("route_files", LISTING, """
+SELECT path, suffix, CASE WHEN suffix IN ('.tif', '.jp2', '.img') THEN 'raster' WHEN suffix IN ('.png', '.jpeg') THEN 'plain' ELSE 'unsupported' END AS reader FROM listing""")
+add("image_ids", LISTING, "SELECT DISTINCT doc_id || CASE WHEN doc_id % 2 = 0 THEN '_A' ELSE '_B' END AS image_id FROM listing WHERE n_chars % 3 = 1 AND suffix = '.png'")
+add("split_layout", LISTING, """
+SELECT CASE WHEN count(DISTINCT doc_id % 3) FILTER (n_chars % 3 = 0) = 3 THEN 'presplit' WHEN count(*) FILTER (n_chars % 3 = 0) > 0 THEN 'flat' ELSE 'unknown' END AS layout FROM listing""")
+add("suffix_pairs", LISTING, "SELECT path, CAST(doc_id AS VARCHAR) AS image_id, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS side FROM listing")
+add("wrap_features", "", """
+SELECT 'Feature' AS type, '[' || doc_id % 180 || ',' || n_chars % 90 || ']' AS coordinates, doc_id, lang FROM documents WHERE doc_id % 3 <> 0""")
 
 # --- registration ---------------------------------------------------------------------------
 add("pair_match_status", f"""d0 AS (

@@ -2,7 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from changegrid.catalog import QUERIES
+from changegrid.oracle import SQL
 from tools.check_oracle import compare, connect
 
 
@@ -11,10 +13,10 @@ def con(sf):
     return connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, sf, con, name):
-    got = queries()[name](spark, sf)
-    sql = oracle_sql().get(name)
+    got = QUERIES[name](spark, sf)
+    sql = SQL.get(name)
     if sql is None:
         assert got.count() > 0
     else:
@@ -22,7 +24,7 @@ def test_query_matches_sql(spark, sf, con, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(oracle_sql()) <= set(queries())
+    assert set(SQL) <= set(QUERIES)
 
 
 def test_entry_has_rows_and_a_stable_schema(spark):
