@@ -9,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder from `spark.checkpoint.dir`.
+    """This run's folder below `spark.checkpoint.dir`, which all executors share.
 
-    A scratch folder is made only in local mode (tests, laptops) when the session names none;
-    on a cluster a missing setting is an error, since executors share no local folder.
+    Where the session names none, local mode makes one; a cluster has to be told.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = folder or spark.sparkContext.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="changegrid-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+        folder = spark.sparkContext.getCheckpointDir()
+    return f"{folder.rstrip('/')}/run-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this run's intermediate tables; results that still read them must be written first."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:

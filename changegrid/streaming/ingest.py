@@ -7,6 +7,7 @@ replayed after a lost driver replaces its own output instead of adding to it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import expr, lit
@@ -16,6 +17,7 @@ from pyspark.sql.utils import AnalysisException
 from changegrid.operators.detections import stats
 from changegrid.sources.detections import complete
 
+MAX_HALVINGS = 24
 MANIFEST_SCHEMA = "pair_id long, scene_id int, submitted_at timestamp"
 
 
@@ -44,28 +46,53 @@ def run_detection(
     out: str,
     checkpoint: str,
     trigger: dict | None = None,
+    attempts: int = 3,
 ) -> StreamingQuery:
     """Detect changes for the pairs of each micro-batch and append them to `out`.
 
-    `detect` maps a batch of manifest rows to detection rows. A failing batch is logged with
-    its message and does not stop the stream. Output: `out/detections`, `out/log`, both
+    `detect` maps a batch of manifest rows to detection rows. A failing batch is halved by a hash
+    of its pairs until the failing pairs stand alone; those are logged with their message, all
+    others are stored. Failed pairs of earlier batches are tried again with the next batch, up to
+    `attempts` times. Output: `out/detections`, `out/log` (a row per pair and attempt), both
     partitioned by batch_id.
     """
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        part = f"batch_id={batch_id}"
+    def store(rows: DataFrame, part: str, batch: DataFrame, batch_id: int) -> None:
+        rows = complete(rows)
+        if batch_id > 0:  # a scene that comes again adds only what is new; other scenes are not read
+            earlier = _earlier_ids(batch, out, batch_id)
+            rows = rows if earlier is None else rows.join(earlier, "detection_id", "left_anti")
+        rows.write.mode("overwrite").parquet(f"{out}/detections/{part}")
+
+    def attempt(pairs: DataFrame, batch_id: int, depth: int, slot: int) -> list[tuple[DataFrame, str]]:
+        """Store what can be stored; the failing parts of `pairs` with their messages."""
+        part = f"batch_id={batch_id}/part={depth}-{slot}"
         try:
-            rows = complete(detect(batch))
-            if batch_id > 0:  # a scene that comes again adds only what is new
-                earlier = _earlier_ids(batch.sparkSession, out, batch_id)
-                rows = rows if earlier is None else rows.join(earlier, "detection_id", "left_anti")
-            rows.write.mode("overwrite").parquet(f"{out}/detections/{part}")
-            status, message = "complete", ""
-        except Exception as e:  # the job log carries the reason, as a status query expects
-            status, message = "failed", str(e)[:2000]
-        batch.select("pair_id", "scene_id").withColumns(
-            {"status": expr(f"'{status}'"), "message": lit(message), "finished_at": expr("current_timestamp()")}
-        ).write.mode("overwrite").parquet(f"{out}/log/{part}")
+            store(detect(pairs), part, pairs, batch_id)
+            return [(pairs, "")]
+        except Exception as e:
+            if depth >= MAX_HALVINGS or pairs.select("pair_id").distinct().count() <= 1:
+                return [(pairs, str(e)[:2000] or type(e).__name__)]
+        found = []
+        for side in (0, 1):
+            half = pairs.where(f"shiftrightunsigned(xxhash64(pair_id), {depth}) & 1 = {side}")
+            if not half.isEmpty():
+                found += attempt(half, batch_id, depth + 1, slot * 2 + side)
+        return found
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        pairs = batch.select("pair_id", "scene_id", lit(1).alias("attempt"))
+        again = _failed_pairs(batch.sparkSession, out, batch_id, attempts)
+        if again is not None:
+            pairs = pairs.unionByName(again.join(pairs.select("pair_id"), "pair_id", "left_anti"))
+        done = attempt(pairs, batch_id, 0, 0)
+        logs = [
+            p.select("pair_id", "scene_id", "attempt").withColumns(
+                {"status": lit("failed" if message else "complete"), "message": lit(message), "finished_at": expr("current_timestamp()")}
+            )
+            for p, message in done
+        ]
+        reduce(DataFrame.unionByName, logs).write.mode("overwrite").parquet(f"{out}/log/batch_id={batch_id}")
 
     return (
         manifest.writeStream.foreachBatch(process)
@@ -75,22 +102,39 @@ def run_detection(
     )
 
 
-def _earlier_ids(spark: SparkSession, out: str, batch_id: int) -> DataFrame | None:
-    """Ids written by earlier batches; the batch's own folder is left out, so replays repeat."""
+def _read(spark: SparkSession, path: str, **options) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{out}/detections").where(f"batch_id < {batch_id}").select("detection_id")
+        return spark.read.options(**options).parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
+def _earlier_ids(batch: DataFrame, out: str, batch_id: int) -> DataFrame | None:
+    """Ids that earlier batches wrote for the scenes of this batch; its own folder is left out, so replays repeat."""
+    stored = _read(batch.sparkSession, f"{out}/detections")
+    if stored is None:
+        return None
+    scenes = batch.select("scene_id").distinct()
+    return stored.where(f"batch_id < {batch_id}").select("scene_id", "detection_id").join(scenes, "scene_id", "left_semi").select("detection_id")
+
+
+def _failed_pairs(spark: SparkSession, out: str, batch_id: int, attempts: int) -> DataFrame | None:
+    """Pairs whose last attempt in earlier batches failed, with their next attempt's number."""
+    log = _read(spark, f"{out}/log")
+    if log is None:
+        return None
+    last = log.where(f"batch_id < {batch_id}").groupBy("pair_id").agg(expr("max_by(struct(status, scene_id, attempt), batch_id) as s"))
+    return last.where(f"s.status = 'failed' and s.attempt < {attempts}").selectExpr("pair_id", "s.scene_id", "s.attempt + 1 as attempt")
+
+
 def read_log(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.parquet(f"{out}/log")
 
 
 def read_stream_detections(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{out}/detections").drop("batch_id")
+    return spark.read.option("mergeSchema", "true").parquet(f"{out}/detections").drop("batch_id", "part")
 
 
 def live_totals(detections: DataFrame) -> DataFrame:

@@ -174,6 +174,26 @@ def test_a_failing_batch_is_logged_and_passed(spark, tmp_path):
     assert row.status == "failed" and "no such image" in row.message
 
 
+def test_one_broken_pair_fails_alone_and_is_tried_again(spark, one, tmp_path):
+    at = "timestamp'2024-01-01 00:00:00' as submitted_at"
+    spark.sql(f"select id as pair_id, int(id) as scene_id, {at} from range(6)").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out, healed = str(tmp_path / "out"), []
+
+    def detect(batch):
+        if not healed and batch.where("pair_id = 3").count():
+            raise RuntimeError("no such image")
+        return batch.selectExpr("string(pair_id) as detection_id", "scene_id", "1D as area_m2")
+
+    ingest.run_detection(ingest.read_manifest(spark, str(tmp_path / "in")), detect, out, out + "-c").awaitTermination()
+    assert {r.pair_id for r in ingest.read_log(spark, out).where("status = 'failed'").collect()} == {3}
+    assert ingest.read_stream_detections(spark, out).count() == 5
+    healed.append(True)
+    spark.sql(f"select 9L as pair_id, 9 as scene_id, {at}").write.mode("append").parquet(str(tmp_path / "in"))
+    ingest.run_detection(ingest.read_manifest(spark, str(tmp_path / "in")), detect, out, out + "-c").awaitTermination()
+    assert {r.detection_id for r in ingest.read_stream_detections(spark, out).collect()} == {*"0123459"}
+    assert ingest.read_log(spark, out).where("pair_id = 3 and attempt = 2 and status = 'complete'").count() == 1
+
+
 def test_stream_dedup_and_totals(spark, sf, tmp_path, one):
     m = fx.manifest(spark, sf).selectExpr("pair_id", "scene_id", "cast(submitted_at as timestamp) as submitted_at")
     m.coalesce(1).write.parquet(str(tmp_path / "in"))
