@@ -64,39 +64,43 @@ def group_quantiles(
             hi.append(f"when _n >= {least} then {'_max' if p + m >= 1 else f'_e[{at + 1}]'}")
         bracket = f"case {' '.join(lo)} else _min end as lo, case {' '.join(hi)} else _max end as hi"
         marks.append(f"struct({i} as i, {num(p)} * (_n - 1) as pos, {bracket})")
-    sketch = cut(sketch.selectExpr(*keys, "_max", f"array({', '.join(marks)}) as _marks"))
+    sketch = cut(sketch.selectExpr(*keys, "_min", "_max", f"array({', '.join(marks)}) as _marks"))
 
     slim = df.where(f"{value} is not null").select(*dict.fromkeys([*keys, *spread, value]))
-    joined = salted_join(slim, sketch, keys, spread)
-    if packed:
-        joined = joined.selectExpr(*keys, "_max", "_marks", f"explode({value}) as {value}").where(f"{value} is not null")
-    counted = (
-        joined.selectExpr(*keys, "_max", f"{value} as _v", "explode(_marks) as _m")
-        .where("_v <= _m.hi")
-        .selectExpr(*keys, "_max", "_m.i as _i", "_m.pos as _pos", "if(_v >= _m.lo, _v, null) as _v")
-        .groupBy(*keys, "_max", "_i", "_pos", "_v")
-        .agg(*_exprs("count(1) as _c"))
-    )
-    ranked = counted.repartition(*keys).selectExpr(
-        "*", f"sum(_c) over (partition by {by}, _i order by _v asc nulls first rows unbounded preceding) as _cum"
-    )
-    picked = ranked.groupBy(*keys, "_max", "_i", "_pos").agg(
-        *_exprs(
-            "min(if(_v is not null and _cum > floor(_pos), _v, null)) as _lo",
-            "min(if(_v is not null and _cum > ceil(_pos), _v, null)) as _hi",
-            "coalesce(sum(if(_v is null, _c, 0)), 0) as _below",
+
+    def resolve(brackets: DataFrame) -> DataFrame:
+        """(keys, _max, _i, _q): the quantile inside each bracket, null where its rank lies outside."""
+        joined = salted_join(slim, brackets, keys, spread)
+        if packed:
+            joined = joined.selectExpr(*keys, "_max", "_marks", f"explode({value}) as {value}").where(f"{value} is not null")
+        counted = (
+            joined.selectExpr(*keys, "_max", f"{value} as _v", "explode(_marks) as _m")
+            .where("_v <= _m.hi")
+            .selectExpr(*keys, "_max", "_m.i as _i", "_m.pos as _pos", "if(_v >= _m.lo, _v, null) as _v")
+            .groupBy(*keys, "_max", "_i", "_pos", "_v")
+            .agg(*_exprs("count(1) as _c"))
         )
-    )
-    # A bracket that misses its rank would be a wrong answer, so it stops the job instead.
-    q = (
-        "if(_below > floor(_pos) or _lo is null or _hi is null,"
-        " double(raise_error('quantile bracket missed its rank; raise accuracy')),"
-        " _lo + (_hi - _lo) * (_pos - floor(_pos)))"
-    )
+        ranked = counted.repartition(*keys).selectExpr(
+            "*", f"sum(_c) over (partition by {by}, _i order by _v asc nulls first rows unbounded preceding) as _cum"
+        )
+        picked = ranked.groupBy(*keys, "_max", "_i", "_pos").agg(
+            *_exprs(
+                "min(if(_v is not null and _cum > floor(_pos), _v, null)) as _lo",
+                "min(if(_v is not null and _cum > ceil(_pos), _v, null)) as _hi",
+                "coalesce(sum(if(_v is null, _c, 0)), 0) as _below",
+            )
+        )
+        missed = "_below > floor(_pos) or _lo is null or _hi is null"
+        return picked.selectExpr(*keys, "_max", "_i", f"if({missed}, null, _lo + (_hi - _lo) * (_pos - floor(_pos))) as _q")
+
+    found = cut(resolve(sketch))
+    open_ = found.where("_q is null").select(*keys, "_i")
+    if not open_.isEmpty():  # a sketch that erred: those groups are ranked over all their values
+        wide = "transform(_marks, m -> struct(m.i as i, m.pos as pos, _min as lo, _max as hi))"
+        again = resolve(sketch.join(open_.select(*keys).distinct(), keys, "left_semi").selectExpr(*keys, "_min", "_max", f"{wide} as _marks"))
+        found = found.where("_q is not null").unionByName(again.join(open_, [*keys, "_i"], "left_semi"))
     return cut(
-        picked.selectExpr(*keys, "_max", "_i", f"{q} as _q")
-        .groupBy(*keys)
-        .agg(*_exprs(*[f"max(if(_i = {i}, _q, null)) as {n}" for i, n in enumerate(names)], "max(_max) as vmax"))
+        found.groupBy(*keys).agg(*_exprs(*[f"max(if(_i = {i}, _q, null)) as {n}" for i, n in enumerate(names)], "max(_max) as vmax"))
     )
 
 

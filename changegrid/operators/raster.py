@@ -24,21 +24,24 @@ def block_pixels(blocks: DataFrame, block_h: int, block_w: int) -> DataFrame:
 
 
 def pack_blocks(
-    pixels: DataFrame, block_h: int, block_w: int, keys: Sequence[str] = ("scene_id", "t", "band"), value: str = "value"
+    pixels: DataFrame, block_h: int, block_w: int, keys: Sequence[str] = ("scene_id", "t", "band"), value: str = "value", fill: str = "null"
 ) -> DataFrame:
-    """One row per block from dense pixels; a group holds one block."""
+    """One row per block; a group holds one block. Pixels are placed by position, absent ones are `fill`."""
+    place = f"int(pmod(row, {block_h}) * {block_w} + pmod(col, {block_w}))"
     placed = pixels.selectExpr(
-        *keys, f"int(floor(row / {block_h})) as block_row", f"int(floor(col / {block_w})) as block_col",
-        "row", "col", f"struct(row, col, {value} as v) as _px",
+        *keys, f"int(floor(row / {block_h})) as block_row", f"int(floor(col / {block_w})) as block_col", "row", "col", f"struct({place} as i, {value} as v) as _px"
     )
     return (
         placed.groupBy(*keys, "block_row", "block_col")
         .agg(
-            expr("int(max(row) - min(row) + 1) as h"),
-            expr("int(max(col) - min(col) + 1) as w"),
-            expr("array_sort(collect_list(_px)) as _px"),
+            expr(f"int(max(pmod(row, {block_h})) + 1) as h"),
+            expr(f"int(max(pmod(col, {block_w})) + 1) as w"),
+            expr("map_from_entries(collect_list(_px)) as _px"),
+        )
+        .selectExpr(
+            *keys, "block_row", "block_col", "h", "w",
+            f"transform(sequence(0, h * w - 1), i -> coalesce(try_element_at(_px, int(i div w * {block_w} + i % w)), {fill})) as data",
         )
-        .selectExpr(*keys, "block_row", "block_col", "h", "w", "transform(_px, p -> p.v) as data")
     )
 
 

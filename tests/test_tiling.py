@@ -98,3 +98,12 @@ def test_flat_band_divides_by_its_maximum_and_nodata_is_left_out(spark, pixels,
     zero = pixels(np.arange(4.0).reshape(2, 2))
     zmeta = meta_of([(0, 2, 2)]).selectExpr("scene_id", "0D as nodata")
     assert ras.valid_pixels(zero, zmeta).count() == 3 and ras.valid_pixels(zero, zmeta, compat_nodata=True).count() == 4
+
+
+def test_blocks_place_pixels_by_position(spark, pixels):
+    px = pixels(np.arange(30).reshape(5, 6), t="A", band=0)
+    holes = px.where("not (row = 0 and col = 1) and not (row = 4 and col = 5)")
+    back = ras.block_pixels(ras.pack_blocks(holes, 3, 4, fill="-1D"), 3, 4)
+    assert {(r.row, r.col): r.value for r in back.collect() if r.value >= 0} == {(r.row, r.col): r.value for r in holes.collect()}
+    whole = ras.block_pixels(ras.pack_blocks(px, 3, 4), 3, 4)
+    assert sorted((r.row, r.col, r.value) for r in whole.collect()) == sorted((r.row, r.col, r.value) for r in px.collect())
