@@ -5,6 +5,7 @@ Each query takes (spark, sf_dir) and returns a DataFrame over the whole table it
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +17,8 @@ from changegrid.functions import geometry as geo
 from changegrid.functions.expr import r6
 from changegrid.operators import augment, dataset, detections as det, metrics, polygons, raster as ras
 from changegrid.operators import regions as reg, registration as rgs, runlog, scoring, tiling
-from changegrid.plans.change_detection import DETECTION_ID, detect_changes
-from changegrid.plans.lineage import cut
+from changegrid.plans.change_detection import DETECTION_ID, detect_changes, detect_changes_aligned
+from changegrid.plans.lineage import cut, shared_folder
 from changegrid.sources import images
 from changegrid.sources import detections as store
 from changegrid.sources import rasters
@@ -805,6 +806,17 @@ def detect_changes_blocked(spark, sf):
     return _round(out, *DETECTION_DOUBLES)
 
 
+@query
+def detect_changes_full(spark, sf):
+    """Aligned, tiled, scored by a model, stitched and stored: what a user runs on new scenes."""
+    found = detect_changes_aligned(
+        raster_blocks(spark, sf), scene_meta(spark, sf), _registrations(spark, sf), fx.BLOCK_H, fx.COLS, _ratio_model, TILE, OVERLAP, min_area_px=MIN_AREA
+    )
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store.insert(found, path, dedup=True, default_epsg=32633)
+    return _round(store.read_detections(spark, path).drop("created_at"), *DETECTION_DOUBLES)
+
+
 @query
 def detect_changes_geometry(spark, sf):
     """The end-to-end plan with outlines; area and extent are measured on the outlines."""

@@ -76,7 +76,7 @@ def score_tiles(
 
     predict = predict_batch_udf(
         make_predict,
-        return_type=T.ArrayType(T.FloatType()),
+        return_type=T.ArrayType(T.DoubleType()),
         batch_size=batch_size,
         input_tensor_shapes=[[tile_px]] * len(inputs),
     )

@@ -55,9 +55,32 @@ prob AS MATERIALIZED (
 mask AS MATERIALIZED (SELECT scene_id, row, col, row::BIGINT * 2147483648 + col AS k FROM prob WHERE p > 0.5)"""
 
 
-def _labels(connectivity: int) -> str:
+# Date B on the grid of date A: every third scene stays as it is.
+WARPED = """
+pos AS (
+  SELECT r.scene_id, r.band, r.row, r.col, r.value AS value_a, m.height, m.width,
+    CASE WHEN r.scene_id % 3 = 1 THEN r.col ELSE ((r.col - 1.5) - 0.01 * (r.row - 0.5)) / 1.0002 END::DOUBLE AS x,
+    CASE WHEN r.scene_id % 3 = 1 THEN r.row ELSE ((r.row - 0.5) + 0.02 * (r.col - 1.5)) / 1.0002 END::DOUBLE AS y
+  FROM raster r JOIN meta m USING (scene_id) WHERE t = 'A'
+),
+cl AS (SELECT *, least(greatest(x, 0), width - 1) AS sx, least(greatest(y, 0), height - 1) AS sy FROM pos)"""
+
+# The blending window is zero on its rim: pixels that only rims of tiles cover score 0.
+PROB_FULL = RASTER + "," + WARPED + """,
+warped AS (
+  SELECT c.scene_id, c.band, c.row, c.col, any_value(c.value_a) AS value_a, sum((1 - abs(sx - b.col)) * (1 - abs(sy - b.row)) * b.value) AS value_b
+  FROM cl c JOIN raster b ON b.t = 'B' AND b.scene_id = c.scene_id AND b.band = c.band AND b.row IN (floor(sy), floor(sy) + 1) AND b.col IN (floor(sx), floor(sx) + 1) GROUP BY ALL
+),
+prob AS MATERIALIZED (
+  SELECT scene_id, row, col, CASE WHEN row = 0 OR col = 0 OR (row = height - 1 AND (height - 16) % 12 = 0) OR (col = width - 1 AND (width - 16) % 12 = 0) THEN 0
+    ELSE avg(abs(value_b - value_a) / (1 + abs(value_b - value_a))) END AS p
+  FROM warped JOIN meta USING (scene_id) GROUP BY scene_id, row, col, height, width),
+mask AS MATERIALIZED (SELECT scene_id, row, col, row::BIGINT * 2147483648 + col AS k FROM prob WHERE p > 0.5)"""
+
+
+def _labels(connectivity: int, prob: str = PROB) -> str:
     extra = "AND abs(m.row - r.row) + abs(m.col - r.col) = 1" if connectivity == 4 else ""
-    body = PROB.replace("\nscenes AS", "RECURSIVE scenes AS", 1)
+    body = prob.replace("\nscenes AS", "RECURSIVE scenes AS", 1)
     return body + f""",
 reach AS (
   SELECT scene_id, row, col, k, k AS lab FROM mask
@@ -90,7 +113,7 @@ conf AS (
   GROUP BY ALL
 )"""
 
-DET = REG4 + CONF + """,
+DETECTED = CONF + """,
 det AS MATERIALIZED (
   SELECT sha256(concat_ws(':', r.scene_id, r.region_id, m.t_a, m.t_b)) AS detection_id, r.scene_id, r.region_id, r.pixel_count,
     r.pixel_count * 100.0::DOUBLE AS area_m2,
@@ -100,6 +123,7 @@ det AS MATERIALIZED (
     (r.h_edges + r.v_edges) * 10.0::DOUBLE AS perimeter_m, round(c.mean_confidence, 6) + 0.0 AS mean_confidence, m.t_a AS timestamp_a, m.t_b AS timestamp_b
   FROM reg r JOIN meta m USING (scene_id) JOIN conf c USING (scene_id, region_id)
 )"""
+DET = REG4 + DETECTED
 
 
 def r6(x: str) -> str:
@@ -469,6 +493,8 @@ SELECT a.scene_id, a.band, a.tile_row, a.tile_col, round(avg(abs(a.value - b.val
 FROM tl a JOIN tl b ON a.scene_id = b.scene_id AND a.band = b.band AND a.tile_row = b.tile_row AND a.tile_col = b.tile_col AND a.i = b.i AND a.j = b.j
 WHERE a.t = 'A' AND b.t = 'B' GROUP BY ALL""")
 add("detect_changes", DET, f"SELECT {DET_COLS} FROM det")
+FULL_COLS = ", ".join(c for c in DET_COLS.split(", ") if c != "pixel_count")
+add("detect_changes_full", _labels(4, PROB_FULL) + DETECTED, f"SELECT {FULL_COLS}, pixel_count, 32633 AS epsg FROM det")
 add("detect_changes_geometry", DET, """
 SELECT detection_id, scene_id, region_id, area_m2 AS outline_area, bbox_minx AS minx, bbox_maxy AS maxy, TRUE AS is_polygon FROM det""")
 add("region_attributes", DET, f"""
@@ -532,14 +558,7 @@ rs AS (
 )""", f"""
 SELECT pair_id, {r6('error_px')} AS error_px, n_inliers, {r6('det')} AS det, reason, reason = 'ok' AS valid, CASE WHEN reason = 'ok' THEN {r6('error_px')} END AS out_error_px,
   CASE WHEN reason = 'ok' THEN n_inliers ELSE 0 END AS out_inliers, reason = 'ok' AND error_px < 5 AND n_inliers >= 10 AS success FROM rs""")
-add("warp_bilinear", RASTER + """,
-pos AS (
-  SELECT r.scene_id, r.band, r.row, r.col, m.height, m.width,
-    CASE WHEN r.scene_id % 3 = 1 THEN r.col ELSE ((r.col - 1.5) - 0.01 * (r.row - 0.5)) / 1.0002 END::DOUBLE AS x,
-    CASE WHEN r.scene_id % 3 = 1 THEN r.row ELSE ((r.row - 0.5) + 0.02 * (r.col - 1.5)) / 1.0002 END::DOUBLE AS y
-  FROM raster r JOIN meta m USING (scene_id) WHERE t = 'A'
-),
-cl AS (SELECT *, least(greatest(x, 0), width - 1) AS sx, least(greatest(y, 0), height - 1) AS sy FROM pos)""", f"""
+add("warp_bilinear", RASTER + "," + WARPED, f"""
 SELECT c.scene_id, c.band, c.row, c.col, {r6('sum((1 - abs(sx - b.col)) * (1 - abs(sy - b.row)) * b.value)')} AS value
 FROM cl c JOIN raster b ON b.t = 'B' AND b.scene_id = c.scene_id AND b.band = c.band AND b.row IN (floor(sy), floor(sy) + 1) AND b.col IN (floor(sx), floor(sx) + 1) GROUP BY ALL""")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
+from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
 from changegrid.operators.polygons import polygonize, simplify_rings
 from changegrid.operators.regions import label_components, region_attributes, region_confidence, summarize_regions
-from changegrid.operators.scoring import score_blocks, score_pixels
+from changegrid.operators.registration import warp_blocks
+from changegrid.operators.scoring import score_blocks, score_pixels, score_tiles
+from changegrid.operators.tiling import split_blocks, stitch_blocks, tile_pairs
 from changegrid.plans.lineage import cut
 
 DETECTION_COLUMNS = (
@@ -69,3 +74,36 @@ def detect_changes(
 ) -> DataFrame:
     """Score -> threshold -> regions -> attributes over every scene pair in `blocks`."""
     return detections_from_scores(score_blocks(blocks, n_bands), meta, block_h, block_w, **options)
+
+
+def detect_changes_aligned(
+    blocks: DataFrame,
+    meta: DataFrame,
+    registrations: DataFrame,
+    block_h: int,
+    block_w: int,
+    make_predict: Callable,
+    tile: int = 256,
+    overlap: int = 32,
+    **options,
+) -> DataFrame:
+    """Align -> tile -> score by a model -> stitch -> threshold -> regions -> attributes.
+
+    Date B is resampled by its scene's homography; a scene without one keeps B as it is. The
+    model scores tile pairs band by band; a pixel's score is the mean over its bands.
+    `make_predict` is as for `score_tiles`. Everything stays in arrays up to the score map,
+    which is stored once.
+    """
+    a, b = blocks.where("t = 'A'"), blocks.where("t = 'B'")
+    grid = a.select("scene_id", "block_row", "block_col", "h", "w").distinct()
+    moved = warp_blocks(grid, b, registrations, meta, block_h, block_w)
+    aligned = a.unionByName(moved.selectExpr("scene_id", "'B' as t", "band", "block_row", "block_col", "h", "w", "data"))
+    tiles = split_blocks(aligned, meta, block_h, block_w, tile, overlap)
+    scored = score_tiles(tile_pairs(tiles), make_predict, tile * tile)
+    # A group holds one array per band.
+    mean = "transform(aggregate(slice(d, 2, size(d)), d[0], (s, x) -> zip_with(s, x, (p, q) -> p + q)), v -> v / size(d))"
+    merged = scored.groupBy("scene_id", "tile_row", "tile_col").agg(expr("array_sort(collect_list(struct(band, prob))) as d")).selectExpr(
+        "scene_id", "tile_row", "tile_col", "transform(d, x -> x.prob) as d"
+    ).selectExpr("scene_id", "tile_row", "tile_col", f"{mean} as data")
+    stride = tile - overlap
+    return detections_from_scores(cut(stitch_blocks(merged, meta, tile, overlap)), meta, stride, stride, **options)

@@ -19,14 +19,18 @@ def salted_join(
 ) -> DataFrame:
     """Join a big table to a per-key table without sending a hot key to one task.
 
-    `spread` names columns of `big` that vary inside a hot key (pixel coordinates, row ids).
-    They choose one of `salts` sub-keys; `small` carries a copy of its row per sub-key.
-    There is no broadcast hint: when the optimiser knows `small` is below its broadcast
-    threshold it broadcasts and the salt costs nothing, otherwise both sides shuffle evenly.
-    Only `inner` and `left` keep exactly one match per big row under replication.
+    With adaptive execution this is a plain join: a `small` below the broadcast threshold is
+    broadcast at its true size, and otherwise the partitions of a hot key are split at run time.
+    Without it, `spread` names columns of `big` that vary inside a hot key (pixel coordinates, row
+    ids); they choose one of `salts` sub-keys, `small` carries a copy of its row per sub-key, and
+    both sides shuffle, so the copies are never broadcast. Only `inner` and `left` keep exactly
+    one match per big row under replication.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_join supports inner and left, got {how!r}")
+    conf = big.sparkSession.conf
+    if conf.get("spark.sql.adaptive.enabled") == "true" and conf.get("spark.sql.adaptive.skewJoin.enabled") == "true":
+        return big.join(small, list(on), how)
     left = big.selectExpr("*", f"int(pmod(xxhash64({', '.join(spread)}), {salts})) as _salt")
     right = small.selectExpr("*", f"explode(sequence(0, {salts - 1})) as _salt")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [*on, "_salt"], how).drop("_salt")
