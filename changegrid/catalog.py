@@ -777,15 +777,15 @@ def score_tiles(spark, sf):
 
 @query
 def learned_scorer(spark, sf):
-    """Changed pixels of the region table as labels; every fifth scene is held out."""
+    """Changed pixels of the region table as labels; every fifth line is held out."""
     changed = labelled(spark, sf).selectExpr("scene_id", "row", "col", "1 as label")
     bands = [f"max(if(band = {b}, diff, null)) as diff{b}" for b in range(fx.BANDS)]
     features = cut(
         scoring.diff_features(raster(spark, sf)).groupBy("scene_id", "row", "col").agg(*map(expr, bands))
         .join(changed, ["scene_id", "row", "col"], "left").fillna({"label": 0})
     )
-    model = scoring.learned_scorer(features.where("scene_id % 5 <> 0"), columns=[f"diff{b}" for b in range(fx.BANDS)])
-    judged = model.transform(features).selectExpr("if(scene_id % 5 = 0, 'held_out', 'train') as split", "label", "int(prediction) as predicted")
+    model = scoring.learned_scorer(features.where("(scene_id + row) % 5 <> 0"), columns=[f"diff{b}" for b in range(fx.BANDS)])
+    judged = model.transform(features).selectExpr("if((scene_id + row) % 5 = 0, 'held_out', 'train') as split", "label", "int(prediction) as predicted")
     return judged.groupBy("split").agg(
         expr("count(1) as n"), expr("sum(label) as changed"), expr("avg(if(label = predicted, 1D, 0D)) > 0.8 as accurate"),
         expr("coalesce(avg(if(label = 1, double(predicted), null)), 1D) > 0.8 as finds_changes"),

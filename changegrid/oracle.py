@@ -509,7 +509,7 @@ SELECT scene_id, region_id, CAST(count(*) AS BIGINT) AS pixel_count, TRUE AS ins
 GROUP BY scene_id, region_id HAVING count(*) >= 4 AND
   (count(*) * sum(row * row) - sum(row) * sum(row)) * (count(*) * sum(col * col) - sum(col) * sum(col)) - (count(*) * sum(row * col) - sum(row) * sum(col)) ** 2 <> 0""")
 add("learned_scorer", PROB, """
-SELECT CASE WHEN scene_id % 5 = 0 THEN 'held_out' ELSE 'train' END AS split, count(*) AS n, CAST(sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
+SELECT CASE WHEN (scene_id + row) % 5 = 0 THEN 'held_out' ELSE 'train' END AS split, count(*) AS n, CAST(sum(CASE WHEN p > 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
   TRUE AS accurate, TRUE AS finds_changes FROM prob GROUP BY 1""")
 
 # --- file listings --------------------------------------------------------------------------
