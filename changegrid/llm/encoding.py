@@ -61,7 +61,7 @@ class PartEncoder:
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int32)
         self.ids = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.used, self.kept_ids, self.passing = 0, 0, []
 
     def _learn(self, parts: list[bytes]) -> None:
         flat, sizes = self._encode_parts(parts)
@@ -76,6 +76,11 @@ class PartEncoder:
         self.known.update(zip(parts, range(at, at + len(parts))))
         self.used += len(flat)
 
+    def _learn_all(self, parts: list[bytes]) -> None:
+        for some in ([p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]):
+            for i in range(0, len(some), 20_000):
+                self._learn(some[i : i + 20_000])
+
     def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts, ids per part) straight from the library."""
         if self.ends_word.any() and all(map(bytes.isalpha, parts)):
@@ -93,15 +98,13 @@ class PartEncoder:
 
     def _part_numbers(self, parts: list[bytes]) -> np.ndarray:
         """Cache slots of distinct parts; what is new is encoded."""
-        if len(self.known) + len(parts) > self.cache_parts and self.known:
-            self.clear()
         new = [p for p in parts if p not in self.known]
-        plain = [p for p in new if p.isalpha()] if self.drops_space else []
-        if plain:
-            new = [p for p in new if not p.isalpha()]
-        for some in (plain, new):
-            for i in range(0, len(some), 20_000):
-                self._learn(some[i : i + 20_000])
+        room = self.cache_parts - len(self.known)
+        self.passing = new[max(room, 0) :]
+        new = new[: len(new) - len(self.passing)]
+        self._learn_all(new)
+        self.kept_ids = self.used
+        self._learn_all(self.passing)  # a full cache keeps what it has
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,6 +119,9 @@ class PartEncoder:
         slots = self._part_numbers(T.take_spans(data, start[firsts], end[firsts]))[codes]
         sizes = self.size[slots].astype(np.int64)
         ids = self.ids[T.ranges(self.first[slots], sizes)]
+        for part in self.passing:
+            del self.known[part]
+        self.used, self.passing = self.kept_ids, []
         per_doc = np.bincount(doc, weights=sizes, minlength=len(offsets) - 1).astype(np.int64)
         return ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(per_doc)])
 

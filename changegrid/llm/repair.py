@@ -32,6 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from changegrid.llm import text as T
 from changegrid.llm.encoding import encoder, tokenizer_path
+from changegrid.plans.lineage import cut
 
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
@@ -198,7 +199,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
     inside = Window.partitionBy("part").orderBy("shard")
     starts = totals.select("part", "shard", (F.sum("n_tokens").over(inside) - F.col("n_tokens")).alias("_inside"))
-    starts = starts.join(parts, "part").select("part", "shard", (F.col("_inside") + F.col("_before")).alias("start"))
+    starts = cut(starts.join(parts, "part").select("part", "shard", (F.col("_inside") + F.col("_before")).alias("start")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
