@@ -15,7 +15,7 @@ from changegrid import catalog
 from changegrid.session import local_session
 
 HEADLINE = (
-    "detect_changes", "change_score", "percentile_stretch", "split_tiles", "stitch_tiles", "stitch_tiles_cli", "tile_pairs", "score_tiles",
+    "detect_changes", "detect_changes_full", "change_score", "percentile_stretch", "split_tiles", "stitch_tiles", "stitch_tiles_cli", "tile_pairs", "score_tiles",
     "regions", "polygonize", "zonal_mean", "neighbour_edges", "warp_bilinear", "warp_blocks", "resize_bilinear", "blur3",
     "knn2", "ratio_matches", "fit_homography", "registration_qc", "cd_metrics", "threshold_sweep", "bce_dice_loss",
     "image_split", "best_epoch", "topk_checkpoints", "early_stop", "leakage_check", "patch_ids",
