@@ -3,8 +3,11 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from changegrid.llm import neardup
+from changegrid.llm import neardup, oracle, queries
+from tools.check_oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +63,9 @@ def test_run_and_registry(spark):
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+@pytest.mark.parametrize("name", sorted(oracle.SQL))
+def test_query_matches_sql(spark, name):
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    assert compare(got, connect(SF).execute(oracle.SQL[name]).fetchdf()) == ""
