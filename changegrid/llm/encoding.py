@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from changegrid.llm import text as T
 
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 500_000
 IS_LETTER, IS_PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 IS_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True

@@ -158,7 +158,7 @@ def pack(
             names, texts, sizes, held = [], [], [], 0
 
         for batch in batches:
-            for piece in T.slices(batch):
+            for piece in T.slices(batch, step=4 << 20):
                 ids, offsets = enc.encode(piece.column("text"))
                 ids = np.insert(ids, offsets[1:], np.uint32(end_id))
                 names.append(piece.column("doc_id"))
@@ -172,7 +172,7 @@ def pack(
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _emit(keys, ids, lengths, rows, sequence, step: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _emit(keys, ids, lengths, rows, sequence, step: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of about `step` tokens each."""
     begins = np.cumsum(lengths) - lengths
     first, total = 0, np.concatenate([[0], np.cumsum(rows[:, 2])])

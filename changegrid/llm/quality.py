@@ -85,7 +85,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     scale = np.maximum(np.concatenate([positive, unlabelled]).std(0), 1e-3)
     positive, unlabelled = positive / scale, unlabelled / scale
     centre = unlabelled.mean(0)
-    positive, unlabelled = positive - centre, unlabelled - centre
+    positive -= centre
+    unlabelled -= centre
     w, b = np.zeros(positive.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
@@ -110,7 +111,7 @@ def _featured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.slices(batch):
+            for piece in T.slices(batch, step=2 << 20):
                 rows = features(*T.utf8(piece.column("text")))
                 yield pa.RecordBatch.from_arrays([piece.column("role"), pa.array([r.tobytes() for r in rows], pa.binary())], ["role", "x"])
 
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, sample_rows: int =
     positives = known.where("quality = 1").select("doc_id").distinct().orderBy(*by_hash).limit(sample_rows).selectExpr("doc_id", "1 as role")
     others = docs.where(f"not ({held_out})").select("doc_id").distinct().orderBy(*by_hash).limit(sample_rows).selectExpr("doc_id", "0 as role")
     sample = cut(positives.union(others))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * sample_rows ids
+    # At most 2 * sample_rows ids; of rows that share one, the least text stands for it.
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "role").agg(F.min("text").alias("text"))
     width = N_FEATURES * 4
 
     def learn(rows: pa.Table) -> pa.Table:
@@ -141,7 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: str, sample_rows: int =
         role = rows["role"].to_numpy()
         if not (role == 1).any() or not (role == 0).any():
             return pa.table({"weights": pa.array([], pa.binary()), "bias": pa.array([], pa.float64())})
-        model = fit(x[role == 1], x[role == 0], min(prior, 0.99))
+        positive, unlabelled = x[role == 1], x[role == 0]
+        del x
+        model = fit(positive, unlabelled, min(prior, 0.99))
         return pa.table({"weights": pa.array([model.weights.tobytes()], pa.binary()), "bias": pa.array([model.bias])})
 
     featured = cut(_featured(chosen).where(f"octet_length(x) = {width}"))
