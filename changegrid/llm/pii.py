@@ -144,23 +144,24 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, least_contexts: int = LE
     """(entity, term, gone): terms that disclose an entity, `gone` if they are to be removed.
 
     A term's chance near an entity is taken over the entity's distinct contexts (the text around
-    it in its line, so that copies count once), its chance elsewhere over distinct texts of the
-    whole corpus. Disclosure is log2(P(term | entity) / P(term)) over log2(1 / P(entity)).
+    it in its line, so that copies count once), its chance elsewhere and the entity's own over
+    distinct texts of the whole corpus. Disclosure is log2(P(term | entity) / P(term)) over
+    log2(1 / P(entity)).
     A term has to show up in `least_contexts` distinct contexts at least.
     """
-    near = found.where("size(_base) > 0").select(F.monotonically_increasing_id().alias("row"), "text", F.explode("_base").alias("s")).select(
-        "row", F.concat_ws(":", "s.kind", F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))).alias("entity"),
+    near = found.where("size(_base) > 0").dropDuplicates(["_tie"]).select("_tie", "text", F.explode("_base").alias("s")).select(
+        "_tie", F.concat_ws(":", "s.kind", F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))).alias("entity"),
         F.substring_index(F.expr(f"substring(text, greatest(1, s.start + 1 - {CONTEXT_CHARS}), least(s.start, {CONTEXT_CHARS}))"), "\n", -1).alias("left"),
         F.substring_index(F.expr(f"substring(text, s.end + 1, {CONTEXT_CHARS})"), "\n", 1).alias("right"),
     )
-    contexts = near.select("row", "entity", F.concat_ws(" ", "left", "right").alias("context"))
+    contexts = near.select("_tie", "entity", F.concat_ws(" ", "left", "right").alias("context"))
     shown = contexts.select("entity", "context").distinct()
     per_entity = shown.groupBy("entity").agg(F.count("*").alias("n_contexts"))
-    entity_docs = contexts.groupBy("entity", "row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_docs"))
+    entity_docs = contexts.groupBy("entity", "_tie").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_docs"))
     together = shown.select("entity", F.explode(_terms(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     together = cut(together.where(f"n_both >= {least_contexts}"))
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    n_texts = found.count()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text")).dropDuplicates(["_tie"])
+    n_texts = found.select("_tie").distinct().count()
     # Counted per task before anything is shuffled; only the totals meet the candidate terms.
     spread = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     judged = together.join(per_entity, "entity").join(entity_docs, "entity").join(spread, "term").withColumn("n_texts", F.lit(n_texts))
