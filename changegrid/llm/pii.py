@@ -1,7 +1,7 @@
 """Personal data, found by pattern and by what the corpus gives away.
 
 Patterns find protected entities: mail addresses, network addresses, card and phone numbers.
-Around each entity, terms are then judged by information content: a term whose presence
+All terms of an entity's texts are then judged by information content: a term whose presence
 predicts an entity nearly as well as the entity itself does (its pointwise mutual information,
 as a share of the entity's information content) discloses it. Such terms are removed, or
 generalised when they disclose less, wherever they stand in documents with that entity.
@@ -16,6 +16,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -29,8 +30,7 @@ PATTERNS = {
 }
 LOOKS_LIKE = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
-CONTEXT_CHARS = 60
-LEAST_CONTEXTS = 2
+LEAST_CONTEXTS = 1
 REMOVE_AT, GENERALISE_AT = 0.95, 0.85
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
 _RUN = 64
@@ -137,36 +137,35 @@ def _joined(spans: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)), lambda t: F.char_length(t) >= 3))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, least_contexts: int = LEAST_CONTEXTS, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, gone): terms that disclose an entity, `gone` if they are to be removed.
+    """(_tie, term, gone): terms of a text that disclose an entity in it, `gone` if they are to be removed.
 
-    A term's chance near an entity is taken over the entity's distinct contexts (the text around
-    it in its line, so that copies count once), its chance elsewhere and the entity's own over
-    distinct texts of the whole corpus. Disclosure is log2(P(term | entity) / P(term)) over
-    log2(1 / P(entity)).
-    A term has to show up in `least_contexts` distinct contexts at least.
+    All counts are over distinct texts of the whole corpus, so that copies count once. Every term
+    that stands anywhere in a text with an entity is judged. Disclosure is
+    log2(P(term | entity) / P(term)) over log2(1 / P(entity)), with P(term | entity) the share of
+    the entity's texts that have the term. `least_contexts` may ask for that many texts with both.
+
+    Entities of the very same texts have the same terms and shares; they are counted as one.
     """
-    near = found.where("size(_base) > 0").dropDuplicates(["_tie"]).select("_tie", "text", F.explode("_base").alias("s")).select(
-        "_tie", F.concat_ws(":", "s.kind", F.when(F.col("s.kind").isin("card", "phone"), _digits(F.col("s.value"))).otherwise(F.lower("s.value"))).alias("entity"),
-        F.substring_index(F.expr(f"substring(text, greatest(1, s.start + 1 - {CONTEXT_CHARS}), least(s.start, {CONTEXT_CHARS}))"), "\n", -1).alias("left"),
-        F.substring_index(F.expr(f"substring(text, s.end + 1, {CONTEXT_CHARS})"), "\n", 1).alias("right"),
-    )
-    contexts = near.select("_tie", "entity", F.concat_ws(" ", "left", "right").alias("context"))
-    shown = contexts.select("entity", "context").distinct()
-    per_entity = shown.groupBy("entity").agg(F.count("*").alias("n_contexts"))
-    entity_docs = contexts.groupBy("entity", "_tie").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_docs"))
-    together = shown.select("entity", F.explode(_terms(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    together = cut(together.where(f"n_both >= {least_contexts}"))
+    held = found.where("size(_base) > 0").dropDuplicates(["_tie"])
+    held = cut(held.select("_tie", F.array_distinct(F.transform("_base", _entity)).alias("entities"), _terms(F.col("text")).alias("terms")))
+    entities = held.select("_tie", F.explode("entities").alias("entity"))
+    group = F.struct(F.bit_xor("_tie").alias("a"), F.bit_xor(F.xxhash64("_tie", F.lit(1))).alias("b"))
+    groups = cut(entities.groupBy("entity").agg(F.count("*").alias("n_docs"), group.alias("group")))
+    in_text = salted_join(entities, groups, ["entity"], ["_tie"]).groupBy("_tie").agg(F.collect_set(F.struct("group", "n_docs")).alias("groups"))
+    pairs = held.join(cut(in_text), "_tie").select("_tie", "terms", F.explode("groups").alias("g")).select("_tie", "g.group", "g.n_docs", F.explode("terms").alias("term"))
+    together = pairs.groupBy("group", "n_docs", "term").agg(F.count("*").alias("n_both")).where(f"n_both >= {least_contexts}")
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text")).dropDuplicates(["_tie"])
     n_texts = found.select("_tie").distinct().count()
     # Counted per task before anything is shuffled; only the totals meet the candidate terms.
     spread = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    judged = together.join(per_entity, "entity").join(entity_docs, "entity").join(spread, "term").withColumn("n_texts", F.lit(n_texts))
-    share = F.log2((F.col("n_both") / F.col("n_contexts")) / (F.col("n_term") / F.col("n_texts"))) / F.greatest(F.log2(F.col("n_texts") / F.col("n_docs")), F.lit(1e-9))
-    return judged.withColumn("share", share).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("gone"))
+    judged = salted_join(together, spread, ["term"], ["group"]).withColumn("n_texts", F.lit(n_texts))
+    share = F.log2((F.col("n_both") / F.col("n_docs")) / (F.col("n_term") / F.col("n_texts"))) / F.greatest(F.log2(F.col("n_texts") / F.col("n_docs")), F.lit(1e-9))
+    flagged = cut(judged.withColumn("share", share).where(F.col("share") >= generalise_at).select("group", "term", (F.col("share") >= remove_at).alias("gone")))
+    return salted_join(pairs.drop("n_docs"), flagged, ["group", "term"], ["_tie"]).groupBy("_tie", "term").agg(F.bool_or("gone").alias("gone"))
 
 
 def _entity(s: Column) -> Column:
@@ -182,12 +181,8 @@ def find_spans(docs: DataFrame, **limits) -> DataFrame:
     rows = base_spans(docs.select("doc_id", "text")).withColumn("_tie", F.xxhash64("text"))
     found = cut(rows.select("doc_id", "_tie", "_base", F.when(F.size("_base") > 0, F.col("text")).alias("text")))
     flagged = disclosing_terms(docs, found, **limits)
-    holders = found.where("text is not null").select("doc_id", "_tie", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity"))
-    per_doc = holders.join(flagged, "entity").groupBy("doc_id", "_tie", "term").agg(F.bool_or("gone").alias("gone"))
-    listed = per_doc.groupBy("doc_id", "_tie").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("_flagged"))
-    listed = cut(listed.withColumnsRenamed({"doc_id": "_doc", "_tie": "_h"}))
-    here = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tie") == F.col("_h"))
-    known = found.join(listed, here, "left").drop("_doc", "_h")
+    listed = cut(flagged.groupBy("_tie").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("_flagged")))
+    known = salted_join(found, listed, ["_tie"], ["doc_id"], "left")
     hits = F.when(F.col("_flagged").isNotNull(), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
     pieces = F.when(F.col("_flagged").isNotNull(), F.split("text", TERM, -1))
     split = known.withColumn("_hits", hits).withColumn("_pieces", pieces)

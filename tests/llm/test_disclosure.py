@@ -36,3 +36,26 @@ def test_mentions_in_one_page_are_one_document(shown):
     holders = [(301 + i, f"in autumn on day {i} the note went to Zorbulon at zb@corp.org with the plan {i}") for i in range(3)]
     found = shown(some + page + holders)
     assert not any("autumn" in found[i] for i, _ in page + holders)
+
+
+def test_names_in_other_lines_far_away_and_short(shown):
+    """No line break, distance or length keeps a term from being judged."""
+    far = " ".join("the report of day was sent to all of them".split() * 20)
+    holders = [(300 + i, f"Wu\nsent to zb@corp.org\nQuibble {far} Zorbulon") for i in range(3)]
+    holders = [(i, f"{t} {k}") for k, (i, t) in enumerate(holders)]
+    found = shown(PLAIN + holders)
+    assert all({"wu", "quibble", "zorbulon"} <= found[i] and not found[i] & {"report", "day"} for i, _ in holders)
+
+
+def test_an_address_of_one_text_is_judged(shown):
+    """A thousand copies of one page: its address has one text, whose own words give it away."""
+    found = shown(PLAIN + [(1000 + i, "the report for Zorbulon was sent to zb@corp.org by some") for i in range(1000)])
+    assert all(found[1000 + i] == {"zorbulon", "for"} for i in range(1000))
+
+
+def test_a_list_of_many_addresses(spark):
+    """Addresses of the very same texts are judged as one; their number does not multiply the terms."""
+    page = " ".join(f"n{i} n{i}@corp{i}.org" for i in range(3000))
+    docs = spark.createDataFrame([*PLAIN, (300, page)], "doc_id long, text string")
+    (got,) = pii.personal_data(docs).where("doc_id = 300").collect()
+    assert got.n_email == 3000 and got.spans.count("term:") == 3000
