@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -51,18 +51,23 @@ def fingerprint(data: bytes, words: int = SHINGLE_WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long; a null text counts as having no words."""
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("fp", LongType())])
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, tie: Column | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; a null text counts as having no words.
+
+    `tie`, a long that tells texts apart, is carried along as a third column.
+    """
+    carried = ["doc_id"] if tie is None else ["doc_id", "tie"]
+    rows = docs.select("doc_id", "text", *([] if tie is None else [tie.alias("tie")]))
+    schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in carried), StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = T.utf8(batch.column("text"))
             raw = data.tobytes()
             fps = np.fromiter((fingerprint(raw[a:b], words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), pa.array(fps.view(np.int64))], [*carried, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def position_triples() -> list[tuple[int, int, int]]:
@@ -161,6 +166,13 @@ def fingerprint_classes(fps: DataFrame, max_bits: int = MAX_BITS, chunk: int = C
     return components(first.union(second))
 
 
+def _rooted(fps: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first_doc, root) per distinct fingerprint of (doc_id, fp): root names its class."""
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    classes = fingerprint_classes(distinct.select("fp"), max_bits)
+    return distinct.join(classes.withColumnRenamed("u", "fp"), "fp", "left").selectExpr("fp", "first_doc", "coalesce(v, fp) as root")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp), one row per input row.
 
@@ -170,9 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
     an empty table gives no rows. Extra columns are not carried.
     """
     fps = cut(fingerprints(docs, words))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    classes = fingerprint_classes(distinct.select("fp"), max_bits)
-    rooted = distinct.join(classes.withColumnRenamed("u", "fp"), "fp", "left").selectExpr("fp", "first_doc", "coalesce(v, fp) as root")
+    rooted = _rooted(fps, max_bits)
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = cut(rooted.join(least, "root").select("fp", "component_id"))
     out = fps.join(named, "fp")
@@ -180,13 +190,20 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int =
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Rows of `docs` without near duplicates: of each class the row with the smallest doc_id stays.
+    """Rows of `docs` without near duplicates: of each class one row stays, the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are settled by a hash of their text, then by any one of equals.
+    Classes are those of the texts, whatever their ids: unlike texts under one doc_id, or under
+    none, all stay. Rows that share the smallest doc_id of a class are settled by a hash of their
+    text, then by any one of equals; a row without doc_id stays only if its class has no other.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), words, max_bits)
-    kept = classes.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    rows = docs.select(F.struct("*").alias("row"))
-    stays = rows.join(kept.distinct(), F.col("row.doc_id").eqNullSafe(kept["doc_id"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text")))
-    return stays.select("row", rank.alias("rank")).where("rank = 1").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    fps = cut(fingerprints(docs, words, tie=tie))
+    rooted = cut(_rooted(fps, max_bits).select("fp", "root"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie"))
+    # Copies fall together before the classes are joined.
+    per_fp = fps.groupBy("fp").agg(first.alias("first"))
+    kept = cut(per_fp.join(rooted, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.tie").alias("_tie")))
+    rows = docs.select(F.struct("*").alias("row"), tie.alias("tie"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie"))
+    stays = rows.join(kept, same, "left_semi")
+    return stays.groupBy("row.doc_id", "tie").agg(F.first("row").alias("row")).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
