@@ -72,6 +72,13 @@ def valid_pixels(raster: DataFrame, meta: DataFrame, compat_nodata: bool = False
     return j.where(f"{unset} or value <> nodata").drop("nodata")
 
 
+def mask_blocks(blocks: DataFrame, meta: DataFrame, compat_nodata: bool = False) -> DataFrame:
+    """`valid_pixels` on packed blocks: nodata pixels become null, in place."""
+    nodata = "nullif(nodata, 0)" if compat_nodata else "nodata"
+    j = salted_join(blocks, meta.selectExpr("scene_id", f"{nodata} as _nodata"), ["scene_id"], ["t", "band", "block_row", "block_col"], "left")
+    return j.withColumn("data", expr("if(_nodata is null, data, transform(data, v -> nullif(v, _nodata)))")).drop("_nodata")
+
+
 def stretch(
     df: DataFrame,
     keys: Sequence[str],
@@ -110,13 +117,16 @@ def stretch_blocks(
     scale: float = 1.0,
     floor_max: float = 1e-6,
 ) -> DataFrame:
-    """`stretch` on packed blocks: percentiles join once per block, not once per pixel."""
+    """`stretch` on packed blocks: percentiles join once per block, not once per pixel.
+
+    Null pixels (see `mask_blocks`) do not count and stay null.
+    """
     keys = list(keys)
     spread = [c for c in ("t", "band", "block_row", "block_col") if c in blocks.columns]
     q = group_quantiles(blocks, keys, "data", [low, high], ["_lo", "_hi"], spread, packed=True)
     wide = X.clip(f"(v - _lo) / nullif(_hi - _lo, 0D) * {X.num(scale)}", 0, scale)
     flat = X.clip(f"v / greatest(vmax, {X.num(floor_max)}) * {X.num(scale)}", 0, scale)
-    out = f"case when _lo is null then data when _hi > _lo then transform(data, v -> {wide}) else transform(data, v -> {flat}) end"
+    out = f"case when _lo is null then data when _hi > _lo then transform(data, v -> if(v is null, null, {wide})) else transform(data, v -> if(v is null, null, {flat})) end"
     return salted_join(blocks, q, keys, spread, "left").withColumn("data", expr(out)).drop("_lo", "_hi", "vmax")
 
 

@@ -348,15 +348,23 @@ def region_confidence(
 ) -> DataFrame:
     """Mean confidence per region: window mean with a geotransform, else the scene mean.
 
-    `scores` is the score map in block layout.
+    `scores` is the score map in block layout. Null pixels do not count; in scenes with any, the
+    mean over the window is divided by the window's share of scored pixels.
     """
     geo = meta.where("a is not null and epsg is not null")
-    zonal = zonal_means(confidence_windows(regions, geo), scores, block_h, block_w, zone_side)
+    windows = confidence_windows(regions, geo)
+    filled = scores.withColumn("data", expr("transform(data, x -> coalesce(x, 0D))"))
+    zonal = zonal_means(windows, filled, block_h, block_w, zone_side)
+    holed = scores.where("exists(data, x -> x is null)").select("scene_id").distinct()
+    scored = scores.join(holed, "scene_id", "left_semi").withColumn("data", expr("transform(data, x -> if(x is null, 0D, 1D))"))
+    share = zonal_means(windows.join(holed, "scene_id", "left_semi"), scored, block_h, block_w, zone_side)
     plain = meta.where("a is null or epsg is null").select("scene_id")
     scene = scores.join(plain, "scene_id", "left_semi").groupBy("scene_id").agg(
-        expr("sum(aggregate(data, 0D, (s, x) -> s + x)) / sum(size(data)) as scene_mean")
+        expr("sum(aggregate(data, 0D, (s, x) -> s + coalesce(x, 0D))) / sum(size(filter(data, x -> x is not null))) as scene_mean")
     )
-    out = regions.select("scene_id", "region_id").join(zonal, ["scene_id", "region_id"], "left")
+    out = regions.select("scene_id", "region_id").join(zonal, ["scene_id", "region_id"], "left").join(
+        share.withColumnRenamed("window_mean", "_share"), ["scene_id", "region_id"], "left"
+    ).selectExpr("scene_id", "region_id", "window_mean / coalesce(_share, 1D) as window_mean")
     return salted_join(out, scene, ["scene_id"], ["region_id"], "left").selectExpr(
         "scene_id", "region_id",
         "coalesce(window_mean, scene_mean) as mean_confidence",

@@ -26,7 +26,7 @@ def band_difference(blocks: DataFrame, n_bands: int) -> DataFrame:
     """Mean over bands of |B-A| per pixel, block in, block out.
 
     The shuffle moves one array per (block, date, band) instead of one row per pixel and
-    band; a group holds at most 2 * n_bands arrays.
+    band; a group holds at most 2 * n_bands arrays. A pixel that is null in any band or date is null.
     """
     keys = ["scene_id", "block_row", "block_col", "h", "w"]
     grouped = (
@@ -57,7 +57,8 @@ def change_score(blocks: DataFrame, n_bands: int, block_h: int, block_w: int) ->
 
 
 def score_pixels(scores: DataFrame, block_h: int, block_w: int) -> DataFrame:
-    return block_pixels(scores, block_h, block_w).selectExpr("scene_id", "row", "col", "value as p")
+    """Scored pixels as rows; null ones have no score and give no row."""
+    return block_pixels(scores, block_h, block_w).selectExpr("scene_id", "row", "col", "value as p").where("p is not null")
 
 
 def score_tiles(

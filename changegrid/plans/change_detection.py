@@ -9,6 +9,7 @@ from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
 from changegrid.operators.polygons import polygonize, simplify_rings
+from changegrid.operators.raster import mask_blocks
 from changegrid.operators.regions import label_components, region_attributes, region_confidence, summarize_regions
 from changegrid.operators.registration import warp_blocks
 from changegrid.operators.scoring import score_blocks, score_pixels, score_tiles
@@ -70,9 +71,16 @@ def detect_changes(
     n_bands: int,
     block_h: int,
     block_w: int,
+    compat_nodata: bool = False,
     **options,
 ) -> DataFrame:
-    """Score -> threshold -> regions -> attributes over every scene pair in `blocks`."""
+    """Score -> threshold -> regions -> attributes over every scene pair in `blocks`.
+
+    Pixels that show the scene's declared nodata in any band or date have no score: they count
+    neither towards the percentiles nor towards confidences, and are never changed.
+    """
+    if "nodata" in meta.columns:
+        blocks = mask_blocks(blocks, meta, compat_nodata)
     return detections_from_scores(score_blocks(blocks, n_bands), meta, block_h, block_w, **options)
 
 
