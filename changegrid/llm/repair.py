@@ -36,23 +36,24 @@ from changegrid.plans.lineage import cut
 
 FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 3, 16384, 24
+RULES_PER_ROUND, LEAST_COUNT = 16384, 24
 _SLOTS_LOG2 = 20
 _FIRST, _SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
+def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
     """(symbols, end flags, rules, rule lengths, rules after each round) of ids below FIRST_RULE.
 
     `ends` marks the last id of each document. Pairs are counted over all ids of the shard: first
     in hashed slots, then exactly for one pair per slot (a second pair of a slot has its turn in
-    the next round).
+    the next round). Where no slot yields a pair, all pairs of crowded slots are counted exactly,
+    so that the rounds end only when no pair comes `least` times, or after `rounds` if given.
     """
     seq, ends = ids.astype(np.uint32), ends.copy()
     rules, lengths, levels = [], [], []
     size_of = np.ones(FIRST_RULE, np.int64)
     none = np.iinfo(np.int32).max
-    for _ in range(rounds):
+    while rounds is None or len(levels) < rounds:
         if len(seq) < 2:
             break
         slot = (seq[:-1] * _FIRST + seq[1:] * _SECOND) >> np.uint32(32 - _SLOTS_LOG2)
@@ -69,13 +70,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int = ROUNDS, per_round:
         chosen = np.flatnonzero(count >= least)
         chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
         if not len(chosen):
-            break
-        rank_of = np.full(1 << _SLOTS_LOG2, none, np.int32)
+            slot = (seq[:-1] * _FIRST + seq[1:] * _SECOND) >> np.uint32(32 - _SLOTS_LOG2)
+            at = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOTS_LOG2) >= least)[slot] & ~ends[:-1])
+            _, first, dense, count = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_index=True, return_inverse=True, return_counts=True)
+            chosen = np.flatnonzero(count >= least)
+            chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
+            if not len(chosen):
+                break
+            slot[at], own = dense, at[first]
+        rank_of = np.full(max(1 << _SLOTS_LOG2, len(count)), none, np.int32)
         rank_of[chosen] = np.arange(len(chosen), dtype=np.int32)
         rank = np.full(len(seq) + 1, none, np.int32)  # shifted by one: rank[i + 1] belongs to the pair at i
         rank[at + 1] = rank_of[slot[at]]
         here = rank[1:]
-        take = (here < none) & (here < rank[:-1])
+        # In a run of one pair (an id repeated) every other place is taken.
+        new = here != rank[:-1]
+        place = np.arange(len(here)) - np.maximum.accumulate(np.where(new, np.arange(len(here)), 0))
+        late = np.maximum.accumulate(np.where(new, 2 * np.arange(len(here)) + (rank[:-1] < here), 0)) & 1  # a better pair stands before the run
+        take = (here < none) & (place % 2 == late)
         take[:-1] &= here[:-1] <= here[1:]
         where = np.flatnonzero(take)
         base = FIRST_RULE + sum(map(len, rules))
