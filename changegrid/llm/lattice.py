@@ -1,7 +1,8 @@
 """Document likelihood under a subword unigram model, summed over all segmentations.
 
-The vocabulary is a public one; its scores are the start, and a few rounds of expectation
-maximisation over the training words fit piece weights to the corpus. A document is its words,
+The vocabulary is a public one. The scores in its file are merge ranks, not log probabilities, and
+are not read: the start is 1 / (rank + 10) by the file's order, and two rounds of expectation
+maximisation over the training words replace it by weights fitted to the corpus. A document is its words,
 each led by a space, and one end piece. No piece crosses a word start, so its probability is the
 product over words of a lattice sum, which a forward recursion over byte positions computes in
 log space. Each distinct word of the corpus is scored once. Single bytes are pieces too, so
