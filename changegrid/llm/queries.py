@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from changegrid.llm import lattice, mixing, neardup, packing, pii, piece_counts, quality, repair, repetition, topk
+from changegrid.llm import extraction, lattice, mixing, neardup, negatives, packing, pii, piece_counts, quality, repair, repetition, topk, variants
 from changegrid.plans.lineage import shared_folder
 
 
@@ -62,6 +62,19 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants.spelling_variants(_docs(spark, sf))
+
+
+def op12_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extraction.main_text(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    moved = "if(vec_id % 7 = 0, (label + 1) % 10, label)"
+    return negatives.hard_negatives(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id % 50 = 0", moved)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -73,4 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_hard_negatives": op13_hard_negatives,
 }
