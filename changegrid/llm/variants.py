@@ -51,7 +51,8 @@ def _node(side: Column, prefix: Column) -> Column:
 
 
 def trie_edges(words: DataFrame) -> DataFrame:
-    """(depth, node, first, label, child, ends): edges of both tries; `ends` says that a word ends at the child.
+    """(depth, node, first, label, child, ends, nexts): edges of both tries; `ends` says that a word ends
+    at the child, `nexts` lists the characters that follow there, one per edge.
 
     `words` is (side, w). Two prefixes of one 64-bit hash would share a node; that adds edges and
     loses none.
@@ -72,32 +73,50 @@ def trie_edges(words: DataFrame) -> DataFrame:
         ),
     )
     edges = paths.select(F.explode(hops).alias("e")).select("e.*").groupBy("depth", "node", "label", "child").agg(F.bool_or("ends").alias("ends"))
-    return edges.select("depth", "node", F.substring("label", 1, 1).alias("first"), "label", "child", "ends")
+    edges = cut(edges.select("depth", "node", F.substring("label", 1, 1).alias("first"), "label", "child", "ends"))
+    nexts = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("nexts"))
+    return salted_join(edges, nexts, ["child"], ["label"], "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
 
 
-def _advance(met: DataFrame) -> DataFrame:
-    """States behind an edge. `met` is states with the edge's label, child and ends.
+def _rest(n: Column) -> Column:
+    return F.substring("w", F.col("pos") + 1, n)
+
+
+def _moved(met: DataFrame, moves: list[Column]) -> DataFrame:
+    """States behind an edge. One with an edit lives while an edge goes on with its next character,
+    or where its word and a word of the trie end together."""
+    moved = met.select("side", "w", "from", "child", "ends", "nexts", F.explode(F.filter(F.array(*moves), lambda x: x.isNotNull())).alias("to"))
+    state = moved.select("side", "w", "from", F.col("to.pos").alias("pos"), F.col("child").alias("node"), F.col("to.edits").alias("edits"), "ends", "nexts")
+    left = F.char_length("w") - F.col("pos")
+    goes_on = F.when(left > 0, F.contains(F.col("nexts"), _rest(F.lit(1)))).otherwise(F.col("ends"))
+    return state.where((F.col("edits") == 0) | goes_on).drop("nexts")
+
+
+def _to(ok: Column, step: Column, edits: Column | int) -> Column:
+    return F.when(ok, F.struct((F.col("pos") + step).alias("pos"), (edits if isinstance(edits, Column) else F.lit(edits)).alias("edits")))
+
+
+def _along(met: DataFrame) -> DataFrame:
+    """Over the edge that begins with the state's next character.
 
     Where the label does not follow in the word, the word may go on with one character replaced,
     with one that it lacks (a character is inserted), or without one that it has.
     """
-    rest = lambda n: F.substring("w", F.col("pos") + 1, n)
     m = F.char_length("label")
-    exact = rest(m) == F.col("label")
+    exact = _rest(m) == F.col("label")
     fixed = F.greatest(F.col("from") - F.col("pos"), F.lit(0))
-    may_edit = (F.col("edits") == 0) & ~exact & (rest(fixed) == F.substring("label", F.lit(1), fixed))
+    may_edit = (F.col("edits") == 0) & ~exact & (_rest(fixed) == F.substring("label", F.lit(1), fixed))
+    one_off = lambda n: may_edit & (F.char_length(_rest(n)) == n) & (F.levenshtein(_rest(n), F.col("label"), 1) == 1)
+    return _moved(met, [_to(exact, m, F.col("edits")), _to(one_off(m), m, 1), _to(one_off(m - 1), m - 1, 1), _to(one_off(m + 1), m + 1, 1)])
 
-    def one_off(n: Column) -> Column:
-        return may_edit & (F.char_length(rest(n)) == n) & (F.levenshtein(rest(n), F.col("label"), 1) == 1)
 
-    moves = F.array(
-        F.when(exact, F.struct((F.col("pos") + m).alias("pos"), F.col("edits").alias("edits"))),
-        F.when(one_off(m), F.struct((F.col("pos") + m).alias("pos"), F.lit(1).alias("edits"))),
-        F.when(one_off(m - 1), F.struct((F.col("pos") + m - 1).alias("pos"), F.lit(1).alias("edits"))),
-        F.when(one_off(m + 1), F.struct((F.col("pos") + m + 1).alias("pos"), F.lit(1).alias("edits"))),
-    )
-    moved = met.select("side", "w", "from", "child", "ends", F.explode(F.filter(moves, lambda x: x.isNotNull())).alias("to"))
-    return moved.select("side", "w", "from", F.col("to.pos").alias("pos"), F.col("child").alias("node"), F.col("to.edits").alias("edits"), "ends")
+def _beside(met: DataFrame) -> DataFrame:
+    """Over an edge that begins with another character: the edit is made there, what follows must agree."""
+    m = F.char_length("label")
+    tail = F.substring("label", F.lit(2), m)
+    after = F.substring("w", F.col("pos") + 2, m)
+    left = F.char_length("w") - F.col("pos")
+    return _moved(met, [_to((left >= m) & (F.substring("w", F.col("pos") + 2, m - 1) == tail), m, 1), _to(_rest(m - 1) == tail, m - 1, 1), _to(after == F.col("label"), m + 1, 1)])
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -116,16 +135,15 @@ def near_words(words: DataFrame) -> DataFrame:
     found, depth = [], 0
     while True:
         here = edges.where(F.col("depth") == depth).drop("depth")
-        wide = F.expr("edits = 0 and pos >= `from`")
-        next_char = F.substring("w", F.col("pos") + 1, F.lit(1))
-        narrow = salted_join(states.where(~wide).withColumn("first", next_char), here, ["node", "first"], ["w"])
-        branching = salted_join(states.where(wide), here, ["node"], ["w"])
-        columns = ["side", "w", "from", "pos", "node", "edits", "label", "child", "ends"]
-        left = F.char_length("w") - F.col("pos")
-        # A state with one edit lives while the word goes on, or when it has just ended at a word.
-        states = cut(_advance(narrow.select(columns).unionByName(branching.select(columns))).where((left > 0) | (F.col("edits") == 0) | F.col("ends")))
+        next_char = _rest(F.lit(1))
+        along = salted_join(states.withColumn("first", next_char), here, ["node", "first"], ["w"])
+        wide = states.where("edits = 0 and pos >= `from`")
+        beside = salted_join(wide, here, ["node"], ["w"]).where(F.col("first") != next_char)
+        columns = ["side", "w", "from", "pos", "node", "edits", "label", "child", "ends", "nexts"]
+        states = cut(_along(along.select(columns)).unionByName(_beside(beside.select(columns))))
         if states.isEmpty():
             break
+        left = F.char_length("w") - F.col("pos")
         at_end = F.col("ends") & (((F.col("edits") == 1) & (left == 0)) | ((F.col("edits") == 0) & (left == 1)))
         found.append(states.where(at_end).select("side", "w", "node"))
         states = states.where((left > 0) | (F.col("edits") == 0)).drop("ends")
