@@ -33,7 +33,8 @@ TERM = r"[\p{L}\p{N}]+"
 LEAST_CONTEXTS = 1
 REMOVE_AT, GENERALISE_AT = 0.95, 0.85
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "gone": ""}
-_RUN = 64
+_RUN = 16
+_CHUNK = 512
 
 
 def _total(values: Column) -> Column:
@@ -44,37 +45,40 @@ def _most(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: F.greatest(a, x))
 
 
-def _with_prefixes(values: Column, fold, use) -> Column:
-    """`use(prefix)`, where prefix(i) folds the first i entries of an int array.
+def _bound(value: Column, use) -> Column:
+    """use(value), with `value` computed once a row however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Runs of entries are folded first, so that many entries in one row do not cost their square;
-    one-element arrays bind the intermediate arrays once per row.
+
+def _runs(values: Column, size: int = _RUN) -> Column:
+    last = F.greatest(F.floor((F.size(values) - 1) / size), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda r: F.slice(values, r * size + 1, size))
+
+
+def _prefixes(values: Column, fold, depth: int = 4) -> Column:
+    """For each entry of an int array the fold of all entries before it.
+
+    Entries are folded in runs and runs in runs of their own, so that the work grows with the
+    number of entries and not with its square.
     """
-    n_runs = lambda v: F.floor((F.size(v) - 1) / _RUN).cast("int")
-    with_runs = F.transform(
-        F.array(values),
-        lambda v: F.struct(v.alias("values"), F.transform(F.sequence(F.lit(0), n_runs(v)), lambda r: fold(F.slice(v, r * _RUN + 1, _RUN))).alias("runs")),
-    )
+    inside = lambda v: F.transform(v, lambda _, i: fold(F.slice(v, F.lit(1), i)))
+    if not depth:
+        return _bound(values, inside)
 
-    def apply(both: Column) -> Column:
-        whole = lambda i: fold(F.slice(both["runs"], F.lit(1), F.floor(i / _RUN).cast("int")))
-        rest = lambda i: F.slice(both["values"], F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN)
-        return use(lambda i: fold(F.concat(F.array(whole(i)), rest(i))))
+    def apply(runs: Column) -> Column:
+        before = _prefixes(F.transform(runs, fold), fold, depth - 1)
+        return F.flatten(F.zip_with(runs, before, lambda run, first: F.transform(inside(run), lambda x: fold(F.array(first, x)))))
 
-    return F.flatten(F.transform(with_runs, apply))
+    return _bound(values, lambda v: _bound(_runs(v), apply))
 
 
 def _located(hits: Column, pieces: Column, kind: str) -> Column:
     """array<struct(start, end, kind, value)> of a pattern's matches, by code points; `pieces` are
-    the texts between the matches. `hits` must not be empty."""
-    lengths = F.transform(hits, lambda h, i: F.char_length(h) + F.char_length(F.get(pieces, i)))
-
-    def place(before) -> Column:
-        return F.transform(hits, lambda h, i: F.struct((before(i) + F.char_length(F.get(pieces, i))).alias("start"), h.alias("value")))
-
-    return F.transform(
-        _with_prefixes(lengths, _total, place),
-        lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.char_length(m["value"])).alias("end"), F.lit(kind).alias("kind"), m["value"].alias("value")),
+    the texts between the matches."""
+    steps = F.zip_with(hits, F.slice(pieces, F.lit(1), F.size(hits)), lambda h, p: F.char_length(p) + F.char_length(h))
+    ends = _bound(steps, lambda s: F.zip_with(s, _prefixes(s, _total), lambda x, before: before + x))
+    return F.zip_with(
+        hits, ends, lambda h, e: F.struct((e - F.char_length(h)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), h.alias("value"))
     )
 
 
@@ -172,28 +176,50 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], F.when(s["kind"].isin("card", "phone"), _digits(s["value"])).otherwise(F.lower(s["value"])))
 
 
-def find_spans(docs: DataFrame, **limits) -> DataFrame:
-    """(doc_id, _tie, text, _base, _spans), one row per input row; `text` is null where there are no spans.
+def _lists(flagged: DataFrame) -> DataFrame:
+    """(_tie, _flagged): per text its flagged terms as maps to `gone`, one per hash bin of some 16 terms.
 
-    `_tie` is a hash of the text. Spans are array<struct(start, end, kind, value)> in code points,
-    kind being a base kind, "term" (generalise) or "gone" (remove).
+    A map is searched entry by entry; bins keep a look-up short in texts with many flagged terms.
     """
-    rows = base_spans(docs.select("doc_id", "text")).withColumn("_tie", F.xxhash64("text"))
-    found = cut(rows.select("doc_id", "_tie", "_base", F.when(F.size("_base") > 0, F.col("text")).alias("text")))
-    flagged = disclosing_terms(docs, found, **limits)
-    listed = cut(flagged.groupBy("_tie").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("_flagged")))
-    known = salted_join(found, listed, ["_tie"], ["doc_id"], "left")
-    hits = F.when(F.col("_flagged").isNotNull(), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))
-    pieces = F.when(F.col("_flagged").isNotNull(), F.split("text", TERM, -1))
-    split = known.withColumn("_hits", hits).withColumn("_pieces", pieces)
-    words = F.filter(_located(F.col("_hits"), F.col("_pieces"), "term"), lambda w: F.map_contains_key("_flagged", F.lower(w["value"])))
-    free = F.filter(words, lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    terms = F.transform(
-        free,
-        lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.when(F.element_at("_flagged", F.lower(w["value"])), "gone").otherwise("term").alias("kind"), w["value"].alias("value")),
-    )
-    spans = F.when(F.col("_flagged").isNull() | (F.size("_hits") == 0), F.col("_base")).otherwise(_in_order(F.concat("_base", terms)))
-    return split.select("doc_id", "_tie", "text", "_base", spans.alias("_spans"))
+    sizes = cut(flagged.groupBy("_tie").agg(F.count("*").alias("n")).selectExpr("_tie", "int(ceil(n / 16)) as bins"))
+    entries = salted_join(flagged, sizes, ["_tie"], ["term"]).select("_tie", F.expr("int(pmod(xxhash64(term), bins))").alias("bin"), F.struct("term", "gone").alias("entry"))
+    all_bins = sizes.selectExpr("_tie", "explode(sequence(0, bins - 1)) as bin", "cast(null as struct<term: string, gone: boolean>) as entry")
+    binned = entries.unionByName(all_bins).groupBy("_tie", "bin").agg(F.collect_list("entry").alias("entries"))
+    listed = binned.groupBy("_tie").agg(F.array_sort(F.collect_list(F.struct("bin", "entries"))).alias("bins"))
+    return listed.select("_tie", F.transform("bins", lambda b: F.map_from_entries(b["entries"])).alias("_flagged"))
+
+
+def _gone(word: Column) -> Column:
+    """Whether a flagged word is to be removed; null for words that are not flagged."""
+    return _bound(F.lower(word), lambda w: F.try_element_at(F.get("_flagged", F.pmod(F.xxhash64(w), F.size("_flagged")).cast("int")), w))
+
+
+def _apart(words: Column) -> Column:
+    """Words that touch no base span."""
+    some = _runs(F.col("_base"), 64)
+    ranges = F.transform(some, lambda run: F.struct(run.alias("run"), F.get(run, F.lit(0))["start"].alias("start"), _most(F.transform(run, lambda b: b["end"])).alias("end")))
+    meets = lambda w, b: (b["start"] < w["end"]) & (w["start"] < b["end"])
+    return _bound(ranges, lambda rs: F.filter(words, lambda w: ~F.exists(rs, lambda r: meets(w, r) & F.exists(r["run"], lambda b: meets(w, b)))))
+
+
+def find_spans(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), **limits) -> DataFrame:
+    """(*carry, text, _base, _spans), one row per input row; `text` is null where there are no spans.
+
+    Spans are array<struct(start, end, kind, value)> in code points, kind being a base kind, "term"
+    (generalise) or "gone" (remove). `docs` has `text` beside the carried columns. The work in a
+    text grows with its length, however many spans it has.
+    """
+    rows = base_spans(docs.select(*carry, "text")).withColumn("_tie", F.xxhash64("text"))
+    found = cut(rows.select(*carry, "_tie", "_base", F.when(F.size("_base") > 0, F.col("text")).alias("text")))
+    listed = cut(_lists(disclosing_terms(docs, found, **limits)))
+    known = salted_join(found, listed, ["_tie"], ["text"], "left")
+    held = F.col("_flagged").isNotNull()
+    split = known.withColumn("_hits", F.when(held, F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).withColumn("_pieces", F.when(held, F.split("text", TERM, -1)))
+    words = F.transform(_located(F.col("_hits"), F.col("_pieces"), "term"), lambda w: F.struct(w["start"], w["end"], _gone(w["value"]).alias("gone"), w["value"]))
+    flagged = F.filter(words, lambda w: w["gone"].isNotNull())
+    terms = F.transform(_apart(flagged), lambda w: F.struct(w["start"], w["end"], F.when(w["gone"], "gone").otherwise("term").alias("kind"), w["value"]))
+    spans = F.when(held & (F.size("_hits") > 0), _in_order(F.concat("_base", terms))).otherwise(F.col("_base"))
+    return split.select(*carry, "text", "_base", spans.alias("_spans"))
 
 
 def personal_data(docs: DataFrame, **limits) -> DataFrame:
@@ -208,27 +234,35 @@ def personal_data(docs: DataFrame, **limits) -> DataFrame:
     )
 
 
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points start to end of a text that is given in chunks of _CHUNK code points."""
+    a, b = F.floor(start / _CHUNK).cast("int"), F.floor(end / _CHUNK).cast("int")
+    one = F.substring(F.get(chunks, a), start % _CHUNK + 1, end - start)
+    more = F.concat(
+        F.substring(F.get(chunks, a), start % _CHUNK + 1, F.lit(_CHUNK)), F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""),
+        F.substring(F.coalesce(F.get(chunks, b), F.lit("")), F.lit(1), end % _CHUNK),
+    )
+    return F.when(end <= start, "").when(a == b, one).otherwise(more)
+
+
 def sanitise(docs: DataFrame, **limits) -> DataFrame:
     """Rows of `docs` with personal data replaced by labels and disclosing terms generalised or removed.
 
-    n_chars, if there, follows the text; all other columns stay.
+    n_chars, if there, follows the text; all other columns stay, and so does every row: null and
+    equal ids, repeated rows, null and empty texts included. An empty table gives no rows. A text
+    of any length is put together from the pieces between its spans in one pass.
     """
-    changed = find_spans(docs, **limits).where("size(_spans) > 0").dropDuplicates(["doc_id", "_tie"])
+    found = cut(find_spans(docs.select(F.struct("*").alias("row"), "text"), ("row",), **limits).select("row", F.when(F.size("_spans") > 0, F.col("text")).alias("text"), "_spans"))
+    chunks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
     # The end of what is covered before each span; spans that begin inside it add nothing of their own.
     ends = F.transform("_spans", lambda s: s["end"])
-    covered = _with_prefixes(ends, _most, lambda before: F.transform("_spans", lambda s, i: before(i)))
+    covered = found.withColumn("_chunks", chunks).withColumn("_covered", F.when(F.col("text").isNotNull(), _prefixes(ends, _most)))
     label = lambda s: reduce(lambda e, k: e.when(s["kind"] == k, LABELS[k]), LABELS, F.when(F.lit(False), ""))
-    parts = F.transform(
-        "_spans",
-        lambda s, i: F.when(
-            s["start"] >= F.get("_covered", i), F.concat(F.substring("text", F.get("_covered", i) + 1, s["start"] - F.get("_covered", i)), label(s))
-        ).otherwise(""),
-    )
-    tail = F.expr("substring(text, array_max(transform(_spans, s -> s.end)) + 1)")
-    new = changed.withColumn("_covered", covered).select(F.col("doc_id").alias("_doc"), F.col("_tie").alias("_h"), F.concat(F.array_join(parts, ""), tail).alias("_new"))
-    rows = docs.select(F.struct("*").alias("row")).withColumn("tie", F.xxhash64(F.coalesce("row.text", F.lit(""))))
-    joined = rows.join(cut(new), F.col("row.doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_h")), "left")
+    part = lambda s, before: F.when(s["start"] >= before, F.concat(_between(F.col("_chunks"), before, s["start"]), label(s))).otherwise("")
+    parts = F.zip_with("_spans", "_covered", part)
+    tail = _between(F.col("_chunks"), F.array_max(ends), F.char_length("text"))
+    new = covered.select("row", F.when(F.col("text").isNotNull(), F.concat(F.array_join(parts, ""), tail)).alias("_new"))
     cols = {"text": F.coalesce("_new", "row.text")}
     if "n_chars" in docs.columns:
         cols["n_chars"] = F.when(F.col("_new").isNotNull(), F.char_length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return joined.select(*(cols.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+    return new.select(*(cols.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -1,5 +1,8 @@
 """What the corpus gives away: counts over distinct texts, candidates anywhere in a text."""
 
+import re
+import time
+
 import pytest
 
 from changegrid.llm import pii
@@ -59,3 +62,19 @@ def test_a_list_of_many_addresses(spark):
     docs = spark.createDataFrame([*PLAIN, (300, page)], "doc_id long, text string")
     (got,) = pii.personal_data(docs).where("doc_id = 300").collect()
     assert got.n_email == 3000 and got.spans.count("term:") == 3000
+
+
+def test_a_long_text_full_of_flagged_terms(spark):
+    """20,000 words, most of them flagged, and 2,000 addresses: spans and text in time that grows with the length."""
+    words = " ".join(f"w{i} é{i}" + (f" n{i}@corp.org" if i % 5 == 0 else "") for i in range(10_000))
+    docs = spark.createDataFrame([*PLAIN, (300, words), (None, words), (300, None)], "doc_id long, text string")
+    started = time.monotonic()
+    got = pii.personal_data(docs).where("spans <> '' and doc_id = 300").collect()
+    assert got[0].n_email == 2000 and got[0].spans.count("term:") == 20_000
+    for kind, a, b in (s.split(":") for s in got[0].spans.split(",")[:: 97]):
+        assert re.fullmatch(r"n\d+@corp\.org" if kind == "email" else r"[wé]\d+", words[int(a) : int(b)])
+    rows = pii.sanitise(docs).collect()
+    new = [r.text for r in rows if r.text and "[EMAIL]" in r.text]
+    assert len(rows) == len(PLAIN) + 3 and len(new) == 2 and new[0] == new[1]
+    want = " ".join(" " + (" [EMAIL]" if i % 5 == 0 else "") for i in range(10_000))
+    assert new[0] == want and time.monotonic() - started < 60
