@@ -38,71 +38,84 @@ FIRST_RULE = 1 << 16
 SHARD_TOKENS = 2 << 20
 RULES_PER_ROUND, LEAST_COUNT = 16384, 24
 _SLOTS_LOG2 = 20
-_FIRST, _SECOND = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+
+
+def _multiplier(k: int) -> np.uint32:
+    """An odd 32-bit number of its own for each k."""
+    return np.uint32((k + 1) * 0x9E3779B97F4A7C15 >> 29 & 0xFFFFFFFF | 1)
+
+
+def _frequent(left: np.ndarray, right: np.ndarray, slot: np.ndarray, slots: int, least: int, per_round: int):
+    """(number of the pair or -1, one position per number) of the pairs that come `least` times, the
+    most frequent first. A pair is counted if it holds its hash slot; where no such pair is frequent,
+    all pairs are counted."""
+    own = np.zeros(slots, np.int64)
+    own[slot] = np.arange(len(slot))
+    mine = own[slot]
+    held = (left[mine] == left) & (right[mine] == right)
+    count = np.bincount(slot[held], minlength=slots)
+    if not (count >= least).any():
+        _, own, slot, count = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_index=True, return_inverse=True, return_counts=True)
+        held = np.ones(len(left), bool)
+    chosen = np.flatnonzero(count >= least)
+    chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
+    number = np.full(len(count), -1, np.int32)
+    number[chosen] = np.arange(len(chosen), dtype=np.int32)
+    return np.where(held, number[slot], -1), own[chosen]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
     """(symbols, end flags, rules, rule lengths, rules after each round) of ids below FIRST_RULE.
 
-    `ends` marks the last id of each document. Pairs are counted over all ids of the shard: first
-    in hashed slots, then exactly for one pair per slot (a second pair of a slot has its turn in
-    the next round). Where no slot yields a pair, all pairs of crowded slots are counted exactly,
-    so that the rounds end only when no pair comes `least` times, or after `rounds` if given.
+    `ends` marks the last id of each document. Rounds end when no pair comes `least` times, or after
+    `rounds` if given. A pair of old symbols can only grow rarer, so a round looks at a working set
+    of places: those whose pair fell into a hash slot of `least` pairs or more last time, and those
+    beside a replacement. Every round hashes in its own way, so that a rare pair leaves the set soon.
     """
-    seq, ends = ids.astype(np.uint32), ends.copy()
-    rules, lengths, levels = [], [], []
+    n = len(ids)
+    seq, ends = np.append(ids, 0).astype(np.uint32), np.append(ends, True)
+    following, preceding = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    preceding[:1] = n  # the place after the last stands for none
+    alive, at = np.ones(n, bool), np.flatnonzero(~ends[: max(n - 1, 0)])
+    rules, lengths, levels, made = [], [], [], 0
     size_of = np.ones(FIRST_RULE, np.int64)
     none = np.iinfo(np.int32).max
-    while rounds is None or len(levels) < rounds:
-        if len(seq) < 2:
+    while (rounds is None or len(levels) < rounds) and len(at) >= least:
+        bits = min(_SLOTS_LOG2, max(10, len(at).bit_length()))
+        left, right = seq[at], seq[following[at]]
+        slot = (left * _multiplier(2 * len(levels)) + right * _multiplier(2 * len(levels) + 1)) >> np.uint32(32 - bits)
+        hot = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
+        at, left, right, slot = at[hot], left[hot], right[hot], slot[hot]
+        number, examples = _frequent(left, right, slot, 1 << bits, least, per_round)
+        if not len(examples):
             break
-        slot = (seq[:-1] * _FIRST + seq[1:] * _SECOND) >> np.uint32(32 - _SLOTS_LOG2)
-        slot[ends[:-1]] = 0  # one slot is given up for pairs that cross documents
-        hot = np.bincount(slot, minlength=1 << _SLOTS_LOG2) >= least
-        hot[0] = False
-        at = np.flatnonzero(hot[slot])
-        own = np.zeros(1 << _SLOTS_LOG2, np.int64)
-        mine = slot[at]
-        own[mine] = at
-        same = own[mine]
-        at = at[(seq[same] == seq[at]) & (seq[same + 1] == seq[at + 1])]
-        count = np.bincount(slot[at], minlength=1 << _SLOTS_LOG2)
-        chosen = np.flatnonzero(count >= least)
-        chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
-        if not len(chosen):
-            slot = (seq[:-1] * _FIRST + seq[1:] * _SECOND) >> np.uint32(32 - _SLOTS_LOG2)
-            at = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOTS_LOG2) >= least)[slot] & ~ends[:-1])
-            _, first, dense, count = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_index=True, return_inverse=True, return_counts=True)
-            chosen = np.flatnonzero(count >= least)
-            chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
-            if not len(chosen):
-                break
-            slot[at], own = dense, at[first]
-        rank_of = np.full(max(1 << _SLOTS_LOG2, len(count)), none, np.int32)
-        rank_of[chosen] = np.arange(len(chosen), dtype=np.int32)
-        rank = np.full(len(seq) + 1, none, np.int32)  # shifted by one: rank[i + 1] belongs to the pair at i
-        rank[at + 1] = rank_of[slot[at]]
-        here = rank[1:]
-        # In a run of one pair (an id repeated) every other place is taken.
-        new = here != rank[:-1]
-        place = np.arange(len(here)) - np.maximum.accumulate(np.where(new, np.arange(len(here)), 0))
-        late = np.maximum.accumulate(np.where(new, 2 * np.arange(len(here)) + (rank[:-1] < here), 0)) & 1  # a better pair stands before the run
-        take = (here < none) & (place % 2 == late)
-        take[:-1] &= here[:-1] <= here[1:]
-        where = np.flatnonzero(take)
-        base = FIRST_RULE + sum(map(len, rules))
-        made = np.stack([seq[own[chosen]], seq[own[chosen] + 1]], 1)
-        rules.append(made)
-        lengths.append(size_of[made].sum(1))
+        found = np.flatnonzero(number >= 0)
+        here, place = number[found], at[found]
+        joined = np.append(False, following[place[:-1]] == place[1:])  # the pair before begins one symbol earlier
+        before = np.where(joined, np.append(none, here[:-1]), none)
+        after = np.where(np.append(joined[1:], False), np.append(here[1:], none), none)
+        # Of two overlapping pairs the more frequent goes first; in a run of one pair every other place is taken.
+        each = np.arange(len(here))
+        start = np.maximum.accumulate(np.where(here != before, each, 0))
+        take = ((each - start) % 2 == (before < here)[start]) & (here <= after)
+        where, base = place[take], FIRST_RULE + made
+        rules.append(np.stack([left[examples], right[examples]], 1))
+        lengths.append(size_of[rules[-1]].sum(1))
         size_of = np.concatenate([size_of, lengths[-1]])
-        levels.append(base - FIRST_RULE + len(chosen))
-        seq[where] = base + here[where]
-        ends[where] = ends[where + 1]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        seq, ends = seq[keep], ends[keep]
+        made += len(examples)
+        levels.append(made)
+        gone = following[where]
+        seq[where] = base + here[take]
+        ends[where] = ends[gone]
+        following[where] = following[gone]
+        preceding[following[gone]] = where
+        alive[gone] = False
+        look = np.zeros(n + 1, bool)
+        look[at] = look[where] = look[preceding[where]] = True
+        look[gone] = False
+        at = np.flatnonzero(look & ~ends)
     return (
-        seq, ends,
+        seq[:n][alive], ends[:n][alive],
         np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32),
         np.concatenate(lengths) if lengths else np.zeros(0, np.int64),
         levels,
