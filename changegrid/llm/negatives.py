@@ -1,8 +1,8 @@
 """Hard negatives from an R-tree packed by sort-tile-recursive.
 
-Rows of one label and length are packed together: cut into slabs of equal count by the coordinate
-of largest variance, those by the next, and so on; a tile holds a few thousand rows and is cut by
-the same rule into leaf boxes. The least and largest value of every coordinate in a box give an
+Rows of one label and length are packed together: cut into slabs of equal count by the first
+coordinate and those by the second; a tile holds a few thousand rows and is cut by the same rule
+into leaf boxes, by its coordinates of largest variance. The least and largest value of every coordinate in a box give an
 interval for each term of an inner product, and their sums an interval for every score in the box.
 
 A query first visits the tile of best bound, which gives it a k-th score. It then visits the other
@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +27,7 @@ from changegrid.plans.lineage import cut
 
 TILE_ROWS, LEAF_ROWS = 4096, 32
 QUERY_CHUNK, BOX_BLOCK = 1024, 256
-TILED_BY, FINEST = 3, 64
+TILED_BY, FINEST = 2, 128
 
 
 def quantised(vectors: DataFrame, label: str, scale: int = 256, most: int = 8) -> DataFrame:
@@ -52,15 +50,13 @@ def packed(rows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     came out too large, through ties or beyond FINEST slabs a coordinate, is dealt out by a hash.
     """
     rows = rows.withColumn("size", F.size("v"))
-    by_spread = F.array_sort(F.transform(vector_to_array("var"), lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
-    axes = rows.groupBy("size").agg(Summarizer.variance(array_to_vector("v")).alias("var")).select("size", F.transform(F.slice(by_spread, 1, TILED_BY), lambda s: s["i"]).alias("axes"))
     slabs = f"int(least({FINEST}, ceil(pow(ceil(n / {tile_rows}), 1.0 / {TILED_BY})))) as slabs"
-    kinds = cut(rows.groupBy("label", "size").agg(F.count("*").alias("n")).selectExpr("label", "size", slabs).join(axes, "size"))
+    kinds = cut(rows.groupBy("label", "size").agg(F.count("*").alias("n")).selectExpr("label", "size", slabs))
     tiled = salted_join(rows, kinds, ["label", "size"], ["vec_id"]).withColumn("tile", F.concat_ws("/", "label", "size"))
     borders = [k / FINEST for k in range(1, FINEST)]
     for k in range(TILED_BY):
-        x = F.get(F.col("v"), F.get("axes", F.lit(k)))
-        cuts = cut(tiled.where("slabs > 1").groupBy("tile").agg(F.percentile_approx(x, borders, 1000).alias("cuts")))
+        x = F.get(F.col("v"), F.lit(k))
+        cuts = cut(tiled.where("slabs > 1").groupBy("tile").agg(F.percentile_approx(x, borders, 10 * FINEST).alias("cuts")))
         below = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda b: b < x))
         slab = F.floor(below * F.col("slabs") / FINEST).cast("int").cast("string")
         tiled = salted_join(tiled, cuts, ["tile"], ["vec_id"], "left").withColumn("tile", F.concat_ws("/", "tile", slab)).drop("cuts")
@@ -130,10 +126,8 @@ def _route(queries: DataFrame, tree: DataFrame, own: bool, home: bool) -> DataFr
         row, box = np.nonzero(alive)
         return pa.table({"query_id": asked["query_id"].take(row), "tile": known["tile"].take(box), "bound": most[row, box]})
 
-    n_chunks = queries.groupBy("size").agg(F.max("chunk").alias("last"))
-    n_blocks = tree.groupBy("size").agg(F.max("block").alias("last"))
-    asked = queries.join(n_blocks, "size").withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
-    known = tree.join(n_chunks, "size").withColumn("chunk", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+    asked = queries.withColumn("block", F.expr("explode(sequence(0, blocks - 1))"))
+    known = tree.withColumn("chunk", F.expr("explode(sequence(0, chunks - 1))"))
     met = asked.groupBy("size", "chunk", "block").cogroup(known.groupBy("size", "chunk", "block")).applyInArrow(run, "query_id long, tile string, bound double")
     if home:
         return met.groupBy("query_id").agg(F.max_by("tile", F.struct("bound", "tile")).alias("tile"))
@@ -197,7 +191,7 @@ def _visit(pairs: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> Dat
 def _search(queries: DataFrame, rows: DataFrame, tree: DataFrame, k: int, own: bool) -> DataFrame:
     """(query_id, slot, rank, vec_id, score): the k best rows in each score window of each query.
 
-    `queries` is (query_id, label, v, size, chunk, lo, hi), the last two being arrays with an entry per window.
+    `queries` is (query_id, label, v, size, chunk, blocks, lo, hi), the last two being arrays with an entry per window.
     """
     rank = F.row_number().over(Window.partitionBy("query_id", "slot").orderBy(F.desc("score"), "vec_id"))
     open_ = cut(queries.withColumn("kth", F.transform("lo", lambda _: F.lit(float("-inf")))))
@@ -230,13 +224,13 @@ def hard_negatives(
     """
     whole = cut(quantised(vectors, label, scale, max(positives, negatives)))
     rows = cut(packed(whole, tile_rows))
-    block = F.expr("int(pmod(xxhash64(tile), blocks))")
+    asked = whole.where(is_anchor).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("label", "v")).alias("q"))
+    asked = cut(asked.selectExpr("query_id", "q.*", "size(q.v) as size"))
     tree = cut(boxes(rows))
-    per_size = tree.groupBy("size").agg(F.count("*").alias("n")).selectExpr("size", f"ceil(n / {BOX_BLOCK}) as blocks")
-    tree = cut(tree.join(per_size, "size").withColumn("block", block).drop("blocks"))
-    asked = cut(whole.where(is_anchor).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("label", "v")).alias("q")).selectExpr("query_id", "q.*", "size(q.v) as size"))
-    per_size = asked.groupBy("size").agg(F.count("*").alias("n")).selectExpr("size", f"ceil(n / {QUERY_CHUNK}) as chunks")
-    asked = cut(asked.join(per_size, "size").withColumn("chunk", F.expr("int(pmod(xxhash64(query_id, 1), chunks))")).drop("chunks"))
+    chunks = asked.groupBy("size").agg(F.count("*").alias("n")).selectExpr("size", f"int(ceil(n / {QUERY_CHUNK})) as chunks")
+    parts = cut(tree.groupBy("size").agg(F.count("*").alias("n")).selectExpr("size", f"int(ceil(n / {BOX_BLOCK})) as blocks").join(chunks, "size"))
+    tree = cut(tree.join(parts, "size").withColumn("block", F.expr("int(pmod(xxhash64(tile), blocks))")))
+    asked = cut(asked.join(parts, "size").withColumn("chunk", F.expr("int(pmod(xxhash64(query_id, 1), chunks))")))
     open_ended = asked.withColumn("lo", F.array(F.lit(float("-inf")))).withColumn("hi", F.array(F.lit(float("inf"))))
     liked = cut(_search(open_ended, rows, tree, positives, own=True).selectExpr("query_id", "rank - 1 as slot", "vec_id as positive_id", "score as positive_score"))
     each = F.array_sort(F.collect_list(F.struct("slot", F.col("positive_score").alias("s"))))
