@@ -49,13 +49,13 @@ def _frequent(left: np.ndarray, right: np.ndarray, slot: np.ndarray, slots: int,
     """(number of the pair or -1, one position per number) of the pairs that come `least` times, the
     most frequent first. A pair is counted if it holds its hash slot; where no such pair is frequent,
     all pairs are counted."""
-    own = np.zeros(slots, np.int64)
-    own[slot] = np.arange(len(slot))
-    mine = own[slot]
-    held = (left[mine] == left) & (right[mine] == right)
+    own = np.zeros(slots, np.int32)
+    own[slot] = np.arange(len(slot), dtype=np.int32)
+    pair = left.astype(np.uint64) << np.uint64(32) | right
+    held = pair[own][slot] == pair if len(pair) > slots else pair[own[slot]] == pair
     count = np.bincount(slot[held], minlength=slots)
     if not (count >= least).any():
-        _, own, slot, count = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_index=True, return_inverse=True, return_counts=True)
+        _, own, slot, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
         held = np.ones(len(left), bool)
     chosen = np.flatnonzero(count >= least)
     chosen = chosen[np.argsort(-count[chosen], kind="stable")][:per_round]
@@ -83,7 +83,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_r
     while (rounds is None or len(levels) < rounds) and len(at) >= least:
         bits = min(_SLOTS_LOG2, max(10, len(at).bit_length()))
         left, right = seq[at], seq[following[at]]
-        slot = (left * _multiplier(2 * len(levels)) + right * _multiplier(2 * len(levels) + 1)) >> np.uint32(32 - bits)
+        slot = ((left * _multiplier(2 * len(levels)) + right * _multiplier(2 * len(levels) + 1)) >> np.uint32(32 - bits)).astype(np.int64)
         hot = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
         at, left, right, slot = at[hot], left[hot], right[hot], slot[hot]
         number, examples = _frequent(left, right, slot, 1 << bits, least, per_round)
@@ -114,6 +114,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, rounds: int | None = None, per_r
         look[at] = look[where] = look[preceding[where]] = True
         look[gone] = False
         at = np.flatnonzero(look & ~ends)
+        if len(at) > n >> 3:
+            # While much is still looked at, symbols are moved together, so that neighbours lie side by side.
+            keep = np.append(alive, True)
+            at = np.flatnonzero((look & ~ends)[keep])
+            seq, ends, n = seq[keep], ends[keep], int(alive.sum())
+            alive, following, preceding = np.ones(n, bool), np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+            preceding[:1] = n
     return (
         seq[:n][alive], ends[:n][alive],
         np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32),
