@@ -194,6 +194,51 @@ def test_one_broken_pair_fails_alone_and_is_tried_again(spark, one, tmp_path):
     assert ingest.read_log(spark, out).where("pair_id = 3 and attempt = 2 and status = 'complete'").count() == 1
 
 
+def test_a_replayed_batch_leaves_each_detection_once(spark, tmp_path):
+    """The first try is halved by an error and its checkpoint is lost after it was stored; the second goes through whole."""
+    at = "timestamp'2024-01-01 00:00:00' as submitted_at"
+    spark.sql(f"select id as pair_id, int(id) as scene_id, {at} from range(4)").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out, tries = str(tmp_path / "out"), []
+
+    def detect(batch):
+        tries.append(batch.count())
+        if len(tries) == 1:
+            raise RuntimeError("lost")
+        return batch.selectExpr("string(pair_id) as detection_id", "scene_id", "1D as area_m2")
+
+    for name in ("c1", "c2"):
+        ingest.run_detection(ingest.read_manifest(spark, str(tmp_path / "in")), detect, out, str(tmp_path / name)).awaitTermination()
+    assert tries[0] == 4 and tries[-1] == 4 and len(tries) > 3
+    assert sorted(r.detection_id for r in ingest.read_stream_detections(spark, out).collect()) == [*"0123"]
+    assert ingest.read_log(spark, out).count() == 4 and spark.read.parquet(f"{out}/log").count() == 8
+
+
+def test_a_half_written_batch_is_not_seen(spark, tmp_path):
+    """A driver that is lost between the parts and the commit leaves nothing that is read."""
+    spark.sql("select 1L as pair_id, 0 as scene_id, timestamp'2024-01-01 00:00:00' as submitted_at").write.parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    rows = spark.sql("select 'stale' as detection_id, 0 as scene_id, 1D as area_m2, 4 as bucket, 'p-0' as part")
+    rows.write.partitionBy("bucket", "part").parquet(f"{out}/detections")
+    assert ingest.read_stream_detections(spark, out).count() == 0
+    detect = lambda batch: batch.selectExpr("'new' as detection_id", "scene_id", "1D as area_m2")
+    ingest.run_detection(ingest.read_manifest(spark, str(tmp_path / "in")), detect, out, out + "-c").awaitTermination()
+    assert [r.detection_id for r in ingest.read_stream_detections(spark, out).collect()] == ["new"]
+
+
+def test_a_later_batch_reads_its_scenes_only(spark, tmp_path):
+    at = "timestamp'2024-01-01 00:00:00' as submitted_at"
+    detect = lambda batch: batch.selectExpr("concat('d', scene_id) as detection_id", "scene_id", "1D as area_m2")
+    out = str(tmp_path / "out")
+    for lo, hi in ((0, 20), (20, 22)):
+        spark.sql(f"select id as pair_id, int(id % 20) as scene_id, {at} from range({lo}, {hi})").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest.run_detection(ingest.read_manifest(spark, str(tmp_path / "in")), detect, out, out + "-c").awaitTermination()
+    assert ingest.read_stream_detections(spark, out).count() == 20  # the scenes that came again added nothing
+    batch = spark.sql("select 0L as pair_id, 3 as scene_id")
+    earlier = ingest._earlier_ids(batch, out, 5)
+    plan = earlier._jdf.queryExecution().toString()
+    assert [r.detection_id for r in earlier.collect()] == ["d3"] and "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1][:200]
+
+
 def test_stream_dedup_and_totals(spark, sf, tmp_path, one):
     m = fx.manifest(spark, sf).selectExpr("pair_id", "scene_id", "cast(submitted_at as timestamp) as submitted_at")
     m.coalesce(1).write.parquet(str(tmp_path / "in"))
