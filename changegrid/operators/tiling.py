@@ -18,13 +18,13 @@ from pyspark.sql.functions import expr
 from changegrid.functions import expr as X
 from changegrid.plans.joins import salted_join
 
-SINGLE_PASS_MAX_PX = 640
+SINGLE_PASS_MAX_PX = 640  # fixed value: larger scenes are tiled
 
 
 def check_overlap(tile: int, overlap: int) -> int:
     """Stride of a tile grid in which at most two tiles cover a line per axis."""
     if overlap >= tile // 2:
-        raise ValueError(f"overlap ({overlap}) must be < tile/2 ({tile // 2})")
+        raise ValueError(f"tiles of {tile} px with {overlap} px in common would cover a line three times; share less than half a tile")
     return tile - overlap
 
 
