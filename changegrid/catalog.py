@@ -817,6 +817,15 @@ def detect_changes_full(spark, sf):
     return _round(store.read_detections(spark, path).drop("created_at"), *DETECTION_DOUBLES)
 
 
+@query
+def detect_changes_nodata(spark, sf):
+    """The aligned plan on scenes with declared nodata: gaps are resampled, scored and blended around."""
+    found = detect_changes_aligned(
+        fx.bordered_blocks(spark, sf), fx.bordered_meta(spark, sf), _registrations(spark, sf), fx.BLOCK_H, fx.COLS, _ratio_model, TILE, OVERLAP, min_area_px=MIN_AREA
+    )
+    return _round(found, *DETECTION_DOUBLES)
+
+
 @query
 def detect_changes_geometry(spark, sf):
     """The end-to-end plan with outlines; area and extent are measured on the outlines."""
@@ -955,6 +964,15 @@ def warp_blocks(spark, sf):
     return _round(ras.block_pixels(out, *size), "value")
 
 
+@query
+def warp_beyond_horizon(spark, sf):
+    """A map whose horizon crosses the scenes: blocks name their taps, none asks for a scene."""
+    h = "array(1D, 0.02D, 1.0003D, -0.01D, 1D, 2D, 0.05D, 0.03D, 1D)"
+    regs, b, size = scene_meta(spark, sf).selectExpr("scene_id", f"{h} as h"), raster_blocks(spark, sf), (fx.BLOCK_H, fx.COLS)
+    out = rgs.warp_blocks(b.where("t = 'A' and band = 0"), b.where("t = 'B'"), regs, scene_meta(spark, sf), *size)
+    return ras.block_pixels(out, *size).selectExpr("scene_id", "band", "row", "col", f"{r6('value')} as value")
+
+
 # --- augmentation ---------------------------------------------------------------------------
 
 @query

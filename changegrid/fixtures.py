@@ -88,6 +88,18 @@ def raster_blocks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def bordered_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 blocks with nodata in odd scenes: the two left columns of date B, and single pixels of
+    column 20 in one band of date A."""
+    hole = "(t = 'B' and i % w < 2) or (t = 'A' and band = 2 and i % w = 20 and (block_row * {0} + i div w) % 7 = 3)".format(BLOCK_H)
+    data = f"if(scene_id % 2 = 1, transform(data, (v, i) -> if({hole}, -9999D, v)), data)"
+    return raster_blocks(spark, sf).withColumn("data", expr(data))
+
+
+def bordered_meta(spark: SparkSession, sf: str) -> DataFrame:
+    return scene_meta(spark, sf).withColumn("nodata", expr("if(scene_id % 2 = 1, -9999D, null)"))
+
+
 def scene_meta(spark: SparkSession, sf: str) -> DataFrame:
     """D3: one row per scene."""
     return scenes(spark, sf).selectExpr(

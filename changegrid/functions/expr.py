@@ -36,6 +36,11 @@ def clip(x: str, lo: float, hi: float) -> str:
     return f"least(greatest({x}, {num(lo)}), {num(hi)})"
 
 
+def nan_to_null(data: str) -> str:
+    """An array whose NaN, as numpy marks gaps, are null."""
+    return f"transform({data}, v -> if(isnan(v), null, v))"
+
+
 def to_uint8(x: str) -> str:
     """[0,1] float to byte, truncating."""
     return f"int(floor({clip(x, 0, 1)} * 255))"

@@ -244,26 +244,29 @@ def _zone_sums(block_h: int, block_w: int, zone_h: int, zone_w: int):
 
     def run(windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         if windows.empty or blocks.empty:
-            return pd.DataFrame(columns=["scene_id", "region_id", "s"])
+            return pd.DataFrame(columns=["scene_id", "region_id", "s", "n"])
         top, left = int(windows["_zr"].iloc[0]) * zone_h, int(windows["_zc"].iloc[0]) * zone_w
         rows, cols = blocks["block_row"] * block_h - top, blocks["block_col"] * block_w - left
         n_rows, n_cols = int((rows + blocks["h"]).max()), int((cols + blocks["w"]).max())
-        pre = np.zeros((n_rows + 1, n_cols + 1))
+        # Values and the number of pixels that have one, as prefix tables.
+        pre = np.zeros((2, n_rows + 1, n_cols + 1))
         for r, c, h, w, data in zip(rows, cols, blocks["h"], blocks["w"], blocks["data"]):
-            pre[r + 1 : r + h + 1, c + 1 : c + w + 1] = np.reshape(data, (h, w))
-        pre = pre.cumsum(0).cumsum(1)
+            data = np.reshape(np.asarray(data, float), (h, w))
+            there = ~np.isnan(data)
+            pre[:, r + 1 : r + h + 1, c + 1 : c + w + 1] = np.where(there, data, 0.0), there
+        pre = pre.cumsum(1).cumsum(2)
         r0 = np.clip(windows["w_row0"] - top, 0, n_rows).to_numpy()
         r1 = np.clip(windows["w_row1"] + 1 - top, 0, n_rows).to_numpy()
         c0 = np.clip(windows["w_col0"] - left, 0, n_cols).to_numpy()
         c1 = np.clip(windows["w_col1"] + 1 - left, 0, n_cols).to_numpy()
-        s = pre[r1, c1] - pre[r0, c1] - pre[r1, c0] + pre[r0, c0]
-        return pd.DataFrame({"scene_id": windows["scene_id"].to_numpy(), "region_id": windows["region_id"].to_numpy(), "s": s})
+        s, n = pre[:, r1, c1] - pre[:, r0, c1] - pre[:, r1, c0] + pre[:, r0, c0]
+        return pd.DataFrame({"scene_id": windows["scene_id"].to_numpy(), "region_id": windows["region_id"].to_numpy(), "s": s, "n": n.astype(np.int64)})
 
     return run
 
 
 def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: int, zone_side: int = ZONE_SIDE) -> DataFrame:
-    """Mean score inside each window: (scene_id, region_id, window_mean).
+    """Mean score inside each window: (scene_id, region_id, window_mean). Null pixels do not count.
 
     A window visits only the zones on its own rim; whole zones inside it come from a prefix
     table over zone totals, four lookups per window. So neither large nor overlapping windows
@@ -288,14 +291,14 @@ def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: in
     partial = (
         rim.groupBy("scene_id", "_zr", "_zc")
         .cogroup(zones.join(touched, ["_bs", "_br", "_bc"], "left_semi").groupBy("_bs", "_br", "_bc"))
-        .applyInPandas(_zone_sums(block_h, block_w, zone_h, zone_w), f"scene_id {scene}, region_id bigint, s double")
-    )
-    totals = zones.groupBy("_bs", "_br", "_bc").agg(expr("sum(aggregate(data, 0D, (s, x) -> s + x)) as v")).selectExpr(
-        "_bs as scene_id", "int(_br) as row", "int(_bc) as col", "v"
+        .applyInPandas(_zone_sums(block_h, block_w, zone_h, zone_w), f"scene_id {scene}, region_id bigint, s double, n bigint")
     )
+    totals = zones.groupBy("_bs", "_br", "_bc").agg(
+        expr("sum(aggregate(data, 0D, (s, x) -> s + coalesce(x, 0D))) as v"), expr("sum(size(filter(data, x -> x is not null))) as c")
+    ).selectExpr("_bs as scene_id", "int(_br) as row", "int(_bc) as col", "v", "c")
     over = "over (partition by scene_id, {} order by {} rows unbounded preceding)"
-    prefix = totals.selectExpr("scene_id", "row", "col", f"sum(v) {over.format('row', 'col')} as _r").selectExpr(
-        "scene_id", "row", "col", f"sum(_r) {over.format('col', 'row')} as prefix"
+    prefix = totals.selectExpr("scene_id", "row", "col", f"sum(v) {over.format('row', 'col')} as _r", f"sum(c) {over.format('row', 'col')} as _n").selectExpr(
+        "scene_id", "row", "col", f"sum(_r) {over.format('col', 'row')} as prefix", f"sum(_n) {over.format('col', 'row')} as n"
     )
     corner = "struct(int({}) as row, int({}) as col, {}D as sign)".format
     corners = ", ".join(
@@ -306,16 +309,14 @@ def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: in
         .selectExpr("scene_id", "region_id", f"explode(array({corners})) as k")
         .selectExpr("scene_id", "region_id", "k.row as row", "k.col as col", "k.sign as _sign")
         .join(prefix, ["scene_id", "row", "col"])
-        .selectExpr("scene_id", "region_id", "_sign * prefix as s")
+        .selectExpr("scene_id", "region_id", "_sign * prefix as s", "bigint(_sign) * n as n")
     )
     return _window_means(w, partial.unionByName(inner))
 
 
 def _window_means(w: DataFrame, parts: DataFrame) -> DataFrame:
-    sums = parts.groupBy("scene_id", "region_id").agg(expr("sum(s) as s"))
-    return w.join(sums, ["scene_id", "region_id"]).selectExpr(
-        "scene_id", "region_id", "s / ((w_row1 - w_row0 + 1) * (w_col1 - w_col0 + 1)) as window_mean"
-    )
+    sums = parts.groupBy("scene_id", "region_id").agg(expr("sum(s) as s"), expr("sum(n) as n"))
+    return w.join(sums, ["scene_id", "region_id"]).selectExpr("scene_id", "region_id", "s / nullif(n, 0) as window_mean")
 
 
 def region_attributes(regions: DataFrame, meta: DataFrame, compat_area: bool = False) -> DataFrame:
@@ -348,23 +349,16 @@ def region_confidence(
 ) -> DataFrame:
     """Mean confidence per region: window mean with a geotransform, else the scene mean.
 
-    `scores` is the score map in block layout. Null pixels do not count; in scenes with any, the
-    mean over the window is divided by the window's share of scored pixels.
+    `scores` is the score map in block layout. Null pixels do not count.
     """
     geo = meta.where("a is not null and epsg is not null")
     windows = confidence_windows(regions, geo)
-    filled = scores.withColumn("data", expr("transform(data, x -> coalesce(x, 0D))"))
-    zonal = zonal_means(windows, filled, block_h, block_w, zone_side)
-    holed = scores.where("exists(data, x -> x is null)").select("scene_id").distinct()
-    scored = scores.join(holed, "scene_id", "left_semi").withColumn("data", expr("transform(data, x -> if(x is null, 0D, 1D))"))
-    share = zonal_means(windows.join(holed, "scene_id", "left_semi"), scored, block_h, block_w, zone_side)
+    zonal = zonal_means(windows, scores, block_h, block_w, zone_side)
     plain = meta.where("a is null or epsg is null").select("scene_id")
     scene = scores.join(plain, "scene_id", "left_semi").groupBy("scene_id").agg(
         expr("sum(aggregate(data, 0D, (s, x) -> s + coalesce(x, 0D))) / sum(size(filter(data, x -> x is not null))) as scene_mean")
     )
-    out = regions.select("scene_id", "region_id").join(zonal, ["scene_id", "region_id"], "left").join(
-        share.withColumnRenamed("window_mean", "_share"), ["scene_id", "region_id"], "left"
-    ).selectExpr("scene_id", "region_id", "window_mean / coalesce(_share, 1D) as window_mean")
+    out = regions.select("scene_id", "region_id").join(zonal, ["scene_id", "region_id"], "left")
     return salted_join(out, scene, ["scene_id"], ["region_id"], "left").selectExpr(
         "scene_id", "region_id",
         "coalesce(window_mean, scene_mean) as mean_confidence",

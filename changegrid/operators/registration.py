@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import expr
 
+from changegrid.functions import expr as X
 from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
@@ -109,9 +110,13 @@ def pair_match_status(primary: DataFrame, fallback: DataFrame, metric: str = "l2
 
 # --- homography -----------------------------------------------------------------------------
 
+# Stands for the zero denominator of a point on the horizon: it lands far away, on the edge.
+ON_HORIZON = 1e-12
+
+
 def apply_h(h: str, x: str, y: str) -> tuple[str, str]:
     """Projective map of (x, y) by a row-major array of nine."""
-    w = f"({h}[6] * {x} + {h}[7] * {y} + {h}[8])"
+    w = f"coalesce(nullif({h}[6] * {x} + {h}[7] * {y} + {h}[8], 0D), {ON_HORIZON}D)"
     return f"(({h}[0] * {x} + {h}[1] * {y} + {h}[2]) / {w})", f"(({h}[3] * {x} + {h}[4] * {y} + {h}[5]) / {w})"
 
 
@@ -313,7 +318,8 @@ def warp_bilinear(target: DataFrame, source: DataFrame, registrations: DataFrame
     """Resample `source` (date B) onto the pixel grid of `target` (date A), in long layout.
 
     `registrations` holds (scene_id, h); NULL or absent keeps B as it is. Outside B the edge
-    pixel is repeated. Four equi-joined taps per output pixel, keyed by pixel, so one huge
+    pixel is repeated. Null and missing pixels of B do not count: the other taps share their
+    weight, and a pixel without any gives no row. Four equi-joined taps per output pixel, keyed by pixel, so one huge
     scene spreads like any other.
     """
     keys = ["scene_id", "band"]
@@ -333,68 +339,143 @@ def warp_bilinear(target: DataFrame, source: DataFrame, registrations: DataFrame
     probe = grid.selectExpr(*keys, "row", "col", f"explode(filter(array({taps}), k -> k.w > 0)) as _k").selectExpr(
         *keys, "row", "col", "_k.r as _sr", "_k.c as _sc", "_k.w as _w"
     )
-    src = source.selectExpr(*keys, "row as _sr", "col as _sc", "value as _v")
-    return probe.join(src, [*keys, "_sr", "_sc"]).groupBy(*keys, "row", "col").agg(expr("sum(_w * _v) as value"))
+    src = source.where("value is not null").selectExpr(*keys, "row as _sr", "col as _sc", "value as _v")
+    return probe.join(src, [*keys, "_sr", "_sc"]).groupBy(*keys, "row", "col").agg(expr("sum(_w * _v) / sum(_w) as value"))
+
+
+# Footprints of more source blocks than this are read tap by tap.
+MOSAIC_BLOCKS = 16
 
 
 def warp_blocks(
-    targets: DataFrame, source: DataFrame, registrations: DataFrame, meta: DataFrame, block_h: int, block_w: int
+    targets: DataFrame,
+    source: DataFrame,
+    registrations: DataFrame,
+    meta: DataFrame,
+    block_h: int,
+    block_w: int,
+    mosaic_blocks: int = MOSAIC_BLOCKS,
 ) -> DataFrame:
     """`warp_bilinear` in block layout, the form for whole archives.
 
-    An output block asks for the source blocks under its footprint (its four mapped corners);
-    it then resamples from that small mosaic. The shuffle moves a few arrays per block instead
-    of four rows per pixel. `targets` lists (scene_id, block_row, block_col, h, w) of date A;
-    `source` holds the blocks of date B with their bands.
+    An output block resamples from what `warp_requests` asks for: a mosaic of a few source blocks
+    where its footprint is small, single taps elsewhere. So no group holds more than
+    `mosaic_blocks` blocks per band, or four taps per pixel of its own, under any homography.
+    `targets` lists (scene_id, block_row, block_col, h, w) of date A; `source` holds the blocks
+    of date B with their bands. Null and missing source pixels do not count: the other taps share
+    their weight, and a pixel without any is null.
     """
-    identity = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
-    m = meta.select("scene_id", "height", "width").join(registrations.select("scene_id", "h"), "scene_id", "left")
-    m = m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g")
     keys = ["scene_id", "block_row", "block_col"]
-    t = salted_join(targets.select(*keys, "h", "w"), m, ["scene_id"], ["block_row", "block_col"])
-    top, left = f"block_row * {block_h}", f"block_col * {block_w}"
-    corners = [(f"({left} + {dx})", f"({top} + {dy})") for dx in ("0", "w - 1") for dy in ("0", "h - 1")]
-    mapped = [apply_h("_g", x, y) for x, y in corners]
-    signs = [f"signum(_g[6] * {x} + _g[7] * {y} + _g[8])" for x, y in corners]
-    # A footprint that crosses the horizon of the map is not bounded by its corners.
-    safe = f"abs({' + '.join(signs)}) = 4"
-
-    def span(values: list[str], side: str, block: int) -> str:
-        lo = f"least(greatest(floor(least({', '.join(values)})), 0), {side} - 1)"
-        hi = f"least(greatest(floor(greatest({', '.join(values)})) + 1, 0), {side} - 1)"
-        return f"sequence(int(if({safe}, {lo}, 0) div {block}), int(if({safe}, {hi}, {side} - 1) div {block}))"
-
-    asks = t.selectExpr("*", f"explode({span([v for _, v in mapped], 'height', block_h)}) as _sr").selectExpr(
-        "*", f"explode({span([u for u, _ in mapped], 'width', block_w)}) as _sc"
-    )
+    asks = warp_requests(targets, registrations, meta, block_h, block_w, mosaic_blocks)
     src = source.selectExpr("scene_id", "block_row as _sr", "block_col as _sc", "band", "h as _sh", "w as _sw", "data as _data")
-    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).groupBy(*keys)
+    picked = "if(_pos is null, _data, transform(_pos, p -> _data[p]))"
+    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).withColumn("_data", expr(picked)).drop("_pos").groupBy(*keys)
     types = source.schema["scene_id"].dataType.simpleString()
 
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
+    def from_taps(pdf: pd.DataFrame, n: int):
+        for band, part in pdf.groupby("band"):
+            value, weight = np.zeros(n), np.zeros(n)
+            for at, w, data in zip(part["_at"], part["_wt"], part["_data"]):
+                data = np.asarray(data, float)
+                seen = ~np.isnan(data)
+                value += np.bincount(at[seen], w[seen] * data[seen], n)
+                weight += np.bincount(at[seen], w[seen], n)
+            yield band, np.divide(value, weight, out=np.full(n, np.nan), where=weight > 0)
+
+    def from_mosaic(pdf: pd.DataFrame, one: pd.Series):
         r_lo, c_lo = pdf["_sr"].min() * block_h, pdf["_sc"].min() * block_w
         r_hi = (pdf["_sr"] * block_h + pdf["_sh"]).max()
         c_hi = (pdf["_sc"] * block_w + pdf["_sw"]).max()
-        bands = sorted(pdf["band"].unique())
-        mosaic = np.zeros((len(bands), r_hi - r_lo, c_hi - c_lo))
-        for band, sr, sc, h, w, data in zip(pdf["band"], pdf["_sr"], pdf["_sc"], pdf["_sh"], pdf["_sw"], pdf["_data"]):
-            r, c = sr * block_h - r_lo, sc * block_w - c_lo
-            mosaic[bands.index(band), r : r + h, c : c + w] = np.reshape(data, (h, w))
-        y, x = np.mgrid[0 : one["h"], 0 : one["w"]]
-        y, x = y.ravel() + one["block_row"] * block_h, x.ravel() + one["block_col"] * block_w
-        sx, sy = _project(np.asarray(one["_g"], float), x, y)
-        sx, sy = np.clip(sx, 0, one["width"] - 1), np.clip(sy, 0, one["height"] - 1)
-        c0, r0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
-        fx, fy = sx - c0, sy - r0
-        c1, r1 = np.minimum(c0 + 1, one["width"] - 1) - c_lo, np.minimum(r0 + 1, one["height"] - 1) - r_lo
-        c0, r0 = c0 - c_lo, r0 - r_lo
-        upper = mosaic[:, r0, c0] * (1 - fx) + mosaic[:, r0, c1] * fx
-        lower = mosaic[:, r1, c0] * (1 - fx) + mosaic[:, r1, c1] * fx
-        return pd.DataFrame(
-            {**{k: one[k] for k in keys}, "band": bands, "h": one["h"], "w": one["w"], "data": list(upper * (1 - fy) + lower * fy)}
-        )
+        taps = _taps(one, block_h, block_w)
+        for band, part in pdf.groupby("band"):
+            mosaic = np.full((r_hi - r_lo, c_hi - c_lo), np.nan)
+            for sr, sc, h, w, data in zip(part["_sr"], part["_sc"], part["_sh"], part["_sw"], part["_data"]):
+                r, c = sr * block_h - r_lo, sc * block_w - c_lo
+                mosaic[r : r + h, c : c + w] = np.reshape(data, (h, w))
+            value, weight = np.zeros(one["h"] * one["w"]), np.zeros(one["h"] * one["w"])
+            for r, c, w in taps:
+                # A tap without weight may lie past a missing block.
+                data = mosaic[np.minimum(r - r_lo, len(mosaic) - 1), np.minimum(c - c_lo, mosaic.shape[1] - 1)]
+                w = np.where(np.isnan(data), 0.0, w)
+                value += np.where(w > 0, data, 0.0) * w
+                weight += w
+            yield band, np.divide(value, weight, out=np.full(len(value), np.nan), where=weight > 0)
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[0]
+        found = from_mosaic(pdf, one) if one["_at"] is None else from_taps(pdf, one["h"] * one["w"])
+        bands, data = zip(*found)
+        return pd.DataFrame({**{k: one[k] for k in keys}, "band": bands, "h": one["h"], "w": one["w"], "data": data})
 
     return supply.applyInPandas(
         resample, f"scene_id {types}, block_row int, block_col int, band int, h int, w int, data array<double>"
+    ).withColumn("data", expr(X.nan_to_null("data")))
+
+
+def warp_requests(
+    targets: DataFrame, registrations: DataFrame, meta: DataFrame, block_h: int, block_w: int, mosaic_blocks: int = MOSAIC_BLOCKS
+) -> DataFrame:
+    """What each output block needs of each source block (_sr, _sc), a row per pair of blocks.
+
+    The four mapped corners bound the footprint of a block that the map's horizon does not
+    cross; if that is at most `mosaic_blocks` blocks, it asks for them whole. Any other block
+    names its taps: positions in itself (_at) and in the source block (_pos) with weights (_wt),
+    which are null in whole requests.
+    """
+    identity = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
+    m = meta.select("scene_id", "height", "width").join(registrations.select("scene_id", "h"), "scene_id", "left")
+    m = m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g")
+    rest = ["scene_id", "block_row", "block_col", "h", "w", "height", "width", "_g"]
+    t = salted_join(targets.select(*rest[:5]), m, ["scene_id"], ["block_row", "block_col"])
+    top, left = f"block_row * {block_h}", f"block_col * {block_w}"
+    corners = [(f"({left} + {dx})", f"({top} + {dy})") for dx in ("0", "w - 1") for dy in ("0", "h - 1")]
+    mapped = [apply_h("_g", x, y) for x, y in corners]
+    signs = [f"signum(_g[6] * {x} + _g[7] * {y} + _g[8])" for x, y in corners]
+
+    def reach(values: list[str], side: str, block: int) -> tuple[str, str]:
+        inside = [f"least(greatest({v}, 0D), {side} - 1D)" for v in values]
+        return f"int(floor(least({', '.join(inside)})) div {block})", f"int(least(floor(greatest({', '.join(inside)})) + 1, {side} - 1) div {block})"
+
+    (r0, r1), (c0, c1) = reach([v for _, v in mapped], "height", block_h), reach([u for u, _ in mapped], "width", block_w)
+    t = t.selectExpr(*rest, f"abs({' + '.join(signs)}) = 4 as _one_side", f"{r0} as _r0", f"{r1} as _r1", f"{c0} as _c0", f"{c1} as _c1").selectExpr(
+        "*", f"_one_side and bigint(_r1 - _r0 + 1) * (_c1 - _c0 + 1) <= {mosaic_blocks} as _near"
+    )
+    # Both kinds read the list of blocks: a row per block, stored once.
+    t = cut(t)
+    whole = t.where("_near").selectExpr(*rest, "_c0", "_c1", "explode(sequence(_r0, _r1)) as _sr").selectExpr(
+        *rest, "_sr", "explode(sequence(_c0, _c1)) as _sc", "cast(null as array<int>) as _at", "cast(null as array<int>) as _pos", "cast(null as array<double>) as _wt"
     )
+    far = t.where("not _near").select(*rest)
+
+    def name_taps(batches):
+        for pdf in batches:
+            for _, one in pdf.iterrows():
+                r, c, w = (np.concatenate(x) for x in zip(*_taps(one, block_h, block_w)))
+                at = np.tile(np.arange(one["h"] * one["w"]), 4)
+                r, c, w, at = (x[w > 0] for x in (r, c, w, at))
+                sr, sc = r // block_h, c // block_w
+                pos = (r - sr * block_h) * np.minimum(block_w, one["width"] - sc * block_w) + c - sc * block_w
+                order = np.lexsort((sc, sr))
+                cuts = np.flatnonzero(np.diff(sr[order]) | np.diff(sc[order])) + 1
+                groups = np.split(order, cuts)
+                yield pd.DataFrame(
+                    {**{k: [one[k]] * len(groups) for k in rest}, "_sr": [sr[g[0]] for g in groups], "_sc": [sc[g[0]] for g in groups],
+                     "_at": [at[g] for g in groups], "_pos": [pos[g] for g in groups], "_wt": [w[g] for g in groups]}
+                )
+
+    return whole.unionByName(far.mapInPandas(name_taps, whole.schema))
+
+
+def _taps(one: pd.Series, block_h: int, block_w: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The four source pixels (row, column) of each pixel of an output block, with their weights."""
+    y, x = np.mgrid[0 : one["h"], 0 : one["w"]]
+    y, x = y.ravel() + one["block_row"] * block_h, x.ravel() + one["block_col"] * block_w
+    g = np.asarray(one["_g"], float)
+    w = g[6] * x + g[7] * y + g[8]
+    w = np.where(w == 0, ON_HORIZON, w)
+    sx = np.clip((g[0] * x + g[1] * y + g[2]) / w, 0, one["width"] - 1)
+    sy = np.clip((g[3] * x + g[4] * y + g[5]) / w, 0, one["height"] - 1)
+    c, r = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    fx, fy = sx - c, sy - r
+    c1, r1 = np.minimum(c + 1, one["width"] - 1), np.minimum(r + 1, one["height"] - 1)
+    return [(r, c, (1 - fy) * (1 - fx)), (r, c1, (1 - fy) * fx), (r1, c, fy * (1 - fx)), (r1, c1, fy * fx)]

@@ -84,6 +84,21 @@ def score_tiles(
     return pairs.withColumn("prob", predict(*[col(c) for c in inputs]))
 
 
+def fill_gaps(pairs: DataFrame) -> DataFrame:
+    """Tile pairs without nulls, for models: a pixel that one date lacks shows the other date's value
+    at both, one that both lack shows 0, so that no change appears there. `gaps` marks them; it is
+    null in tiles without any."""
+    lacks = "zip_with(data_a, data_b, (x, y) -> x is null or y is null)"
+    marked = pairs.withColumn("gaps", expr(f"if(exists(data_a, x -> x is null) or exists(data_b, x -> x is null), {lacks}, null)"))
+    fill = "if(gaps is null, {0}, zip_with({0}, {1}, (x, y) -> coalesce(x, y, 0)))".format
+    return marked.withColumns({"data_a": expr(fill("data_a", "data_b")), "data_b": expr(fill("data_b", "data_a"))})
+
+
+def drop_gaps(scored: DataFrame) -> DataFrame:
+    """Scores of `fill_gaps` tiles: null where a date lacked the pixel."""
+    return scored.withColumn("prob", expr("if(gaps is null, prob, zip_with(prob, gaps, (p, g) -> if(g, null, p)))")).drop("gaps")
+
+
 def learned_scorer(features: DataFrame, label: str = "label", columns: Sequence[str] = ("diff", "value_a", "value_b")):
     """Fit a logistic pixel scorer on distributed rows, weighting classes against imbalance."""
     from pyspark.ml import Pipeline

@@ -171,7 +171,8 @@ def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int,
     """Tile arrays from raster blocks: (scene_id, t, band, tile_row, tile_col, data).
 
     Each block is cut into the few pieces its tiles need, halo and mirror padding included;
-    a tile is then assembled from its pieces. Pixels never become rows.
+    a tile is then assembled from its pieces. Pixels never become rows. Null pixels and pixels of
+    missing blocks are null.
     """
     stride = check_overlap(tile, overlap)
     sizes = meta.selectExpr(
@@ -194,7 +195,7 @@ def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int,
         """All dates and bands of one tile; a few pieces each."""
         tiles: dict[tuple, np.ndarray] = {}
         for t, band, ii, jj, data in zip(pdf["t"], pdf["band"], pdf["ii"], pdf["jj"], pdf["data"]):
-            out = tiles.setdefault((t, band), np.zeros((tile, tile)))
+            out = tiles.setdefault((t, band), np.full((tile, tile), np.nan))
             out[np.ix_(ii, jj)] = np.reshape(data, (len(ii), len(jj)))
         one = pdf.iloc[0]
         return pd.DataFrame(
@@ -214,14 +215,14 @@ def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int,
     pieces = j.mapInPandas(cut_pieces, PIECE_SCHEMA)
     return pieces.groupBy("scene_id", "tile_row", "tile_col").applyInPandas(
         assemble, "scene_id int, t string, band int, tile_row int, tile_col int, data array<double>"
-    )
+    ).withColumn("data", expr(X.nan_to_null("data")))
 
 
 def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: int = 32, data: str = "data") -> DataFrame:
     """Hann-blended raster blocks of stride x stride from tile arrays.
 
     A tile falls into at most four output cells, so the shuffle moves four arrays per tile and
-    a cell sums at most four pieces.
+    a cell sums at most four pieces. Null scores carry no weight; a pixel without any score is null.
     """
     stride = check_overlap(tile, overlap)
     schema = "scene_id int, block_row int, block_col int, down int, across int, data array<double>"
@@ -240,13 +241,16 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
             yield pd.DataFrame(rows, columns=["scene_id", "block_row", "block_col", "down", "across", "data"])
 
     def blend(pdf: pd.DataFrame) -> pd.DataFrame:
-        total, weight = np.zeros((stride, stride)), np.zeros((stride, stride))
+        total, weight, seen = np.zeros((stride, stride)), np.zeros((stride, stride)), np.zeros((stride, stride), bool)
         for p in pdf.itertuples(index=False):
             (r0, r1), (c0, c1) = spans[p.down], spans[p.across]
-            k = np.outer(window[r0:r1], window[c0:c1])
-            total[: r1 - r0, : c1 - c0] += np.asarray(p.data).reshape(r1 - r0, c1 - c0) * k
+            part = np.asarray(p.data, float).reshape(r1 - r0, c1 - c0)
+            there = ~np.isnan(part)
+            k = np.outer(window[r0:r1], window[c0:c1]) * there
+            total[: r1 - r0, : c1 - c0] += np.where(there, part, 0.0) * k
             weight[: r1 - r0, : c1 - c0] += k
-        out = np.clip(total / np.where(weight > 1e-9, weight, 1.0), 0.0, 1.0)
+            seen[: r1 - r0, : c1 - c0] |= there
+        out = np.where(seen, np.clip(total / np.where(weight > 1e-9, weight, 1.0), 0.0, 1.0), np.nan)
         head = pdf.iloc[:1][["scene_id", "block_row", "block_col"]].copy()
         head["data"] = [out.ravel()]
         return head
@@ -264,6 +268,7 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
             "scene_id", "block_row", "block_col", "h", "w",
             f"flatten(transform(sequence(0, greatest(h, 1) - 1), r -> slice(data, r * {stride} + 1, greatest(w, 0)))) as data",
         )
+        .withColumn("data", expr(X.nan_to_null("data")))
     )
 
 

@@ -78,6 +78,26 @@ prob AS MATERIALIZED (
 mask AS MATERIALIZED (SELECT scene_id, row, col, row::BIGINT * 2147483648 + col AS k FROM prob WHERE p > 0.5)"""
 
 
+# The same with nodata: taps without a value share their weight, a pixel needs all bands of both dates.
+SEEN = """,
+seen AS (
+  SELECT * FROM raster WHERE NOT (scene_id % 2 = 1 AND ((t = 'B' AND col < 2) OR (t = 'A' AND band = 2 AND col = 20 AND row % 7 = 3)))
+)"""
+PROB_NODATA = RASTER + SEEN + "," + WARPED.replace("FROM raster r", "FROM seen r") + """,
+taps AS (
+  SELECT c.scene_id, c.band, c.row, c.col, c.value_a, b.value, (1 - abs(sx - b.col)) * (1 - abs(sy - b.row)) AS w
+  FROM cl c JOIN seen b ON b.t = 'B' AND b.scene_id = c.scene_id AND b.band = c.band AND b.row IN (floor(sy), floor(sy) + 1) AND b.col IN (floor(sx), floor(sx) + 1)
+),
+warped AS (
+  SELECT scene_id, band, row, col, any_value(value_a) AS value_a, sum(w * value) / sum(w) AS value_b FROM taps WHERE w > 0 GROUP BY ALL
+),
+prob AS MATERIALIZED (
+  SELECT scene_id, row, col, CASE WHEN row = 0 OR col = 0 OR (row = height - 1 AND (height - 16) % 12 = 0) OR (col = width - 1 AND (width - 16) % 12 = 0) THEN 0
+    ELSE avg(abs(value_b - value_a) / (1 + abs(value_b - value_a))) END AS p
+  FROM warped JOIN meta USING (scene_id) GROUP BY scene_id, row, col, height, width HAVING count(*) = 5),
+mask AS MATERIALIZED (SELECT scene_id, row, col, row::BIGINT * 2147483648 + col AS k FROM prob WHERE p > 0.5)"""
+
+
 def _labels(connectivity: int, prob: str = PROB) -> str:
     extra = "AND abs(m.row - r.row) + abs(m.col - r.col) = 1" if connectivity == 4 else ""
     body = prob.replace("\nscenes AS", "RECURSIVE scenes AS", 1)
@@ -494,6 +514,7 @@ FROM tl a JOIN tl b ON a.scene_id = b.scene_id AND a.band = b.band AND a.tile_ro
 WHERE a.t = 'A' AND b.t = 'B' GROUP BY ALL""")
 add("detect_changes", DET, f"SELECT {DET_COLS} FROM det")
 FULL_COLS = ", ".join(c for c in DET_COLS.split(", ") if c != "pixel_count")
+add("detect_changes_nodata", _labels(4, PROB_NODATA) + DETECTED, f"SELECT {DET_COLS} FROM det")
 add("detect_changes_full", _labels(4, PROB_FULL) + DETECTED, f"SELECT {FULL_COLS}, pixel_count, 32633 AS epsg FROM det")
 add("detect_changes_geometry", DET, """
 SELECT detection_id, scene_id, region_id, area_m2 AS outline_area, bbox_minx AS minx, bbox_maxy AS maxy, TRUE AS is_polygon FROM det""")
@@ -563,6 +584,15 @@ SELECT c.scene_id, c.band, c.row, c.col, {r6('sum((1 - abs(sx - b.col)) * (1 - a
 FROM cl c JOIN raster b ON b.t = 'B' AND b.scene_id = c.scene_id AND b.band = c.band AND b.row IN (floor(sy), floor(sy) + 1) AND b.col IN (floor(sx), floor(sx) + 1) GROUP BY ALL""")
 
 SQL["warp_blocks"] = SQL["warp_bilinear"]
+add("warp_beyond_horizon", RASTER + """,
+pos AS (
+  SELECT r.scene_id, r.band, r.row, r.col, m.height, m.width, -0.0503 * r.col - 0.029 * r.row + 1.0002::DOUBLE AS w,
+    0.94 * r.col + 0.010009 * r.row - 0.9603::DOUBLE AS u, 0.11 * r.col + 0.949985 * r.row - 2.010003::DOUBLE AS v
+  FROM raster r JOIN meta m USING (scene_id) WHERE t = 'A'
+),
+cl AS (SELECT *, least(greatest(u / w, 0), width - 1)::DOUBLE AS sx, least(greatest(v / w, 0), height - 1)::DOUBLE AS sy FROM pos)""", """
+SELECT c.scene_id, c.band, c.row, c.col, round(sum((1 - abs(sx - b.col)) * (1 - abs(sy - b.row)) * b.value), 6) + 0.0 AS value
+FROM cl c JOIN raster b ON b.t = 'B' AND b.scene_id = c.scene_id AND b.band = c.band AND b.row IN (floor(sy), floor(sy) + 1) AND b.col IN (floor(sx), floor(sx) + 1) GROUP BY ALL""")
 
 # --- augmentation ---------------------------------------------------------------------------
 PX = "px AS (SELECT vec_id AS patch_id, CAST(i // 8 AS INT) AS row, CAST(i % 8 AS INT) AS col, embedding[i + 1]::DOUBLE AS value FROM embeddings, range(0, 64) x(i))"

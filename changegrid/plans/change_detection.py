@@ -12,7 +12,7 @@ from changegrid.operators.polygons import polygonize, simplify_rings
 from changegrid.operators.raster import mask_blocks
 from changegrid.operators.regions import label_components, region_attributes, region_confidence, summarize_regions
 from changegrid.operators.registration import warp_blocks
-from changegrid.operators.scoring import score_blocks, score_pixels, score_tiles
+from changegrid.operators.scoring import drop_gaps, fill_gaps, score_blocks, score_pixels, score_tiles
 from changegrid.operators.tiling import split_blocks, stitch_blocks, tile_pairs
 from changegrid.plans.lineage import cut
 
@@ -93,6 +93,7 @@ def detect_changes_aligned(
     make_predict: Callable,
     tile: int = 256,
     overlap: int = 32,
+    compat_nodata: bool = False,
     **options,
 ) -> DataFrame:
     """Align -> tile -> score by a model -> stitch -> threshold -> regions -> attributes.
@@ -100,14 +101,18 @@ def detect_changes_aligned(
     Date B is resampled by its scene's homography; a scene without one keeps B as it is. The
     model scores tile pairs band by band; a pixel's score is the mean over its bands.
     `make_predict` is as for `score_tiles`. Everything stays in arrays up to the score map,
-    which is stored once.
+    which is stored once. Declared nodata gives no weight to resampling, is filled from the other
+    date before the model sees it, and has no score: a pixel that any band or date lacks is never
+    changed and does not count towards confidences.
     """
+    if "nodata" in meta.columns:
+        blocks = mask_blocks(blocks, meta, compat_nodata)
     a, b = blocks.where("t = 'A'"), blocks.where("t = 'B'")
     grid = a.select("scene_id", "block_row", "block_col", "h", "w").distinct()
     moved = warp_blocks(grid, b, registrations, meta, block_h, block_w)
     aligned = a.unionByName(moved.selectExpr("scene_id", "'B' as t", "band", "block_row", "block_col", "h", "w", "data"))
     tiles = split_blocks(aligned, meta, block_h, block_w, tile, overlap)
-    scored = score_tiles(tile_pairs(tiles), make_predict, tile * tile)
+    scored = drop_gaps(score_tiles(fill_gaps(tile_pairs(tiles)), make_predict, tile * tile))
     # A group holds one array per band.
     mean = "transform(aggregate(slice(d, 2, size(d)), d[0], (s, x) -> zip_with(s, x, (p, q) -> p + q)), v -> v / size(d))"
     merged = scored.groupBy("scene_id", "tile_row", "tile_col").agg(expr("array_sort(collect_list(struct(band, prob))) as d")).selectExpr(

@@ -42,3 +42,18 @@ def test_scores_match_sql(bordered, sf):
     blocks, meta = bordered(sf)
     got = scoring.change_score(ras.mask_blocks(blocks, meta), fx.BANDS, fx.BLOCK_H, fx.COLS)
     assert compare(catalog._round(got, "p").toPandas(), connect(sf).execute(_sql("change_score")).fetchdf()) == ""
+
+
+def test_aligned_detections_match_sql(spark, sf):
+    got = catalog.QUERIES["detect_changes_nodata"](spark, sf).toPandas()
+    want = connect(sf).execute(SQL["detect_changes_nodata"]).fetchdf()
+    assert len(want) > 0 and compare(got, want) == ""
+
+
+def test_models_see_no_gap(spark):
+    rows = [(0, [1.0, None, 3.0, None], [5.0, 6.0, None, None]), (1, [1.0, 2.0, 3.0, 4.0], [4.0, 3.0, 2.0, 1.0])]
+    pairs = scoring.fill_gaps(spark.createDataFrame(rows, "k int, data_a array<double>, data_b array<double>"))
+    got = {r.k: r for r in pairs.collect()}
+    assert (got[0].data_a, got[0].data_b) == ([1, 6, 3, 0], [5, 6, 3, 0]) and (got[1].data_a, got[1].data_b) == rows[1][1:]
+    scored = scoring.drop_gaps(pairs.withColumn("prob", expr("transform(data_a, x -> x / 10)")))
+    assert {r.k: r.prob for r in scored.collect()} == {0: [0.1, None, None, None], 1: [0.1, 0.2, 0.3, 0.4]}

@@ -101,3 +101,69 @@ def test_warp_forms_agree_with_direct_resampling(spark, pixels, meta_of, shape,
         out = np.full(shape, np.nan)
         out[got.row, got.col] = got.value
         assert np.allclose(out, want)
+
+
+def _direct(img, h):
+    """Weighted taps of each output pixel; NaN taps give their weight to the others."""
+    height, width = img.shape
+    y, x = np.mgrid[0:height, 0:width]
+    g = np.linalg.inv(h)
+    w = g[2, 0] * x + g[2, 1] * y + g[2, 2]
+    sx = np.clip((g[0, 0] * x + g[0, 1] * y + g[0, 2]) / w, 0, width - 1)
+    sy = np.clip((g[1, 0] * x + g[1, 1] * y + g[1, 2]) / w, 0, height - 1)
+    c, r = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    value, weight = np.zeros(img.shape), np.zeros(img.shape)
+    for dr, dc in ((0, 0), (0, 1), (1, 0), (1, 1)):
+        k = np.where(dr, sy - r, 1 - sy + r) * np.where(dc, sx - c, 1 - sx + c)
+        tap = img[np.minimum(r + dr, height - 1), np.minimum(c + dc, width - 1)]
+        k = np.where(np.isnan(tap), 0, k)
+        value, weight = value + np.nan_to_num(tap) * k, weight + k
+    return np.where(weight > 0, value / np.where(weight > 0, weight, 1), np.nan)
+
+
+AFFINE = np.array([[1.05, 0.1, 2.5], [-0.08, 0.95, 1.25], [0, 0, 1.0]])
+HORIZON = np.array([[1, 0.02, 1.0003], [-0.01, 1, 2], [0.05, 0.03, 1]])
+
+
+@pytest.mark.parametrize("h,most", [(AFFINE, 16), (AFFINE, 0), (HORIZON, 16)])
+def test_warped_blocks_leave_gaps_out_and_ask_for_bounded_parts(spark, pixels, meta_of, h, most):
+    from pyspark.sql.functions import expr
+
+    from changegrid.operators.raster import block_pixels, pack_blocks
+
+    img = np.random.default_rng(4).random((37, 29)) + 1
+    img[5:9, 4:20] = img[:, 28] = img[30, ::3] = np.nan
+    px = pixels(np.nan_to_num(img, nan=-1)).selectExpr("scene_id", "0 as band", "row", "col", "value")
+    blocks = pack_blocks(px, 8, 8, keys=("scene_id", "band")).withColumn("data", expr("transform(data, v -> nullif(v, -1D))"))
+    regs = spark.createDataFrame([(0, h.ravel().tolist())], "scene_id int, h array<double>")
+    meta, want = meta_of([(0, *img.shape)]), _direct(img, h)
+    assert np.isnan(want).any()
+    got = block_pixels(rgs.warp_blocks(blocks, blocks, regs, meta, 8, 8, most), 8, 8).toPandas()
+    assert len(got) == img.size
+    out = np.full(img.shape, np.inf)
+    out[got.row, got.col] = got.value.astype(float)
+    assert np.allclose(out, want, equal_nan=True)
+    rows = rgs.warp_bilinear(px, px.where("value <> -1"), regs, meta).toPandas()
+    out = np.full(img.shape, np.nan)
+    out[rows.row, rows.col] = rows.value
+    assert np.allclose(out, want, equal_nan=True)
+    asks = rgs.warp_requests(blocks, regs, meta, 8, 8, most).groupBy("block_row", "block_col", "h", "w").agg(
+        expr("count(1) as n"), expr("count_if(_at is null) as whole"), expr("sum(coalesce(size(_at), 0)) as taps")
+    ).toPandas()
+    assert len(asks) == 20 and ((asks.whole == 0) | (asks.whole == asks.n)).all()
+    assert (asks.whole <= most).all() and (asks.taps <= 4 * asks.h * asks.w).all()
+    assert (asks.whole == 0).any() == (most == 0 or h is HORIZON)
+
+
+def test_points_on_the_horizon_land_on_the_edge(spark, pixels, meta_of):
+    from changegrid.operators.raster import pack_blocks
+
+    img = np.arange(12.0).reshape(3, 4)
+    px = pixels(img).selectExpr("scene_id", "0 as band", "row", "col", "value")
+    # The inverse has denominator col - 1.
+    h = np.linalg.inv(np.array([[1.0, 0, 0], [0, 1, 0], [1, 0, -1]]))
+    regs, meta = spark.createDataFrame([(0, h.ravel().tolist())], "scene_id int, h array<double>"), meta_of([(0, 3, 4)])
+    blocks = pack_blocks(px, 8, 8, keys=("scene_id", "band"))
+    data = np.reshape(rgs.warp_blocks(blocks, blocks, regs, meta, 8, 8).first().data, (3, 4))
+    rows = {(r.row, r.col): r.value for r in rgs.warp_bilinear(px, px, regs, meta).collect()}
+    assert np.isfinite(data).all() and all(np.isclose(data[k], v) for k, v in rows.items()) and len(rows) == 12
