@@ -296,6 +296,14 @@ def crs_classify(spark, sf):
     return ras.classify_crs(fx.table(spark, sf, "supplier").selectExpr("s_suppkey", f"{epsg} as epsg"))
 
 
+@query
+def crs_systems(spark, sf):
+    """Codes that a table of systems explains, beside common and unknown ones."""
+    systems = fx.table(spark, sf, "nation").selectExpr("int(3030 + n_nationkey) as epsg", "if(n_regionkey % 2 = 0, 'geographic', 'projected') as kind")
+    epsg = "case s_suppkey % 4 when 0 then 32633 when 1 then 4326 else int(3030 + s_nationkey * 2) end"
+    return ras.classify_crs(fx.table(spark, sf, "supplier").selectExpr("s_suppkey", f"{epsg} as epsg"), systems=systems)
+
+
 @query
 def rgb_to_gray(spark, sf):
     return _round(ras.to_gray(raster(spark, sf)), "gray")
@@ -1022,6 +1030,11 @@ def blur5(spark, sf):
     return _round(augment.blur(fx.patches(spark, sf), 8, 8, size=5), "value")
 
 
+@query
+def random_blur(spark, sf):
+    return _round(augment.random_blur(fx.patches(spark, sf), 8, 8, epoch=1), "value")
+
+
 # --- submissions ----------------------------------------------------------------------------
 
 @query

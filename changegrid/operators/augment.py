@@ -127,6 +127,21 @@ def gauss_noise(px: DataFrame, epoch: int = 0, p: float = 0.3, var: tuple[float,
 BLUR = {3: (1, 2, 1), 5: (1, 4, 6, 4, 1)}
 
 
+def random_blur(
+    px: DataFrame, height: int, width: int, keys=("patch_id",), epoch: int = 0, p: float = 0.2, sizes: tuple[int, ...] = (3, 5)
+) -> DataFrame:
+    """`blur` with probability p, its size drawn too, once per patch: both dates share the draw.
+
+    Patches that stay as they are need no shuffle.
+    """
+    pick = f"element_at(array({', '.join(map(str, sizes))}), int(floor({_draw('blur_k', epoch)} * {len(sizes)})) + 1)"
+    drawn = px.select(*keys, "row", "col", "value").withColumn("_size", expr(f"if({_draw('blur', epoch)} < {p}D, {pick}, 0)"))
+    out = drawn.where("_size = 0").drop("_size")
+    for size in sizes:
+        out = out.unionByName(blur(drawn.where(f"_size = {size}"), height, width, keys, size))
+    return out
+
+
 def blur(px: DataFrame, height: int, width: int, keys=("patch_id",), size: int = 3) -> DataFrame:
     """Binomial blur with mirrored border; every pixel pushes its weighted shares.
 

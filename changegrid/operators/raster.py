@@ -148,8 +148,18 @@ PROJECTED_CODES = "3857, 3395, 2154, 27700"
 UTM_RANGES = ((32601, 32660), (32701, 32760), (25828, 25838))
 
 
-def classify_crs(df: DataFrame, epsg: str = "epsg") -> DataFrame:
-    """Known / geographic / projected flags; a missing or unknown code is neither."""
+def classify_crs(df: DataFrame, epsg: str = "epsg", systems: DataFrame | None = None) -> DataFrame:
+    """Known / geographic / projected flags; a missing or unknown code is neither.
+
+    `systems` (epsg, kind), one row per code, kind 'geographic' or 'projected', says what further
+    codes are, and goes before the common ones.
+    """
+    if systems is not None:
+        kinds = systems.selectExpr("epsg as _code", "kind as _kind")
+        known = classify_crs(df, epsg).join(kinds, expr(f"{epsg} = _code"), "left")
+        for flag in ("geographic", "projected"):
+            known = known.withColumn(f"is_{flag}", expr(f"if(_kind is null, is_{flag}, _kind = '{flag}')"))
+        return known.withColumn("crs_valid", expr("is_geographic or is_projected")).drop("_code", "_kind")
     utm = " or ".join(f"{epsg} between {lo} and {hi}" for lo, hi in UTM_RANGES)
     return df.selectExpr(
         "*",

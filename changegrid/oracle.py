@@ -272,6 +272,11 @@ add("crs_classify", "", """
 SELECT s_suppkey, epsg, coalesce(epsg IN (4326, 4269), FALSE) AS is_geographic, coalesce(epsg IN (32633, 3857, 2154), FALSE) AS is_projected,
   coalesce(epsg <> 9999, FALSE) AS crs_valid
 FROM (SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 4326 WHEN 1 THEN 32633 WHEN 2 THEN 3857 WHEN 3 THEN 4269 WHEN 4 THEN 2154 WHEN 5 THEN 9999 END AS epsg FROM supplier)""")
+add("crs_systems", """
+s AS (SELECT s_suppkey, CAST(CASE s_suppkey % 4 WHEN 0 THEN 32633 WHEN 1 THEN 4326 ELSE 3030 + s_nationkey * 2 END AS INT) AS epsg FROM supplier),
+k AS (SELECT s.*, n_regionkey % 2 = 0 AS g FROM s LEFT JOIN nation ON epsg = 3030 + n_nationkey)""", """
+SELECT s_suppkey, epsg, coalesce(g, epsg = 4326) AS is_geographic, coalesce(NOT g, epsg = 32633) AS is_projected,
+  g IS NOT NULL OR epsg IN (4326, 32633) AS crs_valid FROM k""")
 add("rgb_to_gray", RASTER, f"""
 SELECT scene_id, t, row, col, {r6('sum(value * CASE band WHEN 0 THEN 0.299 WHEN 1 THEN 0.587 ELSE 0.114 END::DOUBLE)')} AS gray FROM raster WHERE band < 3 GROUP BY scene_id, t, row, col""")
 add("patch_ids", "", """
@@ -623,6 +628,11 @@ WHERE s.patch_id = o.patch_id AND s.row = {mirror.format('(o.row + a.d)')} AND s
 
 add("blur3", PX, blurred((1, 2, 1)))
 add("blur5", PX, blurred((1, 4, 6, 4, 1)))
+SIZED = f", sized AS (SELECT *, CASE WHEN {draw('blur', 1)} >= 0.2 THEN 0 WHEN {draw('blur_k', 1)} < 0.5 THEN 3 ELSE 5 END AS k FROM px)"
+of_size = lambda k, weights: blurred(weights).replace("px o", "sized o").replace("WHERE ", f"WHERE o.k = {k} AND ")
+add("random_blur", PX + SIZED, f"""
+SELECT patch_id, row, col, round(value, 6) + 0.0 AS value FROM sized WHERE k = 0
+UNION ALL {of_size(3, (1, 2, 1))} UNION ALL {of_size(5, (1, 4, 6, 4, 1))}""")
 add("manifest_dedup", "", """
 SELECT event_id // 4 AS pair_id, CAST(arg_min(user_id // 50, (ts, event_id)) AS INT) AS scene_id, min(ts) AS submitted_at, count(*) AS n_rows FROM events GROUP BY 1""")
 

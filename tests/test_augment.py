@@ -55,3 +55,14 @@ def test_similarity_leaves_undrawn_patches_alone(patch):
     img, make = patch
     same = [np.allclose(_image(augment.shift_scale_rotate(make(p), 8, 8), (8, 8)), img) for p in range(8)]
     assert any(same) and not all(same)
+
+
+def test_blur_is_drawn_once_per_patch(spark):
+    rows = [(p, i, j, float((i * 7 + j * 3 + p) % 5)) for p in range(120) for i in range(6) for j in range(6)]
+    px = spark.createDataFrame(rows, "patch_id int, row int, col int, value double")
+    forms = [{(r.patch_id, r.row, r.col): round(r.value, 9) for r in f.collect()} for f in (px, augment.blur(px, 6, 6), augment.blur(px, 6, 6, size=5))]
+    got = {(r.patch_id, r.row, r.col): round(r.value, 9) for r in augment.random_blur(px, 6, 6, epoch=3).collect()}
+    assert got.keys() == forms[0].keys()
+    kinds = [{p for p in range(120) if all(got[p, i, j] == f[p, i, j] for i in range(6) for j in range(6))} for f in forms]
+    assert set.union(*kinds) == set(range(120)) and sum(map(len, kinds)) == 120
+    assert len(kinds[0]) > 80 and kinds[1] and kinds[2]
