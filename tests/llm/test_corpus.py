@@ -154,10 +154,25 @@ def test_repetition(docs, rows, empty):
     assert seen == Counter((i, *facts(t)) for i, t, _ in rows)
     for r in got:
         shares = [r.share_5, r.share_6, r.share_7, r.share_8, r.share_9, r.share_10]
-        assert r.kept == (not r.base_failed and max(shares) <= 0.2 and r.line_share <= 0.3)
+        assert r.kept == (not r.base_failed and all(x <= repetition.NGRAM_LIMITS[n] for n, x in enumerate(shares, 5)) and r.line_share <= 0.3)
     assert repetition.repetition_rules(empty).count() == 0
 
 
+def test_each_length_can_decide(spark):
+    """Twelve words of equal length twice among 200: 12 % pass the limits up to 8 words, not those of 9 and 10."""
+    words = [f"w{k:04d}" for k in range(200)]
+    twice, short = list(words), list(words)
+    twice[100:112] = words[:12]
+    for at in (40, 80, 120):  # 6 words, four times: again 12 %, in no repeated 9-gram
+        short[at : at + 6] = words[:6]
+    rows = [(0, " ".join(words)), (1, " ".join(twice)), (2, " ".join(short))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition_rules(frame).collect()}
+    assert [got[k].base_failed for k in range(3)] == [False] * 3 and [got[k].kept for k in range(3)] == [True, False, True]
+    assert got[1].share_5 == got[1].share_10 == 0.12 and (got[2].share_5, got[2].share_9) == (0.12, 0.0)
+    assert repetition.repetition_rules(frame, {n: 0.12 for n in range(5, 11)}).where("kept").count() == 3
+
+
 # --- language model -------------------------------------------------------------------------
 
 def test_lattice_sums_all_segmentations():
