@@ -15,8 +15,8 @@ from changegrid import fixtures as fx
 from changegrid.functions import expr as X
 from changegrid.functions import geometry as geo
 from changegrid.functions.expr import r6
-from changegrid.operators import augment, dataset, detections as det, metrics, polygons, raster as ras
-from changegrid.operators import regions as reg, registration as rgs, runlog, scoring, tiling
+from changegrid.operators import augment, dataset, detections as det, metrics, packed, polygons, raster as ras
+from changegrid.operators import regions as reg, registration as rgs, runlog, scoring, stencil, tiling
 from changegrid.plans.change_detection import DETECTION_ID, detect_changes, detect_changes_aligned
 from changegrid.plans.lineage import cut, shared_folder
 from changegrid.sources import images
@@ -745,6 +745,40 @@ def resize_bilinear(spark, sf):
     return _round(tiling.resize_bilinear(px, sizes, ("scene_id", "t")), "value")
 
 
+@query
+def stitch_tiles_cli_blocks(spark, sf):
+    """The command-line tiler in block layout throughout."""
+    meta = scene_meta(spark, sf)
+    blocks = score_map(spark, sf).selectExpr("scene_id", "'A' as t", "0 as band", "block_row", "block_col", "h", "w", "data")
+    tiles = tiling.split_blocks(blocks, meta, fx.BLOCK_H, fx.COLS, TILE, OVERLAP, rule="cli")
+    out = ras.block_pixels(tiling.stitch_blocks(tiles, meta, TILE, OVERLAP, rule="cli"), STRIDE, STRIDE)
+    return out.selectExpr("scene_id", "row", "col", f"{r6('value')} as p")
+
+
+@query
+def resize_blocks(spark, sf):
+    blocks = fx.patch_scene_blocks(spark, sf).where("t = 'B'")
+    sizes = blocks.select("scene_id").distinct().selectExpr("scene_id", "40 as height", "40 as width", "56 as out_h", "64 as out_w")
+    out = stencil.resize_blocks(blocks, sizes, 8, 8, ("scene_id", "t"))
+    return _round(ras.block_pixels(out, 8, 8), "value")
+
+
+@query
+def pad_blocks(spark, sf):
+    """`pad_reflect` in block layout."""
+    meta = scene_meta(spark, sf)
+    sizes = meta.selectExpr("scene_id", "height", "width", f"{X.pad_amount('height', TILE, STRIDE)} as pad_h", f"{X.pad_amount('width', TILE, STRIDE)} as pad_w")
+    out = stencil.pad_blocks(raster_blocks(spark, sf), sizes, fx.BLOCK_H, fx.COLS)
+    return _round(ras.block_pixels(out, fx.BLOCK_H, fx.COLS), "value")
+
+
+@query
+def blur_blocks(spark, sf):
+    """Whole scenes blurred in block layout, rims exchanged; in millionths, so that sums are exact in any order."""
+    blocks = raster_blocks(spark, sf).withColumn("data", expr("transform(data, v -> round(v * 1000000D))"))
+    return ras.block_pixels(stencil.blur_blocks(blocks, scene_meta(spark, sf), fx.BLOCK_H, fx.COLS, 5), fx.BLOCK_H, fx.COLS)
+
+
 @query
 def explode_pixels(spark, sf):
     return _round(ras.block_pixels(raster_blocks(spark, sf), fx.BLOCK_H, fx.COLS), "value")
@@ -1035,6 +1069,57 @@ def random_blur(spark, sf):
     return _round(augment.random_blur(fx.patches(spark, sf), 8, 8, epoch=1), "value")
 
 
+def _unpacked(out):
+    return _round(packed.unpack(out, 8), "value")
+
+
+@query
+def augment_flip_packed(spark, sf):
+    return _unpacked(packed.flip(fx.packed_patches(spark, sf), 8, 8, epoch=1))
+
+
+@query
+def augment_rot90_packed(spark, sf):
+    return _unpacked(packed.rotate90(fx.packed_patches(spark, sf), 8, epoch=1))
+
+
+@query
+def center_crop_packed(spark, sf):
+    return _round(packed.unpack(packed.center_crop(fx.packed_patches(spark, sf), 8, 8, 5), 5), "value")
+
+
+@query
+def random_crop_packed(spark, sf):
+    return _round(packed.unpack(packed.random_crop(fx.packed_patches(spark, sf), 8, 8, 5, epoch=2), 5), "value")
+
+
+@query
+def shift_scale_rotate_packed(spark, sf):
+    return _unpacked(packed.shift_scale_rotate(fx.packed_patches(spark, sf), 8, 8, epoch=1))
+
+
+@query
+def random_blur_packed(spark, sf):
+    return _unpacked(packed.random_blur(fx.packed_patches(spark, sf), 8, 8, epoch=1))
+
+
+@query
+def color_jitter_packed(spark, sf):
+    """Both dates of each patch; date B is the patch at three quarters of its values."""
+    channel = lambda e, name: f"transform(data, x -> {X.clip(e.format('x * k'), 0, 1)}) as {name}"
+    rgb = fx.packed_patches(spark, sf).selectExpr("*", "explode(map('A', 1D, 'B', 0.75D)) as (t, k)")
+    rgb = rgb.selectExpr("patch_id", "t", channel("abs({0})", "r"), channel("abs({0}) / 2", "g"), channel("1 - abs({0})", "b"))
+    out = packed.color_jitter(rgb, 8, 8, epoch=1).selectExpr("patch_id", "t", "posexplode(arrays_zip(r, g, b)) as (i, c)")
+    return _round(out.selectExpr("patch_id", "t", "int(i div 8) as row", "int(i % 8) as col", "c.r as r", "c.g as g", "c.b as b"), "r", "g", "b")
+
+
+@query
+def gauss_noise_packed(spark, sf):
+    """Both dates with noise of their own; the samples are not SQL and are tested against the generator."""
+    px = fx.packed_patches(spark, sf).selectExpr("patch_id", "explode(array('A', 'B')) as t", "0 as band", "transform(data, x -> abs(x) * 255) as data")
+    return _round(packed.unpack(packed.gauss_noise(px, 8, 8, epoch=1), 8), "value")
+
+
 # --- submissions ----------------------------------------------------------------------------
 
 @query

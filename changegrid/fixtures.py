@@ -117,6 +117,21 @@ def patches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def packed_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """D4 patches packed: (patch_id, data), 8x8 row-major, one per vector."""
+    return table(spark, sf, "embeddings").selectExpr("vec_id as patch_id", "cast(embedding as array<double>) as data")
+
+
+def patch_scene_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """D4 scenes in blocks of 8x8: a vector is a block."""
+    uses = "array(struct('A' as t, vec_id % 25 as p), struct('B' as t, (vec_id % 25 + 24) % 25 as p))"
+    return (
+        table(spark, sf, "embeddings")
+        .selectExpr("int(vec_id div 25) as scene_id", "cast(embedding as array<double>) as data", f"explode({uses}) as u")
+        .selectExpr("scene_id", "u.t as t", "int(u.p div 5) as block_row", "int(u.p % 5) as block_col", "8 as h", "8 as w", "data")
+    )
+
+
 def patch_scenes(spark: SparkSession, sf: str) -> DataFrame:
     """D4 laid out 5x5 per group of 25 vectors; date B shows the next vector of the group.
 

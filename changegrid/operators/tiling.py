@@ -136,13 +136,17 @@ def _segments(pos: np.ndarray, cell: np.ndarray):
     return [(int(cell[g[0]]), pos[g]) for g in np.split(order, cuts) if len(g)]
 
 
-def _axis_pieces(first: int, n: int, side: int, total: int, tile: int, stride: int):
+def _axis_pieces(first: int, n: int, side: int, total: int, tile: int, stride: int, mode: str = "reflect"):
     """(tile index, positions in tile, source positions) for source lines first..first+n-1."""
-    # Direct lines plus the mirrored ones; both runs are bounded by this block's own lines.
+    # Direct lines plus the mirrored or repeated ones.
     period = max(2 * (side - 1), 1)
     src = np.arange(first, first + n)
     at, of = [src], [src]
-    if total > side:
+    if total > side and (mode != "reflect" or side == 1):
+        if first + n == side:
+            at.append(np.arange(side, total))
+            of.append(np.full(total - side, side - 1))
+    elif total > side:
         for k in range(1, total // period + 2):
             for sign in (-1, 1):
                 p = k * period + sign * src
@@ -167,16 +171,18 @@ PIECE_SCHEMA = (
 )
 
 
-def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int, tile: int = 256, overlap: int = 32) -> DataFrame:
+def split_blocks(
+    blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int, tile: int = 256, overlap: int = 32, mode: str = "reflect", rule: str = "cover"
+) -> DataFrame:
     """Tile arrays from raster blocks: (scene_id, t, band, tile_row, tile_col, data).
 
-    Each block is cut into the few pieces its tiles need, halo and mirror padding included;
-    a tile is then assembled from its pieces. Pixels never become rows. Null pixels and pixels of
-    missing blocks are null.
+    Each block is cut into the few pieces its tiles need, halo and padding (`reflect`, `edge` or
+    `constant` 0) included; a tile is then assembled from its pieces. Pixels never become rows.
+    Null pixels and pixels of missing blocks are null. `rule` is the padding rule of `split_tiles`.
     """
     stride = check_overlap(tile, overlap)
     sizes = meta.selectExpr(
-        "scene_id", "height", "width", f"height + {X.pad_amount('height', tile, stride)} as _th", f"width + {X.pad_amount('width', tile, stride)} as _tw"
+        "scene_id", "height", "width", f"height + {_pad('height', tile, stride, rule)} as _th", f"width + {_pad('width', tile, stride, rule)} as _tw"
     )
 
     def cut_pieces(batches):
@@ -184,11 +190,15 @@ def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int,
             rows = []
             for b in pdf.itertuples(index=False):
                 img = np.asarray(b.data, float).reshape(b.h, b.w)
-                down = _axis_pieces(b.block_row * block_h, b.h, b.height, b.padded_h, tile, stride)
-                across = _axis_pieces(b.block_col * block_w, b.w, b.width, b.padded_w, tile, stride)
+                down = _axis_pieces(b.block_row * block_h, b.h, b.height, b.padded_h, tile, stride, mode)
+                across = _axis_pieces(b.block_col * block_w, b.w, b.width, b.padded_w, tile, stride, mode)
                 for tr, ii, si in down:
                     for tc, jj, sj in across:
-                        rows.append((b.scene_id, b.t, b.band, tr, tc, ii, jj, img[np.ix_(si, sj)].ravel()))
+                        piece = img[np.ix_(si, sj)]
+                        if mode == "constant":
+                            piece[tr * stride + ii >= b.height, :] = 0.0
+                            piece[:, tc * stride + jj >= b.width] = 0.0
+                        rows.append((b.scene_id, b.t, b.band, tr, tc, ii, jj, piece.ravel()))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,11 +228,12 @@ def split_blocks(blocks: DataFrame, meta: DataFrame, block_h: int, block_w: int,
     ).withColumn("data", expr(X.nan_to_null("data")))
 
 
-def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: int = 32, data: str = "data") -> DataFrame:
+def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: int = 32, data: str = "data", rule: str = "cover") -> DataFrame:
     """Hann-blended raster blocks of stride x stride from tile arrays.
 
     A tile falls into at most four output cells, so the shuffle moves four arrays per tile and
     a cell sums at most four pieces. Null scores carry no weight; a pixel without any score is null.
+    `rule="cli"` divides by max(weight, 1e-8), does not clip, and pixels that no tile reaches are 0.
     """
     stride = check_overlap(tile, overlap)
     schema = "scene_id int, block_row int, block_col int, down int, across int, data array<double>"
@@ -242,6 +253,7 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
 
     def blend(pdf: pd.DataFrame) -> pd.DataFrame:
         total, weight, seen = np.zeros((stride, stride)), np.zeros((stride, stride)), np.zeros((stride, stride), bool)
+        reached = np.zeros((stride, stride), bool)
         for p in pdf.itertuples(index=False):
             (r0, r1), (c0, c1) = spans[p.down], spans[p.across]
             part = np.asarray(p.data, float).reshape(r1 - r0, c1 - c0)
@@ -250,7 +262,12 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
             total[: r1 - r0, : c1 - c0] += np.where(there, part, 0.0) * k
             weight[: r1 - r0, : c1 - c0] += k
             seen[: r1 - r0, : c1 - c0] |= there
-        out = np.where(seen, np.clip(total / np.where(weight > 1e-9, weight, 1.0), 0.0, 1.0), np.nan)
+            reached[: r1 - r0, : c1 - c0] = True
+        if rule == "cli":
+            blended = total / np.maximum(weight, 1e-8)
+        else:
+            blended = np.clip(total / np.where(weight > 1e-9, weight, 1.0), 0.0, 1.0)
+        out = np.where(seen | ~reached, blended, np.nan) if rule == "cli" else np.where(seen, blended, np.nan)
         head = pdf.iloc[:1][["scene_id", "block_row", "block_col"]].copy()
         head["data"] = [out.ravel()]
         return head
@@ -260,7 +277,13 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
         blend, "scene_id int, block_row int, block_col int, data array<double>"
     )
     # Trim cells that stick out of the scene.
-    j = salted_join(cells, meta.select("scene_id", "height", "width"), ["scene_id"], ["block_row", "block_col"])
+    if rule == "cli":
+        grid = meta.selectExpr("scene_id", "height", "width", f"explode(sequence(0, (height - 1) div {stride})) as block_row").selectExpr(
+            "*", f"explode(sequence(0, (width - 1) div {stride})) as block_col"
+        )
+        j = grid.join(cells, ["scene_id", "block_row", "block_col"], "left").withColumn("data", expr(f"coalesce(data, array_repeat(0D, {stride * stride}))"))
+    else:
+        j = salted_join(cells, meta.select("scene_id", "height", "width"), ["scene_id"], ["block_row", "block_col"])
     return (
         j.selectExpr("*", f"least({stride}, height - block_row * {stride}) as h", f"least({stride}, width - block_col * {stride}) as w")
         .where("h > 0 and w > 0")

@@ -662,8 +662,8 @@ SELECT a.patch_id, a.row, a.col, {r6('coalesce(sum(greatest(0, 1 - abs(x - s.col
 FROM warped a LEFT JOIN px s ON s.patch_id = a.patch_id AND abs(x - s.col) < 1 AND abs(y - s.row) < 1 GROUP BY a.patch_id, a.row, a.col""")
 
 
-def jittered() -> tuple[str, str]:
-    f = lambda op, r: f"(1 + ({draw_of(op, PIXEL[0])} * 2 - 1) * {r})"
+def jittered(t: str = PIXEL[0], value: str = "value") -> tuple[str, str]:
+    f = lambda op, r: f"(1 + ({draw_of(op, t)} * 2 - 1) * {r})"
     clip = lambda x: f"least(greatest({x}, 0), 1)"
     luma = "(r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE)"
     step = lambda name, src, expr, keep="": f"{name} AS (SELECT patch_id, row, col, on_{keep}, " + ", ".join(
@@ -671,7 +671,7 @@ def jittered() -> tuple[str, str]:
     ) + f" FROM {src})"
     ctes = PX + f""",
 c0 AS (
-  SELECT patch_id, row, col, {draw_of('jitter', PIXEL[0])} < 0.5 AS on_, {clip('abs(value)')} AS r, {clip('abs(value) / 2')} AS g, {clip('1 - abs(value)')} AS b FROM px
+  SELECT patch_id, row, col, {draw_of('jitter', t)} < 0.5 AS on_, {clip(f'abs({value})')} AS r, {clip(f'abs({value}) / 2')} AS g, {clip(f'1 - abs({value})')} AS b FROM px
 ),
 {step('c1', 'c0', '{c} * ' + f('jit_b', 0.2))},
 c1m AS (SELECT *, avg({luma}) OVER (PARTITION BY patch_id) AS m FROM c1),
@@ -682,10 +682,27 @@ c4 AS (SELECT *, greatest(r, g, b) AS v, greatest(r, g, b) - least(r, g, b) AS c
 c5 AS (
   SELECT *, CASE WHEN ch = 0 THEN 0 WHEN v = r THEN ((g - b) / ch + 6) % 6 WHEN v = g THEN (b - r) / ch + 2 ELSE (r - g) / ch + 4 END AS h FROM c4
 ),
-c6 AS (SELECT *, ((h / 6 + ({draw_of('jit_h', PIXEL[0])} * 2 - 1) * 0.1 + 1) % 1) * 6 AS h2 FROM c5)"""
+c6 AS (SELECT *, ((h / 6 + ({draw_of('jit_h', t)} * 2 - 1) * 0.1 + 1) % 1) * 6 AS h2 FROM c5)"""
     ch = lambda n: f"v - ch * greatest(0, least(({n} + h2) % 6, 4 - ({n} + h2) % 6, 1))"
-    body = "SELECT patch_id, 'A' AS t, row, col, " + ", ".join(f"{r6(f'CASE WHEN on_ THEN {ch(n)} ELSE {c} END')} AS {c}" for c, n in zip("rgb", (5, 3, 1))) + " FROM c6"
+    body = f"SELECT patch_id, {t} AS t, row, col, " + ", ".join(f"{r6(f'CASE WHEN on_ THEN {ch(n)} ELSE {c} END')} AS {c}" for c, n in zip("rgb", (5, 3, 1))) + " FROM c6"
     return ctes, body
 
 
 add("color_jitter", *jittered())
+add("color_jitter_packed", "", " UNION ALL ".join("SELECT * FROM (WITH {} {})".format(*jittered(t, v)) for t, v in (("'A'", "value"), ("'B'", "(value * 0.75::DOUBLE)"))))
+
+# The packed and block forms give the rows of the pixel forms.
+for name in ("augment_flip", "augment_rot90", "center_crop", "random_crop", "shift_scale_rotate", "random_blur"):
+    SQL[f"{name}_packed"] = SQL[name]
+SQL["resize_blocks"], SQL["pad_blocks"], SQL["stitch_tiles_cli_blocks"] = SQL["resize_bilinear"], SQL["pad_reflect"], SQL["stitch_tiles_cli"]
+_five = "(VALUES (-2, 0.0625), (-1, 0.25), (0, 0.375), (1, 0.25), (2, 0.0625))"
+add("blur_blocks", RASTER + """,
+high AS (SELECT scene_id, max(row) + 1 AS n FROM raster GROUP BY 1),
+down AS (SELECT o.scene_id, o.t, o.band, o.row, o.col, n, CAST(k.d AS INT) AS d, k.w::DOUBLE AS w, greatest(2 * (n - 1), 1) AS per FROM raster o JOIN high USING (scene_id), """ + _five + """ k(d, w)),
+source AS (SELECT *, ((row + d) % per + per) % per AS m FROM down),
+lines AS (
+  SELECT s.scene_id, s.t, s.band, s.row, s.col, sum(s.w * round(r.value * 1000000::DOUBLE)) AS value FROM source s
+  JOIN raster r ON r.scene_id = s.scene_id AND r.t = s.t AND r.band = s.band AND r.col = s.col AND r.row = CASE WHEN m < n THEN m ELSE per - m END GROUP BY ALL)""", f"""
+SELECT o.scene_id, o.t, o.band, o.row, o.col, sum(k.w::DOUBLE * r.value) AS value FROM lines o, {_five} k(d, w), lines r
+WHERE r.scene_id = o.scene_id AND r.t = o.t AND r.band = o.band AND r.row = o.row
+  AND r.col = CASE WHEN abs(o.col + k.d) > 23 THEN 46 - abs(o.col + k.d) ELSE abs(o.col + k.d) END GROUP BY ALL""")
