@@ -1,8 +1,9 @@
 """Mix sources to target weights, to the word.
 
-Documents get hash-random keys. Within a source they are ordered by key; prefix sums of their
-sizes are taken first over key ranges, then inside a range, so a source that holds a third of
-all rows is as spread out as any other. A source's budget is whole epochs of all its documents
+Documents get hash-random keys, of doc_id or, where it is null, of the text. Within a source
+they are ordered by key; prefix sums of their sizes are taken first over key ranges, then inside
+a range, so a source or a missing id that a third of all rows share is as spread out as any
+other. A source's budget is whole epochs of all its documents
 plus a last epoch that is cut at the exact word.
 """
 
@@ -55,14 +56,14 @@ def mix(
 
     `size` is the number of words (null text: 0), `taken` the words the mix takes, repeats
     counted; it is at most max_epochs * size. Within a source, taken sums to the target rounded
-    down. Null sources form one source; rows equal in doc_id are ordered by size, then by a hash
-    of their text; repeated rows share what they get in any order; empty tables give no rows.
+    down. Null sources form one source; rows without doc_id get their key from their text; rows
+    equal in doc_id are ordered by size, then by a hash of their text; repeated rows share what they get in any order; empty tables give no rows.
     `carry` adds the whole input row as a struct `row`; other columns are not kept, so names cannot clash.
     """
     sized = docs.select(
         "doc_id", "source", *([F.struct("*").alias("row")] if carry else []),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))).alias("_key"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit("")))).alias("_key"),
         F.xxhash64("text").alias("_tie"),
     )
     thin = cut(sized.select("doc_id", "source", "size", "_key", "_tie"))

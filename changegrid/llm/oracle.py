@@ -6,7 +6,7 @@ WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
 # Water filling as in the operator: sources in order of cap per weight, the first that fits sets the level.
 TARGETS = f"""
-sized AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size, md5('0:' || CAST(doc_id AS VARCHAR)) AS k FROM documents),
+sized AS (SELECT doc_id, source, CAST({WORDS} AS BIGINT) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')) AS k FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w, 3 * source_size AS cap FROM sources),
 left_over AS (

@@ -39,14 +39,21 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of a batch by the length of their vectors."""
+    lengths = batch.column("v").value_lengths().to_numpy()
+    for n in np.unique(lengths).tolist():
+        yield n, batch.filter(pa.array(lengths == n))
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
-    """rows with `group`: rows share their largest component and its sign, so that bounds are tight;
-    crowded groups are dealt out by vec_id. There are at most about MAX_GROUPS groups: beyond that
+    """rows with `group`: rows share their length, largest component and its sign, so that bounds are
+    tight; crowded groups are dealt out by vec_id. There are at most about MAX_GROUPS groups: beyond that
     groups grow, so the table of group bounds stays bounded."""
     n = rows.count()
     per_group = max(GROUP_ROWS, -(-n // MAX_GROUPS))
     size = "transform(v, x -> abs(x))"
-    kinds = rows.selectExpr("*", f"int(array_position({size}, array_max({size}))) - 1 as _at").selectExpr("*", "2 * _at + int(v[_at] < 0) as _kind")
+    kinds = rows.selectExpr("*", f"int(array_position({size}, array_max({size}))) - 1 as _at").selectExpr("*", "size(v) * (size(v) - 1L) + 2 * _at + int(v[_at] < 0) as _kind")
     parts = kinds.groupBy("_kind").agg(F.count("*").alias("_n")).selectExpr("_kind as _k", f"int(ceil(_n / {per_group})) as _parts")
     return kinds.join(parts, F.col("_kind") == F.col("_k")).selectExpr("vec_id", "v", "_kind * 100000L + pmod(xxhash64(vec_id), _parts) as group")
 
@@ -55,7 +62,7 @@ def _extremes(grouped: DataFrame) -> list:
     """Largest and least value of each dimension per group; as many rows as there are groups."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for _, batch in (part for whole in batches for part in _by_length(whole)):
             of, x = batch.column("group").to_numpy(), _matrix(batch.column("v"))
             for g in np.unique(of).tolist():
                 top, low = x[of == g].max(0), x[of == g].min(0)
@@ -70,13 +77,14 @@ def _extremes(grouped: DataFrame) -> list:
 
 def _route(queries: DataFrame, extremes: list, home: bool) -> DataFrame:
     """(query_id, v, chunk, floor, _group): to the group of best bound, or to all others whose bound reaches `floor`."""
-    groups = np.array([r["group"] for r in extremes], np.int64)
-    top, low = np.array([r["top"] for r in extremes]), np.array([r["low"] for r in extremes])
+    table = {}
+    for n in {len(r["top"]) for r in extremes}:
+        alike = [r for r in extremes if len(r["top"]) == n]
+        table[n] = np.array([r["group"] for r in alike], np.int64), np.array([r["top"] for r in alike]), np.array([r["low"] for r in alike])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for n, batch in (part for whole in batches for part in _by_length(whole)):
+            groups, top, low = table[n]
             q = _matrix(batch.column("v"))
             bounds = np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T
             best = bounds.argmax(1)
@@ -145,7 +153,7 @@ def top_k(vectors: DataFrame, is_query: str, k: int = 5, scale: int = 256) -> Da
     unequal query rows of one vec_id count as the least of their vectors. Rows
     with a null vec_id, a null vector, or null or non-finite components take no part; repeated
     rows answer as often as they come; an empty table gives no rows; fewer candidates than k give
-    all. Vectors must be of one length.
+    all. Vectors of unlike lengths have no inner product and never meet.
     """
     rows = cut(quantised(vectors, scale))
     grouped = cut(_grouped(rows))
