@@ -325,7 +325,8 @@ def warp_bilinear(target: DataFrame, source: DataFrame, registrations: DataFrame
     keys = ["scene_id", "band"]
     identity = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
     m = meta.select("scene_id", "height", "width").join(registrations.select("scene_id", "h"), "scene_id", "left")
-    m = m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g")
+    # Stored, so that the optimiser knows its size; else it may take the pixels for the smaller side and broadcast them.
+    m = cut(m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g"))
     x, y = apply_h("_g", "col", "row")
     grid = (
         salted_join(target.select(*keys, "row", "col"), m, ["scene_id"], ["row", "col"])
@@ -340,7 +341,8 @@ def warp_bilinear(target: DataFrame, source: DataFrame, registrations: DataFrame
         *keys, "row", "col", "_k.r as _sr", "_k.c as _sc", "_k.w as _w"
     )
     src = source.where("value is not null").selectExpr(*keys, "row as _sr", "col as _sc", "value as _v")
-    return probe.join(src, [*keys, "_sr", "_sc"]).groupBy(*keys, "row", "col").agg(expr("sum(_w * _v) / sum(_w) as value"))
+    # Pixels unpacked from blocks look as small as the blocks' files; they must not be broadcast.
+    return probe.join(src.hint("merge"), [*keys, "_sr", "_sc"]).groupBy(*keys, "row", "col").agg(expr("sum(_w * _v) / sum(_w) as value"))
 
 
 # Footprints of more source blocks than this are read tap by tap.
@@ -424,7 +426,7 @@ def warp_requests(
     """
     identity = "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D, 1D)"
     m = meta.select("scene_id", "height", "width").join(registrations.select("scene_id", "h"), "scene_id", "left")
-    m = m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g")
+    m = cut(m.selectExpr("scene_id", "height", "width", f"if(h is null, {identity}, {inverse3('h')}) as _g"))
     rest = ["scene_id", "block_row", "block_col", "h", "w", "height", "width", "_g"]
     t = salted_join(targets.select(*rest[:5]), m, ["scene_id"], ["block_row", "block_col"])
     top, left = f"block_row * {block_h}", f"block_col * {block_w}"

@@ -37,3 +37,22 @@ def test_hot_key_is_spread_by_the_salt(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
     assert sum(sizes) == 32_000 and max(sizes) < 16_000
+
+
+def _broadcast_sides(df) -> list[str]:
+    """Plan text below each broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:+|-]*", x)[0]) for x in lines]
+    found = []
+    for i, x in enumerate(lines):
+        if "BroadcastExchange" in x:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            found.append("\n".join(lines[i:end]))
+    return found
+
+
+def test_warp_broadcasts_no_pixels(spark, sf):
+    """Pixels unpacked from blocks look as small as the blocks' files."""
+    sides = _broadcast_sides(QUERIES["warp_bilinear"](spark, sf))
+    assert sides and not any("Generate" in x or "posexplode" in x or "col(_k" in x for x in sides)
+    assert not any("band" in x for x in sides)
