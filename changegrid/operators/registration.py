@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
+from changegrid.plans.groups import dealt
 from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
@@ -186,10 +187,11 @@ def _samples(numbered: DataFrame, wanted: DataFrame) -> DataFrame:
     A trial draws four numbers over all matches of its pair; draws that repeat a match are void.
     """
     pair_type = numbered.schema["pair_id"].dataType.simpleString()
-    draws = wanted.where("n >= 4 and _to > _from").selectExpr("pair_id", "n", "explode(sequence(_from, _to - 1)) as _t").selectExpr(
+    draws = dealt(wanted, "pair_id").where("n >= 4 and _to > _from").selectExpr("pair_id", "n", "explode(sequence(_from, _to - 1)) as _t").selectExpr(
         "pair_id", "_t", "explode(transform(sequence(0, 3), k -> struct(k, int(pmod(xxhash64(pair_id, _t, k), n)) as _i))) as d"
     ).selectExpr("pair_id", "_t", "d.k as _k", "d._i as _i")
-    points = draws.join(numbered, ["pair_id", "_i"]).groupBy("pair_id", "_t").agg(
+    # The optimiser does not see what an explode adds; at its estimate it would broadcast the draws.
+    points = draws.hint("merge").join(numbered, ["pair_id", "_i"]).groupBy("pair_id", "_t").agg(
         expr("array_sort(collect_list(struct(_k, _i, x_b, y_b, x_a, y_a))) as p")
     ).where("size(array_distinct(transform(p, q -> q._i))) = 4")
     four = points.selectExpr("pair_id", "_t", *[f"transform(p, q -> q.{c}) as {c.replace('_', '')}" for c in ("x_b", "y_b", "x_a", "y_a")])

@@ -56,3 +56,16 @@ def test_warp_broadcasts_no_pixels(spark, sf):
     sides = _broadcast_sides(QUERIES["warp_bilinear"](spark, sf))
     assert sides and not any("Generate" in x or "posexplode" in x or "col(_k" in x for x in sides)
     assert not any("band" in x for x in sides)
+
+
+def test_trial_draws_are_spread_and_not_broadcast(spark, sf):
+    from changegrid.fixtures import matches
+    from changegrid.operators import registration as rgs
+    from changegrid.plans.lineage import cut
+
+    cols = ["pair_id", "match_id", "x_b", "y_b", "x_a", "y_a"]
+    numbered = cut(matches(spark, sf).selectExpr(*cols, "int(row_number() over (partition by pair_id order by match_id) - 1) as _i"))
+    wanted = cut(numbered.groupBy("pair_id").count().selectExpr("pair_id", "count as n", "0 as _from", "64 as _to"))
+    found = rgs._samples(numbered, wanted)
+    assert not _broadcast_sides(found)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
