@@ -15,6 +15,7 @@ from pyspark.sql.functions import expr, pandas_udf
 
 from changegrid.functions import geometry as G
 from changegrid.operators.regions import EAST, NORTH, SOUTH, WEST
+from changegrid.plans.groups import map_groups
 from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
@@ -97,25 +98,30 @@ _PATH_SCHEMA = T.StructType(
 
 
 def _emit(scene, region, closed, d0, d1, pts):
-    return (scene, region, bool(closed), int(d0), int(d1), pts[:, 0].tolist(), pts[:, 1].tolist())
-
-
-def _trace_block(block: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a path; a ring becomes its simple rings."""
+    parts = _split_at_repeats(pts) if closed else [pts]
+    return [(scene, region, bool(closed), int(d0), int(d1), p[:, 0].tolist(), p[:, 1].tolist()) for p in parts]
+
+
+def _trace_blocks(block: int):
+    def run(pdf: pd.DataFrame, area: np.ndarray) -> pd.DataFrame:
+        # Regions are traced block by block.
+        _, code = np.unique(np.stack([area, pdf["region_id"].to_numpy()], 1), axis=0, return_inverse=True)
+        code, sides = code.ravel(), pdf["sides"].to_numpy()
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        scene, region = pdf["scene_id"].to_numpy(), pdf["region_id"].to_numpy()
         parts = []
         for bit, dx, dy, d in _EDGES:
-            hit = (pdf["sides"].to_numpy() & bit) > 0
-            parts.append(
-                (pdf["region_id"].to_numpy()[hit], pdf["col"].to_numpy(np.int64)[hit] + dx, pdf["row"].to_numpy(np.int64)[hit] + dy, np.full(hit.sum(), d))
-            )
-        group, x0, y0, d = (np.concatenate(p) for p in zip(*parts))
+            hit = np.flatnonzero((sides & bit) > 0)
+            parts.append((hit, col[hit] + dx, row[hit] + dy, np.full(len(hit), d)))
+        pixel, x0, y0, d = (np.concatenate(p) for p in zip(*parts))
         rows = []
-        if len(group):
+        if len(pixel):
             x1, y1 = x0 + _DX[d], y0 + _DY[d]
-            stop = (x1 % block == 0) | (y1 % block == 0)
-            order, head, closed = _chain(group, x0, y0, d, x1, y1, d, stop)
+            # Nothing lies beyond the upper and left border of a scene, so paths run on along them.
+            stop = ((x1 % block == 0) & (x1 > 0)) | ((y1 % block == 0) & (y1 > 0))
+            order, head, closed = _chain(code[pixel], x0, y0, d, x1, y1, d, stop)
             bounds = np.r_[np.flatnonzero(head), len(order)]
-            scene = pdf["scene_id"].iloc[0]
             for k in range(len(closed)):
                 e = order[bounds[k] : bounds[k + 1]]
                 prev = np.roll(d[e], 1)
@@ -125,42 +131,31 @@ def _trace_block(block: int):
                 else:
                     turn[0] = True
                     pts = np.concatenate([np.stack([x0[e][turn], y0[e][turn]], 1), [[x1[e[-1]], y1[e[-1]]]]])
-                rows.append(_emit(scene, group[e[0]], closed[k], d[e[0]], d[e[-1]], pts))
+                rows += _emit(scene[pixel[e[0]]], region[pixel[e[0]]], closed[k], d[e[0]], d[e[-1]], pts)
         return pd.DataFrame(rows, columns=["scene_id", *_PATH_SCHEMA.names])
 
     return run
 
 
-def _join_paths(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Link the open paths of one region into closed rings."""
+def _join_paths(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+    """Link the open paths of each region into closed rings."""
     xs, ys = pdf["xs"].tolist(), pdf["ys"].tolist()
     x0, y0 = np.array([x[0] for x in xs]), np.array([y[0] for y in ys])
     x1, y1 = np.array([x[-1] for x in xs]), np.array([y[-1] for y in ys])
     d0, d1 = pdf["d0"].to_numpy(), pdf["d1"].to_numpy()
-    none = np.zeros(len(pdf), bool)
-    order, head, _ = _chain(np.zeros(len(pdf), np.int64), x0, y0, d0, x1, y1, d1, none)
+    order, head, _ = _chain(group, x0, y0, d0, x1, y1, d1, np.zeros(len(pdf), bool))
     bounds = np.r_[np.flatnonzero(head), len(order)]
-    scene, region = pdf["scene_id"].iloc[0], pdf["region_id"].iloc[0]
+    scene, region = pdf["scene_id"].to_numpy(), pdf["region_id"].to_numpy()
     rows = []
     for k in range(len(bounds) - 1):
         e = order[bounds[k] : bounds[k + 1]]
         pts = np.concatenate([np.stack([xs[i][:-1], ys[i][:-1]], 1) for i in e])
         back, ahead = np.roll(pts, 1, 0), np.roll(pts, -1, 0)
         turn = (pts[:, 0] - back[:, 0]) * (ahead[:, 1] - pts[:, 1]) != (pts[:, 1] - back[:, 1]) * (ahead[:, 0] - pts[:, 0])
-        rows.append(_emit(scene, region, True, 0, 0, pts[turn]))
+        rows += _emit(scene[e[0]], region[e[0]], True, 0, 0, pts[turn])
     return pd.DataFrame(rows, columns=["scene_id", *_PATH_SCHEMA.names])
 
 
-@pandas_udf(T.ArrayType(_RING))
-def _simple_rings(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Simple rings of one traced ring, closed by repeating the first corner."""
-    out = []
-    for x, y in zip(xs, ys):
-        rings = _split_at_repeats(np.stack([x, y], 1))
-        out.append([[{"x": float(p[0]), "y": float(p[1])} for p in [*r, r[0]]] for r in rings])
-    return pd.Series(out)
-
-
 def outline_rings(labelled: DataFrame, block: int = 1024) -> DataFrame:
     """Closed simple rings in pixel corners: (scene_id, region_id, ring).
 
@@ -168,17 +163,12 @@ def outline_rings(labelled: DataFrame, block: int = 1024) -> DataFrame:
     """
     scene = labelled.schema["scene_id"]
     schema = T.StructType([scene, *_PATH_SCHEMA.fields])
-    paths = (
-        labelled.where("sides > 0")
-        .selectExpr("scene_id", "region_id", "row", "col", "sides", f"row div {block} as _br", f"col div {block} as _bc")
-        .groupBy("scene_id", "_br", "_bc")
-        .applyInPandas(_trace_block(block), schema)
-    )
-    paths = cut(paths)  # corner lists: small, and read twice
-    joined = paths.where("not closed").groupBy("scene_id", "region_id").applyInPandas(_join_paths, schema)
-    rings = paths.where("closed").unionByName(joined)
-    return rings.select("scene_id", "region_id", _simple_rings("xs", "ys").alias("_rs")).selectExpr(
-        "scene_id", "region_id", "explode(_rs) as ring"
+    edges = labelled.where("sides > 0").selectExpr("scene_id", "region_id", "row", "col", "sides", f"row div {block} as _br", f"col div {block} as _bc")
+    paths = cut(map_groups(edges, ["scene_id", "_br", "_bc"], _trace_blocks(block), schema))  # corner lists: small, and read twice
+    joined = map_groups(paths.where("not closed"), ["scene_id", "region_id"], _join_paths, schema)
+    corner = "struct(double(p.xs) as x, double(p.ys) as y)"
+    return paths.where("closed").unionByName(joined).selectExpr("scene_id", "region_id", f"transform(arrays_zip(xs, ys), p -> {corner}) as r").selectExpr(
+        "scene_id", "region_id", "concat(r, slice(r, 1, 1)) as ring"
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
+from changegrid.plans.groups import map_groups
 from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
@@ -63,26 +64,31 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return root
 
 
-def _neighbour_pairs(row: np.ndarray, col: np.ndarray, steps) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of adjacent points; points are sorted by (row, col)."""
-    key = row * ROW_STRIDE + col
+def _neighbour_pairs(group: np.ndarray, row: np.ndarray, col: np.ndarray, steps, side: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of adjacent points of a group; points are sorted by (group, row, col), and rows
+    and columns lie in 0 .. side - 1."""
+    line = side + 2  # a free column and row on each side keeps steps inside their group
+    key = (group * line + row + 1) * line + col + 1
     us, vs = [], []
     for dr, dc in steps:
-        at = np.searchsorted(key, key + dr * ROW_STRIDE + dc)
-        at_ok = np.minimum(at, len(key) - 1)
-        hit = (key[at_ok] == key + dr * ROW_STRIDE + dc) & (col + dc >= 0)
+        there = key + dr * line + dc
+        at = np.minimum(np.searchsorted(key, there), len(key) - 1)
+        hit = key[at] == there
         us.append(np.flatnonzero(hit))
-        vs.append(at_ok[hit])
+        vs.append(at[hit])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _label_block(pdf: pd.DataFrame, steps, carry: Sequence[str]) -> pd.DataFrame:
-    """Label one block. Halo rows only tell whether a side of an own pixel is open."""
-    pdf = pdf.sort_values(["row", "col"], kind="stable")
+def _label_blocks(pdf: pd.DataFrame, group: np.ndarray, steps, carry: Sequence[str], block: int) -> pd.DataFrame:
+    """Label each block on its own. Halo rows only tell whether a side of an own pixel is open."""
+    order = np.lexsort((pdf["col"], pdf["row"], group))
+    pdf, group = pdf.iloc[order], group[order]
     row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+    # Places in the block with its halo.
+    r, c = row - pdf["_br"].to_numpy(np.int64) * block + 1, col - pdf["_bc"].to_numpy(np.int64) * block + 1
     own = pdf["_own"].to_numpy(bool)
     sides = np.full(len(pdf), NORTH | EAST | SOUTH | WEST, np.int32)
-    right, below = (_neighbour_pairs(row, col, [s]) for s in FORWARD_4)
+    right, below = (_neighbour_pairs(group, r, c, [s], block + 2) for s in FORWARD_4)
     sides[right[0]] &= ~EAST
     sides[right[1]] &= ~WEST
     sides[below[0]] &= ~SOUTH
@@ -90,7 +96,7 @@ def _label_block(pdf: pd.DataFrame, steps, carry: Sequence[str]) -> pd.DataFrame
     mine = np.flatnonzero(own)
     row, col = row[mine], col[mine]
     if len(mine):
-        u, v = _neighbour_pairs(row, col, steps)
+        u, v = _neighbour_pairs(group[mine], r[mine], c[mine], steps, block + 2)
         root = _roots(len(mine), u, v)
         label = row[root] * ROW_STRIDE + col[root]
     else:
@@ -101,35 +107,39 @@ def _label_block(pdf: pd.DataFrame, steps, carry: Sequence[str]) -> pd.DataFrame
     return out
 
 
-def _merge_blocks(pdf: pd.DataFrame, steps, span: int) -> pd.DataFrame:
-    """Unite labels across child borders of one span x span area.
+def _merge_blocks(pdf: pd.DataFrame, group: np.ndarray, steps, span: int) -> pd.DataFrame:
+    """Unite labels across child borders of span x span areas.
 
     Emits a row per label that changed (row = NULL) and a row per pixel on the outer border.
     """
-    pdf = pdf.sort_values(["row", "col"], kind="stable")
+    order = np.lexsort((pdf["col"], pdf["row"], group))
+    pdf, group = pdf.iloc[order], group[order]
     row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
-    names, at = np.unique(pdf["label"].to_numpy(np.int64), return_inverse=True)
-    u, v = _neighbour_pairs(row, col, steps)
-    root = names[_roots(len(names), at[u], at[v])]
-    changed = np.flatnonzero(root != names)
+    # Names of an area lie together and rise, so the smallest index is its smallest label.
+    names, at = np.unique(np.stack([group, pdf["label"].to_numpy(np.int64)], 1), axis=0, return_inverse=True)
+    at = at.ravel()
+    u, v = _neighbour_pairs(group, row % span, col % span, steps, span)
+    root = _roots(len(names), at[u], at[v])
+    label, last = names[:, 1], names[root, 1]
+    scene = pdf["scene_id"].to_numpy()[np.searchsorted(group, names[:, 0])]
+    changed = np.flatnonzero(root != np.arange(len(names)))
     rim = np.flatnonzero(
         (row % span == 0) | (row % span == span - 1) | (col % span == 0) | (col % span == span - 1)
     )
-    scene = pdf["scene_id"].iloc[0]
     return pd.concat(
         [
-            pd.DataFrame({"row": None, "col": None, "label": names[changed], "root": root[changed]}),
-            pd.DataFrame({"row": row[rim], "col": col[rim], "label": names[at[rim]], "root": root[at[rim]]}),
+            pd.DataFrame({"scene_id": scene[changed], "row": None, "col": None, "label": label[changed], "root": last[changed]}),
+            pd.DataFrame({"scene_id": scene[at[rim]], "row": row[rim], "col": col[rim], "label": label[at[rim]], "root": last[at[rim]]}),
         ]
-    ).assign(scene_id=scene).astype({"row": "Int32", "col": "Int32"})[["scene_id", "row", "col", "label", "root"]]
+    ).astype({"row": "Int32", "col": "Int32"})[["scene_id", "row", "col", "label", "root"]]
 
 
-def _labeller(steps, carry):
-    return lambda pdf: _label_block(pdf, steps, carry)
+def _labeller(steps, carry, block: int):
+    return lambda pdf, group: _label_blocks(pdf, group, steps, carry, block)
 
 
 def _merger(steps, span: int):
-    return lambda pdf: _merge_blocks(pdf, steps, span)
+    return lambda pdf, group: _merge_blocks(pdf, group, steps, span)
 
 
 def label_components(
@@ -164,8 +174,7 @@ def label_components(
     kept = [mask.schema[c] for c in ("scene_id", "row", "col", *carry)]
     long, int_ = T.LongType(), T.IntegerType()
     schema = T.StructType([*kept, T.StructField("label", long), T.StructField("sides", int_)])
-    local = placed.groupBy("scene_id", "_br", "_bc").applyInPandas(_labeller(steps, carry), schema)
-    local = cut(local)
+    local = cut(map_groups(placed, ["scene_id", "_br", "_bc"], _labeller(steps, carry, block), schema))
     side = 1 + (local.agg(expr("max(greatest(row, col))")).first()[0] or 0)
     if side <= block:
         return local.withColumnRenamed("label", "region_id")
@@ -178,9 +187,9 @@ def label_components(
     while span < side:
         span *= fan
         step = cut(
-            rim.selectExpr("*", f"row div {span} as _br", f"col div {span} as _bc")
-            .groupBy("scene_id", "_br", "_bc")
-            .applyInPandas(_merger(steps, span), merge_schema)
+            map_groups(
+                rim.selectExpr("*", f"row div {span} as _br", f"col div {span} as _bc"), ["scene_id", "_br", "_bc"], _merger(steps, span), merge_schema
+            )
         )
         moves.append(step.where("row is null").select("scene_id", "label", "root"))
         rim = step.where("row is not null").selectExpr("scene_id", "row", "col", "root as label")

@@ -9,13 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+TASKS_PER_CORE = 3
+
+
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a key in one of `spark.sql.shuffle.partitions` tasks.
+    """Rows of a key in one of a few tasks per core.
 
     Adaptive execution sizes tasks by bytes, which puts small rows with much work each into one
     task; partitions of a given number stay as they are.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(most, TASKS_PER_CORE * spark.sparkContext.defaultParallelism), *keys)
 
 
 def map_groups(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:

@@ -186,3 +186,32 @@ def test_hull_of_a_region_and_no_hull_of_a_line(mask_of, meta_of):
     hull = polygons.region_hull(reg.label_components(mask_of(img), 4), min_area_px=3).collect()
     assert len(hull) == 1
     assert {(q.x, q.y) for q in hull[0].ring} == {(2.0, 2.0), (8.0, 2.0), (8.0, 6.0), (2.0, 6.0)}
+
+
+def test_groups_share_calls_and_stay_whole(spark):
+    """Every call sees whole groups, and many of them."""
+    from changegrid.plans.groups import map_groups
+
+    df = spark.range(3000).selectExpr("int(id % 100) as a", "id % 2 as b", "id as v")
+
+    def run(pdf, group):
+        assert (group[1:] >= group[:-1]).all()
+        return pdf.assign(g=group, calls=len(set(group)), n=pdf.groupby(["a", "b"]).v.transform("size"))
+
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")  # groups of 30 rows straddle batches
+        got = map_groups(df, ["a", "b"], run, "a int, b bigint, v bigint, g bigint, calls bigint, n bigint").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    assert sorted(got.v) == list(range(3000)) and (got.n == 30).all() and got.calls.max() > 1
+
+
+def test_no_open_path_at_the_upper_and_left_border():
+    import pandas as pd
+
+    from changegrid.operators import polygons
+
+    pdf = pd.DataFrame({"scene_id": 0, "region_id": [0, 0], "row": [0, 1], "col": [0, 0], "sides": [1 | 2 | 8, 2 | 4 | 8]})
+    out = polygons._trace_blocks(1024)(pdf, np.zeros(2, int))
+    assert len(out) == 1 and out.closed.all()
