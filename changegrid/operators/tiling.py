@@ -166,6 +166,8 @@ def _axis_pieces(first: int, n: int, side: int, total: int, tile: int, stride: i
     return out
 
 
+# A task sends its pieces on in lots, so that it never holds those of a whole batch of blocks.
+PIECES_AT_ONCE = 512
 PIECE_SCHEMA = (
     "scene_id int, t string, band int, tile_row int, tile_col int, ii array<int>, jj array<int>, data array<double>"
 )
@@ -185,6 +187,8 @@ def split_blocks(
         "scene_id", "height", "width", f"height + {_pad('height', tile, stride, rule)} as _th", f"width + {_pad('width', tile, stride, rule)} as _tw"
     )
 
+    columns = [c.split()[0] for c in PIECE_SCHEMA.split(", ")]
+
     def cut_pieces(batches):
         for pdf in batches:
             rows = []
@@ -199,7 +203,10 @@ def split_blocks(
                             piece[tr * stride + ii >= b.height, :] = 0.0
                             piece[:, tc * stride + jj >= b.width] = 0.0
                         rows.append((b.scene_id, b.t, b.band, tr, tc, ii, jj, piece.ravel()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
+                if len(rows) >= PIECES_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         """All dates and bands of one tile; a few pieces each."""
@@ -237,6 +244,7 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
     """
     stride = check_overlap(tile, overlap)
     schema = "scene_id int, block_row int, block_col int, down int, across int, data array<double>"
+    columns = ["scene_id", "block_row", "block_col", "down", "across", "data"]
     window = np.hanning(tile)
     spans = {0: (0, stride), 1: (stride, tile)}
 
@@ -249,7 +257,10 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
                     for dc, (c0, c1) in spans.items():
                         if r1 > r0 and c1 > c0:
                             rows.append((b.scene_id, b.tile_row + dr, b.tile_col + dc, dr, dc, img[r0:r1, c0:c1].ravel()))
-            yield pd.DataFrame(rows, columns=["scene_id", "block_row", "block_col", "down", "across", "data"])
+                if len(rows) >= PIECES_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     def blend(pdf: pd.DataFrame) -> pd.DataFrame:
         total, weight, seen = np.zeros((stride, stride)), np.zeros((stride, stride)), np.zeros((stride, stride), bool)

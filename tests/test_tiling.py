@@ -107,3 +107,16 @@ def test_blocks_place_pixels_by_position(spark, pixels):
     assert {(r.row, r.col): r.value for r in back.collect() if r.value >= 0} == {(r.row, r.col): r.value for r in holes.collect()}
     whole = ras.block_pixels(ras.pack_blocks(px, 3, 4), 3, 4)
     assert sorted((r.row, r.col, r.value) for r in whole.collect()) == sorted((r.row, r.col, r.value) for r in px.collect())
+
+
+def test_pieces_are_sent_on_in_lots(spark, monkeypatch):
+    """A batch of blocks is not held as pieces all at once; the tiles are the same."""
+    n = 40
+    blocks = spark.range(n).selectExpr("int(id) as scene_id", "'A' as t", "0 as band", "0 as block_row", "0 as block_col", "16 as h", "16 as w", "transform(sequence(0, 255), i -> double(i + id)) as data").coalesce(1)
+    meta = spark.range(n).selectExpr("int(id) as scene_id", "16 as height", "16 as width")
+    want = tiling.split_blocks(blocks, meta, 16, 16, 8, 2).toPandas()
+    monkeypatch.setattr(tiling, "PIECES_AT_ONCE", 5)
+    got = tiling.split_blocks(blocks, meta, 16, 16, 8, 2).toPandas()
+    keys = ["scene_id", "tile_row", "tile_col"]
+    want, got = (x.sort_values(keys).reset_index(drop=True) for x in (want, got))
+    assert len(got) == len(want) and all(np.array_equal(a, b) for a, b in zip(got["data"], want["data"]))
