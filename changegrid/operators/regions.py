@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
-from changegrid.plans.groups import map_groups
+from changegrid.plans.groups import map_each_group, map_groups
 from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
@@ -251,10 +251,12 @@ ZONE_SIDE = 1024
 def _zone_sums(block_h: int, block_w: int, zone_h: int, zone_w: int):
     """Sums of windows inside one zone, by one local prefix table for all of them."""
 
-    def run(windows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
-        if windows.empty or blocks.empty:
-            return pd.DataFrame(columns=["scene_id", "region_id", "s", "n"])
-        top, left = int(windows["_zr"].iloc[0]) * zone_h, int(windows["_zc"].iloc[0]) * zone_w
+    def run(zone):
+        is_window = np.array([d is None for d in zone["data"]])
+        windows, blocks = ({c: v[which] for c, v in zone.items()} for which in (is_window, ~is_window))
+        if not len(windows["data"]) or not len(blocks["data"]):
+            return []
+        top, left = int(zone["_br"][0]) * zone_h, int(zone["_bc"][0]) * zone_w
         rows, cols = blocks["block_row"] * block_h - top, blocks["block_col"] * block_w - left
         n_rows, n_cols = int((rows + blocks["h"]).max()), int((cols + blocks["w"]).max())
         # Values and the number of pixels that have one, as prefix tables.
@@ -264,12 +266,12 @@ def _zone_sums(block_h: int, block_w: int, zone_h: int, zone_w: int):
             there = ~np.isnan(data)
             pre[:, r + 1 : r + h + 1, c + 1 : c + w + 1] = np.where(there, data, 0.0), there
         pre = pre.cumsum(1).cumsum(2)
-        r0 = np.clip(windows["w_row0"] - top, 0, n_rows).to_numpy()
-        r1 = np.clip(windows["w_row1"] + 1 - top, 0, n_rows).to_numpy()
-        c0 = np.clip(windows["w_col0"] - left, 0, n_cols).to_numpy()
-        c1 = np.clip(windows["w_col1"] + 1 - left, 0, n_cols).to_numpy()
+        r0 = np.clip(windows["w_row0"] - top, 0, n_rows)
+        r1 = np.clip(windows["w_row1"] + 1 - top, 0, n_rows)
+        c0 = np.clip(windows["w_col0"] - left, 0, n_cols)
+        c1 = np.clip(windows["w_col1"] + 1 - left, 0, n_cols)
         s, n = pre[:, r1, c1] - pre[:, r0, c1] - pre[:, r1, c0] + pre[:, r0, c0]
-        return pd.DataFrame({"scene_id": windows["scene_id"].to_numpy(), "region_id": windows["region_id"].to_numpy(), "s": s, "n": n.astype(np.int64)})
+        return zip(windows["scene_id"], windows["region_id"], s, n.astype(np.int64))
 
     return run
 
@@ -297,11 +299,19 @@ def zonal_means(windows: DataFrame, scores: DataFrame, block_h: int, block_w: in
         "scene_id as _bs", f"bigint(block_row div {per_row}) as _br", f"bigint(block_col div {per_col}) as _bc", "block_row", "block_col", "h", "w", "data"
     )
     touched = rim.selectExpr("scene_id as _bs", "bigint(_zr) as _br", "bigint(_zc) as _bc").distinct()
-    partial = (
-        rim.groupBy("scene_id", "_zr", "_zc")
-        .cogroup(zones.join(touched, ["_bs", "_br", "_bc"], "left_semi").groupBy("_bs", "_br", "_bc"))
-        .applyInPandas(_zone_sums(block_h, block_w, zone_h, zone_w), f"scene_id {scene}, region_id bigint, s double, n bigint")
+    # Windows and blocks of a zone in one table; what a row lacks is 0, so that ids stay integers.
+    edges, shape = ("region_id", "w_row0", "w_row1", "w_col0", "w_col1"), ("block_row", "block_col", "h", "w")
+    both = rim.selectExpr(
+        "scene_id", "bigint(_zr) as _br", "bigint(_zc) as _bc", *[f"bigint({c}) as {c}" for c in edges], *[f"0 as {c}" for c in shape], "cast(null as array<double>) as data"
+    ).unionByName(
+        zones.join(touched, ["_bs", "_br", "_bc"], "left_semi").selectExpr(
+            "_bs as scene_id", "_br", "_bc", *[f"0L as {c}" for c in edges], *shape, "data"
+        )
     )
+    partial = map_each_group(
+        both, ["scene_id", "_br", "_bc"], _zone_sums(block_h, block_w, zone_h, zone_w), f"scene_id {scene}, region_id bigint, s double, n bigint",
+        ["block_row", "block_col"],
+    )
     totals = zones.groupBy("_bs", "_br", "_bc").agg(
         expr("sum(aggregate(data, 0D, (s, x) -> s + coalesce(x, 0D))) as v"), expr("sum(size(filter(data, x -> x is not null))) as c")
     ).selectExpr("_bs as scene_id", "int(_br) as row", "int(_bc) as col", "v", "c")

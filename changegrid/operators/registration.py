@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
-from changegrid.plans.groups import dealt
+from changegrid.plans.groups import dealt, map_each_group
 from changegrid.plans.joins import salted_join
 from changegrid.plans.lineage import cut
 
@@ -373,46 +373,52 @@ def warp_blocks(
     asks = warp_requests(targets, registrations, meta, block_h, block_w, mosaic_blocks)
     src = source.selectExpr("scene_id", "block_row as _sr", "block_col as _sc", "band", "h as _sh", "w as _sw", "data as _data")
     picked = "if(_pos is null, _data, transform(_pos, p -> _data[p]))"
-    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).withColumn("_data", expr(picked)).drop("_pos").groupBy(*keys)
+    supply = asks.join(src, ["scene_id", "_sr", "_sc"]).withColumn("_data", expr(picked)).drop("_pos")
     types = source.schema["scene_id"].dataType.simpleString()
 
-    def from_taps(pdf: pd.DataFrame, n: int):
-        for band, part in pdf.groupby("band"):
+    def by_band(rows, *columns: str):
+        for band in np.unique(rows["band"]):
+            here = rows["band"] == band
+            yield int(band), zip(*(rows[c][here] for c in columns))
+
+    def from_taps(rows, n: int):
+        for band, parts in by_band(rows, "_at", "_wt", "_data"):
             value, weight = np.zeros(n), np.zeros(n)
-            for at, w, data in zip(part["_at"], part["_wt"], part["_data"]):
+            for at, w, data in parts:
                 data = np.asarray(data, float)
                 seen = ~np.isnan(data)
                 value += np.bincount(at[seen], w[seen] * data[seen], n)
                 weight += np.bincount(at[seen], w[seen], n)
             yield band, np.divide(value, weight, out=np.full(n, np.nan), where=weight > 0)
 
-    def from_mosaic(pdf: pd.DataFrame, one: pd.Series):
-        r_lo, c_lo = pdf["_sr"].min() * block_h, pdf["_sc"].min() * block_w
-        r_hi = (pdf["_sr"] * block_h + pdf["_sh"]).max()
-        c_hi = (pdf["_sc"] * block_w + pdf["_sw"]).max()
-        taps = _taps(one, block_h, block_w)
-        for band, part in pdf.groupby("band"):
+    def from_mosaic(rows, one: dict):
+        r_lo, c_lo = rows["_sr"].min() * block_h, rows["_sc"].min() * block_w
+        r_hi = (rows["_sr"] * block_h + rows["_sh"]).max()
+        c_hi = (rows["_sc"] * block_w + rows["_sw"]).max()
+        # A tap without weight may lie past a missing block.
+        taps = [
+            (np.minimum(r, r_hi - 1) - r_lo, np.minimum(c, c_hi - 1) - c_lo, w) for r, c, w in _taps(one, block_h, block_w)
+        ]
+        for band, parts in by_band(rows, "_sr", "_sc", "_sh", "_sw", "_data"):
             mosaic = np.full((r_hi - r_lo, c_hi - c_lo), np.nan)
-            for sr, sc, h, w, data in zip(part["_sr"], part["_sc"], part["_sh"], part["_sw"], part["_data"]):
+            for sr, sc, h, w, data in parts:
                 r, c = sr * block_h - r_lo, sc * block_w - c_lo
                 mosaic[r : r + h, c : c + w] = np.reshape(data, (h, w))
             value, weight = np.zeros(one["h"] * one["w"]), np.zeros(one["h"] * one["w"])
             for r, c, w in taps:
-                # A tap without weight may lie past a missing block.
-                data = mosaic[np.minimum(r - r_lo, len(mosaic) - 1), np.minimum(c - c_lo, mosaic.shape[1] - 1)]
+                data = mosaic[r, c]
                 w = np.where(np.isnan(data), 0.0, w)
                 value += np.where(w > 0, data, 0.0) * w
                 weight += w
             yield band, np.divide(value, weight, out=np.full(len(value), np.nan), where=weight > 0)
 
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[0]
-        found = from_mosaic(pdf, one) if one["_at"] is None else from_taps(pdf, one["h"] * one["w"])
-        bands, data = zip(*found)
-        return pd.DataFrame({**{k: one[k] for k in keys}, "band": bands, "h": one["h"], "w": one["w"], "data": data})
+    def resample(rows):
+        one = {c: v[0] for c, v in rows.items()}
+        found = from_mosaic(rows, one) if one["_at"] is None else from_taps(rows, one["h"] * one["w"])
+        return ((*(one[k] for k in keys), band, one["h"], one["w"], data) for band, data in found)
 
-    return supply.applyInPandas(
-        resample, f"scene_id {types}, block_row int, block_col int, band int, h int, w int, data array<double>"
+    return map_each_group(
+        supply, keys, resample, f"scene_id {types}, block_row int, block_col int, band int, h int, w int, data array<double>"
     ).withColumn("data", expr(X.nan_to_null("data")))
 
 
@@ -470,7 +476,7 @@ def warp_requests(
     return whole.unionByName(far.mapInPandas(name_taps, whole.schema))
 
 
-def _taps(one: pd.Series, block_h: int, block_w: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _taps(one, block_h: int, block_w: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The four source pixels (row, column) of each pixel of an output block, with their weights."""
     y, x = np.mgrid[0 : one["h"], 0 : one["w"]]
     y, x = y.ravel() + one["block_row"] * block_h, x.ravel() + one["block_col"] * block_w

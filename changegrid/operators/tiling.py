@@ -8,14 +8,15 @@ size. Block-layout twins cut arrays into pieces and shuffle a few pieces per til
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import expr
 
 from changegrid.functions import expr as X
+from changegrid.plans.groups import in_lots, map_each_group
 from changegrid.plans.joins import salted_join
 
 SINGLE_PASS_MAX_PX = 640  # fixed value: larger scenes are tiled
@@ -136,6 +137,7 @@ def _segments(pos: np.ndarray, cell: np.ndarray):
     return [(int(cell[g[0]]), pos[g]) for g in np.split(order, cuts) if len(g)]
 
 
+@lru_cache(256)
 def _axis_pieces(first: int, n: int, side: int, total: int, tile: int, stride: int, mode: str = "reflect"):
     """(tile index, positions in tile, source positions) for source lines first..first+n-1."""
     # Direct lines plus the mirrored or repeated ones.
@@ -191,7 +193,6 @@ def split_blocks(
 
     def cut_pieces(batches):
         for pdf in batches:
-            rows = []
             for b in pdf.itertuples(index=False):
                 img = np.asarray(b.data, float).reshape(b.h, b.w)
                 down = _axis_pieces(b.block_row * block_h, b.h, b.height, b.padded_h, tile, stride, mode)
@@ -202,36 +203,24 @@ def split_blocks(
                         if mode == "constant":
                             piece[tr * stride + ii >= b.height, :] = 0.0
                             piece[:, tc * stride + jj >= b.width] = 0.0
-                        rows.append((b.scene_id, b.t, b.band, tr, tc, ii, jj, piece.ravel()))
-                if len(rows) >= PIECES_AT_ONCE:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                        yield b.scene_id, b.t, b.band, tr, tc, ii, jj, piece.ravel()
 
-    def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
+    def assemble(rows):
         """All dates and bands of one tile; a few pieces each."""
         tiles: dict[tuple, np.ndarray] = {}
-        for t, band, ii, jj, data in zip(pdf["t"], pdf["band"], pdf["ii"], pdf["jj"], pdf["data"]):
-            out = tiles.setdefault((t, band), np.full((tile, tile), np.nan))
-            out[np.ix_(ii, jj)] = np.reshape(data, (len(ii), len(jj)))
-        one = pdf.iloc[0]
-        return pd.DataFrame(
-            {
-                "scene_id": one["scene_id"],
-                "t": [k[0] for k in tiles],
-                "band": [k[1] for k in tiles],
-                "tile_row": one["tile_row"],
-                "tile_col": one["tile_col"],
-                "data": [v.ravel() for v in tiles.values()],
-            }
-        )
+        for t, band, ii, jj, data in zip(rows["t"], rows["band"], rows["ii"], rows["jj"], rows["data"]):
+            if (t, band) not in tiles:
+                tiles[t, band] = np.full((tile, tile), np.nan)
+            tiles[t, band][np.ix_(ii, jj)] = np.reshape(data, (len(ii), len(jj)))
+        place = rows["scene_id"][0], rows["tile_row"][0], rows["tile_col"][0]
+        return [(place[0], *which, *place[1:], out.ravel()) for which, out in tiles.items()]
 
     j = salted_join(blocks, sizes, ["scene_id"], ["t", "band", "block_row", "block_col"]).selectExpr(
         "scene_id", "t", "band", "block_row", "block_col", "h", "w", "data", "height", "width", "_th as padded_h", "_tw as padded_w"
     )
-    pieces = j.mapInPandas(cut_pieces, PIECE_SCHEMA)
-    return pieces.groupBy("scene_id", "tile_row", "tile_col").applyInPandas(
-        assemble, "scene_id int, t string, band int, tile_row int, tile_col int, data array<double>"
+    pieces = j.mapInPandas(lambda batches: in_lots(cut_pieces(batches), columns, PIECES_AT_ONCE), PIECE_SCHEMA)
+    return map_each_group(
+        pieces, ["scene_id", "tile_row", "tile_col"], assemble, "scene_id int, t string, band int, tile_row int, tile_col int, data array<double>"
     ).withColumn("data", expr(X.nan_to_null("data")))
 
 
@@ -250,24 +239,19 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
 
     def cut_pieces(batches):
         for pdf in batches:
-            rows = []
             for b in pdf.itertuples(index=False):
                 img = np.asarray(b.data, float).reshape(tile, tile)
                 for dr, (r0, r1) in spans.items():
                     for dc, (c0, c1) in spans.items():
                         if r1 > r0 and c1 > c0:
-                            rows.append((b.scene_id, b.tile_row + dr, b.tile_col + dc, dr, dc, img[r0:r1, c0:c1].ravel()))
-                if len(rows) >= PIECES_AT_ONCE:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                            yield b.scene_id, b.tile_row + dr, b.tile_col + dc, dr, dc, img[r0:r1, c0:c1].ravel()
 
-    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
+    def blend(rows):
         total, weight, seen = np.zeros((stride, stride)), np.zeros((stride, stride)), np.zeros((stride, stride), bool)
         reached = np.zeros((stride, stride), bool)
-        for p in pdf.itertuples(index=False):
-            (r0, r1), (c0, c1) = spans[p.down], spans[p.across]
-            part = np.asarray(p.data, float).reshape(r1 - r0, c1 - c0)
+        for down, across, data in zip(rows["down"], rows["across"], rows["data"]):
+            (r0, r1), (c0, c1) = spans[down], spans[across]
+            part = np.asarray(data, float).reshape(r1 - r0, c1 - c0)
             there = ~np.isnan(part)
             k = np.outer(window[r0:r1], window[c0:c1]) * there
             total[: r1 - r0, : c1 - c0] += np.where(there, part, 0.0) * k
@@ -279,13 +263,13 @@ def stitch_blocks(tiles: DataFrame, meta: DataFrame, tile: int = 256, overlap: i
         else:
             blended = np.clip(total / np.where(weight > 1e-9, weight, 1.0), 0.0, 1.0)
         out = np.where(seen | ~reached, blended, np.nan) if rule == "cli" else np.where(seen, blended, np.nan)
-        head = pdf.iloc[:1][["scene_id", "block_row", "block_col"]].copy()
-        head["data"] = [out.ravel()]
-        return head
+        return [(rows["scene_id"][0], rows["block_row"][0], rows["block_col"][0], out.ravel())]
 
-    pieces = tiles.selectExpr("scene_id", "tile_row", "tile_col", f"{data} as data").mapInPandas(cut_pieces, schema)
-    cells = pieces.groupBy("scene_id", "block_row", "block_col").applyInPandas(
-        blend, "scene_id int, block_row int, block_col int, data array<double>"
+    pieces = tiles.selectExpr("scene_id", "tile_row", "tile_col", f"{data} as data").mapInPandas(
+        lambda batches: in_lots(cut_pieces(batches), columns, PIECES_AT_ONCE), schema
+    )
+    cells = map_each_group(
+        pieces, ["scene_id", "block_row", "block_col"], blend, "scene_id int, block_row int, block_col int, data array<double>", ["down", "across"]
     )
     # Trim cells that stick out of the scene.
     if rule == "cli":

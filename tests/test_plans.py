@@ -69,3 +69,40 @@ def test_trial_draws_are_spread_and_not_broadcast(spark, sf):
     found = rgs._samples(numbered, wanted)
     assert not _broadcast_sides(found)
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["warp_blocks", "stitch_tiles_cli_blocks", "zonal_mean_blocked"])
+def test_small_groups_of_blocks_share_calls(spark, sf, name):
+    """No Python call per block, tile or zone."""
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "GroupsInPandas" not in plan
+
+
+def test_each_group_comes_whole_and_in_order(spark, monkeypatch):
+    from changegrid.plans import groups
+
+    df = spark.range(3000).selectExpr("int(id % 100) as a", "id % 2 as b", "2999 - id as v", "array(double(id)) as data")
+
+    def run(rows):
+        assert (rows["v"][1:] > rows["v"][:-1]).all()
+        return [(rows["a"][0], rows["b"][0], len(rows["v"]), sum(d[0] for d in rows["data"]))]
+
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")  # groups of 30 rows straddle batches
+        got = groups.map_each_group(df, ["a", "b"], run, "a int, b bigint, n bigint, total double", ["v"]).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+    assert len(got) == 100 and (got.n == 30).all() and got.total.sum() == sum(range(3000))
+
+
+def test_lots_are_bounded_by_rows_and_array_values(monkeypatch):
+    import numpy as np
+
+    from changegrid.plans import groups
+
+    monkeypatch.setattr(groups, "VALUES_AT_ONCE", 100)
+    rows = [(i, np.zeros(30)) for i in range(10)]
+    assert [len(x) for x in groups.in_lots(rows, ["i", "data"])] == [4, 4, 2]
+    assert [len(x) for x in groups.in_lots(rows, ["i", "data"], 3)] == [3, 3, 3, 1]
+    assert list(groups.in_lots([], ["i"])) == []
