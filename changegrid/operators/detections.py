@@ -56,28 +56,37 @@ def aoi_join(detections: DataFrame, aois: DataFrame, cell: float = 1000.0) -> Da
     the other is listed at that coarser level: one equi join for detections that are at least as
     coarse as the area, one for areas that are coarser. No cell meets all boxes with all boxes. A
     pair is reported only in the cell of the lower-left corner of its overlap, which makes a
-    distinct unnecessary.
+    distinct unnecessary. A box is listed only at levels that boxes of the other table have; these
+    levels, at most LEVELS numbers, are read first. Lists of cells look as small as their boxes to
+    the optimiser, so they are never broadcast.
     """
 
-    def cells(minx: str, miny: str, maxx: str, maxy: str, own: bool, coarser: bool) -> str:
+    def native_level(minx: str, miny: str, maxx: str, maxy: str) -> str:
         size = f"greatest({maxx} - {minx}, {maxy} - {miny})"
-        native = f"least({LEVELS - 1}, int(ceil(greatest(0D, log({num(STEP)}, greatest({size} / {num(cell)}, 1D))) - 1e-9D)))"
+        return f"least({LEVELS - 1}, int(ceil(greatest(0D, log({num(STEP)}, greatest({size} / {num(cell)}, 1D))) - 1e-9D)))"
+
+    def cells(minx: str, miny: str, maxx: str, maxy: str, own: bool, coarser: bool, met: list[int]) -> str:
+        native = native_level(minx, miny, maxx, maxy)
         side = f"({num(cell)} * pow({num(STEP)}, l))"
         span = lambda lo, hi: f"sequence(bigint(floor({lo} / {side})), bigint(floor({hi} / {side})))"
         grid = f"flatten(transform({span(minx, maxx)}, gx -> transform({span(miny, maxy)}, gy -> struct(l, gx, gy))))"
-        last = LEVELS - 1 if coarser else native
-        levels = f"filter(sequence({native}, {last}), l -> {'true' if own else f'l > {native}'})"
+        there = f"cast(array({', '.join(map(str, met))}) as array<int>)"
+        levels = f"filter({there}, l -> l {'>=' if own else '>'} {native})" if coarser else f"array({native})"
         return f"explode(flatten(transform({levels}, l -> {grid})))"
 
     boxes = (
         detections.selectExpr("detection_id", *[f"{c} as d{i}" for i, c in enumerate(BOX)]),
         aois.selectExpr("aoi_id", "minx as a0", "miny as a1", "maxx as a2", "maxy as a3"),
     )
-    listed = lambda k, own, coarser: boxes[k].selectExpr("*", f"{cells(*(f'{chr(100 - 3 * k)}{i}' for i in range(4)), own, coarser)} as k").selectExpr(
+    sides = [[f"{chr(100 - 3 * k)}{i}" for i in range(4)] for k in (0, 1)]
+    native = [[r[0] for r in boxes[k].selectExpr(f"{native_level(*sides[k])} as l").where("l is not null").distinct().collect()] for k in (0, 1)]
+    listed = lambda k, own, coarser: boxes[k].selectExpr("*", f"{cells(*sides[k], own, coarser, native[1 - k])} as k").selectExpr(
         *boxes[k].columns, "k.l as _l", "k.gx as _x", "k.gy as _y"
     )
     cell_key = ["_l", "_x", "_y"]
-    met = listed(0, True, False).join(listed(1, True, True), cell_key).unionByName(listed(1, True, False).join(listed(0, False, True), cell_key))
+    met = listed(0, True, False).join(listed(1, True, True).hint("merge"), cell_key).unionByName(
+        listed(1, True, False).join(listed(0, False, True).hint("merge"), cell_key)
+    )
     side = f"({num(cell)} * pow({num(STEP)}, _l))"
     return (
         met.where(_overlaps(("d0", "d1", "d2", "d3"), ("a0", "a1", "a2", "a3")))

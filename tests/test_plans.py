@@ -106,3 +106,16 @@ def test_lots_are_bounded_by_rows_and_array_values(monkeypatch):
     assert [len(x) for x in groups.in_lots(rows, ["i", "data"])] == [4, 4, 2]
     assert [len(x) for x in groups.in_lots(rows, ["i", "data"], 3)] == [3, 3, 3, 1]
     assert list(groups.in_lots([], ["i"])) == []
+
+
+def test_area_join_lists_only_levels_that_meet_and_broadcasts_nothing(spark, sf):
+    from changegrid.operators import detections as det
+
+    assert not _broadcast_sides(QUERIES["aoi_join"](spark, sf))
+    d = spark.range(50).selectExpr("id as detection_id", "id * 3D as bbox_minx", "0D as bbox_miny", "id * 3D + 1 as bbox_maxx", "1D as bbox_maxy")
+    a = spark.range(50).selectExpr("id as aoi_id", "id * 3D as minx", "0D as miny", "id * 3D + if(id = 7, 100D, 1D) as maxx", "1D as maxy")
+    plan = det.aoi_join(d, a, cell=10.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[0]" in plan and "[0,2]" in plan.replace("[2,0]", "[0,2]") and "sequence(0, 11" not in plan
+    got = {(r.aoi_id, r.detection_id) for r in det.aoi_join(d, a, cell=10.0).collect()}
+    assert got == {(i, i) for i in range(50)} | {(7, i) for i in range(7, 41) if 3 * i <= 121}
+    assert det.aoi_join(d.where("false"), a).count() == 0 and det.aoi_join(d, a.where("false")).count() == 0
