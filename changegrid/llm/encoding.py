@@ -63,8 +63,8 @@ class PartEncoder:
         self.ids = np.zeros(1 << 18, np.uint32)
         self.used, self.kept_ids, self.passing = 0, 0, []
 
-    def _learn(self, parts: list[bytes]) -> None:
-        flat, sizes = self._encode_parts(parts)
+    def _learn(self, parts: list[bytes], words: bool) -> None:
+        flat, sizes = self._encode_parts(parts, words)
         at = len(self.known)
         while at + len(parts) > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
@@ -77,13 +77,16 @@ class PartEncoder:
         self.used += len(flat)
 
     def _learn_all(self, parts: list[bytes]) -> None:
-        for some in ([p for p in parts if p.isalpha()], [p for p in parts if not p.isalpha()]):
+        is_word = [p.isalpha() if p.isascii() else p.decode().isalpha() for p in parts]
+        for words in (True, False):
+            some = [p for p, w in zip(parts, is_word) if w == words]
             for i in range(0, len(some), 20_000):
-                self._learn(some[i : i + 20_000])
+                self._learn(some[i : i + 20_000], words)
 
-    def _encode_parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all parts, ids per part) straight from the library."""
-        if self.ends_word.any() and all(map(bytes.isalpha, parts)):
+    def _encode_parts(self, parts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, ids per part) straight from the library. `words`: all consist of letters,
+        of any script, so each is one pre-token or, where lower-casing adds a mark, more."""
+        if words and self.ends_word.any():
             texts = [b" ".join(parts[i : i + 500]).decode() for i in range(0, len(parts), 500)]
             flat = self._ids(texts)[0]
             ends = np.flatnonzero(self.ends_word[flat]) + 1

@@ -114,3 +114,18 @@ def test_packing(docs, rows, empty):
             for r in by_id[i]:
                 assert r.doc_tokens == len(ids) and r.crc == _crc(ids[r.start : r.start + r.length])
     assert packing.pack(empty).count() == 0
+
+
+def test_words_of_any_script_share_texts(monkeypatch):
+    """Words with letters beyond ASCII go to the library many in one text; the ids are those of each word alone."""
+    enc = encoding.PartEncoder(encoding.tokenizer_path("word_bpe_49k.json"), True)
+    words = [f"ñ{chr(97 + i % 26)}ö{chr(97 + i // 26 % 26)}ß" for i in range(600)] + ["ΣΑΣ", "漢字"]
+    odd = ["İstanbul", "naïve's", "x́y", "é2"]  # lower-casing or marks make several pre-tokens
+    for some in (words, words + odd):
+        enc.clear()
+        sent, plain = [], enc.tokenizer
+        monkeypatch.setattr(enc, "_ids", lambda texts: sent.extend(texts) or encoding.PartEncoder._ids(enc, texts))
+        ids, _ = enc.encode(pa.array([" ".join(some)]))
+        assert ids.tolist() == plain.encode(" ".join(some), add_special_tokens=False).ids
+        if some is words:
+            assert len(sent) <= 2
