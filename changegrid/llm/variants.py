@@ -12,6 +12,9 @@ branch where tries are thin, not at their roots.
 
 A level consumes an edge, not a character: there are as many levels as branchings on one path.
 A node has at most one edge per character, so no join multiplies a state by more than that.
+
+All tables grow with the words. An exploded one, or one read from files, looks far smaller to the
+optimiser than its rows are, so joins shuffle unless the rows of a level were measured and are few.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changegrid.plans.joins import salted_join
+from changegrid.plans.joins import measured_join, row_bytes, salted_join
 from changegrid.plans.lineage import cut
 
 RUN = r"[a-zÀ-ÿ]"
@@ -63,7 +66,7 @@ def trie_edges(words: DataFrame) -> DataFrame:
     after = F.substring("w", F.col("i") + 1, F.lit(1))
     kept = prefixes.groupBy("node").agg(F.min(after).alias("a"), F.max(after).alias("b"), F.min("i").alias("least"), F.min(length - F.col("i")).alias("left"))
     kept = cut(kept.where("least = 0 or left = 0 or a <> b").select("node"))
-    paths = salted_join(prefixes, kept, ["node"], ["w"]).groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct("i", "node"))).alias("path"))
+    paths = salted_join(prefixes.hint("merge"), kept, ["node"], ["w"]).groupBy("side", "w").agg(F.array_sort(F.collect_list(F.struct("i", "node"))).alias("path"))
     hops = F.transform(
         F.sequence(F.lit(0), F.size("path") - 2),
         lambda k: F.struct(
@@ -75,7 +78,7 @@ def trie_edges(words: DataFrame) -> DataFrame:
     edges = paths.select(F.explode(hops).alias("e")).select("e.*").groupBy("depth", "node", "label", "child").agg(F.bool_or("ends").alias("ends"))
     edges = cut(edges.select("depth", "node", F.substring("label", 1, 1).alias("first"), "label", "child", "ends"))
     nexts = edges.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set("first"), "").alias("nexts"))
-    return salted_join(edges, nexts, ["child"], ["label"], "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
+    return salted_join(edges.hint("merge"), nexts, ["child"], ["label"], "left").withColumn("nexts", F.coalesce("nexts", F.lit("")))
 
 
 def _rest(n: Column) -> Column:
@@ -119,6 +122,10 @@ def _beside(met: DataFrame) -> DataFrame:
     return _moved(met, [_to((left >= m) & (F.substring("w", F.col("pos") + 2, m - 1) == tail), m, 1), _to(_rest(m - 1) == tail, m - 1, 1), _to(after == F.col("label"), m + 1, 1)])
 
 
+def _bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(row_bytes(df))).first()[0] or 0
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near): all ordered pairs that differ by one inserted, deleted or replaced code point.
 
@@ -132,16 +139,20 @@ def near_words(words: DataFrame) -> DataFrame:
     # Half of the word is matched exactly before the first edit; the halves of both sides cover it.
     half = F.floor((F.char_length("w") + 1 - F.col("side")) / 2).cast("int")
     states = tries.select("side", "w", half.alias("from"), F.lit(0).alias("pos"), _node(F.col("side"), F.lit("")).alias("node"), F.lit(0).alias("edits"))
+    edge_bytes = dict(map(tuple, edges.groupBy("depth").agg(F.sum(row_bytes(edges))).collect()))  # a row per level
+    state_bytes = _bytes(states)
     found, depth = [], 0
     while True:
         here = edges.where(F.col("depth") == depth).drop("depth")
+        sizes = state_bytes, edge_bytes.get(depth, 0)
         next_char = _rest(F.lit(1))
-        along = salted_join(states.withColumn("first", next_char), here, ["node", "first"], ["w"])
+        along = measured_join(states.withColumn("first", next_char), here, ["node", "first"], ["w"], *sizes)
         wide = states.where("edits = 0 and pos >= `from`")
-        beside = salted_join(wide, here, ["node"], ["w"]).where(F.col("first") != next_char)
+        beside = measured_join(wide, here, ["node"], ["w"], *sizes).where(F.col("first") != next_char)
         columns = ["side", "w", "from", "pos", "node", "edits", "label", "child", "ends", "nexts"]
         states = cut(_along(along.select(columns)).unionByName(_beside(beside.select(columns))))
-        if states.isEmpty():
+        state_bytes = _bytes(states)
+        if not state_bytes:
             break
         left = F.char_length("w") - F.col("pos")
         at_end = F.col("ends") & (((F.col("edits") == 1) & (left == 0)) | ((F.col("edits") == 0) & (left == 1)))
@@ -150,7 +161,7 @@ def near_words(words: DataFrame) -> DataFrame:
         depth += 1
     if not found:
         return spark.createDataFrame([], "word string, near string")
-    met = salted_join(reduce(DataFrame.unionByName, found), ends, ["side", "node"], ["w"])
+    met = salted_join(reduce(DataFrame.unionByName, found).hint("merge"), ends, ["side", "node"], ["w"])
     forward = lambda c: F.when(F.col("side") == 0, F.col(c)).otherwise(F.reverse(c))
     # The distance is tested once more, so that nodes of one hash cannot add a pair.
     return met.where(F.levenshtein("w", "near", 1) == 1).select(forward("w").alias("word"), forward("near").alias("near")).distinct()
@@ -161,7 +172,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     now = cut(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        jumped = cut(salted_join(now, ahead, ["root"], ["word"], "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
+        jumped = cut(salted_join(now.hint("merge"), ahead, ["root"], ["word"], "left").select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("moved")))
         now = jumped.select("word", "root")
         if jumped.where("moved").isEmpty():
             return now
@@ -179,9 +190,9 @@ def spelling_variants(docs: DataFrame, ratio: int = FORM_RATIO, **limits) -> Dat
     words = cut(counted_words(docs.select("doc_id", "text"), **limits))
     near = cut(near_words(words))
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    best = near.join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near"))).alias("best"))
+    best = near.hint("merge").join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("minus"), F.col("near").alias("near"))).alias("best"))
     judged = words.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.col("best.near").alias("near"), (-F.col("best.minus")).alias("near_n"))
     has_form = F.col("near_n") >= ratio * F.col("n")
     formed = cut(judged.select("word", "n", "n_near", F.when(has_form, F.col("near")).alias("form"), F.when(has_form, F.col("near_n")).alias("form_n")))
     roots = _roots(formed.where("form is not null"))
-    return formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.hint("merge").join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -85,3 +85,33 @@ def test_short_words_and_one_character(spark):
     words = ["a", "b", "ab", "ba", "abc", "abd", "é"]
     got = variants.near_words(spark.createDataFrame([(w,) for w in words], "word string")).collect()
     assert sorted(map(tuple, got)) == sorted((a, b) for a in words for b in words if _near(a, b))
+
+
+def test_only_measured_rows_are_broadcast(spark, monkeypatch):
+    """Exploded prefixes, and tables whose files are smaller than the threshold and whose rows are not, shuffle."""
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(6, 9))) for _ in range(4000)})
+    plans, real = [], variants.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(variants, "cut", cut)
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+        got = variants.near_words(spark.createDataFrame([(w,) for w in words], "word string"))
+        plans.append(got._jdf.queryExecution().executedPlan().toString())
+        got = {tuple(r) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    held = set(words)
+    edits = lambda w: {w[:k] + c + w[k + d :] for k in range(len(w) + 1) for c in ["", *"abcdefgh"] for d in (0, 1)}
+    assert got == {(w, v) for w in words for v in edits(w) & held if v != w} and len(got) > 20
+    exploded = [x for x in plans if "Generate explode(transform(sequence" in x and "Join" in x]
+    assert exploded and not any("Broadcast" in x for x in exploded)
+    # The states of the first levels are 8,000 rows of 80 bytes and more; edges lie on the way from few to many rows.
+    levels = [x for x in plans if "levenshtein" in x and "nexts" in x]
+    assert "BroadcastHashJoin" in levels[0] and any("SortMergeJoin" in x and "Broadcast" not in x for x in levels)
+    assert "Broadcast" not in plans[-1]
