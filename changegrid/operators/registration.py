@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -149,19 +151,23 @@ def _project(h, x, y):
         return (h[..., 0, None] * x + h[..., 1, None] * y + h[..., 2, None]) / w, (h[..., 3, None] * x + h[..., 4, None] * y + h[..., 5, None]) / w
 
 
+def _fits_of_four(xb, yb, xa, ya):
+    """Matrices from samples of four matches each, and the samples that gave one."""
+    a = _equations(xb, yb, xa, ya)
+    left, right = a[..., :8], -a[..., 8]
+    size = np.maximum(np.abs(left).max(1, keepdims=True), 1e-12) if len(left) else np.ones((0, 1, 8))
+    left = left / size
+    sound = np.abs(np.linalg.det(left)) > 1e-12  # collinear samples say nothing
+    h = np.linalg.solve(left[sound], right[sound][..., None])[..., 0] / size[sound][:, 0]
+    h = np.concatenate([h, np.ones((len(h), 1))], 1)
+    finite = np.isfinite(h).all(1)
+    return h[finite], np.flatnonzero(sound)[finite]
+
+
 def _minimal_fits(batches):
     """Candidate matrices from samples of four matches each (columns xb, yb, xa, ya are arrays of four)."""
     for batch in batches:
-        xb, yb, xa, ya = (batch.column(c).flatten().to_numpy().reshape(-1, 4) for c in ("xb", "yb", "xa", "ya"))
-        a = _equations(xb, yb, xa, ya)
-        left, right = a[..., :8], -a[..., 8]
-        size = np.maximum(np.abs(left).max(1, keepdims=True), 1e-12) if len(left) else np.ones((0, 1, 8))
-        left = left / size
-        sound = np.abs(np.linalg.det(left)) > 1e-12  # collinear samples say nothing
-        h = np.linalg.solve(left[sound], right[sound][..., None])[..., 0] / size[sound][:, 0]
-        h = np.concatenate([h, np.ones((len(h), 1))], 1)
-        rows = np.flatnonzero(sound)[np.isfinite(h).all(1)]
-        h = h[np.isfinite(h).all(1)]
+        h, rows = _fits_of_four(*(batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, 4) for c in ("xb", "yb", "xa", "ya")))
         picked = batch.select(["pair_id", "_t"]).take(pa.array(rows))
         yield pa.RecordBatch.from_arrays([*picked.columns, pa.array(list(h), pa.list_(pa.float64()))], ["pair_id", "_t", "h"])
 
@@ -198,23 +204,123 @@ def _samples(numbered: DataFrame, wanted: DataFrame) -> DataFrame:
     return four.mapInArrow(_minimal_fits, f"pair_id {pair_type}, _t int, h array<double>")
 
 
+def _hash_int(value, seed):
+    """xxhash64 of 32-bit integers as Spark computes it, on arrays; `seed` is the hash of what comes before."""
+    p1, p2, p3, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    u = np.uint64
+    x = (seed + p5 + u(4)) ^ (value.astype(u) * p1)
+    x = ((x << u(23)) | (x >> u(41))) * p2 + p3
+    x = (x ^ (x >> u(33))) * p2
+    x = (x ^ (x >> u(29))) * p3
+    return x ^ (x >> u(32))
+
+
+def _draws(seed: int, n: int, first: int, end: int) -> np.ndarray:
+    """The draws of `_samples` for trials first .. end - 1, four distinct numbers below n a row; `seed` is xxhash64(pair_id)."""
+    start = np.full((1, 1), seed, np.int64).view(np.uint64)
+    d = _hash_int(np.arange(4)[None], _hash_int(np.arange(first, end)[:, None], start)).view(np.int64) % n
+    return d[(np.diff(np.sort(d, 1)) > 0).all(1)]
+
+
+def _near(h, xb, yb, xa, ya, threshold):
+    px, py = _project(h, xb, yb)
+    return np.hypot(px - xa, py - ya) < threshold
+
+
+# A vote holds this many distances at once; more fall out of a core's cache.
+VOTES_AT_ONCE = 1 << 14
+
+
+def _search(seed: int, points: tuple, threshold: float, trials: int) -> tuple[np.ndarray, int] | None:
+    """The best matrix of one pair: both rounds of `fit_homography` with its draws, votes and ties."""
+    n, best = len(points[0]), None
+    first, end = 0, min(trials, FIRST_TRIALS)
+    for _ in range(2):
+        d = _draws(seed, n, first, end) if n >= 4 and end > first else np.empty((0, 4), int)
+        h = _fits_of_four(*(v[d] for v in points))[0] + 0.0
+        if len(h):
+            step = max(1, VOTES_AT_ONCE // n)
+            votes = np.concatenate([_near(h[k : k + step], *points, threshold).sum(1) for k in range(0, len(h), step)])
+            # As in the grouped form, votes of equal matrices add up.
+            _, at, same = np.unique(np.ascontiguousarray(h).view("V72").ravel(), return_index=True, return_inverse=True)
+            total = np.bincount(same, votes).astype(int)
+            most = int(total.max())
+            top = most, max(h[at[total == most]].tolist())
+            best = top if best is None else max(best, top)
+        first, end = FIRST_TRIALS, _trials_needed(best[0] if best else 0, n, trials)
+    return best and (np.array(best[1]), best[0])
+
+
+def _trials_needed(most: int, n: int, trials: int) -> int:
+    """Trials after which a clean sample is nearly certain, if a share of most / n are inliers."""
+    clean = (most / n) ** 4
+    if clean >= 1:
+        return 0
+    return trials if clean < 1e-6 else min(trials, math.ceil(math.log(round(1 - CONFIDENCE, 6)) / math.log(1 - clean)))
+
+
 def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = MAX_TRIALS, chunk: int = 4096) -> DataFrame:
     """Robust B -> A homography per pair: (pair_id, h, n_matches, n_inliers).
 
     Samples are drawn over all matches of a pair. After a first round, a pair goes on until its
     best inlier share makes a clean sample nearly certain, up to `trials`. All matches vote in
     chunks, and the winner is refitted on all its inliers through summed normal equations. So no
-    match is left out of the draws, the vote or the fit, and no pair is ever held by one task.
-    `h` is NULL for a pair without any hypothesis.
+    match is left out of the draws, the vote or the fit, and no task holds more than a chunk of a
+    pair. A pair of one chunk is searched where its matches are: its draws and matrices, many times
+    its matches, never leave the task. `h` is NULL for a pair without any hypothesis.
     """
     pair_type = matches.schema["pair_id"].dataType.simpleString()
     cols = ["pair_id", "match_id", "x_b", "y_b", "x_a", "y_a"]
     sizes = matches.groupBy("pair_id").agg(expr("count(1) as n"))
     sizes = cut(sizes.selectExpr("pair_id", "n as n_matches", f"int(1 + (n - 1) div {chunk}) as _n"))
-    chunked = salted_join(matches.select(*cols), sizes.drop("n_matches"), ["pair_id"], ["match_id"]).selectExpr(
-        *cols, "int(pmod(xxhash64(match_id), _n)) as _c"
-    )
-    numbered = cut(_numbered(matches, cols))
+    sized = salted_join(matches.select(*cols), sizes.drop("n_matches"), ["pair_id"], ["match_id"])
+    won = _fit_whole(sized.where("_n = 1"), threshold, trials)
+    if not sizes.where("_n > 1").isEmpty():
+        won = won.unionByName(_fit_chunked(sized.where("_n > 1"), sizes.where("_n > 1"), threshold, trials))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for s, h0 in zip(pdf["s"], pdf["_h0"]):
+                _, v = np.linalg.eigh(np.asarray(s).reshape(9, 9))
+                h = v[:, 0]
+                h = np.asarray(h0) if abs(h[8]) < 1e-12 else h / h[8] * _UNSCALE
+                out.append(h.tolist())
+            yield pdf.assign(h=out)[["pair_id", "h", "n_inliers"]]
+
+    fitted = won.mapInPandas(solve, f"pair_id {pair_type}, h array<double>, n_inliers bigint")
+    return sizes.join(fitted, "pair_id", "left").selectExpr("pair_id", "h", "n_matches", "coalesce(n_inliers, 0) as n_inliers")
+
+
+def _normal_sums(xb, yb, xa, ya):
+    """Normal equations of matches, flat. Coordinates are scaled by a fixed factor to keep the sums well conditioned."""
+    a = _equations(xb / _SCALE, yb / _SCALE, xa / _SCALE, ya / _SCALE)
+    return (a.T @ a).ravel()
+
+
+def _fit_whole(matches: DataFrame, threshold: float, trials: int) -> DataFrame:
+    """(pair_id, _h0, s, n_inliers): winner and normal equations of pairs of one chunk, a group each."""
+    pair_type = matches.schema["pair_id"].dataType.simpleString()
+    # In the order of `_numbered`: by the unsigned hash.
+    rows = matches.selectExpr("pair_id", "match_id", "xxhash64(match_id) ^ shiftleft(1L, 63) as _key", "xxhash64(pair_id) as _seed", "x_b", "y_b", "x_a", "y_a")
+
+    def fit(pair):
+        points = tuple(pair[c].astype(float) for c in ("x_b", "y_b", "x_a", "y_a"))
+        found = _search(int(pair["_seed"][0]), points, threshold, trials)
+        if not found:
+            return []
+        ok = _near(found[0], *points, threshold)
+        return [(pair["pair_id"][0], found[0], _normal_sums(*(v[ok] for v in points)), int(ok.sum()))]
+
+    return cut(map_each_group(rows, ["pair_id"], fit, f"pair_id {pair_type}, _h0 array<double>, s array<double>, n_inliers bigint", ["_key", "match_id"]))
+
+
+def _fit_chunked(sized: DataFrame, sizes: DataFrame, threshold: float, trials: int) -> DataFrame:
+    """`_fit_whole` for pairs of many chunks: draws, votes and sums are spread over tasks and joined."""
+    pair_type = sized.schema["pair_id"].dataType.simpleString()
+    cols = ["pair_id", "match_id", "x_b", "y_b", "x_a", "y_a"]
+    chunked = sized.selectExpr(*cols, "int(pmod(xxhash64(match_id), _n)) as _c")
+    numbered = cut(_numbered(sized, cols))
     key = pa.int32() if pair_type == "int" else pa.int64() if pair_type == "bigint" else pa.string()
     vote_schema = pa.schema([("pair_id", key), ("k", pa.int32()), ("h", pa.list_(pa.float64())), ("n", pa.int64())])
     sum_schema = pa.schema([("pair_id", key), ("s", pa.list_(pa.float64())), ("n", pa.int64())])
@@ -226,8 +332,7 @@ def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = MAX
         if not len(h):
             return vote_schema.empty_table()
         xb, yb, xa, ya = (ms.column(c).to_numpy() for c in cols[2:])
-        px, py = _project(h, xb, yb)
-        n = (np.hypot(px - xa, py - ya) < threshold).sum(1)
+        n = _near(h, xb, yb, xa, ya, threshold).sum(1)
         pairs = pa.concat_arrays([hs.column("_bp").combine_chunks()[:1]] * len(h))
         return pa.Table.from_arrays([pairs, pa.array(np.arange(len(h)), pa.int32()), pa.array(list(h), pa.list_(pa.float64())), pa.array(n, pa.int64())], schema=vote_schema)
 
@@ -252,12 +357,9 @@ def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = MAX
             return sum_schema.empty_table()
         h = hs.column("_h0").combine_chunks().flatten().to_numpy()[:9]
         xb, yb, xa, ya = (ms.column(c).to_numpy() for c in cols[2:])
-        px, py = _project(h, xb, yb)
-        ok = np.hypot(px - xa, py - ya) < threshold
-        # Coordinates are scaled by a fixed factor to keep the sums well conditioned.
-        a = _equations(xb[ok] / _SCALE, yb[ok] / _SCALE, xa[ok] / _SCALE, ya[ok] / _SCALE)
+        ok = _near(h, xb, yb, xa, ya, threshold)
         return pa.Table.from_arrays(
-            [hs.column("_bp").combine_chunks()[:1], pa.array([(a.T @ a).ravel()], pa.list_(pa.float64())), pa.array([int(ok.sum())], pa.int64())], schema=sum_schema
+            [hs.column("_bp").combine_chunks()[:1], pa.array([_normal_sums(xb[ok], yb[ok], xa[ok], ya[ok])], pa.list_(pa.float64())), pa.array([int(ok.sum())], pa.int64())], schema=sum_schema
         )
 
     winners = best.join(sizes, "pair_id").selectExpr("pair_id as _bp", "_h0", "explode(sequence(0, _n - 1)) as _bc")
@@ -266,19 +368,7 @@ def fit_homography(matches: DataFrame, threshold: float = 3.0, trials: int = MAX
     )
     cells = ", ".join(f"sum(s[{i}])" for i in range(81))
     total = sums.groupBy("pair_id").agg(expr(f"array({cells}) as s"), expr("sum(n) as n_inliers"))
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for s, h0 in zip(pdf["s"], pdf["_h0"]):
-                _, v = np.linalg.eigh(np.asarray(s).reshape(9, 9))
-                h = v[:, 0]
-                h = np.asarray(h0) if abs(h[8]) < 1e-12 else h / h[8] * _UNSCALE
-                out.append(h.tolist())
-            yield pdf.assign(h=out)[["pair_id", "h", "n_inliers"]]
-
-    fitted = total.join(best, "pair_id").mapInPandas(solve, f"pair_id {pair_type}, h array<double>, n_inliers bigint")
-    return sizes.join(fitted, "pair_id", "left").selectExpr("pair_id", "h", "n_matches", "coalesce(n_inliers, 0) as n_inliers")
+    return total.join(best, "pair_id").select("pair_id", "_h0", "s", "n_inliers")
 
 
 _SCALE = 1000.0

@@ -167,3 +167,37 @@ def test_points_on_the_horizon_land_on_the_edge(spark, pixels, meta_of):
     data = np.reshape(rgs.warp_blocks(blocks, blocks, regs, meta, 8, 8).first().data, (3, 4))
     rows = {(r.row, r.col): r.value for r in rgs.warp_bilinear(px, px, regs, meta).collect()}
     assert np.isfinite(data).all() and all(np.isclose(data[k], v) for k, v in rows.items()) and len(rows) == 12
+
+
+def test_draws_are_those_of_the_spread_form(spark):
+    got = spark.sql("select id, xxhash64(id) as seed from values (0L), (7L), (-5L), (123456789012L) as t(id)").collect()
+    for r in got:
+        want = spark.range(200).selectExpr(f"array(0, 1, 2, 3) as k", "int(id) as _t").selectExpr("_t", f"transform(k, x -> pmod(xxhash64({r.id}L, _t, x), 9L)) as d").orderBy("_t").collect()
+        want = [w.d for w in want if len(set(w.d)) == 4]
+        assert rgs._draws(r.seed, 9, 0, 200).tolist() == want and len(want) > 50
+
+
+def test_pairs_of_one_chunk_are_searched_where_they_are(spark, monkeypatch):
+    """The same fits as with draws, matrices and votes joined, and none of these in a table."""
+    rng = np.random.default_rng(4)
+    h = np.array([[1.0, 0.02, 15.0], [-0.01, 1.0, 8.0], [1e-5, -2e-5, 1.0]])
+    rows = []
+    for pair, n, out in ((1, 90, 60), (2, 3, 0), (3, 5, 0), (4, 40, 40), (-5, 60, 10)):
+        a, b = _points(n, h, rng, noise=0.2, outliers=0)
+        a[:out] += rng.uniform(30, 300, size=(out, 2))
+        rows += [(pair, i, *map(float, (*b[i], *a[i]))) for i in range(n)]
+    rows += [(None, 1, 0.0, 0.0, 0.0, 0.0), (1, 1000, None, 1.0, 2.0, 3.0)]
+    m = spark.createDataFrame(rows, "pair_id bigint, match_id bigint, x_b double, y_b double, x_a double, y_a double")
+    sizes = m.groupBy("pair_id").agg({"*": "count"}).selectExpr("pair_id", "`count(1)` as n_matches", "1 as _n")
+    sized = m.join(sizes.drop("n_matches"), "pair_id")
+    want = {r.pair_id: r for r in rgs._fit_chunked(sized, sizes, 3.0, rgs.MAX_TRIALS).collect()}
+    whole = {r.pair_id: r for r in rgs._fit_whole(sized, 3.0, rgs.MAX_TRIALS).collect()}
+    assert set(whole) == set(want) == {1, 3, 4, -5}
+    for k, r in whole.items():
+        assert r._h0 == want[k]._h0 and r.n_inliers == want[k].n_inliers and np.allclose(r.s, want[k].s, rtol=1e-9)
+    monkeypatch.setattr(rgs, "_samples", None)  # no rows of draws
+    got = {r.pair_id: r for r in rgs.fit_homography(m).collect()}
+    assert {k: (r.n_matches, r.n_inliers) for k, r in got.items()} == {
+        k: (sum(x[0] == k for x in rows), whole[k].n_inliers if k in whole else 0) for k in (1, 2, 3, 4, -5, None)
+    }
+    assert got[2].h is None and got[None].h is None and got[1].n_inliers >= 30
